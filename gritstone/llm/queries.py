@@ -2,19 +2,61 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gritstone.catalog import table
 
 
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def _part(column: str, parts: int) -> Column:
+    """crc32 of the id as text, modulo parts."""
+    return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(parts))
+
+
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gritstone.llm.tokens import count_tokens
+
+    return count_tokens(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), limit=1024)
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gritstone.llm import toxicity
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    model = toxicity.fit(docs, labels.where(_part("doc_id", 3) != 1))
+    scored = toxicity.score(docs, model, keep=("doc_id",), threshold=0.7)
+    return scored.select("doc_id", (_part("doc_id", 3) == 1).alias("held_out"), "score", "predicted", "n_clauses")
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gritstone.llm import langid
+
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(_part("doc_id", 4) != 2))
+    found = langid.identify(docs, model, keep=("doc_id",))
+    return found.select("doc_id", (_part("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gritstone.llm.minhash import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"), shingle_words=2, percent=80)
 
 
-QUERIES = {"op6_minhash": op6_minhash}
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gritstone.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op3_toxicity, op5_language_id, op6_minhash, op8_mixing)}
 SQL: dict[str, str] = {}
 
 
