@@ -50,13 +50,31 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle_words=2, percent=80)
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gritstone.llm.sharding import shard
+
+    return shard(table(spark, sf_dir, "documents"), shards=8)
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gritstone.llm.mixing import mix
 
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_toxicity, op5_language_id, op6_minhash, op8_mixing)}
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gritstone.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
+
+
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gritstone.llm.spotsigs import edit_check
+
+    return edit_check(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op3_toxicity, op5_language_id, op6_minhash, op7_sharding, op8_mixing, op9_packing, op10_fingerprints)}
 SQL: dict[str, str] = {}
 
 
