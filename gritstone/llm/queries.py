@@ -25,6 +25,13 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), limit=1024)
 
 
+def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gritstone.llm.ann import search
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return search(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gritstone.llm import toxicity
 
@@ -35,6 +42,16 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (_part("doc_id", 3) == 1).alias("held_out"), "score", "predicted", "n_clauses")
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gritstone.llm import quality
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    model = quality.fit(docs, labels.where(_part("doc_id", 5) != 0))
+    scored = quality.score(docs, model, keep=("doc_id",), threshold=0.3)
+    return scored.select("doc_id", (_part("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gritstone.llm import langid
 
@@ -74,7 +91,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_check(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_toxicity, op5_language_id, op6_minhash, op7_sharding, op8_mixing, op9_packing, op10_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_nearest, op3_toxicity, op4_quality, op5_language_id, op6_minhash, op7_sharding, op8_mixing, op9_packing, op10_fingerprints)}
 SQL: dict[str, str] = {}
 
 
