@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gritstone.session import cut, scratch_path, spread
+from gritstone.session import cut, scratch_path
 
 #: Entries of a worker's piece cache: about 150 MB.
 PIECES = 800_000
@@ -153,7 +153,7 @@ def count_tokens(
         wanted = wanted.join(stored.select("digest"), "digest", "left_anti")
     # A repeated id may carry other texts; only the row whose own content is wanted is encoded.
     fresh = given.join(wanted, "id").where(digest == F.col("digest"))
-    counted = spread(fresh.select("digest", "text")).mapInPandas(_encoder_batches(tokenizer_path), "digest binary, n_tokens long")
+    counted = fresh.select("digest", "text").mapInPandas(_encoder_batches(tokenizer_path), "digest binary, n_tokens long")
     counted.write.mode("append").parquet(path)
     cache = spark.read.schema("digest binary, n_tokens long").parquet(path).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     out = index.join(cache, "digest")
