@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gritstone.session import cut, spread
+from gritstone.session import cut
 
 SAMPLE = 16_384
 SAMPLE_QUERIES = 256
@@ -197,10 +197,10 @@ def search(
                     into[:, g] = probed[:, shared.value.groups == g].any(axis=1)
                 yield pd.DataFrame({"vec_id": pdf["vec_id"], "groups": [np.flatnonzero(x).astype(np.int32) for x in into], "raw": [r.tobytes() for r in raw]})
 
-    stored = spread(rows).mapInPandas(placed, "vec_id long, list int, grp int, parts int, raw binary")
+    stored = rows.mapInPandas(placed, "vec_id long, list int, grp int, parts int, raw binary")
     same = Window.partitionBy(F.md5("raw"), "raw").orderBy("vec_id")
     stored = stored.withColumn("copy", F.row_number().over(same)).where(F.col("copy") <= most)
-    turned = spread(asked).mapInPandas(routed, "vec_id long, groups array<int>, raw binary").withColumn("qkey", F.md5("raw"))
+    turned = asked.mapInPandas(routed, "vec_id long, groups array<int>, raw binary").withColumn("qkey", F.md5("raw"))
     turned = cut(turned)
     members = turned.select("qkey", F.col("vec_id").alias("query_id")).distinct()
     single = turned.groupBy("qkey").agg(F.first("groups").alias("groups"), F.first("raw").alias("raw"))

@@ -124,7 +124,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                     values, n = np.unique(gram_hashes(texts[a:b])[0], return_counts=True)
                     yield pd.DataFrame({"lang": lang, "gram": values.view(np.int64), "n": n})
 
-    grams = spread(sample.select("lang", "text")).mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    grams = sample.select("lang", "text").mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     top = grams.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("rank") <= GRAMS)
     rows = top.select("lang", "gram", "n").toPandas()
     names = sorted(rows["lang"].unique().tolist())

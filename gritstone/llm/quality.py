@@ -134,7 +134,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 yield pd.DataFrame({"id": pdf["id"].to_numpy()[a:b], "label": pdf["label"].to_numpy()[a:b], "terms": [x.tobytes() for x in counts]})
 
     kind = dict(texts.dtypes)["id"]
-    got = spread(texts.select("id", "label", "text")).mapInPandas(run, f"id {kind}, label int, terms binary").toPandas()
+    got = texts.select("id", "label", "text").mapInPandas(run, f"id {kind}, label int, terms binary").toPandas()
     prior = shares.get(1, 0) / total if total else 0.5
     if not len(got):
         return Model(np.ones(TERMS, np.float32), np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), prior)

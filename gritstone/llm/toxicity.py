@@ -201,7 +201,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield pd.DataFrame({"id": pdf["id"], "label": pdf["label"], "family": least, "words": [sorted(_words(t)) for t in pdf["text"]]})
 
     kind = dict(sample.dtypes)["id"]
-    seen = spread(sample.select("id", "label", "text")).mapInPandas(family, f"id {kind}, label int, family long, words array<string>")
+    seen = sample.select("id", "label", "text").mapInPandas(family, f"id {kind}, label int, family long, words array<string>")
     single = seen.groupBy("label", "family").agg(F.min_by("words", "id").alias("words"))
     totals = single.groupBy("label").count().collect()
     size = Counter({r["label"]: r["count"] for r in totals})
