@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gritstone.queries import relational
-
-MODULES = (relational,)
+NAMES = ("relational",)
+MODULES = tuple(importlib.import_module(f"gritstone.queries.{name}") for name in NAMES)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: query for module in MODULES for name, query in module.QUERIES.items()}
+    return {name: query for module in MODULES for name, query in module.Q.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for module in MODULES for name, sql in module.SQL.items()}
+    return {name: sql for module in MODULES for name, sql in module.Q.sql.items()}
