@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-NAMES = ("relational",)
+NAMES = ("relational", "resolution", "sequences")
 MODULES = tuple(importlib.import_module(f"gritstone.queries.{name}") for name in NAMES)
 
 
