@@ -28,6 +28,8 @@ GRAMS = 20_000
 #: A filter holds an n-gram if its language uses it at least this often compared with the language that uses it most.
 SHARE = 0.4
 UNKNOWN = "und"
+#: Characters whose n-grams are in memory at once, but for a longer text.
+CHUNK = 1 << 18
 
 
 @functools.cache
@@ -120,7 +122,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         for pdf in batches:
             for lang, part in pdf.groupby("lang", sort=False):
                 texts = part["text"].tolist()
-                for a, b in chunks([t.encode("utf-8", "surrogatepass") for t in texts], 4 << 20):
+                for a, b in chunks([t.encode("utf-8", "surrogatepass") for t in texts], CHUNK):
                     values, n = np.unique(gram_hashes(texts[a:b])[0], return_counts=True)
                     yield pd.DataFrame({"lang": lang, "gram": values.view(np.int64), "n": n})
 
@@ -159,15 +161,19 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = [f"k{i}" for i in range(len(keep))]
     given = docs.select(*[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)], F.col(text_col).cast("string").alias("body"))
-    kinds = ", ".join(f"{n} {dict(given.dtypes)[n]}" for n in names)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    # Only the text goes to Python; kept columns wait on the JVM's side.
+    @F.pandas_udf("lang_pred string, score double")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = shared.value
-        for pdf in batches:
-            texts = [x if isinstance(x, str) else "" for x in pdf["body"]]
-            for a, b in chunks(texts):
-                langs, score = model.score(texts[a:b])
-                yield pdf.iloc[a:b][names].assign(lang_pred=langs, score=score)
-
-    out = spread(given).mapInPandas(run, f"{kinds}, lang_pred string, score double" if kinds else "lang_pred string, score double")
-    return out.select(*[F.col(n).alias(c) for c, n in zip(keep, names, strict=True)], "lang_pred", "score")
+        for column in batches:
+            texts = [x if isinstance(x, str) else "" for x in column]
+            langs, scores = [], [np.empty(0)]
+            for a, b in chunks(texts, CHUNK):
+                found, score = model.score(texts[a:b])
+                langs += found
+                scores.append(score)
+            yield pd.DataFrame({"lang_pred": langs, "score": np.concatenate(scores)})
+
+    out = spread(given).select(*names, run.asNondeterministic()("body").alias("r"))
+    return out.select(*[F.col(n).alias(c) for c, n in zip(keep, names, strict=True)], "r.lang_pred", "r.score")

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gritstone.llm.kernels import WORDS, shingle_hashes, word_hashes
+from gritstone.llm.kernels import WORDS, chunks, shingle_hashes, word_hashes
 from gritstone.session import spread
 
 # Seed words of the grammar's classes in English, German, French and Spanish.
@@ -195,9 +195,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def family(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            words, wb = word_hashes([t.encode("utf-8", "surrogatepass") for t in pdf["text"]], WORDS)
-            shingles, sb = shingle_hashes(words, wb, 3)
-            least = [int(shingles[a:b].min().view(np.int64)) if b > a else 0 for a, b in zip(sb[:-1], sb[1:], strict=True)]
+            least = []
+            body = [t.encode("utf-8", "surrogatepass") for t in pdf["text"]]
+            for i, j in chunks(body):
+                words, wb = word_hashes(body[i:j], WORDS)
+                shingles, sb = shingle_hashes(words, wb, 3)
+                least += [int(shingles[a:b].min().view(np.int64)) if b > a else 0 for a, b in zip(sb[:-1], sb[1:], strict=True)]
             yield pd.DataFrame({"id": pdf["id"], "label": pdf["label"], "family": least, "words": [sorted(_words(t)) for t in pdf["text"]]})
 
     kind = dict(sample.dtypes)["id"]
@@ -227,14 +230,15 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str
     shared = docs.sparkSession.sparkContext.broadcast((model.classes, model.strength))
     names = [f"k{i}" for i in range(len(keep))]
     given = docs.select(*[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)], F.col(text_col).cast("string").alias("body"))
-    kinds = ", ".join(f"{n} {dict(given.dtypes)[n]}" for n in names)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    # Only the text goes to Python; kept columns wait on the JVM's side.
+    @F.pandas_udf("score double, n_clauses int")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = Model(*shared.value)
-        for pdf in batches:
-            found = [model.clauses(x) if isinstance(x, str) else [] for x in pdf["body"]]
-            total = np.array([sum(w for _, w in f) for f in found], float)
-            yield pdf[names].assign(score=1.0 - np.exp(-total), n_clauses=np.array([len(f) for f in found], np.int32))
+        for column in batches:
+            found = [[w for _, w in model.clauses(x)] if isinstance(x, str) else [] for x in column]
+            total = np.array([sum(f) for f in found], float)
+            yield pd.DataFrame({"score": 1.0 - np.exp(-total), "n_clauses": np.array([len(f) for f in found], np.int32)})
 
-    out = spread(given).mapInPandas(run, f"{kinds}, score double, n_clauses int")
+    out = spread(given).select(*names, run.asNondeterministic()("body").alias("r")).select(*names, "r.score", "r.n_clauses")
     return out.select(*[F.col(n).alias(c) for c, n in zip(keep, names, strict=True)], "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "n_clauses")
