@@ -28,6 +28,11 @@ def word_count(text):
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def seeded(seed: int, key):
+    """60 bits of the md5 of seed and key: the order of a source's stream."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string"))), 1, 15), 16, 10).cast("long")
+
+
 def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
     """sources(source, source_size) with weight and target; one row per source, null last.
 
@@ -102,14 +107,14 @@ def mix(
         F.col(id_col).alias("id"),
         F.col(source_col).cast("string").alias("source"),
         word_count(F.col(text_col).cast("string")).alias("size"),
-        F.xxhash64(F.lit(seed), F.col(id_col).cast("string")).alias("h"),
+        seeded(seed, F.col(id_col)).alias("h"),
         F.xxhash64(F.lit(seed), F.col(text_col).cast("string")).alias("t"),
         *[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)],
     )
     narrow = cut(given) if not keep else given
     count = narrow.groupBy("source").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     buckets = max(1, count // BUCKET_ROWS)
-    placed = narrow.withColumn("bucket", F.pmod(F.col("h"), F.lit(buckets)))
+    placed = narrow.withColumn("bucket", F.expr(f"h div {(1 << 60) // buckets + 1}"))
     sums = cut(placed.groupBy("source", "bucket").agg(F.sum("size").alias("words")))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.withColumn("start", F.coalesce(F.sum("words").over(before), F.lit(0))).drop("words")

@@ -92,7 +92,31 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_nearest, op3_toxicity, op4_quality, op5_language_id, op6_minhash, op7_sharding, op8_mixing, op9_packing, op10_fingerprints)}
-SQL: dict[str, str] = {}
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+SQL: dict[str, str] = {
+    "op6_minhash": rf"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) > 1 THEN list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1]) ELSE coalesce(w, []) END) AS g FROM w),
+        e AS (SELECT doc_id, len(g) AS n, unnest(g) AS x FROM s),
+        p AS (SELECT a.doc_id AS x, b.doc_id AS y FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+              GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+        l AS (SELECT x, y FROM p UNION ALL SELECT y, x FROM p),
+        c(x, y) AS (SELECT doc_id, doc_id FROM s UNION SELECT c.x, l.y FROM c JOIN l ON l.x = c.y)
+        SELECT doc_id, len(g)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN (SELECT x, min(y) AS component_id FROM c GROUP BY x) ON x = doc_id""",
+    "op8_mixing": r"""WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, ('0x' || substr(md5('7:' || doc_id), 1, 15))::BIGINT AS h FROM documents),
+        s AS (SELECT source, sum(size)::BIGINT AS ss, ([1, 2, 3])[(row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1) % 3 + 1]::DOUBLE AS w FROM d GROUP BY source),
+        r AS (SELECT *, ss * 3.0::DOUBLE AS most, ss * 3.0::DOUBLE / w AS ratio FROM s),
+        f AS (SELECT *, row_number() OVER o AS place, coalesce(sum(most) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below,
+              coalesce(sum(w) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS filled, sum(ss) OVER ()::DOUBLE AS total, sum(w) OVER () AS weights FROM r WINDOW o AS (ORDER BY ratio, source IS NULL, encode(source))),
+        g AS (SELECT *, (total - below) / (weights - filled) AS x FROM f),
+        t AS (SELECT source, ss, total, least(most, w * coalesce((SELECT x FROM g WHERE x <= ratio ORDER BY place LIMIT 1), 'Infinity'::DOUBLE)) AS target FROM g),
+        n AS (SELECT coalesce(max(floor(total / 64 + 0.5)), 0)::BIGINT AS n FROM t),
+        q AS (SELECT source, target, unnest(generate_series(1, (SELECT n FROM n))) AS j FROM t),
+        won AS (SELECT source FROM q ORDER BY target / (2 * j - 1) DESC, source IS NULL, encode(source) LIMIT (SELECT n FROM n)),
+        b AS (SELECT source, count(*) AS blocks FROM won GROUP BY source),
+        m AS (SELECT t.*, least(coalesce(blocks, 0) * 64, ss * 3) AS quota FROM t LEFT JOIN b ON t.source IS NOT DISTINCT FROM b.source),
+        k AS (SELECT d.*, ss, target, quota, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM d JOIN m ON d.source IS NOT DISTINCT FROM m.source)
+        SELECT doc_id, size, ss AS source_size, target, (CASE WHEN ss > 0 THEN quota // ss ELSE 0 END * size + greatest(0, least(size, CASE WHEN ss > 0 THEN quota % ss ELSE 0 END - pos)))::BIGINT AS taken FROM k""",
+}
 
 
 def queries() -> dict:
