@@ -47,3 +47,19 @@ def day_gap(later_us: Column, earlier_us: Column) -> Column:
 def decimal_degrees(d: Column, m: Column, s: Column, ref: Column) -> Column:
     value = d + m / 60.0 + s / 3600.0
     return F.when(F.upper(ref).isin("S", "W"), -value).otherwise(value)
+
+
+def daily_time(text: Column) -> Column:
+    """Minutes past midnight of HH:MM, 0 on any error."""
+    hour, minute = F.get(F.split(text, ":"), 0).try_cast("int"), F.get(F.split(text, ":"), 1).try_cast("int")
+    return F.when(hour.between(0, 23) & minute.between(0, 59), hour * 60 + minute).otherwise(0)
+
+
+def commit_message(paths: Column) -> Column:
+    """One file's name, or how many there are."""
+    return F.when(F.size(paths) == 1, F.concat(F.lit("Update "), F.element_at(F.split(F.element_at(paths, 1), "/"), -1))).otherwise(F.concat(F.lit("Update "), F.size(paths).cast("string"), F.lit(" files")))
+
+
+def within_days(at: Column, days: int) -> Column:
+    """at lies in the last ``days`` days; 0 means today."""
+    return at >= F.current_date().cast("timestamp") if days == 0 else at >= F.current_timestamp() - F.make_dt_interval(F.lit(days))

@@ -120,3 +120,44 @@ def signals(embedding: Column, colour: Column, breed: Column) -> Column:
 
 def latest_per(rows: DataFrame, by: str, at: str) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(by).orderBy(F.desc(at)))).where("_n = 1").drop("_n")
+
+
+def gallery(faces: DataFrame) -> DataFrame:
+    """(person_id, face_id, stage, embedding): a known face's age is the photo's year less the birth year if 0 to 120, else the estimate, else 25."""
+    from gritstone.operators.match import age_stage
+
+    by_year = F.col("year") - F.col("birth_year")
+    age = F.coalesce(F.when(by_year.between(0, 120), by_year), F.nullif("age", F.lit(0)), F.lit(25))
+    return faces.where("person_id is not null").select("person_id", "face_id", age_stage(age).alias("stage"), "embedding")
+
+
+def year_links(links: DataFrame) -> DataFrame:
+    """(person_id, year_a, year_b, link): of the links between two years the weakest (break before weak before auto before confirmed)."""
+    rank = F.create_map(*[F.lit(x) for x in ("break", 0, "weak", 1, "auto", 2, "confirmed", 3)])
+    return links.where("year_a <> year_b").groupBy("person_id", "year_a", "year_b").agg(F.min_by("link", rank[F.col("link")]).alias("link"))
+
+
+def intermediate_clusters(clusters: DataFrame, person: DataFrame, auto: float = 0.95, suggest_from: float = 0.35) -> DataFrame:
+    """(cluster, score, decision): a person's best cosine with each cluster's first ten faces, 0.02 more where the age is within 5 of the stage's middle.
+
+    clusters (cluster, face_id, age, embedding); person (stage, embedding), one person's gallery: broadcast when counted small.
+    """
+    from gritstone.functions.scalars import mid_age
+    from gritstone.operators.match import small
+
+    first = F.row_number().over(Window.partitionBy("cluster").orderBy("face_id"))
+    some = clusters.withColumn("_n", first).where("_n <= 10")
+    pairs = some.join(small(person.select(F.col("stage").alias("_s"), F.col("embedding").alias("_e"))), F.lit(True))
+    score = cosine("embedding", "_e") + F.when(F.abs(F.col("age") - mid_age(F.col("_s"))) < 5, 0.02).otherwise(0.0)
+    best = pairs.groupBy("cluster").agg(F.round(F.max(score), 9).alias("score"))
+    return best.withColumn("decision", F.when(F.col("score") >= auto, "auto").when(F.col("score") >= suggest_from, "suggest")).where("decision is not null")
+
+
+def merge_clusters(members: DataFrame, ids: list[int]) -> DataFrame:
+    """Clusters in ids become the smallest of them."""
+    return members.withColumn("cluster", F.when(F.col("cluster").isin(ids), F.lit(min(ids))).otherwise(F.col("cluster")))
+
+
+def split_cluster(members: DataFrame, cluster: int, faces: list[int], new: int) -> DataFrame:
+    """The named faces of a cluster become a new one."""
+    return members.withColumn("cluster", F.when((F.col("cluster") == cluster) & F.col("face_id").isin(faces), F.lit(new)).otherwise(F.col("cluster")))

@@ -52,7 +52,7 @@ def debounce(events: DataFrame, key: str, seconds: int) -> DataFrame:
             return
         waiting = list(state.get[0]) if state.exists else []
         for pdf in batches:
-            waiting += [p for p in pdf["path"] if p not in waiting]
+            waiting = list(dict.fromkeys([*waiting, *pdf["path"]]))
         state.update((waiting,))
         state.setTimeoutDuration(seconds * 1000)
 

@@ -179,3 +179,46 @@ def test_debounce_is_a_stream(spark, tmp_path):
         assert [(r["folder"], r["n"]) for r in spark.table("batches").collect()] == [("f", 2)]
     finally:
         run.stop()
+
+
+def test_extractors(spark):
+    from gritstone.functions import dates
+    from gritstone.sources import extractors
+
+    head = b"\xff\xd8\xff\xe0\x00\x04ab\xff\xda\x00\x02scan"
+    assert extractors.jpeg_fault(head + b"\xff\xd9") is None
+    assert extractors.jpeg_fault(head) == "truncated"
+    assert extractors.jpeg_fault(head + b"\xff\xd9more") == "extraneous_data"
+    assert extractors.jpeg_fault(b"\xff\xd8xx\x00\x00") == "invalid_markers"
+    assert extractors.jpeg_fault(b"GIF89a") == "unreadable"
+    uuid = "ABCDEF01-2345-6789-ABCD-EF0123456789"
+    assert extractors.content_identifier(b"x" * 50 + b"ContentIdentifier=" + uuid.lower().encode()) == uuid
+    assert extractors.motion_offset(b"\xff\xd8" + b"0" * 10 + b"\x00\x00\x00\x18ftypmp42") == 12
+    rows = spark.createDataFrame([(bytearray(head),), (None,)], "content binary")
+    fault = extractors.bytes_column(extractors.jpeg_fault, "string")
+    assert [r[0] for r in rows.select(fault("content")).collect()] == ["truncated", None]
+    assert one(spark, extractors.frame_times(F.lit(9.0), 2)) == [3.0, 6.0]
+    assert one(spark, extractors.interval_times(F.lit(70.0))) == [0, 30, 60]
+    assert one(spark, dates.daily_time(F.lit("07:30"))) == 450 and one(spark, dates.daily_time(F.lit("7h"))) == 0
+    assert one(spark, dates.commit_message(F.array(F.lit("/a/b.txt")))) == "Update b.txt"
+    import numpy as np
+
+    image = np.kron(np.random.default_rng(1).random((8, 8)) * 255, np.ones((8, 8)))
+    near = image.copy()
+    near[3, 3] += 5
+    assert sum((a ^ b).bit_count() for a, b in zip(extractors.perceptual_hashes(image), extractors.perceptual_hashes(near), strict=True)) <= 19
+    assert extractors.image_scores(np.add.outer(np.arange(64), np.arange(64)))["laplacian"] < 1e-9
+
+
+def test_people(spark):
+    from gritstone.operators import people
+
+    links = spark.createDataFrame([(1, 1990, 1991, "auto"), (1, 1990, 1991, "break")], "person_id long, year_a int, year_b int, link string")
+    assert people.year_links(links).first()["link"] == "break"
+    faces = spark.createDataFrame([(1, 7, 1995, 1990, 40, [1.0]), (2, 7, 1980, 1990, 0, [1.0]), (3, None, 1980, 1990, 0, [1.0])], "face_id long, person_id long, year int, birth_year int, age int, embedding array<double>")
+    assert {r["face_id"]: r["stage"] for r in people.gallery(faces).collect()} == {1: "child", 2: "adult"}
+    clusters = spark.createDataFrame([(1, 1, 8, [1.0, 0.0]), (2, 2, 60, [0.0, 1.0])], "cluster long, face_id long, age int, embedding array<double>")
+    person = spark.createDataFrame([("child", [1.0, 0.0])], "stage string, embedding array<double>")
+    assert [(r["cluster"], r["decision"], r["score"]) for r in people.intermediate_clusters(clusters, person).collect()] == [(1, "auto", 1.02)]
+    assert people.greedy_order(spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [0.9, 0.1])], "cluster long, centre array<double>")) == [1, 3, 2]
+    assert one(spark, people.temporal_score(F.lit(1))) == 1.0 and abs(one(spark, people.pet_distance(F.lit(None).cast("double"), F.lit(0.5), F.lit(None).cast("double"))) - 0.5) < 1e-12
