@@ -13,7 +13,11 @@
    that join what was not joined yet leave the task.  Families above
    ``block_rows`` are dealt into blocks, and each pair of blocks is a task of
    its own, so no task holds more than two blocks.
-5. Components of the confirmed links, plus the copies of step 2.
+5. In families above ``family_rows`` not all pairs are weighed: first each node
+   against the ones it hangs on, then, bucket by bucket, what these links leave
+   in different classes.  Every pair that shares a bucket is still weighed or
+   joined already.
+6. Components of the confirmed links, plus the copies of step 2.
 """
 
 from __future__ import annotations
@@ -24,9 +28,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from gritstone.llm.kernels import WORDS, chunks, distinct_runs, mix64, shingle_hashes, splitmix, word_hashes
 from gritstone.operators.graph import connected_components
@@ -122,8 +125,11 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFra
     return spread(given).mapInPandas(run, "id long, h1 long, h2 long, n_shingles long, bands array<long>")
 
 
-def _family_links(texts: list[bytes], ids: np.ndarray, side: np.ndarray, width: int, percent: int) -> list[tuple[int, int]]:
-    """Links that join the given documents, confirmed on full sets; side 0 x side 1 pairs only where both occur."""
+def _family_links(texts: list[bytes], ids: np.ndarray, side: np.ndarray, known: np.ndarray, width: int, percent: int) -> list[tuple[int, int]]:
+    """Links that join the given documents, confirmed on full sets; side 0 x side 1 pairs only where both occur.
+
+    Documents of one known class count as joined already.
+    """
     sets: list[np.ndarray] = []
     packed = []
     for a, b in chunks(texts):
@@ -134,7 +140,8 @@ def _family_links(texts: list[bytes], ids: np.ndarray, side: np.ndarray, width:
     sig = np.concatenate(packed)
     size = np.array([len(x) for x in sets], np.int64)
     n = len(sets)
-    root = np.arange(n)
+    _, first, inverse = np.unique(known, return_index=True, return_inverse=True)
+    root = first[inverse]
 
     def find(x: int) -> int:
         while root[x] != x:
@@ -168,6 +175,53 @@ def _family_links(texts: list[bytes], ids: np.ndarray, side: np.ndarray, width:
     return links
 
 
+def _block_pairs(rows: DataFrame, meets: Column) -> DataFrame:
+    """(unit, low, high, side, node, known): rows(unit, node, known, part) once for each of the blocks 0 to meets - 1 that its own one meets."""
+
+    def pair(k: Column) -> Column:
+        return F.struct(F.least(k, F.col("part")).alias("low"), F.greatest(k, F.col("part")).alias("high"), F.when(k < F.col("part"), 1).otherwise(0).alias("side"))
+
+    pairs = rows.select("unit", "node", "known", F.explode(F.transform(F.sequence(F.lit(0), meets.cast("int") - 1), pair)).alias("t"))
+    return pairs.select("unit", "t.low", "t.high", "t.side", "node", "known")
+
+
+def _blocks(rows: Column, block_rows: int) -> Column:
+    return F.ceil(rows / block_rows).cast("int")
+
+
+def _family_tasks(families: DataFrame, block_rows: int) -> DataFrame:
+    """Tasks that weigh all pairs of each family."""
+    sizes = families.groupBy("component").agg(_blocks(F.count("*"), block_rows).alias("parts"))
+    placed = families.join(sizes, "component").select(F.col("component").alias("unit"), "node", F.col("node").alias("known"), F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"), "parts")
+    return _block_pairs(placed, F.col("parts"))
+
+
+def _star_tasks(hung: DataFrame, block_rows: int) -> DataFrame:
+    """Tasks that weigh each node only against those it hangs on: as many pairs as rows."""
+    sizes = hung.groupBy("dst").agg(_blocks(F.count("*"), block_rows).alias("parts"))
+    below = hung.join(sizes, "dst").select(F.col("dst").alias("unit"), F.pmod(F.xxhash64("src"), "parts").cast("int").alias("low"), F.lit(-1).alias("high"), F.lit(1).alias("side"), F.col("src").alias("node"))
+    hubs = sizes.select(F.col("dst").alias("unit"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("low"), F.lit(-1).alias("high"), F.lit(0).alias("side"), F.col("dst").alias("node"))
+    return below.unionByName(hubs).withColumn("known", F.col("node"))
+
+
+def _bucket_tasks(held: DataFrame, block_rows: int) -> DataFrame:
+    """Tasks that weigh what held(key, node, known) leaves open within each bucket.
+
+    A bucket whose members are all in one class is done, and so is one with the
+    same members as another.  In the rest the pairs inside the class of the
+    smallest member are left out.
+    """
+    marks = [F.bit_xor(F.xxhash64(F.lit(seed), "node")).alias(f"m{seed}") for seed in (1, 2)]
+    states = held.groupBy("key").agg(F.count("*").alias("n"), *marks, F.min("known").alias("low"), F.max("known").alias("high"), F.min_by("known", "node").alias("lead"))
+    open_ = states.where("low < high").groupBy("n", "m1", "m2", "lead").agg(F.min("key").alias("key")).select("key", "lead")
+    rows = held.join(open_, "key").withColumn("inside", F.col("known") == F.col("lead"))
+    sizes = rows.groupBy("key").agg(_blocks(F.sum(F.col("inside").cast("long")), block_rows).alias("ins"), _blocks(F.sum((~F.col("inside")).cast("long")), block_rows).alias("outs"))
+    place = F.xxhash64("node")
+    part = F.when(F.col("inside"), F.col("outs") + F.pmod(place, "ins")).otherwise(F.pmod(place, "outs")).cast("int")
+    placed = rows.join(sizes, "key").select(F.col("key").alias("unit"), "node", "known", part.alias("part"), "inside", "ins", "outs")
+    return _block_pairs(placed, F.when(F.col("inside"), F.col("outs")).otherwise(F.col("outs") + F.col("ins")))
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -175,6 +229,7 @@ def near_duplicates(
     shingle_words: int = 5,
     percent: int = 80,
     block_rows: int = 512,
+    family_rows: int = 8_192,
 ) -> DataFrame:
     """(id_col, n_shingles, component_id, kept), one row per row of docs.
 
@@ -199,31 +254,30 @@ def near_duplicates(
     hung = keyed.join(buckets.select("key", "first"), "key").where("id <> first").select(F.col("id").alias("src"), F.col("first").alias("dst")).distinct()
     families = cut(connected_components(hung))
 
-    blocks = families.groupBy("component").agg(F.count("*").alias("rows"))
-    blocks = blocks.withColumn("parts", F.ceil(F.col("rows") / block_rows).cast("int")).drop("rows")
-    placed = families.join(blocks, "component").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     source = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("text"))
-    # A repeated id may stand for several texts; each comes along, and links reach the id whichever matched.
-    tasks = placed.join(source, "node").select(
-        "component",
-        "node",
-        "text",
-        F.explode(
-            F.transform(
-                F.sequence(F.lit(0), F.col("parts") - 1),
-                lambda k: F.struct(F.least(k, F.col("part")).alias("low"), F.greatest(k, F.col("part")).alias("high"), F.when(k < F.col("part"), 1).otherwise(0).alias("side")),
-            )
-        ).alias("t"),
-    ).select("component", "t.low", "t.high", "t.side", "node", "text")
 
     def confirm(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("node", kind="stable")
         if int(pdf["low"].iloc[0]) == int(pdf["high"].iloc[0]):
             pdf = pdf.assign(side=0)
-        found = _family_links(_texts(pdf["text"]), pdf["node"].to_numpy(), pdf["side"].to_numpy(), shingle_words, percent)
+        found = _family_links(_texts(pdf["text"]), pdf["node"].to_numpy(), pdf["side"].to_numpy(), pdf["known"].to_numpy(), shingle_words, percent)
         return pd.DataFrame(found, columns=["src", "dst"], dtype="int64")
 
-    links = tasks.groupBy("component", "low", "high").applyInPandas(confirm, T.StructType([T.StructField("src", T.LongType()), T.StructField("dst", T.LongType())]))
+    def confirmed(tasks: DataFrame) -> DataFrame:
+        # A repeated id may stand for several texts; each comes along, and links reach the id whichever matched.
+        return tasks.join(source, "node").groupBy("unit", "low", "high").applyInPandas(confirm, "src long, dst long")
+
+    sizes = families.groupBy("component").agg(F.count("*").alias("rows"))
+    large = cut(families.join(sizes.where(F.col("rows") > family_rows), "component").select("node", "component"))
+    if large.isEmpty():
+        links = confirmed(_family_tasks(families, block_rows))
+    else:
+        links = confirmed(_family_tasks(families.join(large.select("component").distinct(), "component", "left_anti"), block_rows))
+        stars = cut(confirmed(_star_tasks(hung.join(large.select(F.col("node").alias("src")), "src", "left_semi"), block_rows)))
+        classes = connected_components(stars)
+        known = large.select("node").join(classes, "node", "left").select(F.col("node").alias("id"), F.coalesce("component", "node").alias("known"))
+        held = cut(keyed.join(buckets.select("key"), "key").join(known, "id").select("key", F.col("id").alias("node"), "known"))
+        links = links.unionByName(stars).unionByName(confirmed(_bucket_tasks(held, block_rows)))
     final = connected_components(links)
     joined = member.unionByName(alone).join(final.withColumnRenamed("node", "rep"), "rep", "left")
     out = joined.select("id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))

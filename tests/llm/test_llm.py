@@ -102,8 +102,8 @@ def test_near_duplicates_equal_brute_force(spark, empty):
             if sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
-    for block in (512, 7):
-        got = {r["doc_id"]: r for r in minhash.near_duplicates(docs(spark, texts), shingle_words=2, block_rows=block).collect()}
+    for block, family in ((512, 8_192), (7, 8_192), (3, 4)):
+        got = {r["doc_id"]: r for r in minhash.near_duplicates(docs(spark, texts), shingle_words=2, block_rows=block, family_rows=family).collect()}
         assert {i: (got[i]["n_shingles"], got[i]["component_id"], got[i]["kept"]) for i in got} == {i: (len(sets[i]), find(i), find(i) == i) for i in range(len(texts))}
     assert minhash.near_duplicates(empty).count() == 0
 
