@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gritstone.llm.kernels import chunks, mix64, splitmix
+from gritstone.llm.sampling import smallest_hashes
 from gritstone.session import spread
 
 ORDERS = (2, 3, 4)
@@ -111,11 +112,15 @@ class Model:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Filters from the documents with a language, at most SAMPLE_DOCS of each (smallest hashes of the id)."""
-    given = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    order = F.xxhash64(F.col(id_col).cast("string"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("at", "id"))
-    chosen = given.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), order.alias("at")).withColumn("rank", rank).where(F.col("rank") <= SAMPLE_DOCS).select("id", "lang").distinct()
+    """Filters from the documents with a language, at most SAMPLE_DOCS of each (smallest hashes of the id).
+
+    Null texts among them teach nothing.
+    """
+    given = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
+    rows = given.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("grp"))
+    limits = rows.groupBy("grp").agg(F.count("*").alias("n")).withColumn("most", F.lit(SAMPLE_DOCS))
+    chosen = smallest_hashes(rows, limits).withColumnRenamed("grp", "lang")
+    given = given.where(F.col(text_col).isNotNull())
     sample = given.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), ["id", "lang"])
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

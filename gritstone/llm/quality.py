@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gritstone.llm.kernels import WORDS, chunks, word_hashes
+from gritstone.llm.sampling import smallest_hashes
 from gritstone.session import spread
 
 #: Labelled documents that are fitted and broadcast, dimensions kept, neighbours that vote: all bounded.
@@ -121,9 +122,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     single = rows.groupBy(F.col(id_col).alias("id")).agg(F.max((F.col(label_col) > 0).cast("int")).alias("label"))
     shares = {r["label"]: r["count"] for r in single.groupBy("label").count().collect()}
     total = sum(shares.values())
-    order = [F.xxhash64(F.col("id").cast("string")), F.col("id")]
-    parts = [single.where(F.col("label") == v).orderBy(*order).limit(max(sample // 2, sample - shares.get(1 - v, 0))) for v in (0, 1)]
-    chosen = parts[0].unionByName(parts[1])
+    most = F.when(F.col("label") == 1, max(sample // 2, sample - shares.get(0, 0))).otherwise(max(sample // 2, sample - shares.get(1, 0)))
+    limits = single.groupBy("label").agg(F.count("*").alias("n")).select(F.col("label").alias("grp"), "n", most.alias("most"))
+    chosen = smallest_hashes(single.select("id", F.col("label").alias("grp")), limits).withColumnRenamed("grp", "label")
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gritstone.llm.kernels import WORDS, chunks, shingle_hashes, word_hashes
+from gritstone.llm.sampling import smallest_hashes
 from gritstone.session import spread
 
 # Seed words of the grammar's classes in English, German, French and Spanish.
@@ -190,7 +191,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """
     rows = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     chosen = rows.groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("label"))
-    chosen = chosen.orderBy(F.xxhash64(F.col("id").cast("string")), "id").limit(SAMPLE_LABELS)
+    limits = chosen.agg(F.count("*").alias("n")).select(F.lit(0).alias("grp"), "n", F.lit(SAMPLE_LABELS).alias("most"))
+    chosen = chosen.join(F.broadcast(smallest_hashes(chosen.select("id", F.lit(0).alias("grp")), limits).select("id")), "id", "left_semi")
     sample = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id")
 
     def family(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -403,3 +403,14 @@ def test_scan_without_the_test_is_exact():
     at = ann.scan(x[0], x[1:50], x[50:], 6)
     whole = ((x[1:] - x[0]) ** 2).sum(axis=1)
     assert len(set(np.argsort(whole)[:6].tolist()) & set(at.tolist())) >= 5
+
+
+def test_samples_are_the_smallest_hashes(spark):
+    from gritstone.llm.sampling import smallest_hashes
+
+    rows = spark.createDataFrame([(i, "hot" if i % 3 else "rare") for i in range(9_000)] + [(5, "hot")] * 40 + [(None, "hot"), (1, None)], "id long, grp string")
+    limits = rows.groupBy("grp").agg(F.count("*").alias("n")).withColumn("most", F.when(F.col("grp") == "hot", 300).otherwise(5_000))
+    got = {(r["id"], r["grp"]) for r in smallest_hashes(rows, limits).collect()}
+    hashes = sorted((r["h"], r["id"]) for r in rows.where("grp = 'hot' and id is not null").distinct().select("id", F.xxhash64(F.col("id").cast("string")).alias("h")).collect())
+    assert {i for i, g in got if g == "hot"} == {i for _, i in hashes[:300]}
+    assert sum(g == "rare" for _, g in got) == 3_000 and len(got) == 3_300
