@@ -265,7 +265,9 @@ def near_duplicates(
 
     def confirmed(tasks: DataFrame) -> DataFrame:
         # A repeated id may stand for several texts; each comes along, and links reach the id whichever matched.
-        return tasks.join(source, "node").groupBy("unit", "low", "high").applyInPandas(confirm, "src long, dst long")
+        # A task's cost is not its bytes, so small partitions must not be merged by size: their number is given.
+        rows = tasks.join(source, "node").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "unit", "low", "high")
+        return rows.groupBy("unit", "low", "high").applyInPandas(confirm, "src long, dst long")
 
     sizes = families.groupBy("component").agg(F.count("*").alias("rows"))
     large = cut(families.join(sizes.where(F.col("rows") > family_rows), "component").select("node", "component"))
