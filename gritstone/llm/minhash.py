@@ -121,7 +121,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFra
                     }
                 )
 
-    given = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    given = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return spread(given).mapInPandas(run, "id long, h1 long, h2 long, n_shingles long, bands array<long>")
 
 
@@ -238,7 +238,8 @@ def near_duplicates(
     whole sequence of a shorter text.  Documents link where 100 times the
     intersection is at least ``percent`` times the union; component_id is the
     smallest id reachable.  Null and empty texts have an empty set and stand
-    alone.  Repeated ids share one component.  Other columns of docs are not
+    alone.  Repeated ids share one component; rows with a null id are left out.
+    Other columns of docs are not
     looked at, whatever their names.  The bands find a pair at 0.8 with
     probability 1 - 3e-6, closer pairs sooner.
     """

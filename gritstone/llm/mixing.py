@@ -30,7 +30,7 @@ def word_count(text):
 
 def seeded(seed: int, key):
     """60 bits of the md5 of seed and key: the order of a source's stream."""
-    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string"))), 1, 15), 16, 10).cast("long")
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("")))), 1, 15), 16, 10).cast("long")
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
@@ -99,7 +99,7 @@ def mix(
     the document, repeats counted: whole passes plus, of the one document where
     a source's last block ends, some first words.  It never exceeds cap times
     size.  first_word is the document's place in its source's stream.  Equal
-    ids are ordered by the text's hash; rows equal in both are told apart only
+    ids (null is one, too) are ordered by the text's hash; rows equal in both are told apart only
     by place.  A source without words takes nothing; an empty table gives none.
     """
     names = [f"k{i}" for i in range(len(keep))]

@@ -135,7 +135,7 @@ def count_tokens(
     """(id_col, n_bytes, n_tokens, over_limit, digest), one row per row of docs.
 
     Null texts count as empty: 0 bytes, 0 tokens.  Repeated texts and repeated
-    ids keep their rows.  No begin, end or padding tokens, no truncation.  An
+    or null ids keep their rows.  No begin, end or padding tokens, no truncation.  An
     empty table gives an empty result.  Other columns of docs are not read.
     Without ``cache_path`` the counts live in the shared checkpoint folder for
     this call only; with it they are read first and appended to.
@@ -152,7 +152,8 @@ def count_tokens(
     if stored is not None:
         wanted = wanted.join(stored.select("digest"), "digest", "left_anti")
     # A repeated id may carry other texts; only the row whose own content is wanted is encoded.
-    fresh = given.join(wanted, "id").where(digest == F.col("digest"))
+    mine = given.select(F.col("id").alias("own"), "text", digest.alias("key"))
+    fresh = mine.join(wanted, mine["own"].eqNullSafe(wanted["id"]) & (mine["key"] == wanted["digest"]))
     counted = fresh.select("digest", "text").mapInPandas(_encoder_batches(tokenizer_path), "digest binary, n_tokens long")
     counted.write.mode("append").parquet(path)
     cache = spark.read.schema("digest binary, n_tokens long").parquet(path).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))

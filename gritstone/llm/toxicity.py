@@ -228,6 +228,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str
     """keep columns with score, predicted and n_clauses, one row per row of docs.
 
     Null and empty texts score 0.  Whole texts are read, clause by clause.
+    Repeated and null ids keep their rows: ids are not looked at.
     """
     shared = docs.sparkSession.sparkContext.broadcast((model.classes, model.strength))
     names = [f"k{i}" for i in range(len(keep))]

@@ -414,3 +414,15 @@ def test_samples_are_the_smallest_hashes(spark):
     hashes = sorted((r["h"], r["id"]) for r in rows.where("grp = 'hot' and id is not null").distinct().select("id", F.xxhash64(F.col("id").cast("string")).alias("h")).collect())
     assert {i for i, g in got if g == "hot"} == {i for _, i in hashes[:300]}
     assert sum(g == "rare" for _, g in got) == 3_000 and len(got) == 3_300
+
+
+def test_null_ids(spark):
+    rows = spark.createDataFrame([(None, "one two three", "a"), (None, "four five", None), (1, "one two three", "a"), (1, None, "b"), (2, "four  five six", "a")], "doc_id long, text string, source string")
+    assert {(r["doc_id"], r["n_bytes"]) for r in tokens.count_tokens(rows, BYTE).collect()} == {(None, 13), (None, 9), (1, 13), (1, 0), (2, 14)}
+    mixed = mixing.mix(rows).collect()
+    assert len(mixed) == 5 and sum(r["size"] for r in mixed) == 11
+    assert sharding.shard(rows, shards=2).count() == 5
+    assert {(r["doc_id"], r["component_id"]) for r in minhash.near_duplicates(rows).collect()} == {(1, 1), (2, 2)}
+    assert {r["doc_id"] for r in spotsigs.edit_check(rows).collect()} == {1, 2}
+    assert packing.pack(rows, WORD).where("doc_id is null").agg(F.count_distinct("sequence_id", "offset")).first()[0] >= 2
+    assert toxicity.score(rows, toxicity.fit(rows, rows.select("doc_id", F.lit(0).alias("toxic"))), keep=("doc_id",)).count() == 5
