@@ -7,7 +7,7 @@ import re
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _UUID = re.compile(rb"[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}")
@@ -82,6 +82,67 @@ def image_scores(pixels: np.ndarray) -> dict[str, float]:
     return {"laplacian": float(laplace.var()), "mean": float(p.mean()), "p5": float(p5), "p95": float(p95), "deviation": float(p.std()), "high_pass": float((inner - blur).std())}
 
 
+# Brightness bins of a fragment's channels, the grey of missing data, and what each feature weighs.
+FRAGMENT_BINS, MISSING_GREY = 32, 128
+FRAGMENT_WEIGHTS = {"histogram": 0.4, "colour": 0.2, "brightness": 0.2, "aspect": 0.1, "grey": 0.1}
+
+
+def fragment_features(pixels: np.ndarray) -> dict:
+    """What tells one photo's fragments from another's, of decoded pixels (height, width[, channels]): a histogram for
+    each channel, mean colour, brightness, percentage of missing-data grey, width by height (0 for no height)."""
+    planes = pixels if pixels.ndim == 3 else pixels[:, :, None]
+    count = max(planes.shape[0] * planes.shape[1], 1)
+    channels = [planes[:, :, c] for c in range(planes.shape[2])]
+    return {
+        "histogram": [float(n) for c in channels[:3] for n in np.histogram(c, FRAGMENT_BINS, (0, 255))[0]],
+        "colour": [float(c.mean()) if c.size else 0.0 for c in channels],
+        "brightness": float(planes.mean()) if planes.size else 0.0,
+        "grey": 100.0 * float((planes == MISSING_GREY).all(axis=2).sum()) / count,
+        "aspect": planes.shape[1] / planes.shape[0] if planes.shape[0] else 0.0,
+    }
+
+
+def fragment_similarity(a: dict, b: dict) -> float:
+    """Weighted likeness of two fragments' features, 0 to 1; histograms or colours of different channels say nothing, which counts as a half."""
+
+    def near(x: float, y: float, scale: float) -> float:
+        return scale / (scale + abs(x - y))
+
+    one, other = np.asarray(a["histogram"], float), np.asarray(b["histogram"], float)
+    same = len(one) == len(other)
+    parts = {
+        "histogram": float(one @ other / (np.linalg.norm(one) * np.linalg.norm(other) + 1e-10)) if same else 0.5,
+        "colour": near(float(np.linalg.norm(np.subtract(a["colour"], b["colour"]))), 0.0, 255.0) if len(a["colour"]) == len(b["colour"]) else 0.5,
+        "brightness": near(a["brightness"], b["brightness"], 255.0),
+        "aspect": near(a["aspect"], b["aspect"], 1.0),
+        "grey": near(a["grey"], b["grey"], 100.0),
+    }
+    return sum(FRAGMENT_WEIGHTS[k] * v for k, v in parts.items())
+
+
+def fragment_photos(fragments: DataFrame, above: float) -> DataFrame:
+    """(file_id, offset, photo): the fragments of a file dealt to photos; photo is the offset of the photo's first fragment.
+
+    fragments has file_id, offset and the columns of fragment_features.  In
+    order of offset a fragment joins the first photo whose first fragment is
+    more alike than ``above``, or opens one.  A file's features, not its
+    pixels, meet in one task.
+    """
+
+    def deal(pdf: pd.DataFrame) -> pd.DataFrame:
+        firsts: list[dict] = []
+        found = []
+        for row in pdf.sort_values("offset", kind="stable").to_dict("records"):
+            like = next((f for f in firsts if fragment_similarity(f, row) > above), None)
+            if like is None:
+                firsts.append(like := row)
+            found.append((row["file_id"], row["offset"], like["offset"]))
+        return pd.DataFrame(found, columns=["file_id", "offset", "photo"])
+
+    kind = dict(fragments.dtypes)["file_id"]
+    return fragments.groupBy("file_id").applyInPandas(deal, f"file_id {kind}, offset long, photo long")
+
+
 def bytes_column(f, kind: str):
     """A column function of binary contents from a function of bytes; nulls stay null."""
 

@@ -210,6 +210,24 @@ def test_extractors(spark):
     assert extractors.image_scores(np.add.outer(np.arange(64), np.arange(64)))["laplacian"] < 1e-9
 
 
+def test_fragments_of_photos(spark):
+    import numpy as np
+
+    from gritstone.sources import extractors
+
+    rng = np.random.default_rng(3)
+    dark, light = rng.integers(0, 60, (20, 30, 3)), rng.integers(200, 255, (30, 20, 3))
+    f = [extractors.fragment_features(x) for x in (dark, light, dark[:18], light[:, :18], light[:, :, 0], np.full((4, 4, 3), 128))]
+    assert abs(extractors.fragment_similarity(f[0], f[0]) - 1) < 1e-9 and f[5]["grey"] == 100.0 and f[0]["aspect"] == 1.5
+    assert extractors.fragment_similarity(f[0], f[2]) > 0.9 > 0.6 > extractors.fragment_similarity(f[0], f[1])
+    assert extractors.fragment_similarity(f[1], f[4]) < 0.8 and extractors.fragment_features(np.zeros((0, 4, 3)))["aspect"] == 0.0
+    rows = [(file, i * 100, *x.values()) for file in (1, 2) for i, x in enumerate(f[: 4 if file == 1 else 2])]
+    frame = spark.createDataFrame(rows, "file_id long, offset long, histogram array<double>, colour array<double>, brightness double, grey double, aspect double")
+    got = {(r["file_id"], r["offset"]): r["photo"] for r in extractors.fragment_photos(frame, 0.85).collect()}
+    assert got == {(1, 0): 0, (1, 100): 100, (1, 200): 0, (1, 300): 100, (2, 0): 0, (2, 100): 100}
+    assert extractors.fragment_photos(frame.limit(0), 0.85).count() == 0
+
+
 def test_people(spark):
     from gritstone.operators import people
 
