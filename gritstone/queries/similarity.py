@@ -68,7 +68,7 @@ _UNIT = "v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings WHE
     c(x, y) AS (SELECT id, id FROM k UNION SELECT c.x, e.y FROM c JOIN e ON c.y = e.x), m AS (SELECT x AS id, min(y) AS cluster FROM c GROUP BY 1)
     SELECT id, cluster FROM m UNION ALL SELECT n.y, min(m.cluster) FROM n JOIN m ON m.id = n.x WHERE n.y NOT IN (SELECT id FROM k) GROUP BY 1""")
 def density_clusters(spark, sf_dir):
-    rows = table(spark, sf_dir, "embeddings").where("vec_id < 500").select(F.col("vec_id").alias("id"), "embedding")
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     return match.dbscan(rows, 0.62, 3)
 
 
@@ -76,7 +76,7 @@ def density_clusters(spark, sf_dir):
     FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id < 100) a JOIN embeddings b ON b.vec_id = vb""")
 def histogram_similarity(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings")
-    left = v.where("vec_id < 100").select(F.col("vec_id").alias("a"), (F.col("vec_id") + 1).alias("b"), F.col("embedding").alias("x"))
+    left = v.select(F.col("vec_id").alias("a"), (F.col("vec_id") + 1).alias("b"), F.col("embedding").alias("x"))
     return left.join(v.select(F.col("vec_id").alias("b"), F.col("embedding").alias("y")), "b").select("a", "b", F.round(pearson_unit("x", "y"), 7).alias("sim"))
 
 
