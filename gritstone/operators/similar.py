@@ -107,6 +107,58 @@ def video_similarity(frames: DataFrame, pairs: DataFrame) -> DataFrame:
     return best.groupBy("a", "b").agg(F.round(F.avg("m"), 9).alias("sim"))
 
 
+def video_links(frames: DataFrame, threshold: float = 0.70, block_rows: int = 2_048) -> DataFrame:
+    """(src, dst, sim) with src < dst of all videos that are alike by video_similarity from ``threshold`` on, exactly.
+
+    Videos are dealt into b blocks; a pair of blocks meets in one task, as
+    neighbour_pairs does it.  At 0.70 a pair of frames may differ in 38 of 128
+    bits, so bands that lose no pair are three bits wide and would meet more
+    often than all pairs do.  Frames without both hashes are left out.
+    """
+    import numpy as np
+    import pandas as pd
+
+    frames = frames.where("video is not null and p is not null and d is not null")
+    blocks = max(1, -(-frames.count() // block_rows))
+    part = F.pmod(F.xxhash64("video"), F.lit(blocks)).cast("int")
+    dealt = frames.select(F.col("video").cast("long").alias("video"), F.col("p").cast("long").alias("p"), F.col("d").cast("long").alias("d"), part.alias("own"))
+    dealt = dealt.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    dealt = dealt.select(F.least("own", "k").alias("a"), F.greatest("own", "k").alias("b"), "own", "video", "p", "d")
+
+    def side(pdf: pd.DataFrame, block: int):
+        rows = pdf[pdf["own"] == block].sort_values("video", kind="stable")
+        video, starts = np.unique(rows["video"].to_numpy(), return_index=True)
+        return video, starts, np.diff(np.append(starts, len(rows))), rows["p"].to_numpy().view(np.uint64), rows["d"].to_numpy().view(np.uint64)
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = int(pdf["a"].iloc[0]), int(pdf["b"].iloc[0])
+        one, two = side(pdf, a), side(pdf, b)
+        out = []
+        if len(one[0]) and len(two[0]):
+            video, starts, counts, p, d = two
+            at, ends = 0, np.append(one[1], len(one[3]))
+            while at < len(one[0]):
+                # Whole videos, some 256 frames at a time (a longer video alone).
+                upto = max(at + 1, int(np.searchsorted(ends, ends[at] + 256, side="right")) - 1)
+                rows = slice(ends[at], ends[upto])
+                far = np.bitwise_count(one[3][rows, None] ^ p[None, :]).astype(np.int16)
+                far += np.bitwise_count(one[4][rows, None] ^ d[None, :])
+                first = one[1][at:upto] - ends[at]
+                n = one[2][at:upto, None]
+                forth = np.add.reduceat(np.minimum.reduceat(far, starts, axis=1).astype(np.int64), first, axis=0) / n
+                back = np.add.reduceat(np.minimum.reduceat(far, first, axis=0).astype(np.int64), starts, axis=1) / counts[None, :]
+                left, right = one[0][at:upto, None], video[None, :]
+                leads = (n < counts[None, :]) | ((n == counts[None, :]) & (left < right))
+                sim = np.round(1 - np.where(leads, forth, back) / 128.0, 9)
+                i, j = np.nonzero((sim >= threshold) & ((left < right) if a == b else (left != right)))
+                x, y = one[0][at:upto][i], video[j]
+                out.append(pd.DataFrame({"src": np.minimum(x, y), "dst": np.maximum(x, y), "sim": sim[i, j]}))
+                at = upto
+        return pd.concat(out) if out else pd.DataFrame({"src": np.empty(0, np.int64), "dst": np.empty(0, np.int64), "sim": np.empty(0)})
+
+    return dealt.groupBy("a", "b").applyInPandas(meet, "src long, dst long, sim double")
+
+
 def bound(threshold: float, bits: int) -> int:
     """Bits that may differ at a similarity of at least threshold."""
     return math.floor((1 - threshold) * bits + 1e-9)

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from gritstone.operators import analytics, dedup, redundancy, resolve, similar
 
 
-def all_duplicates(files: DataFrame, hashes: DataFrame | None = None, most_bits: int = 6) -> DataFrame:
-    """(match_type, group_id, id): exact groups by content, near groups of hashes (id, hash), near groups of documents (text)."""
+def all_duplicates(files: DataFrame, hashes: DataFrame | None = None, most_bits: int = 6, frames: DataFrame | None = None, video_threshold: float = 0.70) -> DataFrame:
+    """(match_type, group_id, id): exact groups by content, near groups of hashes (id, hash), of videos' frames (video, p, d), of documents (text)."""
     live = dedup.live(files)
     key = live.where("content_hash is not null")
     exact = key.groupBy("content_hash").agg(F.min("id").alias("group_id"), F.count("*").alias("n")).where("n > 1")
@@ -18,9 +18,13 @@ def all_duplicates(files: DataFrame, hashes: DataFrame | None = None, most_bits:
         classes = similar.hash_classes(hashes, similar.hamming_links(hashes, most_bits))
         shared = classes.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component")
         out = out.unionByName(classes.join(shared, "component").select(F.lit("near").alias("match_type"), F.col("component").alias("group_id"), "id"))
-    links = similar.document_links(live.select(F.col("id").alias("doc_id"), "text"))
     from gritstone.operators.graph import connected_components
 
+    if frames is not None:
+        shown = frames.join(live.select(F.col("id").alias("video")), "video", "left_semi")
+        videos = connected_components(similar.video_links(shown, video_threshold))
+        out = out.unionByName(videos.select(F.lit("video").alias("match_type"), F.col("component").alias("group_id"), F.col("node").alias("id")))
+    links = similar.document_links(live.select(F.col("id").alias("doc_id"), "text"))
     documents = connected_components(links).select(F.lit("document").alias("match_type"), F.col("component").alias("group_id"), F.col("node").alias("id"))
     return out.unionByName(documents)
 

@@ -89,12 +89,14 @@ _FRAMES = f"""WITH {_HASH}, f AS (SELECT id // 4 AS video, id % 4 AS frame, hash
 def video_similarity(spark, sf_dir):
     from pyspark.sql import Window
 
-    rows = hashes(spark, sf_dir).where("id % 8 <> 3 and id < 400")
-    video = F.floor(F.col("id") / 4)
-    frames = rows.select(video.alias("video"), (F.col("id") % 4).alias("frame"), F.col("hash").alias("p"), F.coalesce(F.lead("hash").over(Window.orderBy("id")), F.col("hash")).alias("d"))
-    videos = frames.select("video").distinct()
-    pairs = videos.select(F.col("video").alias("a"), (F.col("video") + 1).alias("b")).join(videos.select(F.col("video").alias("b")), "b")
-    return similar.video_similarity(frames, pairs)
+    # The next id's hash in two steps, within ranges of ids and over the ranges' first hashes, so no task orders all rows.
+    rows = hashes(spark, sf_dir).withColumn("range", F.floor(F.col("id") / 4_096))
+    firsts = rows.groupBy("range").agg(F.min_by("hash", "id").alias("first"))
+    after = firsts.select("range", F.lead("first").over(Window.orderBy("range")).alias("after"))
+    following = F.lead("hash").over(Window.partitionBy("range").orderBy("id"))
+    rows = rows.withColumn("next", following).join(after, "range")
+    frames = rows.select(F.floor(F.col("id") / 4).alias("video"), F.col("hash").alias("p"), F.coalesce("next", "after", "hash").alias("d"))
+    return similar.video_links(frames, 0.70).select(F.col("src").alias("a"), F.col("dst").alias("b"), "sim")
 
 
 @Q.query()

@@ -45,3 +45,48 @@ def test_histogram_similarity_takes_every_pair(spark, tmp_path):
     got = {(r["a"], r["b"]): r["sim"] for r in QUERIES["histogram_similarity"](spark, embeddings(tmp_path, v)).collect()}
     assert set(got) == {(i, i + 1) for i in range(129)}
     assert all(abs(s - max(0, (np.corrcoef(v[a], v[b])[0, 1] + 1) / 2)) < 1e-6 for (a, b), s in got.items())
+
+
+def frame_bits(v):
+    bits = (np.asarray(v) > 0).astype(np.uint64)
+    return [int("".join(map(str, r)), 2) for r in bits]
+
+
+def alike(one, two):
+    """The reference's score of two videos, one being that of the smaller id."""
+    lead, other = (one, two) if len(one) <= len(two) else (two, one)
+    return sum(max(1 - ((p ^ q).bit_count() + (d ^ e).bit_count()) / 128 for q, e in other) for p, d in lead) / len(lead)
+
+
+def test_video_similarity_takes_every_pair(spark, tmp_path):
+    v = scattered(523, 1.0)
+    v[484:488] = v[40:44] * 1.5
+    v[485, :5] *= -1
+    h = frame_bits(v)
+    frames = {}
+    for i, p in enumerate(h):
+        frames.setdefault(i // 4, []).append((p, h[min(i + 1, len(h) - 1)]))
+    want = {(a, b): s for a in frames for b in frames if a < b and (s := alike(frames[a], frames[b])) >= 0.70}
+    got = {(r["a"], r["b"]): r["sim"] for r in QUERIES["video_similarity"](spark, embeddings(tmp_path, v)).collect()}
+    assert (10, 121) in got and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-8 for k in want)
+
+
+def test_video_groups_over_blocks_and_in_the_plan(spark):
+    import random
+
+    from gritstone.operators import similar
+    from gritstone.plans import duplicates
+
+    rng = random.Random(6)
+    frames = {v: [(rng.getrandbits(64), rng.getrandbits(64)) for _ in range(rng.randrange(1, 6))] for v in range(40)}
+    for v in range(0, 40, 3):
+        near = [(p ^ rng.getrandbits(64) & rng.getrandbits(64), d ^ rng.getrandbits(64) & rng.getrandbits(64) & rng.getrandbits(64)) for p, d in frames[v]]
+        frames[40 + v] = near[: rng.randrange(1, 6)] + [(rng.getrandbits(64), 0)] * (v % 2)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    rows = spark.createDataFrame([(v, signed(p), signed(d)) for v, fs in frames.items() for p, d in fs], "video long, p long, d long")
+    want = {(a, b): s for a in frames for b in frames if a < b and (s := alike(frames[a], frames[b])) >= 0.70}
+    got = {(r["src"], r["dst"]): r["sim"] for r in similar.video_links(rows, block_rows=30).collect()}
+    assert want and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-8 for k in want)
+    files = spark.createDataFrame([(v, v == 43, None, "t") for v in frames], "id long, is_deleted boolean, content_hash string, text string")
+    groups = {(r["group_id"], r["id"]) for r in duplicates.all_duplicates(files, frames=rows).where("match_type = 'video'").collect()}
+    assert {x for _, x in groups} == {x for k in want if 43 not in k for x in k}
