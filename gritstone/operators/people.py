@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gritstone.functions.vectors import cosine, pearson_unit
 from gritstone.operators.match import weighted_score
+from gritstone.operators.timeline import year_gaps
 
 
 def relationships(links: DataFrame, persons: DataFrame) -> DataFrame:
@@ -73,6 +74,21 @@ def match_pets(detections: DataFrame, pets: DataFrame, above: float) -> DataFram
     return best.select("id", (-F.col("x._p")).alias("pet_id"), F.col("x.score").alias("score"))
 
 
+def bridge_gaps(assigned: DataFrame, unassigned: DataFrame, pets: DataFrame, max_gap: int = 3, above: float = 0.5) -> DataFrame:
+    """(id, pet_id, score) of unassigned detections that a pet's gap takes in.
+
+    A gap lies between two consecutive years of assigned (pet_id, year) that are
+    2 to max_gap apart; a detection strictly inside one goes to the pet that is
+    its best match of all pets, above the relaxed score.  unassigned has
+    match_pets' columns and year, pets as there.
+    """
+    gaps = year_gaps(assigned, "pet_id").where(F.col("years") + 1 <= max_gap)
+    inside = gaps.select(F.col("pet_id").alias("_pet"), F.explode(F.sequence("gap_start", "gap_end")).alias("year"))
+    within = unassigned.join(inside.select("year").distinct(), "year", "left_semi")
+    best = match_pets(within, pets, above).join(within.select("id", "year"), "id")
+    return best.join(inside, (best["pet_id"] == inside["_pet"]) & (best["year"] == inside["year"])).select("id", "pet_id", "score")
+
+
 def payload(files: DataFrame, tags: DataFrame, faces: DataFrame, quality: DataFrame) -> DataFrame:
     """(id, keywords, rating): a file's tags and persons as keywords in order, each once; stars from the quality score."""
     tagged = tags.groupBy("id").agg(F.array_sort(F.collect_set("tag")).alias("_t"))

@@ -90,3 +90,26 @@ def test_video_groups_over_blocks_and_in_the_plan(spark):
     files = spark.createDataFrame([(v, v == 43, None, "t") for v in frames], "id long, is_deleted boolean, content_hash string, text string")
     groups = {(r["group_id"], r["id"]) for r in duplicates.all_duplicates(files, frames=rows).where("match_type = 'video'").collect()}
     assert {x for _, x in groups} == {x for k in want if 43 not in k for x in k}
+
+
+def test_chain_gaps_read_every_face(spark, tmp_path):
+    labels = np.arange(90) % 7
+    got = {(r["person_id"], r["gap_start"], r["gap_end"], r["years"]) for r in QUERIES["chain_gaps"](spark, embeddings(tmp_path, np.ones((90, 64)), labels)).collect()}
+    years = {}
+    for i in range(90):
+        if i % 3:
+            years.setdefault(int(labels[i]), set()).add(1990 + i * 31 % 30)
+    want = {(p, a + 1, b - 1, b - a - 1) for p, ys in years.items() for a, b in zip(sorted(ys), sorted(ys)[1:]) if b - a > 1}
+    assert want and got == want
+
+
+def test_gaps_are_bridged_inside_and_by_the_best_pet(spark):
+    from gritstone.operators import people
+
+    kind = "species string, breed string, embedding array<double>, histogram array<double>, taken_h long"
+    x, y = [1.0, 0.0], [0.0, 1.0]
+    pets = spark.createDataFrame([(1, "cat", "b", x, x, 0), (2, "cat", "b", y, y, 0)], "pet_id long, " + kind)
+    assigned = spark.createDataFrame([(1, 2000), (1, 2003), (1, 2007), (2, 2000), (2, 2001)], "pet_id long, year int")
+    rows = [(10, 2001, x), (11, 2003, x), (12, 2005, x), (13, 2002, y), (14, 2002, x)]
+    unassigned = spark.createDataFrame([(i, t, "dog" if i == 14 else "cat", "b", e, e, 0) for i, t, e in rows], "id long, year int, " + kind)
+    assert {(r["id"], r["pet_id"]) for r in people.bridge_gaps(assigned, unassigned, pets).collect()} == {(10, 1)}
