@@ -56,6 +56,5 @@ def streamed_windows(spark, sf_dir):
     counted = watch.tumbling(stream, "1 day", by=("event_type",))
     out = f"drained_{uuid.uuid4().hex}"
     run = counted.writeStream.outputMode("complete").format("memory").queryName(out).trigger(availableNow=True).start()
-    run.awaitTermination(300)
-    run.stop()
+    run.awaitTermination()
     return _us(spark.table(out), "start")

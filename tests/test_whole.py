@@ -113,3 +113,13 @@ def test_gaps_are_bridged_inside_and_by_the_best_pet(spark):
     rows = [(10, 2001, x), (11, 2003, x), (12, 2005, x), (13, 2002, y), (14, 2002, x)]
     unassigned = spark.createDataFrame([(i, t, "dog" if i == 14 else "cat", "b", e, e, 0) for i, t, e in rows], "id long, year int, " + kind)
     assert {(r["id"], r["pet_id"]) for r in people.bridge_gaps(assigned, unassigned, pets).collect()} == {(10, 1)}
+
+
+def test_streamed_windows_wait_for_the_last_batch(spark, small, monkeypatch):
+    from pyspark.sql.streaming.query import StreamingQuery
+
+    wait = StreamingQuery.awaitTermination
+    # A limit runs out at once here: the stream is slower than any.
+    monkeypatch.setattr(StreamingQuery, "awaitTermination", lambda self, timeout=None: False if timeout is not None else wait(self))
+    rows = QUERIES["streamed_windows"](spark, small).collect()
+    assert sum(r["n"] for r in rows) == spark.read.parquet(f"{small}/events.parquet").count()
