@@ -71,9 +71,9 @@ def patterns(docs: DataFrame, text: str = "text", id_col: str = "doc_id", least:
     return tfidf(docs, text, id_col, 200).where((F.col("tf_idf") >= least) & (F.col("doc_freq") >= 2))
 
 
-def network(docs: DataFrame, sender: str, recipients: str, id_col: str = "id", head: int = 5_000, text: str = "text") -> DataFrame:
-    """(sender, recipient, messages): every sender of a text's head with every recipient of it, other than itself."""
-    start = F.substring(text, 1, head)
+def network(docs: DataFrame, sender: str, recipients: str, id_col: str = "id", head: int | None = None, text: str = "text") -> DataFrame:
+    """(sender, recipient, messages): every sender of a text with every recipient of it, other than itself; with head, of its first characters only."""
+    start = F.col(text) if head is None else F.substring(text, 1, head)
     found = docs.select(
         F.col(id_col).alias("_d"),
         F.array_distinct(F.regexp_extract_all(start, F.lit(sender), F.lit(1))).alias("s"),

@@ -123,3 +123,10 @@ def test_streamed_windows_wait_for_the_last_batch(spark, small, monkeypatch):
     monkeypatch.setattr(StreamingQuery, "awaitTermination", lambda self, timeout=None: False if timeout is not None else wait(self))
     rows = QUERIES["streamed_windows"](spark, small).collect()
     assert sum(r["n"] for r in rows) == spark.read.parquet(f"{small}/events.parquet").count()
+
+
+def test_communication_network_reads_whole_texts(spark, tmp_path):
+    texts = ["Anna wrote to berta. " + "x " * 3_000 + "Carl wrote to dora.", "Carl wrote to dora."]
+    pq.write_table(pa.table({"conv_id": pa.array([1, 2], pa.int64()), "text": texts}), str(tmp_path / "conversations.parquet"))
+    got = {(r["sender"], r["recipient"]): r["messages"] for r in QUERIES["communication_network"](spark, str(tmp_path)).collect()}
+    assert got == {("Anna", "berta"): 1, ("Anna", "dora"): 1, ("Carl", "berta"): 1, ("Carl", "dora"): 2}
