@@ -30,24 +30,68 @@ def age_stage(age: Column) -> Column:
     return F.when(age < 2, "baby").when(age < 5, "toddler").when(age < 12, "child").when(age < 18, "teen").when(age.isNotNull(), "adult")
 
 
+def meet(left: DataFrame, right: DataFrame, pairs, schema: str, left_rows: int = 4_096, right_rows: int = 8_192) -> DataFrame:
+    """pairs(left block, right block) of every block pair, each in one task; blocks are pandas tables.
+
+    Each side is dealt into blocks by hash of its row and sent once for each
+    block of the other side, so work is even whatever the data; it is quadratic,
+    as the question is.
+    """
+    counts = [max(1, -(-df.count() // rows)) for df, rows in ((left, left_rows), (right, right_rows))]
+
+    def dealt(df: DataFrame, own: str, n: int, other: str, m: int) -> DataFrame:
+        part = F.pmod(F.xxhash64(*df.columns), F.lit(n)).cast("int")
+        # Columns under new ids: both sides may come from one table.
+        df = df.withColumn(own, part).select(*[F.col(c).alias(c) for c in [*df.columns, own]])
+        return df.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+
+    one = dealt(left, "_i", counts[0], "_j", counts[1])
+    two = dealt(right, "_j", counts[1], "_i", counts[0])
+    return one.groupBy("_i", "_j").cogroup(two.groupBy("_i", "_j")).applyInPandas(pairs, schema)
+
+
+def unit_rows(vectors):
+    """The vectors of a pandas column as rows of unit length; rows without length are NaN, as their cosine is null."""
+    import numpy as np
+
+    x = np.stack(vectors.to_numpy()).astype(float)
+    length = np.linalg.norm(x, axis=1, keepdims=True)
+    return np.divide(x, length, out=np.full_like(x, np.nan), where=length > 0)
+
+
 def gallery_match(faces: DataFrame, gallery: DataFrame, threshold: float = 0.85, boost: float = 0.05) -> DataFrame:
     """(face_id, person_id, score): the best person strictly above threshold.
 
     A pair's score is the cosine, plus ``boost`` where both are of one age stage;
-    ties go to the smaller person.  The gallery (person_id, stage, embedding) is
-    a stated set that every face is compared with: it is broadcast when counted
-    small, else dealt in blocks that each face visits.
+    ties go to the smaller person.  Every face meets the whole gallery
+    (person_id, stage, embedding), in blocks.
     """
-    g = gallery.select("person_id", F.col("stage").alias("_s"), F.col("embedding").alias("_e"))
-    count = g.count()
-    blocks = max(1, -(-count // BROADCAST_ROWS))
-    if blocks == 1:
-        pairs = faces.join(F.broadcast(g), F.lit(True))
-    else:
-        g = g.withColumn("_b", F.pmod(F.xxhash64("person_id", "_e"), F.lit(blocks)))
-        pairs = faces.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(g, "_b")
-    score = cosine("embedding", "_e") + F.when(F.col("stage") == F.col("_s"), boost).otherwise(0.0)
-    best = pairs.withColumn("score", F.round(score, 9)).where(F.col("score") > threshold).groupBy("face_id").agg(F.max(F.struct("score", (-F.col("person_id")).alias("_p"))).alias("b"))
+    import numpy as np
+    import pandas as pd
+
+    kinds = f"face_id {dict(faces.dtypes)['face_id']}, person_id {dict(gallery.dtypes)['person_id']}, score double"
+    has = "embedding is not null"
+
+    def best_of(f: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(f) and len(g):
+            g = g.sort_values("person_id", kind="stable")
+            x, y = unit_rows(f["embedding"]), unit_rows(g["embedding"])
+            ids, persons = f["face_id"].to_numpy(), g["person_id"].to_numpy()
+            names = {s: i for i, s in enumerate(sorted({*f["stage"].dropna(), *g["stage"].dropna()}))}
+            s, t = f["stage"].map(names).fillna(-1).to_numpy(), g["stage"].map(names).fillna(-2).to_numpy()
+            for at in range(0, len(f), 512):
+                rows = slice(at, at + 512)
+                score = np.round(x[rows] @ y.T + boost * (s[rows, None] == t[None, :]), 9)
+                score[np.isnan(score)] = -np.inf
+                best = score.argmax(axis=1)
+                top = score[np.arange(len(best)), best]
+                keep = top > threshold
+                out.append(pd.DataFrame({"face_id": ids[rows][keep], "person_id": persons[best[keep]], "score": top[keep]}))
+        return pd.concat(out) if out else pd.DataFrame({"face_id": [], "person_id": [], "score": []})
+
+    found = meet(faces.select("face_id", "stage", "embedding").where(has), gallery.select("person_id", "stage", "embedding").where(has), best_of, kinds)
+    best = found.groupBy("face_id").agg(F.max(F.struct("score", (-F.col("person_id")).alias("_p"))).alias("b"))
     return best.select("face_id", (-F.col("b._p")).alias("person_id"), F.col("b.score").alias("score"))
 
 
@@ -161,8 +205,32 @@ def nearest_in_time(faces: DataFrame, gallery: DataFrame, thresholds) -> DataFra
     faces and gallery are (face_id, person_id, taken_h, embedding); a face meets
     every face of a stated gallery, in blocks as gallery_match does.
     """
-    g = gallery.select(F.col("person_id"), F.col("taken_h").alias("_t"), F.col("embedding").alias("_e"))
-    f = faces.select("face_id", "taken_h", "embedding")
-    pairs = f.join(small(g), F.lit(True)).withColumn("days", F.abs(F.floor((F.col("taken_h") - F.col("_t")) / 24))).withColumn("similarity", F.round(cosine("embedding", "_e"), 9))
+    import numpy as np
+    import pandas as pd
+
+    kinds = f"face_id {dict(faces.dtypes)['face_id']}, person_id {dict(gallery.dtypes)['person_id']}, days long, similarity double"
+    has = "embedding is not null and taken_h is not null"
+
+    def nearest(f: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(f) and len(g):
+            g = g.sort_values("person_id", kind="stable")
+            x, y = unit_rows(f["embedding"]), unit_rows(g["embedding"])
+            ids, persons = f["face_id"].to_numpy(), g["person_id"].to_numpy()
+            known, starts = np.unique(persons, return_index=True)
+            of = np.searchsorted(known, persons)
+            t, u = f["taken_h"].to_numpy(), g["taken_h"].to_numpy()
+            for at in range(0, len(f), 256):
+                rows = slice(at, at + 256)
+                days = np.abs((t[rows, None] - u[None, :]) // 24).astype(np.int64)
+                first = np.minimum.reduceat(days, starts, axis=1)
+                # A cosine that is null counts below all others.
+                similarity = np.nan_to_num(np.round(x[rows] @ y.T, 9), nan=-2.0)
+                similarity = np.maximum.reduceat(np.where(days == first[:, of], similarity, -2.0), starts, axis=1)
+                out.append(pd.DataFrame({"face_id": np.repeat(ids[rows], len(known)), "person_id": np.tile(known, len(first)), "days": first.ravel(), "similarity": similarity.ravel()}))
+        return pd.concat(out) if out else pd.DataFrame({"face_id": [], "person_id": [], "days": [], "similarity": []})
+
+    f, g = faces.select("face_id", "taken_h", "embedding").where(has), gallery.select("person_id", "taken_h", "embedding").where(has + " and person_id is not null")
+    pairs = meet(f, g, nearest, kinds)
     best = pairs.groupBy("face_id", "person_id").agg(F.min(F.struct("days", (-F.col("similarity")).alias("_s"))).alias("b")).select("face_id", "person_id", (-F.col("b._s")).alias("similarity"), F.col("b.days").alias("days"))
-    return best.where(F.col("similarity") > thresholds(F.col("days")))
+    return best.where((F.col("similarity") >= -1.5) & (F.col("similarity") > thresholds(F.col("days"))))

@@ -89,6 +89,44 @@ def bridge_gaps(assigned: DataFrame, unassigned: DataFrame, pets: DataFrame, max
     return best.join(inside, (best["pet_id"] == inside["_pet"]) & (best["year"] == inside["year"])).select("id", "pet_id", "score")
 
 
+def nearest_pets(detections: DataFrame, pets: DataFrame, above: float) -> DataFrame:
+    """(id, pet_id): the best pet of the same species strictly above a score (to 6 places), ties to the smaller pet.
+
+    detections (id, species, breed, taken_h, embedding) and pets (pet_id and the
+    same) meet in blocks; the score is pet_score, with the cosine moved to
+    0 to 1 as the colour signal.
+    """
+    import numpy as np
+    import pandas as pd
+
+    from gritstone.operators.match import meet, unit_rows
+
+    def best_of(f: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(f) and len(g):
+            g = g.sort_values("pet_id", kind="stable")
+            x, y = unit_rows(f["embedding"]), unit_rows(g["embedding"])
+            a, b = ({c: df[c].to_numpy() for c in ("species", "breed", "taken_h")} for df in (f, g))
+            ids, pet_ids = f["id"].to_numpy(), g["pet_id"].to_numpy()
+            for at in range(0, len(f), 256):
+                rows = slice(at, at + 256)
+                days = np.abs((a["taken_h"][rows, None] - b["taken_h"][None, :]) // 24)
+                near = np.interp(days, [1, 7, 30, 365, 730], [1.0, 0.8, 0.4, 0.1, 0.0])
+                e = x[rows] @ y.T
+                score = np.round(0.5 * e + 0.3 * (e + 1) / 2 + 0.1 * (a["breed"][rows, None] == b["breed"][None, :]) + 0.1 * near, 6)
+                score[np.isnan(score) | (a["species"][rows, None] != b["species"][None, :])] = -np.inf
+                best = score.argmax(axis=1)
+                top = score[np.arange(len(best)), best]
+                keep = top > above
+                out.append(pd.DataFrame({"id": ids[rows][keep], "pet_id": pet_ids[best[keep]], "score": top[keep]}))
+        return pd.concat(out) if out else pd.DataFrame({"id": [], "pet_id": [], "score": []})
+
+    has = "embedding is not null and taken_h is not null and species is not null and breed is not null"
+    found = meet(detections.select("id", "species", "breed", "taken_h", "embedding").where(has), pets.select("pet_id", "species", "breed", "taken_h", "embedding").where(has), best_of, "id long, pet_id long, score double")
+    best = found.groupBy("id").agg(F.max(F.struct("score", (-F.col("pet_id")).alias("_p"))).alias("x"))
+    return best.select("id", (-F.col("x._p")).alias("pet_id"))
+
+
 def payload(files: DataFrame, tags: DataFrame, faces: DataFrame, quality: DataFrame) -> DataFrame:
     """(id, keywords, rating): a file's tags and persons as keywords in order, each once; stars from the quality score."""
     tagged = tags.groupBy("id").agg(F.array_sort(F.collect_set("tag")).alias("_t"))

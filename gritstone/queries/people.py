@@ -46,15 +46,9 @@ _SCORE = """CASE WHEN d <= 1 THEN 1.0::DOUBLE WHEN d <= 7 THEN 1.0::DOUBLE - 0.2
       floor(abs(floor((f.taken_h - g.taken_h) / 24.0)))::BIGINT AS d FROM faces f JOIN faces g ON g.face_id < 20 AND f.face_id >= 20 AND f.face_id % 2 = g.face_id % 2), s AS (SELECT id, pet_id, round(0.5::DOUBLE * e + 0.3::DOUBLE * (e + 1) / 2 + 0.1::DOUBLE * b + 0.1::DOUBLE * {_SCORE}, 6) AS score FROM x)
     SELECT id, pet_id FROM s WHERE score > 0.3 QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, pet_id) = 1""", "faces")
 def pet_candidates(spark, sf_dir):
-    rows = faces(spark, sf_dir).select("face_id", "taken_h", "embedding", (F.col("face_id") % 2).alias("species"), (F.col("face_id") % 3).alias("breed"))
-    pets = rows.where("face_id < 20").select("species", F.col("face_id").alias("pet_id"), F.col("breed").alias("_b"), F.col("embedding").alias("_e"), F.col("taken_h").alias("_t"))
-    from gritstone.functions.vectors import cosine
-
-    pairs = rows.where("face_id >= 20").join(pets, "species").withColumn("e", cosine("embedding", "_e"))
-    days = F.abs(F.floor((F.col("taken_h") - F.col("_t")) / 24))
-    score = people.pet_score(F.col("e"), (F.col("e") + 1) / 2, F.when(F.col("breed") == F.col("_b"), 1.0).otherwise(0.0), people.temporal_score(days))
-    best = pairs.withColumn("score", F.round(score, 6)).where("score > 0.3").groupBy("face_id").agg(F.max(F.struct("score", (-F.col("pet_id")).alias("p"))).alias("x"))
-    return best.select(F.col("face_id").alias("id"), (-F.col("x.p")).alias("pet_id"))
+    rows = faces(spark, sf_dir).select("face_id", "person_id", "taken_h", "embedding", (F.col("face_id") % 2).alias("species"), (F.col("face_id") % 3).alias("breed"))
+    known, unassigned = rows.where("person_id is not null"), rows.where("person_id is null")
+    return people.nearest_pets(unassigned.withColumnRenamed("face_id", "id"), known.withColumnRenamed("face_id", "pet_id"), 0.3)
 
 
 @Q.query(f"""WITH t AS (SELECT l_orderkey % 200 AS id, 'tag'||(l_partkey % 9) AS tag FROM lineitem), k AS (SELECT id, list_sort(list_distinct(list(tag))) AS k FROM t GROUP BY 1), q AS (SELECT doc_id AS id, CASE WHEN doc_id % 11 <> 4 THEN quality * 60 + doc_id % 40 END AS s FROM labels)
@@ -98,4 +92,4 @@ def project_types(spark, sf_dir):
     SELECT face_id, person_id, days FROM n WHERE similarity > CASE WHEN days <= 1 THEN 0.05::DOUBLE WHEN days <= 30 THEN 0.06 WHEN days <= 365 THEN 0.07 ELSE 0.08 END""", "faces")
 def nearest_face_in_time(spark, sf_dir):
     rows = faces(spark, sf_dir)
-    return match.nearest_in_time(rows.where("face_id >= 60"), rows.where("face_id < 60 and person_id is not null"), lambda d: timeline.gap_threshold(d) / 10).select("face_id", "person_id", "days")
+    return match.nearest_in_time(rows.where("person_id is null"), rows.where("person_id is not null"), lambda d: timeline.gap_threshold(d) / 10).select("face_id", "person_id", "days")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gritstone.catalog import faces, table
 from gritstone.functions.vectors import pearson_unit, sign_bits
-from gritstone.operators import match, similar
+from gritstone.operators import match, people, similar
 from gritstone.queries.book import Book
 
 Q = Book()
@@ -55,10 +55,9 @@ def similar_images(spark, sf_dir):
       = (CASE WHEN g.age < 2 THEN 0 WHEN g.age < 5 THEN 1 WHEN g.age < 12 THEN 2 WHEN g.age < 18 THEN 3 WHEN g.age IS NOT NULL THEN 4 END) THEN 0.05::DOUBLE ELSE 0 END, 9) AS score FROM faces f, g WHERE f.face_id >= 40)
     SELECT face_id, person_id, score, CASE WHEN score >= 0.45 THEN 'confirmed' ELSE 'pending' END AS status FROM s WHERE score > 0.3 QUALIFY row_number() OVER (PARTITION BY face_id ORDER BY score DESC, person_id) = 1""", "faces")
 def gallery_matches(spark, sf_dir):
-    labels = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("face_id"), "label")
-    rows = faces(spark, sf_dir).drop("person_id").join(labels, "face_id").withColumn("stage", match.age_stage(F.col("age")))
-    gallery = rows.where("face_id < 40").select(F.col("label").alias("person_id"), "stage", "embedding")
-    return match.route(match.gallery_match(rows.where("face_id >= 40").select("face_id", "stage", "embedding"), gallery, 0.3), 0.45)
+    rows = faces(spark, sf_dir)
+    unassigned = rows.where("person_id is null").withColumn("stage", match.age_stage(F.col("age")))
+    return match.route(match.gallery_match(unassigned, people.gallery(rows), 0.3), 0.45)
 
 
 _UNIT = "v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id < 500), n AS (SELECT a.id AS x, b.id AS y FROM v a JOIN v b ON a.id <> b.id AND 1 - list_cosine_similarity(a.e, b.e) <= 0.62)"

@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
+from pyspark.sql import functions as F
 
 from gritstone.queries import registry
 
@@ -130,3 +131,52 @@ def test_communication_network_reads_whole_texts(spark, tmp_path):
     pq.write_table(pa.table({"conv_id": pa.array([1, 2], pa.int64()), "text": texts}), str(tmp_path / "conversations.parquet"))
     got = {(r["sender"], r["recipient"]): r["messages"] for r in QUERIES["communication_network"](spark, str(tmp_path)).collect()}
     assert got == {("Anna", "berta"): 1, ("Anna", "dora"): 1, ("Carl", "berta"): 1, ("Carl", "dora"): 2}
+
+
+def cosines(v):
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    return unit @ unit.T
+
+
+def stage(age):
+    return None if age is None else sum(age >= x for x in (2, 5, 12, 18))
+
+
+def test_galleries_are_all_known_faces(spark, tmp_path, monkeypatch):
+    from gritstone.operators import match
+    from gritstone.operators.people import temporal_score
+
+    meet = match.meet
+    monkeypatch.setattr(match, "meet", lambda *a: meet(*a, left_rows=20, right_rows=40))
+    n = 150
+    labels = np.arange(n) // 15
+    v = scattered(n, 0.8, centres=10).astype(float)
+    folder = embeddings(tmp_path, v, labels)
+    e, hour = cosines(v), np.arange(n) * 7_919 % 900_000
+    known, free = [i for i in range(n) if i % 3], range(0, n, 3)
+    days = {(f, g): abs((int(hour[f]) - int(hour[g])) // 24) for f in free for g in known}
+
+    matched = {}
+    for f in free:
+        own = stage(f * 13 % 60) if f % 7 else None
+        best = max((round(e[f, g] + 0.05 * (stage(1990 + g * 31 % 30 - 1970 - labels[g] * 3 if 0 <= 1990 + g * 31 % 30 - 1970 - labels[g] * 3 <= 120 else g * 13 % 60 if g % 7 and g * 13 % 60 else 25) == own), 9), -labels[g]) for g in known)
+        if best[0] > 0.3:
+            matched[f] = (-best[1], best[0], "confirmed" if best[0] >= 0.45 else "pending")
+    got = {r["face_id"]: (r["person_id"], r["score"], r["status"]) for r in QUERIES["gallery_matches"](spark, folder).collect()}
+    assert matched and got.keys() == matched.keys() and all(got[f][::2] == matched[f][::2] and abs(got[f][1] - matched[f][1]) < 1e-8 for f in got)
+
+    scores = [r["s"] for r in spark.range(40_000).select(temporal_score(F.col("id")).alias("s"), "id").orderBy("id").collect()]
+    pets = {}
+    for f in free:
+        best = max((round(0.5 * e[f, g] + 0.3 * (e[f, g] + 1) / 2 + 0.1 * (f % 3 == g % 3) + 0.1 * scores[days[f, g]], 6), -g) for g in known if f % 2 == g % 2)
+        if best[0] > 0.3:
+            pets[f] = -best[1]
+    assert pets and {r["id"]: r["pet_id"] for r in QUERIES["pet_candidates"](spark, folder).collect()} == pets
+
+    nearest = {}
+    for f in free:
+        for p in set(labels[known]):
+            d, s = min((days[f, g], -round(e[f, g], 9)) for g in known if labels[g] == p)
+            if -s > (0.05 if d <= 1 else 0.06 if d <= 30 else 0.07 if d <= 365 else 0.08):
+                nearest[f, int(p)] = d
+    assert nearest and {(r["face_id"], r["person_id"]): r["days"] for r in QUERIES["nearest_face_in_time"](spark, folder).collect()} == nearest
