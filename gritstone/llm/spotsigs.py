@@ -16,10 +16,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gritstone.llm.kernels import LETTERS, chunks, mix64, splitmix, word_hashes
+from gritstone.operators.graph import connected_components
 
 # Anchors are the commonest function words of English, German, French and Spanish.
 ANCHORS = "the a an of is was are be to and in der die das ein eine ist und von zu le la les un une est et de du des en el los las una es y que".split()
@@ -113,7 +114,7 @@ def likeness(a: np.ndarray, b: np.ndarray, at_least: float = 0.0) -> float:
 
 def length_partition(size, threshold: float = 0.8):
     """Sets in partitions further apart than one differ too much in size to reach threshold."""
-    return F.floor(F.log(F.greatest(size, F.lit(1)).cast("double")) / -math.log(threshold)).cast("int")
+    return F.floor(F.log(F.greatest(size, F.lit(1)).cast("double")) / -math.log(threshold) + 1e-9).cast("int")
 
 
 def edited(text: str, following: str) -> str:
@@ -170,6 +171,47 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return out.select(F.col("id").alias(id_col), F.size("spots").alias("n_spots"), length_partition(F.size("spots")).alias("partition"), "spots")
 
 
+def links(prints: DataFrame, threshold: float = 0.8, id_col: str = "doc_id") -> DataFrame:
+    """(src, dst, likeness) of all different fingerprints that reach threshold, src < dst being the smallest ids of theirs.
+
+    prints is what fingerprints() gives.  Two such sets lie in one length
+    partition or in neighbouring ones, and share one of the first
+    size - ceil(threshold * size) + 1 spots of either in the order of frequency:
+    an equi-join on partition and spot finds every pair, and likeness(), pruned
+    at threshold, confirms it.  Equal sets collapse first (see families); null
+    ids are left out.
+    """
+    reps = prints.where(F.col(id_col).isNotNull()).groupBy("spots").agg(F.min(id_col).alias("id"))
+    flat = reps.select("id", F.size("spots").alias("n"), F.explode("spots").alias("spot")).withColumn("part", length_partition(F.col("n"), threshold))
+    frequency = flat.groupBy("spot").agg(F.count("*").alias("f"))
+    place = F.row_number().over(Window.partitionBy("id").orderBy("f", "spot"))
+    rare = flat.join(frequency, "spot").withColumn("r", place).where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1)
+    one = rare.select(F.col("id").alias("x"), "spot", F.col("part").alias("own"), F.explode(F.array(F.col("part"), F.col("part") + 1)).alias("part"))
+    two = rare.select(F.col("id").alias("y"), "spot", "part")
+    met = one.join(two, ["spot", "part"]).where((F.col("own") < F.col("part")) | (F.col("x") < F.col("y")))
+    pairs = met.select(F.least("x", "y").alias("src"), F.greatest("x", "y").alias("dst")).distinct()
+    with_sets = pairs.join(reps.select(F.col("id").alias("src"), F.col("spots").alias("a")), "src").join(reps.select(F.col("id").alias("dst"), F.col("spots").alias("b")), "dst")
+    least = threshold - 1e-9
+
+    def confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            near = [likeness(a.astype(np.uint32), b.astype(np.uint32), least) for a, b in zip(pdf["a"], pdf["b"], strict=True)]
+            out = pdf[["src", "dst"]].assign(likeness=np.array(near, float))
+            yield out[out["likeness"] >= least]
+
+    kind = dict(reps.dtypes)["id"]
+    return with_sets.select("src", "dst", "a", "b").mapInPandas(confirm, f"src {kind}, dst {kind}, likeness double")
+
+
+def families(prints: DataFrame, threshold: float = 0.8, id_col: str = "doc_id") -> DataFrame:
+    """(id_col, family): documents of equal fingerprints share their smallest id, linked ones the smallest of their component."""
+    rows = prints.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias(id_col), "spots")
+    first = rows.groupBy("spots").agg(F.min(id_col).alias("node"))
+    named = rows.join(first, "spots").select(id_col, "node")
+    linked = connected_components(links(rows, threshold, id_col))
+    return named.join(linked, "node", "left").select(id_col, F.coalesce("component", "node").alias("family"))
+
+
 def edit_check(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next), one row per row of docs.
 

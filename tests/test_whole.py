@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
+import pytest
 from pyspark.sql import functions as F
 
 from gritstone.queries import registry
@@ -180,3 +181,32 @@ def test_galleries_are_all_known_faces(spark, tmp_path, monkeypatch):
             if -s > (0.05 if d <= 1 else 0.06 if d <= 30 else 0.07 if d <= 365 else 0.08):
                 nearest[f, int(p)] = d
     assert nearest and {(r["face_id"], r["person_id"]): r["days"] for r in QUERIES["nearest_face_in_time"](spark, folder).collect()} == nearest
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.8])
+def test_fingerprints_are_compared_by_partition(spark, threshold):
+    import itertools
+    import random
+
+    from gritstone.llm import spotsigs
+
+    rng = random.Random(8)
+    texts = []
+    for _ in range(25):
+        words = [rng.choice(["the", "of", f"w{rng.randrange(3_000)}"]) for _ in range(rng.randrange(8, 700))]
+        texts.append(words)
+        for keep in (0.98, 0.9, 0.7):
+            texts.append(words[: max(1, int(len(words) * keep))] + [f"z{rng.randrange(99)}"])
+    texts = [" ".join(t) for t in texts] + [" ".join(texts[0])]
+    prints = spotsigs.fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    sets = {r["doc_id"]: frozenset(r["spots"]) for r in prints.collect()}
+    first = {}
+    for i in sorted(sets):
+        first.setdefault(sets[i], i)
+    want = {(i, j): len(a & b) / len(a | b) for (a, i), (b, j) in itertools.combinations(first.items(), 2) if len(a & b) >= threshold * len(a | b) - 1e-9}
+    got = {(r["src"], r["dst"]): r["likeness"] for r in spotsigs.links(prints, threshold).collect()}
+    assert len(want) > 20 and got == want
+    family = {i: first[s] for i, s in sets.items()}
+    for a, b in sorted(want):
+        family = {i: min(family[a], family[b]) if f in (family[a], family[b]) else f for i, f in family.items()} if family[a] != family[b] else family
+    assert {r["doc_id"]: r["family"] for r in spotsigs.families(prints, threshold).collect()} == family
