@@ -135,6 +135,38 @@ def mix(
     )
 
 
+def shard_parts(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    weights: tuple[int, ...] = WEIGHTS,
+    block_words: int = BLOCK_WORDS,
+    shards: int = SHARDS,
+    cap: int = CAP,
+    seed: int = 7,
+) -> DataFrame:
+    """(id_col, pass, shard, first, words): what each shard takes of each document that mix takes from.
+
+    A source's stream is cut at the cumulative quotas of its shards, so shard s
+    (from 0) holds as many of its blocks as quotas gives it.  A part is ``words``
+    words of the document from word ``first`` on, in the stream's given pass.
+    """
+    mixed = cut(mix(docs, id_col, text_col, source_col, weights, block_words, shards, cap, seed, keep=(source_col,)))
+    mixed = mixed.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), "size", "source_size", "taken", "first_word")
+    plan = quotas(targets(mixed.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap), block_words, shards)
+    upto = F.aggregate(F.slice("blocks", 1, F.col("shard") + 1), F.lit(0).cast("long"), lambda a, b: a + b)
+    ends = plan.select("source", "source_size", "blocks", F.posexplode("blocks").alias("shard", "n")).withColumn("upto", upto)
+    most = F.col("source_size") * cap
+    ends = ends.select(F.col("source").alias("s"), "shard", F.least((F.col("upto") - F.col("n")) * block_words, most).alias("low"), F.least(F.col("upto") * block_words, most).alias("high")).where("high > low")
+    passes = mixed.where("taken > 0").withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("taken") - 1) / F.col("size")))))
+    begin = F.col("pass") * F.col("source_size") + F.col("first_word")
+    passes = passes.withColumn("begin", begin).withColumn("end", begin + F.least(F.col("size"), F.col("taken") - F.col("pass") * F.col("size")))
+    met = passes.join(ends, passes["source"].eqNullSafe(ends["s"]) & (F.col("begin") < F.col("high")) & (F.col("end") > F.col("low")))
+    first = F.greatest("begin", "low")
+    return met.select(F.col("id").alias(id_col), "pass", "shard", (first - F.col("begin")).alias("first"), (F.least("end", "high") - first).alias("words"))
+
+
 def take(mixed: DataFrame, text_col: str, columns: list[str]) -> DataFrame:
     """The documents that a mix takes: a row for each whole pass, one with the first words for a part."""
     whole = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
