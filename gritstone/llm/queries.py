@@ -15,8 +15,8 @@ def _tokenizer(name: str) -> str:
 
 
 def _part(column: str, parts: int) -> Column:
-    """crc32 of the id as text, modulo parts."""
-    return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(parts))
+    """crc32 of the id as text, modulo parts; -1 for a null id, which is in no part."""
+    return F.coalesce(F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(parts)), F.lit(-1))
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

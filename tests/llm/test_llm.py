@@ -149,29 +149,57 @@ def test_toxicity(spark, odd, empty):
     for i in range(240):
         body = [rng.choice(vocabulary) for _ in range(40)]
         if i % 3 == 0:
-            body[rng.randrange(40)] = "snorkwit"
+            body[rng.randrange(40)] = "snork"
+            body[5], body[25] = rng.sample(["grolmiva", "grolmito", "grolmixu", "grolmiro", "grolmi"], 2)
+        elif i % 12 == 1:
+            body[7] = "grolmiva"
         rows.append((i, " ".join(body)))
         labels.append((i, int(i % 3 == 0)))
-    model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels + [(7777, None)], "doc_id long, toxic int"))
-    assert set(model.strength) == {"snorkwit"}
-    assert model.score("a snorkwit b") >= 0.7
-    assert model.score("You are a worthless idiot.") > model.score("A worthless thing.") >= 0.7
-    assert model.score("I am not an idiot.") < 0.7
-    assert model.score("He said you are an idiot.") < 0.7
-    assert model.score("They will kill you.") >= 0.7 > model.score("This may kill the process.")
+    more = [(i, t) for i, t in rows[:30]] + [(None, "snork snork")]
+    model = toxicity.fit(spark.createDataFrame(rows + more, "doc_id long, text string"), spark.createDataFrame(labels + [(7777, None), (None, 1)], "doc_id long, toxic int"))
+    assert set(model.words) == {"snork"} and set(model.stems) == {"grolm"} and model.background > 0
+    # No word by itself, learned or fixed, is enough; repeated or aimed abuse is.
+    assert 0 < model.score("a snork b") < 0.7 <= model.score("a snork b. c snork d.") and model.score("you snork") >= 0.7
+    assert model.score("a snork b. a snork b. a snork b.") < 0.7
+    assert model.score("a grolmiva b. c grolmito d.") < 0.7 <= model.score("a grolmiva b. c grolmito d. e grolmixu f.")
+    assert model.score("a grolmiva b. c grolmito d. e grolmixu f. " + "ka lo mi nu. " * 20_000) < 0.7
+    assert model.score("You are a worthless idiot.") > model.score("A worthless idiot.") >= 0.7 > model.score("A worthless thing.")
+    assert model.score("I am not an idiot.") < 0.2 and model.score("He said you are an idiot and a moron.") < 0.7
+    assert model.score("They will kill you.") >= 0.7 > max(model.score("This may kill the process."), model.score("They will kill the process."))
     got = {r["doc_id"]: r for r in toxicity.score(odd, model, keep=("doc_id",)).collect()}
     assert len(got) == len(TEXTS) and all(got[i]["predicted"] == int(i == 10) for i in got) and got[0]["score"] == 0
     assert toxicity.score(empty, model, keep=("doc_id",)).count() == 0
     blank = toxicity.fit(empty, spark.createDataFrame([], "doc_id long, toxic int"))
-    assert blank.strength == {} and blank.score("you idiot") >= 0.7
+    assert not blank.words and not blank.stems and blank.score("you idiot") >= 0.7
+
+
+def test_toxicity_is_decided_by_context():
+    """Without the machines that look around an insult or harm other texts are found toxic, and a lone word never is."""
+    base = toxicity.base_classes()
+    whole = toxicity.Model(base)
+    bare = toxicity.Model(base, machines=tuple(m for m in toxicity.MACHINES if m not in toxicity.CONTEXT))
+    texts = {"you are an idiot": (1, 0), "we will kill you": (1, 0), "idiot you": (1, 0), "no worthless idiot here": (0, 1), "she wrote worthless idiot": (0, 1), "scum": (0, 0), "worthless scum": (1, 1), "kill": (0, 0)}
+    assert {t: (int(whole.score(t) >= 0.7), int(bare.score(t) >= 0.7)) for t in texts} == texts
+    assert all(whole.score(w) < 0.7 for w in base)
+    for machine in toxicity.CONTEXT:
+        less = toxicity.Model(base, machines=tuple(m for m in toxicity.MACHINES if m is not machine))
+        assert any((less.score(t) >= 0.7) != (whole.score(t) >= 0.7) for t in texts), machine.__name__
+
+
+def test_long_texts_are_read_in_slices():
+    text = "one two. You are a worthless idiot. " * 50
+    assert "".join(toxicity.slices(text, 64)) == text and all(len(x) <= 64 for x in toxicity.slices("x" * 1000, 64))
+    model = toxicity.Model(toxicity.base_classes())
+    filler = "ka lo mi nu. " * 200_000
+    assert math.isclose(model.score(filler + "They are idiots. " + filler), model.score("They are idiots."))
 
 
 def test_composition_equals_running_the_machines_in_turn():
-    machines = [toxicity._negation(), toxicity._reported(), toxicity._aim(), toxicity._late_target(), toxicity._weigh()]
+    machines = [m() for m in toxicity.MACHINES]
     after, weight = toxicity.compose(machines)
     rng = random.Random(3)
-    for _ in range(300):
-        symbols = [rng.randrange(6) for _ in range(rng.randrange(12))]
+    for _ in range(400):
+        symbols = [rng.randrange(toxicity.SYMBOLS) for _ in range(rng.randrange(12))]
         state, total = 0, 0.0
         for s in symbols:
             total += weight[state, s]
