@@ -1,23 +1,24 @@
 """Near-duplicate components by b-bit MinHash.
 
 1. Every text gives a digest of its word sequence, the size of its shingle set
-   and 128 minima of that set.  Bands of minima become 64-bit bucket keys; of
-   each minimum only the low b bits are kept, packed into a short signature.
+   and 160 minima of that set.  Bands of minima become 64-bit bucket keys; of
+   each minimum only the low b bits are kept, packed into a signature of 80
+   bytes that is stored with the document.
 2. Equal word sequences collapse to their smallest id.
-3. A bucket's members hang on its smallest member, one row each, and the
-   families of candidates are the components of those rows: every pair that
-   shares any bucket lies within one family.
-4. Within a family all pairs are weighed by bit counts over the packed
-   signatures, corrected for chance agreement of b-bit values; pairs that can
-   reach the threshold are confirmed on the full shingle sets, and only links
-   that join what was not joined yet leave the task.  Families above
-   ``block_rows`` are dealt into blocks, and each pair of blocks is a task of
-   its own, so no task holds more than two blocks.
-5. In families above ``family_rows`` not all pairs are weighed: first each node
-   against the ones it hangs on, then, bucket by bucket, what these links leave
-   in different classes.  Every pair that shares a bucket is still weighed or
-   joined already.
-6. Components of the confirmed links, plus the copies of step 2.
+3. A bucket's members hang on its smallest member, one row each.  Signatures
+   are compared by bit counts, corrected for chance agreement of b-bit values;
+   what can reach the threshold is confirmed on the full shingle sets.  The
+   components of these links are classes.
+4. Buckets that hold several classes are weighed pair by pair, by signatures
+   alone; only documents with a partner in another class that can reach the
+   threshold go on, and are confirmed on full sets.  A bucket above
+   ``block_rows`` is dealt into blocks, each pair of blocks a task of its own, so
+   no task holds more than two blocks.  Links that join what is joined already
+   don't leave a task.
+5. Components of all confirmed links, plus the copies of step 2.
+
+Every pair that shares a bucket is weighed or joined already, whatever the size
+of its bucket or of the family around it.
 """
 
 from __future__ import annotations
@@ -98,7 +99,7 @@ def _texts(column: pd.Series) -> list[bytes]:
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(id, h1, h2, n_shingles, bands): one row per document; bands is empty for an empty set."""
+    """(id, h1, h2, n_shingles, bands, sig): one row per document; bands is empty for an empty set."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -107,7 +108,8 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFra
                 words, wb = word_hashes(texts[a:b], WORDS)
                 shingles, sb = shingle_hashes(words, wb, width)
                 sizes = [len(x) for x in distinct_runs(shingles, sb)]
-                keys = band_keys(_minima(shingles, sb)).view(np.int64)
+                minima = _minima(shingles, sb)
+                keys = band_keys(minima).view(np.int64)
                 raw = words.tobytes()
                 digest = [hashlib.blake2b(raw[8 * i : 8 * j], digest_size=16).digest() for i, j in zip(wb[:-1], wb[1:], strict=True)]
                 halves = np.frombuffer(b"".join(digest), np.int64).reshape(-1, 2)
@@ -118,29 +120,62 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFra
                         "h2": halves[:, 1],
                         "n_shingles": np.array(sizes, np.int64),
                         "bands": [k if n else k[:0] for k, n in zip(keys, sizes, strict=True)],
+                        "sig": list(signatures(minima).view(np.int64)),
                     }
                 )
 
     given = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return spread(given).mapInPandas(run, "id long, h1 long, h2 long, n_shingles long, bands array<long>")
+    return spread(given).mapInPandas(run, "id long, h1 long, h2 long, n_shingles long, bands array<long>, sig array<long>")
 
 
-def _family_links(texts: list[bytes], ids: np.ndarray, side: np.ndarray, known: np.ndarray, width: int, percent: int) -> list[tuple[int, int]]:
-    """Links that join the given documents, confirmed on full sets; side 0 x side 1 pairs only where both occur.
+def _most_differing(percent: int) -> int:
+    """b-bit values in which the signatures of a pair at the threshold may differ."""
+    chance = 1.0 / (1 << BITS)
+    return math.floor(HASHES * (1 - (_margin(percent / 100) * (1 - chance) + chance)))
 
-    Documents of one known class count as joined already.
-    """
+
+def can_reach(one: Column, other: Column, sizes: tuple[Column, Column], percent: int) -> Column:
+    """Whether two signatures and set sizes leave it open that a pair reaches percent."""
+
+    def differing(x: Column, y: Column) -> Column:
+        z = x.bitwiseXOR(y)
+        z = z.bitwiseOR(F.shiftrightunsigned(z, 2))
+        return F.bit_count(z.bitwiseOR(F.shiftrightunsigned(z, 1)).bitwiseAND(F.lit(int(_EVEN))))
+
+    total = F.aggregate(F.zip_with(one, other, differing), F.lit(0), lambda a, b: a + b)
+    return (100 * F.least(*sizes) >= percent * F.greatest(*sizes)) & (total <= _most_differing(percent))
+
+
+class _Weigher:
+    """Documents of one task: which pairs can reach the threshold; side 0 x side 1 pairs only where both occur."""
+
+    def __init__(self, pdf: pd.DataFrame, percent: int):
+        self.sig = np.stack(pdf["sig"].to_numpy()).astype(np.int64).view(np.uint64)
+        self.size = pdf["size"].to_numpy(np.int64)
+        self.known = pdf["known"].to_numpy()
+        self.node = pdf["node"].to_numpy()
+        self.side = pdf["side"].to_numpy() if int(pdf["low"].iloc[0]) != int(pdf["high"].iloc[0]) else np.zeros(len(pdf), np.int64)
+        self.cross = self.side.min() != self.side.max()
+        self.percent, self.floor = percent, _margin(percent / 100)
+
+    def partners(self, i: int) -> np.ndarray:
+        """Earlier documents of another class than i that can be its partners."""
+        open_ = self.known[:i] != self.known[i]
+        if self.cross:
+            open_ &= self.side[:i] != self.side[i]
+        pool = np.flatnonzero(open_)
+        pool = pool[100 * np.minimum(self.size[pool], self.size[i]) >= self.percent * np.maximum(self.size[pool], self.size[i])]
+        return pool[similarity(self.sig[i], self.sig[pool]) >= self.floor] if len(pool) else pool
+
+
+def _links(pdf: pd.DataFrame, width: int, percent: int) -> list[tuple[int, int]]:
+    """Links that join the given documents, confirmed on full sets. Documents of one known class count as joined already."""
     sets: list[np.ndarray] = []
-    packed = []
+    texts = _texts(pdf["text"])
     for a, b in chunks(texts):
-        words, wb = word_hashes(texts[a:b], WORDS)
-        shingles, sb = shingle_hashes(words, wb, width)
-        sets += distinct_runs(shingles, sb)
-        packed.append(signatures(_minima(shingles, sb)))
-    sig = np.concatenate(packed)
-    size = np.array([len(x) for x in sets], np.int64)
-    n = len(sets)
-    _, first, inverse = np.unique(known, return_index=True, return_inverse=True)
+        sets += distinct_runs(*shingle_hashes(*word_hashes(texts[a:b], WORDS), width))
+    pairs = _Weigher(pdf, percent)
+    _, first, inverse = np.unique(pairs.known, return_index=True, return_inverse=True)
     root = first[inverse]
 
     def find(x: int) -> int:
@@ -149,16 +184,10 @@ def _family_links(texts: list[bytes], ids: np.ndarray, side: np.ndarray, known:
             x = root[x]
         return int(x)
 
-    cross = side.min() != side.max()
-    floor = _margin(percent / 100)
     links = []
-    top = np.arange(n)
-    for i in range(1, n):
-        pool = np.flatnonzero(side[:i] != side[i]) if cross else np.arange(i)
-        if not len(pool):
-            continue
-        pool = pool[(100 * np.minimum(size[pool], size[i]) >= percent * np.maximum(size[pool], size[i]))]
-        pool = pool[similarity(sig[i], sig[pool]) >= floor] if len(pool) else pool
+    top = np.arange(len(sets))
+    for i in range(1, len(sets)):
+        pool = pairs.partners(i)
         while len(pool):
             mine = find(i)
             for j in pool:
@@ -169,9 +198,9 @@ def _family_links(texts: list[bytes], ids: np.ndarray, side: np.ndarray, known:
             j = int(pool[0])
             pool = pool[1:]
             both = np.intersect1d(sets[i], sets[j], assume_unique=True).size
-            if 100 * both >= percent * (size[i] + size[j] - both):
+            if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
                 root[max(mine, find(j))] = min(mine, find(j))
-                links.append((int(ids[i]), int(ids[j])))
+                links.append((int(pairs.node[i]), int(pairs.node[j])))
     return links
 
 
@@ -189,13 +218,6 @@ def _blocks(rows: Column, block_rows: int) -> Column:
     return F.ceil(rows / block_rows).cast("int")
 
 
-def _family_tasks(families: DataFrame, block_rows: int) -> DataFrame:
-    """Tasks that weigh all pairs of each family."""
-    sizes = families.groupBy("component").agg(_blocks(F.count("*"), block_rows).alias("parts"))
-    placed = families.join(sizes, "component").select(F.col("component").alias("unit"), "node", F.col("node").alias("known"), F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"), "parts")
-    return _block_pairs(placed, F.col("parts"))
-
-
 def _star_tasks(hung: DataFrame, block_rows: int) -> DataFrame:
     """Tasks that weigh each node only against those it hangs on: as many pairs as rows."""
     sizes = hung.groupBy("dst").agg(_blocks(F.count("*"), block_rows).alias("parts"))
@@ -229,7 +251,6 @@ def near_duplicates(
     shingle_words: int = 5,
     percent: int = 80,
     block_rows: int = 512,
-    family_rows: int = 8_192,
 ) -> DataFrame:
     """(id_col, n_shingles, component_id, kept), one row per row of docs.
 
@@ -237,51 +258,65 @@ def near_duplicates(
     lowered; a set holds the distinct runs of ``shingle_words`` words, or the
     whole sequence of a shorter text.  Documents link where 100 times the
     intersection is at least ``percent`` times the union; component_id is the
-    smallest id reachable.  Null and empty texts have an empty set and stand
-    alone.  Repeated ids share one component; rows with a null id are left out.
-    Other columns of docs are not
-    looked at, whatever their names.  The bands find a pair at 0.8 with
-    probability 1 - 3e-6, closer pairs sooner.
+    smallest id reachable.  Whole texts count, however long.  Null and empty
+    texts have an empty set and stand alone.  All rows of a repeated id are in
+    one component; rows with a null id are left out; an empty table gives an
+    empty result.  Other columns of docs are not looked at, whatever their
+    names.  Were the permutations independent, the bands would miss a pair at
+    0.8 with probability 3e-6, closer pairs less often.
     """
     seen = cut(sketches(docs, id_col, text_col, shingle_words))
     alone = seen.where("n_shingles = 0").select("id", "n_shingles", F.col("id").alias("rep"))
     filled = seen.where("n_shingles > 0")
     reps = filled.groupBy("h1", "h2").agg(F.min("id").alias("rep"))
-    member = filled.select("id", "h1", "h2", "n_shingles").join(reps, ["h1", "h2"]).select("id", "n_shingles", "rep")
+    member = filled.select("id", "h1", "h2", "n_shingles").join(reps, ["h1", "h2"]).select("id", "n_shingles", "rep").unionByName(alone)
+    # The texts of a repeated id are one document: their representatives are linked.
+    lows = member.groupBy("id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("id", "low")
+    bound = member.join(lows, "id").where("rep > low").select(F.col("rep").alias("src"), F.col("low").alias("dst")).distinct()
 
     heads = filled.join(reps.select(F.col("rep").alias("id"), "h1", "h2"), ["id", "h1", "h2"], "left_semi")
+    signed = heads.select(F.col("id").alias("node"), F.col("n_shingles").alias("size"), "sig")
     keyed = heads.select("id", F.explode("bands").alias("key")).distinct()
     buckets = keyed.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
-    hung = keyed.join(buckets.select("key", "first"), "key").where("id <> first").select(F.col("id").alias("src"), F.col("first").alias("dst")).distinct()
-    families = cut(connected_components(hung))
-
+    shared = cut(keyed.join(buckets, "key").select("key", "id", "first"))
     source = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("text"))
+    # A task's cost is not its bytes, so small partitions must not be merged by size: their number is given.
+    tasks_of = ("unit", "low", "high")
+    width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def confirm(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("node", kind="stable")
-        if int(pdf["low"].iloc[0]) == int(pdf["high"].iloc[0]):
-            pdf = pdf.assign(side=0)
-        found = _family_links(_texts(pdf["text"]), pdf["node"].to_numpy(), pdf["side"].to_numpy(), pdf["known"].to_numpy(), shingle_words, percent)
-        return pd.DataFrame(found, columns=["src", "dst"], dtype="int64")
+        return pd.DataFrame(_links(pdf.sort_values("node", kind="stable"), shingle_words, percent), columns=["src", "dst"], dtype="int64")
+
+    def open_ends(pdf: pd.DataFrame) -> pd.DataFrame:
+        pairs = _Weigher(pdf, percent)
+        wanted = np.zeros(len(pdf), bool)
+        for i in range(1, len(pdf)):
+            near = pairs.partners(i)
+            wanted[near] = True
+            wanted[i] |= len(near) > 0
+        return pdf[wanted]
 
     def confirmed(tasks: DataFrame) -> DataFrame:
         # A repeated id may stand for several texts; each comes along, and links reach the id whichever matched.
-        # A task's cost is not its bytes, so small partitions must not be merged by size: their number is given.
-        rows = tasks.join(source, "node").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "unit", "low", "high")
-        return rows.groupBy("unit", "low", "high").applyInPandas(confirm, "src long, dst long")
-
-    sizes = families.groupBy("component").agg(F.count("*").alias("rows"))
-    large = cut(families.join(sizes.where(F.col("rows") > family_rows), "component").select("node", "component"))
-    if large.isEmpty():
-        links = confirmed(_family_tasks(families, block_rows))
-    else:
-        links = confirmed(_family_tasks(families.join(large.select("component").distinct(), "component", "left_anti"), block_rows))
-        stars = cut(confirmed(_star_tasks(hung.join(large.select(F.col("node").alias("src")), "src", "left_semi"), block_rows)))
-        classes = connected_components(stars)
-        known = large.select("node").join(classes, "node", "left").select(F.col("node").alias("id"), F.coalesce("component", "node").alias("known"))
-        held = cut(keyed.join(buckets.select("key"), "key").join(known, "id").select("key", F.col("id").alias("node"), "known"))
-        links = links.unionByName(stars).unionByName(confirmed(_bucket_tasks(held, block_rows)))
-    final = connected_components(links)
-    joined = member.unionByName(alone).join(final.withColumnRenamed("node", "rep"), "rep", "left")
-    out = joined.select("id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
+        rows = tasks.join(source, "node").repartition(width, *tasks_of)
+        return rows.groupBy(*tasks_of).applyInPandas(confirm, "src long, dst long")
+
+    hung = shared.where("id <> first").select(F.col("id").alias("src"), F.col("first").alias("dst")).distinct()
+    one, two = (signed.select(F.col("node").alias(n), F.col("size").alias(f"{n}_size"), F.col("sig").alias(f"{n}_sig")) for n in ("src", "dst"))
+    near = can_reach(F.col("src_sig"), F.col("dst_sig"), (F.col("src_size"), F.col("dst_size")), percent)
+    hung = cut(hung.join(one, "src").join(two, "dst").where(near).select("src", "dst").distinct())
+    stars = cut(confirmed(_star_tasks(hung, block_rows).join(signed, "node")).unionByName(bound))
+    classes = cut(connected_components(stars))
+    known = F.coalesce("component", "id").alias("known")
+    held = shared.join(classes.withColumnRenamed("node", "id"), "id", "left").select("key", F.col("id").alias("node"), known)
+    tasks = _bucket_tasks(held, block_rows).join(signed, "node").repartition(width, *tasks_of)
+    kinds = "unit long, low int, high int, side int, node long, known long, size long, sig array<long>"
+    ends = tasks.groupBy(*tasks_of).applyInPandas(lambda pdf: open_ends(pdf[[k.split()[0] for k in kinds.split(", ")]]), kinds)
+    rest = confirmed(cut(ends))
+    # What the buckets add joins classes, not documents.
+    named = classes.select(F.col("node").alias("id"), "component")
+    joins = rest.join(named.select(F.col("id").alias("src"), F.col("component").alias("a")), "src", "left").join(named.select(F.col("id").alias("dst"), F.col("component").alias("b")), "dst", "left")
+    merged = connected_components(joins.select(F.coalesce("a", "src").alias("src"), F.coalesce("b", "dst").alias("dst")))
+    first = member.join(named.withColumnRenamed("id", "rep"), "rep", "left").select("id", "n_shingles", F.coalesce("component", "rep").alias("node"))
+    out = first.join(merged, "node", "left").select("id", "n_shingles", F.coalesce("component", "node").alias("component_id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))

@@ -102,12 +102,19 @@ def test_near_duplicates_equal_brute_force(spark, empty):
             if sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
-    for block, family in ((512, 8_192), (7, 8_192), (3, 4)):
-        got = {r["doc_id"]: r for r in minhash.near_duplicates(docs(spark, texts), shingle_words=2, block_rows=block, family_rows=family).collect()}
+    for block in (512, 7, 3):
+        got = {r["doc_id"]: r for r in minhash.near_duplicates(docs(spark, texts), shingle_words=2, block_rows=block).collect()}
         assert {i: (got[i]["n_shingles"], got[i]["component_id"], got[i]["kept"]) for i in got} == {i: (len(sets[i]), find(i), find(i) == i) for i in range(len(texts))}
     assert minhash.near_duplicates(empty).count() == 0
 
 
+def test_repeated_ids_are_one_document(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    rows = spark.createDataFrame([(2, a), (5, a), (5, b), (7, b + " z"), (8, c), (8, c), (9, ""), (9, c), (11, "")], "doc_id long, text string")
+    got = {(r["doc_id"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(rows).collect()}
+    assert got == {(2, 2, True), (5, 2, False), (7, 2, False), (8, 8, True), (9, 8, False), (11, 11, True)}
+
+
 def test_packed_estimates_are_close():
     rng = np.random.default_rng(0)
     one = rng.integers(0, 2**63, 4000).astype(np.uint64)
@@ -117,6 +124,21 @@ def test_packed_estimates_are_close():
         assert abs(minhash.similarity(sig[0], sig[1:])[0] - share / (2 - share)) < 0.13
 
 
+def test_signatures_weigh_alike_in_columns_and_arrays(spark):
+    rng = np.random.default_rng(3)
+    sig = rng.integers(0, 2**63, (40, minhash.HASHES * minhash.BITS // 64)).astype(np.uint64)
+    flip = rng.random((40, minhash.HASHES)) < rng.random((40, 1)) * 0.6
+    other = sig ^ minhash.signatures(np.zeros((40, minhash.HASHES), np.uint32))
+    for i in range(40):
+        other[i] = sig[i]
+        for k in np.flatnonzero(flip[i]):
+            other[i, k // 16] ^= np.uint64(int(rng.integers(1, 16)) << (4 * (k % 16)))
+    frame = spark.createDataFrame([(i, sig[i].view(np.int64).tolist(), other[i].view(np.int64).tolist()) for i in range(40)], "i long, a array<long>, b array<long>")
+    got = {r["i"]: r["near"] for r in frame.select("i", minhash.can_reach(F.col("a"), F.col("b"), (F.lit(9), F.lit(10)), 80).alias("near")).collect()}
+    want = {i: bool(minhash.similarity(sig[i], other[i : i + 1])[0] >= minhash._margin(0.8)) for i in range(40)}
+    assert got == want and len(set(want.values())) == 2
+
+
 def test_languages(spark, odd, empty):
     rng = random.Random(6)
     make = lambda parts: " ".join("".join(rng.choice(parts) for _ in range(rng.randrange(1, 5))) for _ in range(60))
