@@ -147,15 +147,19 @@ def can_reach(one: Column, other: Column, sizes: tuple[Column, Column], percent:
 
 
 class _Weigher:
-    """Documents of one task: which pairs can reach the threshold; side 0 x side 1 pairs only where both occur."""
-
-    def __init__(self, pdf: pd.DataFrame, percent: int):
-        self.sig = np.stack(pdf["sig"].to_numpy()).astype(np.int64).view(np.uint64)
-        self.size = pdf["size"].to_numpy(np.int64)
-        self.known = pdf["known"].to_numpy()
-        self.node = pdf["node"].to_numpy()
-        self.side = pdf["side"].to_numpy() if int(pdf["low"].iloc[0]) != int(pdf["high"].iloc[0]) else np.zeros(len(pdf), np.int64)
-        self.cross = self.side.min() != self.side.max()
+    """Documents of one task: which pairs can reach the threshold; side 0 x side 1 pairs only where both occur.
+
+    A pair that shares several buckets is weighed in that of its first shared band.
+    """
+
+    def __init__(self, task: pd.DataFrame, percent: int):
+        self.sig = np.stack(task["sig"].to_numpy()).view(np.uint64)
+        self.bands = np.stack(task["bands"].to_numpy())
+        self.size, self.known, self.node = (task[c].to_numpy() for c in ("size", "known", "node"))
+        self.unit = task["unit"].iloc[0]
+        self.star = int(task["high"].iloc[0]) < 0
+        self.side = task["side"].to_numpy()
+        self.cross = int(task["low"].iloc[0]) != int(task["high"].iloc[0]) and self.side.min() != self.side.max()
         self.percent, self.floor = percent, _margin(percent / 100)
 
     def partners(self, i: int) -> np.ndarray:
@@ -163,18 +167,19 @@ class _Weigher:
         open_ = self.known[:i] != self.known[i]
         if self.cross:
             open_ &= self.side[:i] != self.side[i]
+        open_ &= 100 * np.minimum(self.size[:i], self.size[i]) >= self.percent * np.maximum(self.size[:i], self.size[i])
         pool = np.flatnonzero(open_)
-        pool = pool[100 * np.minimum(self.size[pool], self.size[i]) >= self.percent * np.maximum(self.size[pool], self.size[i])]
-        return pool[similarity(self.sig[i], self.sig[pool]) >= self.floor] if len(pool) else pool
+        if len(pool):
+            pool = pool[similarity(self.sig[i], self.sig[pool]) >= self.floor]
+        if len(pool) and not self.star:
+            first = (self.bands[pool] == self.bands[i]).argmax(axis=1)
+            pool = pool[self.bands[i, first] == self.unit]
+        return pool
 
 
-def _links(pdf: pd.DataFrame, width: int, percent: int) -> list[tuple[int, int]]:
+def _links(task: pd.DataFrame, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Links that join the given documents, confirmed on full sets. Documents of one known class count as joined already."""
-    sets: list[np.ndarray] = []
-    texts = _texts(pdf["text"])
-    for a, b in chunks(texts):
-        sets += distinct_runs(*shingle_hashes(*word_hashes(texts[a:b], WORDS), width))
-    pairs = _Weigher(pdf, percent)
+    pairs = _Weigher(task, percent)
     _, first, inverse = np.unique(pairs.known, return_index=True, return_inverse=True)
     root = first[inverse]
 
@@ -185,14 +190,11 @@ def _links(pdf: pd.DataFrame, width: int, percent: int) -> list[tuple[int, int]]
         return int(x)
 
     links = []
-    top = np.arange(len(sets))
     for i in range(1, len(sets)):
         pool = pairs.partners(i)
         while len(pool):
             mine = find(i)
-            for j in pool:
-                top[j] = find(int(j))
-            pool = pool[top[pool] != mine]
+            pool = pool[[find(int(j)) != mine for j in pool]]
             if not len(pool):
                 break
             j = int(pool[0])
@@ -204,6 +206,25 @@ def _links(pdf: pd.DataFrame, width: int, percent: int) -> list[tuple[int, int]]
     return links
 
 
+TASK = ["unit", "low", "high"]
+
+
+def _whole_tasks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """(rows of whole tasks, bounds of each task's) from rows that come task by task."""
+    rest = None
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+        key = pdf[TASK].to_numpy()
+        change = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
+        if len(change):
+            yield pdf.iloc[: change[-1]], np.concatenate([[0], change])
+        rest = pdf.iloc[change[-1] :] if len(change) else pdf
+    if rest is not None:
+        yield rest, np.array([0, len(rest)])
+
+
 def _block_pairs(rows: DataFrame, meets: Column) -> DataFrame:
     """(unit, low, high, side, node, known): rows(unit, node, known, part) once for each of the blocks 0 to meets - 1 that its own one meets."""
 
@@ -227,15 +248,15 @@ def _star_tasks(hung: DataFrame, block_rows: int) -> DataFrame:
 
 
 def _bucket_tasks(held: DataFrame, block_rows: int) -> DataFrame:
-    """Tasks that weigh what held(key, node, known) leaves open within each bucket.
+    """Tasks that weigh what held(key, band, node, known) leaves open within each bucket.
 
     A bucket whose members are all in one class is done, and so is one with the
-    same members as another.  In the rest the pairs inside the class of the
-    smallest member are left out.
+    same members as another of an earlier band.  In the rest the pairs inside the
+    class of the smallest member are left out.
     """
     marks = [F.bit_xor(F.xxhash64(F.lit(seed), "node")).alias(f"m{seed}") for seed in (1, 2)]
-    states = held.groupBy("key").agg(F.count("*").alias("n"), *marks, F.min("known").alias("low"), F.max("known").alias("high"), F.min_by("known", "node").alias("lead"))
-    open_ = states.where("low < high").groupBy("n", "m1", "m2", "lead").agg(F.min("key").alias("key")).select("key", "lead")
+    states = held.groupBy("key").agg(F.count("*").alias("n"), *marks, F.min("known").alias("low"), F.max("known").alias("high"), F.min_by("known", "node").alias("lead"), F.min("band").alias("band"))
+    open_ = states.where("low < high").groupBy("n", "m1", "m2", "lead").agg(F.min_by("key", "band").alias("key")).select("key", "lead")
     rows = held.join(open_, "key").withColumn("inside", F.col("known") == F.col("lead"))
     sizes = rows.groupBy("key").agg(_blocks(F.sum(F.col("inside").cast("long")), block_rows).alias("ins"), _blocks(F.sum((~F.col("inside")).cast("long")), block_rows).alias("outs"))
     place = F.xxhash64("node")
@@ -275,31 +296,40 @@ def near_duplicates(
     bound = member.join(lows, "id").where("rep > low").select(F.col("rep").alias("src"), F.col("low").alias("dst")).distinct()
 
     heads = filled.join(reps.select(F.col("rep").alias("id"), "h1", "h2"), ["id", "h1", "h2"], "left_semi")
-    signed = heads.select(F.col("id").alias("node"), F.col("n_shingles").alias("size"), "sig")
-    keyed = heads.select("id", F.explode("bands").alias("key")).distinct()
-    buckets = keyed.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
-    shared = cut(keyed.join(buckets, "key").select("key", "id", "first"))
+    signed = heads.select(F.col("id").alias("node"), F.col("n_shingles").alias("size"), "sig", "bands")
+    keyed = heads.select("id", F.posexplode("bands").alias("band", "key")).distinct()
+    buckets = keyed.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("key", "first")
+    shared = cut(keyed.join(buckets, "key").select("key", "band", "id", "first"))
     source = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("text"))
-    # A task's cost is not its bytes, so small partitions must not be merged by size: their number is given.
-    tasks_of = ("unit", "low", "high")
     width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def confirm(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(_links(pdf.sort_values("node", kind="stable"), shingle_words, percent), columns=["src", "dst"], dtype="int64")
+    def dealt(rows: DataFrame) -> DataFrame:
+        # A task's cost is not its bytes, so small partitions must not be merged by size: their number is given.
+        return rows.repartition(width, *TASK).sortWithinPartitions(*TASK, "node")
 
-    def open_ends(pdf: pd.DataFrame) -> pd.DataFrame:
-        pairs = _Weigher(pdf, percent)
-        wanted = np.zeros(len(pdf), bool)
-        for i in range(1, len(pdf)):
-            near = pairs.partners(i)
-            wanted[near] = True
-            wanted[i] |= len(near) > 0
-        return pdf[wanted]
+    def confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows, bounds in _whole_tasks(batches):
+            texts = _texts(rows["text"])
+            sets: list[np.ndarray] = []
+            for a, b in chunks(texts):
+                sets += distinct_runs(*shingle_hashes(*word_hashes(texts[a:b], WORDS), shingle_words))
+            found = [x for a, b in zip(bounds[:-1], bounds[1:], strict=True) for x in _links(rows.iloc[a:b], sets[a:b], percent)]
+            yield pd.DataFrame(found, columns=["src", "dst"], dtype="int64")
+
+    def open_ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows, bounds in _whole_tasks(batches):
+            wanted = np.zeros(len(rows), bool)
+            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+                pairs = _Weigher(rows.iloc[a:b], percent)
+                for i in range(1, b - a):
+                    near = pairs.partners(i)
+                    wanted[a + near] = True
+                    wanted[a + i] |= len(near) > 0
+            yield rows[wanted]
 
     def confirmed(tasks: DataFrame) -> DataFrame:
         # A repeated id may stand for several texts; each comes along, and links reach the id whichever matched.
-        rows = tasks.join(source, "node").repartition(width, *tasks_of)
-        return rows.groupBy(*tasks_of).applyInPandas(confirm, "src long, dst long")
+        return dealt(tasks.join(source, "node")).mapInPandas(confirm, "src long, dst long")
 
     hung = shared.where("id <> first").select(F.col("id").alias("src"), F.col("first").alias("dst")).distinct()
     one, two = (signed.select(F.col("node").alias(n), F.col("size").alias(f"{n}_size"), F.col("sig").alias(f"{n}_sig")) for n in ("src", "dst"))
@@ -308,10 +338,10 @@ def near_duplicates(
     stars = cut(confirmed(_star_tasks(hung, block_rows).join(signed, "node")).unionByName(bound))
     classes = cut(connected_components(stars))
     known = F.coalesce("component", "id").alias("known")
-    held = shared.join(classes.withColumnRenamed("node", "id"), "id", "left").select("key", F.col("id").alias("node"), known)
-    tasks = _bucket_tasks(held, block_rows).join(signed, "node").repartition(width, *tasks_of)
-    kinds = "unit long, low int, high int, side int, node long, known long, size long, sig array<long>"
-    ends = tasks.groupBy(*tasks_of).applyInPandas(lambda pdf: open_ends(pdf[[k.split()[0] for k in kinds.split(", ")]]), kinds)
+    held = shared.join(classes.withColumnRenamed("node", "id"), "id", "left").select("key", "band", F.col("id").alias("node"), known)
+    columns = {"unit": "long", "low": "int", "high": "int", "side": "int", "node": "long", "known": "long", "size": "long", "sig": "array<long>", "bands": "array<long>"}
+    tasks = _bucket_tasks(held, block_rows).join(signed, "node").select(*columns)
+    ends = dealt(tasks).mapInPandas(open_ends, ", ".join(f"{c} {k}" for c, k in columns.items()))
     rest = confirmed(cut(ends))
     # What the buckets add joins classes, not documents.
     named = classes.select(F.col("node").alias("id"), "component")
