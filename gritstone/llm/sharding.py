@@ -1,11 +1,13 @@
 """Sharding by best-fit-decreasing bin packing of indivisible groups.
 
-Equal texts are a group and stay together.  Groups above ``fine`` of a shard
-enter the packing on their own; the many smaller ones are first bundled by
-hash into a bounded number of items, so the packing sees a bounded list
-however large the corpus is.  Items sorted by size enter the bin with the
-tightest remaining capacity that holds them, found in a balanced search tree
-(a treap keyed by remaining capacity).
+Equal texts are a group and stay together.  Every group enters the packing by
+its own size: groups of equal size are a class, and classes from the largest
+size down enter the bin with the tightest remaining capacity that holds them,
+found in a balanced search tree (a treap keyed by remaining capacity).  Best fit
+puts one group after another of a class into the same bin until it has no room
+for a further one, so a class is placed by a few steps however many groups it
+has, and the driver holds two numbers a class.  The different sizes of groups of
+b bytes in all are at most the square root of 2 b: 15 million for 100 TB.
 """
 
 from __future__ import annotations
@@ -18,9 +20,10 @@ from pyspark.sql import functions as F
 from gritstone.llm.kernels import splitmix
 from gritstone.session import cut
 
-#: Bundles of small groups, and the part of a shard from which a group is packed on its own.
-BUNDLES = 4_096
-FINE = 1 / 512
+#: Groups from this part of all rows or bytes on are broadcast with their shard, at most 2 / PART of them.
+PART = 1 / 4_096
+#: Placed runs of classes that are broadcast; more are joined by shuffle.
+BROADCAST_RUNS = 1 << 18
 #: Rows that share a bucket when slots are numbered, about.
 BUCKET_ROWS = 8_192
 
@@ -91,81 +94,90 @@ class Bins:
         return b
 
 
-def best_fit_decreasing(items: list[tuple[str, int]], capacity: int, shards: int | None = None) -> dict[str, int]:
-    """Bin of each item.  With shards, no more bins than that are opened: what fits none enters the roomiest."""
-    bins, placed, opened = Bins(), {}, 0
-    for name, size in sorted(items, key=lambda x: (-x[1], x[0])):
-        found = bins.take(size)
-        if found is None and (shards is None or opened < shards):
-            found, opened = (capacity, opened), opened + 1
-        elif found is None:
-            found = bins.take_roomiest()
-        placed[name] = found[1]
-        bins.add(found[0] - size, found[1])
-    return placed
-
-
-def balanced(items: list[tuple[str, int]], shards: int) -> dict[str, int]:
-    """Best fit at the smallest fixed capacity for which shards bins hold everything, by halving; overfull only if one item is."""
-    total, largest = sum(s for _, s in items), max((s for _, s in items), default=0)
-    low, high = max(-(-total // shards), largest, 1), max(2 * (-(-total // shards)), largest, 1)
-    fits = lambda c: max(best_fit_decreasing(items, c).values(), default=0) < shards
+def best_fit_decreasing(classes: list[tuple[int, int]], capacity: int, shards: int | None = None) -> list[tuple[int, int, int]]:
+    """(size, groups, bin) of each run of a class, from classes (size, groups).
+
+    With shards, no more bins than that are opened: what fits none enters the
+    roomiest, group by group.
+    """
+    bins, runs, opened = Bins(), [], 0
+    for size, left in sorted(classes, reverse=True):
+        while left:
+            found = bins.take(size)
+            if found is None and (shards is None or opened < shards):
+                found, opened = (capacity, opened), opened + 1
+            elif found is None:
+                found = bins.take_roomiest()
+            # The bin stays the tightest one while it holds another group of this size.
+            count = max(1, min(left, found[0] // size)) if size else left
+            runs.append((size, count, found[1]))
+            bins.add(found[0] - count * size, found[1])
+            left -= count
+    return runs
+
+
+def balanced(classes: list[tuple[int, int]], shards: int) -> list[tuple[int, int, int]]:
+    """Best fit at the smallest fixed capacity found for which shards bins hold everything: the least possible one is
+    tried first, then wider steps above it, then the last step is halved."""
+    total, largest = sum(s * n for s, n in classes), max((s for s, _ in classes), default=0)
+    least = max(-(-total // shards), largest, 1)
+    fits = lambda c: max((b for _, _, b in best_fit_decreasing(classes, c)), default=0) < shards
+    low, high, step = least, least, 1
     while not fits(high):
-        high *= 2
+        low, high, step = high + 1, high + step, 2 * step
     while low < high:
         middle = (low + high) // 2
         low, high = (low, middle) if fits(middle) else (middle + 1, high)
-    return best_fit_decreasing(items, low, shards)
+    return best_fit_decreasing(classes, high, shards)
+
 
+def _numbered(rows: DataFrame, key: str, order: list[str], count: int, name: str) -> DataFrame:
+    """rows with a gapless number from 0 within each key: within buckets of a hash of order, after all of the key's earlier buckets."""
+    placed = rows.withColumn("bucket", F.pmod(F.xxhash64(*order), F.lit(max(1, count // BUCKET_ROWS))))
+    before = Window.partitionBy(key).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.groupBy(key, "bucket").agg(F.count("*").alias("n")).withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    within = Window.partitionBy(key, "bucket").orderBy(*order)
+    out = placed.withColumn("at", F.row_number().over(within) - 1).join(starts, [key, "bucket"])
+    return out.withColumn(name, (F.col("start") + F.col("at")).cast("long")).drop("bucket", "at", "start")
 
-def shard(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    shards: int = 8,
-    bundles: int = BUNDLES,
-    fine: float = FINE,
-) -> DataFrame:
+
+def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 8) -> DataFrame:
     """(id_col, size, text_crc32, law, shard, slot, grown_shard), one row per row of docs.
 
     size is the text's UTF-8 bytes plus 1 (null: 1); nulls are one group, as
     empty texts are.  The law is `bytes`: shards are of near equal size, as far as
-    groups that must stay together allow.  slot counts a shard's rows from 0
-    without gaps.  grown_shard is null under this law.  Repeated ids keep their
-    rows; an empty table gives an empty result.
+    groups that must stay together allow.  Groups of equal size are told apart by
+    their digests.  slot counts a shard's rows from 0 without gaps.  grown_shard
+    is null under this law.  Texts of any length are read by Spark alone.
+    Repeated and null ids, and equal rows, keep their rows; an empty table gives
+    an empty result.  Other columns are not read, whatever their names.
     """
+    spark = docs.sparkSession
     text = F.col(text_col).cast("string")
     body = F.coalesce(text, F.lit(""))
-    group = F.when(text.isNull(), F.lit("-")).otherwise(F.md5(body))
-    sized = cut(
-        docs.select(
-            F.col(id_col).alias("id"),
-            (F.octet_length(body) + 1).cast("long").alias("size"),
-            F.crc32(body.cast("binary")).alias("text_crc32"),
-            group.alias("grp"),
-        )
-    )
-    total = sized.agg(F.sum("size")).first()[0]
-    if total is None:
-        return sized.select(F.col("id").alias(id_col), "size", "text_crc32", F.lit("bytes").alias("law"), F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
-    bundle = F.concat(F.lit("b"), F.pmod(F.xxhash64("grp"), F.lit(bundles)).cast("string"))
-    groups = sized.groupBy("grp").agg(F.sum("size").alias("bytes"))
-    # At most shards / fine groups reach this size, so this list is bounded.
-    large = {r["grp"]: r["bytes"] for r in groups.where(F.col("bytes") >= total * fine / shards).collect()}
-    spark = docs.sparkSession
-    own = spark.createDataFrame([(g, True) for g in large], "grp string, own boolean")
-    named = sized.join(F.broadcast(own), "grp", "left").withColumn("item", F.when(F.col("own"), F.col("grp")).otherwise(bundle))
-    items = [(r["item"], r["bytes"]) for r in named.groupBy("item").agg(F.sum("size").alias("bytes")).collect()]
-    bins = spark.createDataFrame(list(balanced(items, shards).items()), "item string, shard int")
-    placed = named.join(F.broadcast(bins), "item")
-    # Slots: a bucket's rows are numbered within it, after all rows of the shard's earlier buckets.
-    rows = sized.count()
-    buckets = max(1, rows // BUCKET_ROWS)
-    placed = placed.withColumn("bucket", F.pmod(F.xxhash64("id", "grp"), F.lit(buckets)))
-    before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = placed.groupBy("shard", "bucket").agg(F.count("*").alias("n")).withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    within = Window.partitionBy("shard", "bucket").orderBy("id", "grp")
-    out = placed.withColumn("at", F.row_number().over(within) - 1).join(starts, ["shard", "bucket"])
-    return out.select(
-        F.col("id").alias(id_col), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("start") + F.col("at")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard")
-    )
+    group = F.when(text.isNull(), F.lit(b"-")).otherwise(F.unhex(F.md5(body)))
+    sized = cut(docs.select(F.col(id_col).alias("id"), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"), group.alias("grp")))
+    rows, total = sized.agg(F.count("*"), F.sum("size")).first()
+    law, grown = F.lit("bytes").alias("law"), F.lit(None).cast("int").alias("grown_shard")
+    if not rows:
+        return sized.select(F.col("id").alias(id_col), "size", "text_crc32", law, F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"), grown)
+    groups = cut(sized.groupBy("grp").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")))
+    classes = groups.groupBy("bytes").agg(F.count("*").alias("n")).toPandas()
+    ends: dict[int, int] = {}
+    runs = []
+    for size, count, bin_ in balanced(list(zip(classes["bytes"].tolist(), classes["n"].tolist(), strict=True)), shards):
+        low = ends.get(size, 0)
+        ends[size] = low + count
+        runs.append((size, low, low + count, bin_))
+    bounds = spark.createDataFrame(runs, "bytes long, low long, high long, shard int")
+    bounds = F.broadcast(bounds) if len(runs) <= BROADCAST_RUNS else bounds
+    numbered = _numbered(groups, "bytes", ["grp"], int(classes["n"].sum()), "place")
+    placed = cut(numbered.join(bounds, "bytes").where("place >= low and place < high").select("grp", "bytes", "rows", "shard"))
+    # A group with many of the rows or bytes would make one task of the join.
+    hot = (F.col("rows") >= rows * PART) | (F.col("bytes") >= total * PART)
+    few, many = placed.where(hot).select("grp", F.col("shard").alias("own")), placed.where(~hot).select("grp", "shard")
+    marked = sized.join(F.broadcast(few), "grp", "left")
+    cold = marked.where("own is null").drop("own").join(many, "grp")
+    out = cold.unionByName(marked.where("own is not null").withColumnRenamed("own", "shard").select(*cold.columns))
+    out = _numbered(out, "shard", ["id", "grp"], rows, "slot")
+    return out.select(F.col("id").alias(id_col), "size", "text_crc32", law, "shard", "slot", grown)

@@ -287,10 +287,12 @@ def test_sharding(spark, empty):
 def test_best_fit_takes_the_tightest_bin():
     rng = random.Random(7)
     for _ in range(30):
-        items = [(str(k), rng.randrange(1, 60)) for k in range(rng.randrange(1, 60))]
+        items = [rng.randrange(1, 60) for _ in range(rng.randrange(1, 90))]
+        classes = list(collections.Counter(items).items())
         room: list[int] = []
-        want = {}
-        for name, size in sorted(items, key=lambda x: (-x[1], x[0])):
+        want = []
+        # One group after the other, each into the tightest bin.
+        for size in sorted(items, reverse=True):
             fits = [(r, b) for b, r in enumerate(room) if r >= size]
             if fits:
                 b = min(fits)[1]
@@ -298,12 +300,14 @@ def test_best_fit_takes_the_tightest_bin():
                 b = len(room)
                 room.append(100)
             room[b] -= size
-            want[name] = b
-        assert sharding.best_fit_decreasing(items, 100) == want
+            want.append((size, b))
+        assert [(s, b) for s, n, b in sharding.best_fit_decreasing(classes, 100) for _ in range(n)] == want
         bins = collections.Counter()
-        for name, b in sharding.balanced(items, 4).items():
-            bins[b] += dict(items)[name]
-        assert max(bins.values()) <= max(sum(s for _, s in items) / 4 + 60, 60)
+        placed = sharding.balanced(classes, 4)
+        for size, n, b in placed:
+            bins[b] += size * n
+        assert collections.Counter(s for s, n, _ in placed for _ in range(n)) == collections.Counter(items)
+        assert set(bins) <= set(range(4)) and max(bins.values()) <= max(sum(items) / 4 + 60, 60)
 
 
 def test_mixing(spark, empty):
