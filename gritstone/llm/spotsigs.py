@@ -46,16 +46,32 @@ def _member(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     return ordered[at] == values
 
 
+def _bare_pairs(words: np.ndarray, bounds: np.ndarray, anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(spots of words without an anchor among the DENSE words before them and of the word that follows, bounds of each text's)."""
+    place = np.arange(len(words))
+    last = np.full(len(words), -DENSE - 1)
+    last[anchors] = anchors
+    last = np.maximum.accumulate(last) if len(words) else last
+    begin = np.repeat(bounds[:-1], np.diff(bounds))
+    stop = np.repeat(bounds[1:], np.diff(bounds))
+    at = np.flatnonzero(((place - last > DENSE) | (last < begin)) & (place + 1 < stop))
+    with np.errstate(over="ignore"):
+        spots_ = (mix64(words[at] * np.uint64(_K1) ^ words[at + 1]) >> np.uint64(32)).astype(np.uint32) if len(at) else np.empty(0, np.uint32)
+    return spots_, np.searchsorted(at, bounds)
+
+
 def spots(texts: list[bytes], chain: int = CHAIN) -> list[np.ndarray]:
     """The sorted distinct 32-bit spots of each text.
 
-    Where anchors are fewer than one word in DENSE (tables, capitals, very short
-    texts), each word is an anchor of the one that follows as well; a text that
-    still has no spot is one spot of all its bytes, as the empty text is.
+    A word with no anchor among the DENSE words before it (tables, capitals, the
+    start of a text) is an anchor of the word that follows: a rule of the place,
+    so an edit changes spots around it only.  A text without any spot is one spot
+    of all its bytes, as the empty text is.
     """
     words, bounds = word_hashes(texts, LETTERS)
     content = np.flatnonzero(~_member(words, _COMMON)) if len(words) else np.empty(0, np.int64)
     anchors = np.flatnonzero(_member(words, _ANCHOR)) if len(words) else np.empty(0, np.int64)
+    pairs, pair_edges = _bare_pairs(words, bounds, anchors)
     owner = np.searchsorted(bounds, anchors, side="right") - 1
     first = np.searchsorted(content, anchors)
     last = first + chain - 1
@@ -68,15 +84,9 @@ def spots(texts: list[bytes], chain: int = CHAIN) -> list[np.ndarray]:
             value = (value ^ words[content[first + k]]) * np.uint64(_K2) + np.uint64(k + 1)
         value = (mix64(value) >> np.uint64(32)).astype(np.uint32)
     edges = np.searchsorted(owner, np.arange(len(texts) + 1))
-    anchored = np.bincount(np.searchsorted(bounds, np.flatnonzero(_member(words, _ANCHOR)), side="right") - 1, minlength=len(texts)) if len(words) else np.zeros(len(texts), np.int64)
     out = []
     for i in range(len(texts)):
-        found = value[edges[i] : edges[i + 1]]
-        own = words[bounds[i] : bounds[i + 1]]
-        if len(own) >= 2 and DENSE * anchored[i] < len(own):
-            with np.errstate(over="ignore"):
-                pairs = (mix64(own[:-1] * np.uint64(_K1) ^ own[1:]) >> np.uint64(32)).astype(np.uint32)
-            found = np.concatenate([found, pairs])
+        found = np.concatenate([value[edges[i] : edges[i + 1]], pairs[pair_edges[i] : pair_edges[i + 1]]])
         if not len(found):
             found = np.frombuffer(hashlib.blake2b(texts[i], digest_size=4).digest(), np.uint32)
         out.append(np.unique(found))
