@@ -23,6 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gritstone.llm.sampling import smallest_hashes
 from gritstone.session import cut
 
 SAMPLE = 16_384
@@ -48,7 +49,8 @@ class Index:
     chunks: np.ndarray
 
     def turn(self, raw: np.ndarray) -> np.ndarray:
-        unit = raw / np.linalg.norm(raw, axis=1, keepdims=True)
+        near = scaled(raw)
+        unit = near / np.linalg.norm(near, axis=1, keepdims=True)
         return (unit @ self.rotation).astype(np.float32)
 
     def nearest(self, turned: np.ndarray) -> np.ndarray:
@@ -65,12 +67,10 @@ class Index:
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(vec_id, vec double[]) of the rows that take part: no null, zero, NaN or infinite vectors, one length (the commonest)."""
+    """(vec_id, vec double[]) of the rows that take part: no null, zero, NaN or infinite vectors."""
     vec = F.col(vec_col).cast("array<double>")
     sound = ~F.exists(vec, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(vec, lambda x: x != 0)
-    rows = vectors.where(F.col(id_col).isNotNull() & F.coalesce(sound, F.lit(False))).select(F.col(id_col).cast("long").alias("vec_id"), vec.alias("vec"))
-    common = rows.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    return rows.where(F.size("vec") == (common["d"] if common else 0))
+    return vectors.where(F.col(id_col).isNotNull() & F.coalesce(sound, F.lit(False))).select(F.col(id_col).cast("long").alias("vec_id"), vec.alias("vec"))
 
 
 def _kmeans(x: np.ndarray, lists: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
@@ -85,9 +85,12 @@ def _kmeans(x: np.ndarray, lists: int, rng: np.random.Generator, rounds: int = 8
 
 
 def fit(rows: DataFrame, k: int, seed: int = 11) -> Index | None:
-    """The index over usable rows: at most SAMPLE of them are read on the driver; None without rows."""
+    """The index over usable rows of one length: at most SAMPLE of them, those with the smallest hashes of the id, are
+    read on the driver; None without rows."""
     count = rows.count()
-    got = rows.orderBy(F.xxhash64(F.lit(seed), "vec_id"), "vec_id").limit(SAMPLE).toPandas()
+    limits = rows.sparkSession.createDataFrame([(0, count, SAMPLE)], "grp int, n long, most int")
+    chosen = smallest_hashes(rows.select(F.col("vec_id").alias("id"), F.lit(0).alias("grp")), limits).select(F.col("id").alias("vec_id"))
+    got = rows.join(F.broadcast(chosen), "vec_id", "left_semi").groupBy("vec_id").agg(F.min("vec").alias("vec")).orderBy("vec_id").toPandas()
     if not len(got):
         return None
     raw = np.stack(got["vec"].to_numpy()).astype(np.float64)
@@ -121,34 +124,65 @@ def fit(rows: DataFrame, k: int, seed: int = 11) -> Index | None:
     return index
 
 
-def scan(query: np.ndarray, first: np.ndarray, rest: list[np.ndarray] | np.ndarray, k: int) -> np.ndarray:
-    """Positions (in first, then rest) of candidates that survive: the nearest list is scanned whole and sets the
-    bound, the others go through the test block by block."""
-    size = len(query)
-    whole = ((first - query) ** 2).sum(axis=1)
-    bound = np.partition(whole, k - 1)[k - 1] if len(whole) >= k else np.inf
-    kept = np.arange(len(rest))
-    partial = np.zeros(len(rest), np.float32)
-    for a in range(0, size, BLOCK):
-        d = min(a + BLOCK, size)
-        part = rest[kept, a:d] - query[a:d]
-        partial = partial + np.einsum("ij,ij->i", part, part)
-        if np.isfinite(bound):
-            limit = bound if d == size else bound * (d / size) * (1 + EPSILON / np.sqrt(d)) ** 2
-            alive = partial <= limit * (1 + 1e-5)
-            kept, partial = kept[alive], partial[alive]
-        if not len(kept):
-            break
-    distance = np.concatenate([whole, partial])
-    at = np.concatenate([np.arange(len(first)), len(first) + kept])
-    if len(distance) > k:
-        last = np.partition(distance, k - 1)[k - 1]
-        at = at[distance <= last + 1e-5]
-    return at
+class Columns:
+    """Rotated vectors in blocks of BLOCK columns, each block contiguous, with the block's squared length of each vector."""
+
+    def __init__(self, turned: np.ndarray):
+        self.size = turned.shape[1]
+        self.ends = [*range(BLOCK, self.size, BLOCK), self.size]
+        self.blocks = [np.ascontiguousarray(turned[:, a:d]) for a, d in zip([0, *self.ends[:-1]], self.ends, strict=True)]
+        self.squares = [np.einsum("ij,ij->i", b, b) for b in self.blocks]
+
+
+def scan(query: np.ndarray, held: Columns, lists: list[tuple[int, int]], k: int) -> np.ndarray:
+    """Positions of the candidates that survive, of lists (begin, end) from the nearest on.
+
+    Distances grow block by block; once k distances are known whole, a
+    candidate is dropped when its partial distance fails the test against the
+    k-th of them, which is renewed after every list.
+    """
+    parts = [query[d - b.shape[1] : d] for d, b in zip(held.ends, held.blocks, strict=True)]
+    lengths = [float(q @ q) for q in parts]
+    places: list[np.ndarray] = []
+    distances: list[np.ndarray] = []
+    best, bound = np.empty(0, np.float32), np.inf
+    for begin, stop in lists:
+        kept = np.arange(begin, stop)
+        partial = np.zeros(stop - begin, np.float32)
+        for d, block, square, part, length in zip(held.ends, held.blocks, held.squares, parts, lengths, strict=True):
+            whole = len(kept) == stop - begin
+            rows, norm = (block[begin:stop], square[begin:stop]) if whole else (block[kept], square[kept])
+            partial = partial + (norm + length - 2 * (rows @ part))
+            if np.isfinite(bound):
+                limit = bound if d == held.size else bound * (d / held.size) * (1 + EPSILON / np.sqrt(d)) ** 2
+                alive = partial <= limit + 1e-5
+                if not alive.all():
+                    kept, partial = kept[alive], partial[alive]
+            if not len(kept):
+                break
+        if len(kept):
+            places.append(kept)
+            distances.append(partial)
+            best = np.concatenate([best, partial])
+            if len(best) > k:
+                best = np.partition(best, k - 1)[:k]
+            if len(best) >= k:
+                bound = float(best.max())
+    if not places:
+        return np.empty(0, np.int64)
+    at = np.concatenate(places)
+    return at[np.concatenate(distances) <= bound + 1e-5]
+
+
+def scaled(raw: np.ndarray) -> np.ndarray:
+    """Rows times the power of two that brings their largest component near 1: no product over- or underflows, nothing is rounded."""
+    _, exponent = np.frexp(np.abs(raw).max(axis=-1, keepdims=True))
+    return np.ldexp(raw, -exponent)
 
 
 def cosine(query: np.ndarray, many: np.ndarray) -> np.ndarray:
     """Double precision, each row by itself, so that equal vectors score equally."""
+    query, many = scaled(query), scaled(many)
     dots = (many * query).sum(axis=1)
     return dots / (np.sqrt((many * many).sum(axis=1)) * np.sqrt((query * query).sum()))
 
@@ -164,20 +198,35 @@ def search(
     """(query_id, rank, vec_id, score): each query's k nearest rows of vectors found, other than the row with its own id.
 
     Fewer come where there are fewer candidates.  Ties go to the smaller
-    vec_id.  Unusable vectors (see ``usable``) take no part on either side; an
-    empty table gives an empty result.  Equal vectors are searched once: of a
-    vector's rows only the k + 1 smallest ids can be among anyone's k nearest.
-    Repeated ids on the query side are answered once.
+    vec_id.  Null and zero vectors, and those that hold a null or a component
+    that is not finite, take no part on either side, nor do rows with a null id.
+    Vectors are searched among those of their own length, each length with an
+    index of its own.  An empty table gives an empty result.  Equal vectors are
+    searched once: of a vector's rows only the k + 1 smallest ids can be among
+    anyone's k nearest.  Equal rows are one.  Of a repeated id each different
+    vector is a candidate; as a query the id is answered once, by all its vectors
+    together, which take one of its places each but for the first.  Other columns
+    are not read, whatever their names.
     """
     spark = vectors.sparkSession
-    rows = usable(vectors, id_col, vec_col)
+    rows, asked = usable(vectors, id_col, vec_col), usable(queries, id_col, vec_col)
+    lengths = sorted(r["d"] for r in rows.select(F.size("vec").alias("d")).distinct().collect())
+    found = [_search(rows.where(F.size("vec") == d), asked.where(F.size("vec") == d), k, seed) for d in lengths]
+    if not found:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    final = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return out.withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _search(rows: DataFrame, asked: DataFrame, k: int, seed: int) -> DataFrame:
+    """(query_id, vec_id, score): the k nearest found, and some more, of usable vectors of one length."""
+    spark = rows.sparkSession
     index = fit(rows, k, seed)
-    out_kind = "query_id long, rank int, vec_id long, score double"
-    if index is None:
-        return spark.createDataFrame([], out_kind)
     shared = spark.sparkContext.broadcast(index)
     most = k + 1
-    asked = usable(queries, id_col, vec_col).where(F.size("vec") == int(index.rotation.shape[0]))
 
     def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -191,24 +240,37 @@ def search(
         for pdf in batches:
             if len(pdf):
                 raw = np.stack(pdf["vec"].to_numpy()).astype(np.float64)
-                probed = shared.value.probed(shared.value.turn(raw))
+                turned = shared.value.turn(raw)
+                probed = shared.value.probed(turned)
                 into = np.zeros((len(raw), len(shared.value.chunks)), bool)
                 for g in range(into.shape[1]):
                     into[:, g] = probed[:, shared.value.groups == g].any(axis=1)
-                yield pd.DataFrame({"vec_id": pdf["vec_id"], "groups": [np.flatnonzero(x).astype(np.int32) for x in into], "raw": [r.tobytes() for r in raw]})
+                home = shared.value.groups[shared.value.nearest(turned)]
+                yield pd.DataFrame({"vec_id": pdf["vec_id"], "home": home, "groups": [np.flatnonzero(x).astype(np.int32) for x in into], "raw": [r.tobytes() for r in raw]})
 
     stored = rows.mapInPandas(placed, "vec_id long, list int, grp int, parts int, raw binary")
     same = Window.partitionBy(F.md5("raw"), "raw").orderBy("vec_id")
-    stored = stored.withColumn("copy", F.row_number().over(same)).where(F.col("copy") <= most)
-    turned = asked.mapInPandas(routed, "vec_id long, groups array<int>, raw binary").withColumn("qkey", F.md5("raw"))
-    turned = cut(turned)
+    again = F.lag("vec_id").over(same).eqNullSafe(F.col("vec_id"))
+    stored = stored.withColumn("copy", F.dense_rank().over(same)).withColumn("again", again).where((F.col("copy") <= most) & ~F.col("again"))
+    turned = cut(asked.mapInPandas(routed, "vec_id long, home int, groups array<int>, raw binary").withColumn("qkey", F.md5("raw")))
     members = turned.select("qkey", F.col("vec_id").alias("query_id")).distinct()
-    single = turned.groupBy("qkey").agg(F.first("groups").alias("groups"), F.first("raw").alias("raw"))
-    parts = max(1, -(-turned.count() // TASK_QUERIES))
+    single = turned.groupBy("qkey").agg(F.min("home").alias("home"), F.min("groups").alias("groups"), F.min("raw").alias("raw"))
+    # Queries that are near one another share a block, so a block probes few groups and candidates go to few blocks.
+    blocks, held = [], TASK_QUERIES
+    for r in sorted(single.groupBy("home").count().collect()):
+        parts = -(-r["count"] // TASK_QUERIES)
+        if parts > 1 or held + r["count"] > TASK_QUERIES:
+            first = blocks[-1][1] + blocks[-1][2] if blocks else 0
+            held = TASK_QUERIES if parts > 1 else 0
+        held += r["count"] if parts == 1 else 0
+        blocks.append((r["home"], first, parts))
+    homes = spark.createDataFrame(blocks, "home int, first int, split int")
     chunk_table = F.array(*[F.lit(int(c)) for c in index.chunks])
-    left = stored.withColumn("chunk", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).select("grp", "chunk", "block", "list", "vec_id", "raw")
-    right = single.withColumn("block", F.pmod(F.xxhash64("qkey"), F.lit(parts)).cast("int")).withColumn("grp", F.explode("groups"))
+    right = single.join(F.broadcast(homes), "home").withColumn("block", (F.col("first") + F.pmod(F.xxhash64("qkey"), "split")).cast("int")).withColumn("grp", F.explode("groups"))
     right = right.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.element_at(chunk_table, F.col("grp") + 1) - 1))).select("grp", "chunk", "block", "qkey", "raw")
+    meetings = right.select(F.col("grp").alias("g"), F.col("block").alias("b")).distinct()
+    left = stored.withColumn("chunk", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")).join(meetings, F.col("grp") == F.col("g"))
+    left = left.select(F.col("g").alias("grp"), "chunk", F.col("b").alias("block"), "list", "vec_id", "raw")
 
     def meet(candidates: pd.DataFrame, questions: pd.DataFrame) -> pd.DataFrame:
         found = []
@@ -223,14 +285,11 @@ def search(
             begin, stop = np.searchsorted(lists, present), np.searchsorted(lists, present, side="right")
             probed = index.probed(wanted)[:, present]
             closeness = wanted @ index.centroids[present].T
+            columns = Columns(turned)
             for i, key in enumerate(questions["qkey"]):
                 here = np.flatnonzero(probed[i])
-                if not len(here):
-                    continue
                 here = here[np.argsort(-closeness[i, here], kind="stable")]
-                head = np.arange(begin[here[0]], stop[here[0]])
-                tail = np.concatenate([np.arange(begin[j], stop[j]) for j in here[1:]]) if len(here) > 1 else np.empty(0, np.int64)
-                at = np.concatenate([head, tail])[scan(wanted[i], turned[head], turned[tail], most)]
+                at = scan(wanted[i], columns, [(begin[j], stop[j]) for j in here], most)
                 exact = cosine(asked[i], raw[at])
                 for j in np.lexsort((ids[at], -exact))[:most]:
                     found.append((key, int(ids[at[j]]), float(exact[j])))
@@ -240,6 +299,4 @@ def search(
     hits = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, "qkey string, vec_id long, score double")
     order = Window.partitionBy("qkey").orderBy(F.desc("score"), "vec_id")
     top = hits.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).drop("place")
-    answers = members.join(top, "qkey").where("vec_id <> query_id")
-    final = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return answers.withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return members.join(top, "qkey").where("vec_id <> query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))

@@ -454,9 +454,25 @@ def test_nearest(spark):
 def test_scan_without_the_test_is_exact():
     rng = np.random.default_rng(5)
     x = rng.standard_normal((400, 64)).astype(np.float32)
-    at = ann.scan(x[0], x[1:50], x[50:], 6)
-    whole = ((x[1:] - x[0]) ** 2).sum(axis=1)
-    assert len(set(np.argsort(whole)[:6].tolist()) & set(at.tolist())) >= 5
+    at = ann.scan(x[0], ann.Columns(x), [(1, 50), (50, 51), (51, 400)], 6)
+    whole = ((x - x[0]) ** 2).sum(axis=1)
+    assert len(set(np.argsort(whole)[1:7].tolist()) & set(at.tolist())) >= 5 and len(at) < 60
+
+
+def test_nearest_of_each_length_and_of_extreme_norms(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.standard_normal(3)]) for i in range(8)] + [(100 + i, [float(x) for x in rng.standard_normal(2)]) for i in range(4)]
+    rows += [(200, [1e-200, 2e-200, 0.0, 1e-201]), (201, [1e200, 2e200, 0.0, 1e199]), (202, [1.0, 0.0, 0.0, 0.0]), (300, [1.0]), (None, [1.0, 2.0])]
+    table = spark.createDataFrame(rows + [(0, rows[0][1])], "vec_id long, embedding array<double>").withColumn("score", F.lit(1))
+    got = collections.defaultdict(list)
+    for r in ann.search(table, table.where("vec_id % 50 = 0"), k=5).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    assert {q: len(a) for q, a in got.items()} == {0: 5, 100: 3, 200: 2}
+    assert got[200][0][0] == 201 and abs(got[200][0][1] - 1) < 1e-12 and abs(got[200][1][1] - 1 / math.sqrt(5.01)) < 1e-12
+    x = {i: np.array(v) for i, v in rows if i is not None}
+    for q in (0, 100):
+        near = sorted((-ann.cosine(x[q], x[i][None])[0], i) for i in x if len(x[i]) == len(x[q]) and i != q)[:5]
+        assert [i for _, i in near] == [i for i, _ in got[q]]
 
 
 def test_samples_are_the_smallest_hashes(spark):
