@@ -4,8 +4,9 @@ Targets share out all words by weight; none exceeds ``cap`` times its source,
 and what is cut off goes to the others by weight.  Equal blocks of words are
 then given to sources by highest quotients target / (2j - 1), which makes
 integer quotas, shard by shard.  A source's documents form a stream in seeded
-order; its quota takes the stream's blocks from the start, again from the
-start after each full pass.
+order, cut into blocks; shard after shard takes its quota of blocks from where
+the one before ended, again from the start after each full pass.  What the mix
+takes of a document is the sum of what the shards take.
 """
 
 from __future__ import annotations
@@ -21,16 +22,16 @@ BLOCK_WORDS = 64
 SHARDS = 8
 CAP = 3
 #: Documents of one source that share a bucket of its stream, about.
-BUCKET_ROWS = 4_096
+BUCKET_ROWS = 1_024
 
 
 def word_count(text):
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def seeded(seed: int, key):
-    """60 bits of the md5 of seed and key: the order of a source's stream."""
-    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("")))), 1, 15), 16, 10).cast("long")
+def seeded(seed: int, key, otherwise):
+    """60 bits of the md5 of seed and key (of otherwise, where key is null): the order of a source's stream."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), otherwise, F.lit("")))), 1, 15), 16, 10).cast("long")
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
@@ -93,21 +94,24 @@ def mix(
     seed: int = 7,
     keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """(id_col, size, source_size, target, taken, first_word, *keep), one row per row of docs.
-
-    size counts words of the text (null: 0).  taken is what the mix takes of
-    the document, repeats counted: whole passes plus, of the one document where
-    a source's last block ends, some first words.  It never exceeds cap times
-    size.  first_word is the document's place in its source's stream.  Equal
-    ids (null is one, too) are ordered by the text's hash; rows equal in both are told apart only
-    by place.  A source without words takes nothing; an empty table gives none.
+    """(id_col, size, source_size, target, taken, shard_words, first_word, *keep), one row per row of docs.
+
+    size counts words of the text, however long (null: 0).  shard_words has what
+    each shard's blocks hold of the document, and taken is their sum: whole
+    passes plus, of the one document where a source's last block ends, some first
+    words.  It never exceeds cap times size.  first_word is the document's place
+    in its source's stream.  Equal ids are ordered by the text's hash, so are
+    null ones among themselves; rows equal in both are told apart only by place.
+    A null source is one of its own, the last.  A source without words takes
+    nothing; an empty table gives none.  Columns other than those named are not
+    read, whatever their names.
     """
     names = [f"k{i}" for i in range(len(keep))]
     given = docs.select(
         F.col(id_col).alias("id"),
         F.col(source_col).cast("string").alias("source"),
         word_count(F.col(text_col).cast("string")).alias("size"),
-        seeded(seed, F.col(id_col)).alias("h"),
+        seeded(seed, F.col(id_col), F.md5(F.col(text_col).cast("string"))).alias("h"),
         F.xxhash64(F.lit(seed), F.col(text_col).cast("string")).alias("t"),
         *[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)],
     )
@@ -120,18 +124,26 @@ def mix(
     starts = sums.withColumn("start", F.coalesce(F.sum("words").over(before), F.lit(0))).drop("words")
     wanted = targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), weights, cap)
     plan = quotas(wanted, block_words, shards)
-    words = F.least(F.aggregate("blocks", F.lit(0).cast("long"), lambda a, b: a + b) * block_words, F.col("source_size") * cap)
-    plan = plan.select("source", "source_size", "target", words.alias("quota"))
-    known = starts.join(plan, starts["source"].eqNullSafe(plan["source"])).select(starts["source"], "bucket", "start", "source_size", "target", "quota")
+    upto = F.transform(F.sequence(F.lit(1), F.lit(shards)), lambda n: F.least(F.aggregate(F.slice("blocks", 1, n), F.lit(0).cast("long"), lambda a, b: a + b) * block_words, F.col("source_size") * cap))
+    # The last shard ends where the source's quota does.
+    plan = cut(plan.select("source", "source_size", "target", upto.alias("upto")))
+    known = starts.join(plan, starts["source"].eqNullSafe(plan["source"])).select(starts["source"], "bucket", "start", "source_size", "target", "upto")
     known = known.withColumnRenamed("source", "s").withColumnRenamed("bucket", "b")
     joined = placed.join(known, placed["source"].eqNullSafe(known["s"]) & (placed["bucket"] == known["b"]))
     within = Window.partitionBy("s", "b").orderBy("h", "id", "t").rowsBetween(Window.unboundedPreceding, -1)
     stream = joined.withColumn("first_word", F.col("start") + F.coalesce(F.sum("size").over(within), F.lit(0)))
-    passes = F.when(F.col("source_size") > 0, F.floor(F.col("quota") / F.col("source_size"))).otherwise(0).cast("long")
-    rest = F.col("quota") - passes * F.col("source_size")
-    taken = passes * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("first_word")))
+    # Each pass is a run of the source's repeated stream; a shard takes what lies between the end of the one before and its own.
+    quota = F.element_at("upto", -1)
+    begins = F.when((F.col("size") > 0) & (quota > F.col("first_word")), F.sequence(F.col("first_word"), quota - 1, F.col("source_size"))).otherwise(F.array().cast("array<long>"))
+    lows = F.concat(F.array(F.lit(0).cast("long")), F.slice("upto", 1, shards - 1))
+    held = F.transform(
+        F.array(F.struct(begins.alias("begins"), F.arrays_zip(lows.alias("low"), F.col("upto").alias("high")).alias("ends"))),
+        lambda t: F.transform(t["ends"], lambda e: F.aggregate(t["begins"], F.lit(0).cast("long"), lambda n, x: n + F.greatest(F.lit(0).cast("long"), F.least(x + F.col("size"), e["high"]) - F.greatest(x, e["low"])))),
+    )[0]
+    stream = stream.withColumn("shard_words", held)
+    taken = F.aggregate("shard_words", F.lit(0).cast("long"), lambda a, b: a + b)
     return stream.select(
-        F.col("id").alias(id_col), "size", F.col("source_size").cast("long").alias("source_size"), "target", taken.cast("long").alias("taken"), "first_word", *[F.col(n).alias(c) for c, n in zip(keep, names, strict=True)]
+        F.col("id").alias(id_col), "size", F.col("source_size").cast("long").alias("source_size"), "target", taken.alias("taken"), "shard_words", "first_word", *[F.col(n).alias(c) for c, n in zip(keep, names, strict=True)]
     )
 
 

@@ -76,7 +76,8 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gritstone.llm.mixing import mix
 
-    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    mixed = mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", F.array_join(F.col("shard_words").cast("array<string>"), ",").alias("shard_words"))
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,13 +110,14 @@ SQL: dict[str, str] = {
               coalesce(sum(w) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS filled, sum(ss) OVER ()::DOUBLE AS total, sum(w) OVER () AS weights FROM r WINDOW o AS (ORDER BY ratio, source IS NULL, encode(source))),
         g AS (SELECT *, (total - below) / (weights - filled) AS x FROM f),
         t AS (SELECT source, ss, total, least(most, w * coalesce((SELECT x FROM g WHERE x <= ratio ORDER BY place LIMIT 1), 'Infinity'::DOUBLE)) AS target FROM g),
-        n AS (SELECT coalesce(max(floor(total / 64 + 0.5)), 0)::BIGINT AS n FROM t),
-        q AS (SELECT source, target, unnest(generate_series(1, (SELECT n FROM n))) AS j FROM t),
-        won AS (SELECT source FROM q ORDER BY target / (2 * j - 1) DESC, source IS NULL, encode(source) LIMIT (SELECT n FROM n)),
-        b AS (SELECT source, count(*) AS blocks FROM won GROUP BY source),
-        m AS (SELECT t.*, least(coalesce(blocks, 0) * 64, ss * 3) AS quota FROM t LEFT JOIN b ON t.source IS NOT DISTINCT FROM b.source),
-        k AS (SELECT d.*, ss, target, quota, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM d JOIN m ON d.source IS NOT DISTINCT FROM m.source)
-        SELECT doc_id, size, ss AS source_size, target, (CASE WHEN ss > 0 THEN quota // ss ELSE 0 END * size + greatest(0, least(size, CASE WHEN ss > 0 THEN quota % ss ELSE 0 END - pos)))::BIGINT AS taken FROM k""",
+        n AS (SELECT i AS s, coalesce((SELECT max(floor(total / 64 * i / 8 + 0.5)) FROM t), 0)::BIGINT AS n FROM generate_series(1, 8) AS g(i)),
+        q AS (SELECT source, target, unnest(generate_series(1, (SELECT max(n) FROM n))) AS j FROM t),
+        won AS (SELECT source, row_number() OVER (ORDER BY target / (2 * j - 1) DESC, source IS NULL, encode(source)) AS r FROM q),
+        u AS (SELECT t.source, t.ss, t.target, s, least(ss * 3, 64 * (SELECT count(*) FROM won WHERE r <= n.n AND won.source IS NOT DISTINCT FROM t.source)) AS high FROM t, n),
+        e AS (SELECT *, coalesce(lag(high) OVER (PARTITION BY source ORDER BY s), 0) AS low FROM u),
+        k AS (SELECT d.*, coalesce(sum(size) OVER (PARTITION BY source ORDER BY h, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM d),
+        x AS (SELECT k.doc_id, k.size, ss, target, s, sum(CASE WHEN k.size > 0 THEN greatest(0, least(i * ss + pos + k.size, high) - greatest(i * ss + pos, low)) ELSE 0 END)::BIGINT AS words FROM k JOIN e ON k.source IS NOT DISTINCT FROM e.source, generate_series(0, 2) AS p(i) GROUP BY ALL)
+        SELECT doc_id, size, ss AS source_size, target, sum(words)::BIGINT AS taken, string_agg(words::VARCHAR, ',' ORDER BY s) AS shard_words FROM x GROUP BY ALL""",
 }
 
 
