@@ -181,61 +181,3 @@ def test_galleries_are_all_known_faces(spark, tmp_path, monkeypatch):
             if -s > (0.05 if d <= 1 else 0.06 if d <= 30 else 0.07 if d <= 365 else 0.08):
                 nearest[f, int(p)] = d
     assert nearest and {(r["face_id"], r["person_id"]): r["days"] for r in QUERIES["nearest_face_in_time"](spark, folder).collect()} == nearest
-
-
-@pytest.mark.parametrize("threshold", [0.5, 0.8])
-def test_fingerprints_are_compared_by_partition(spark, threshold):
-    import itertools
-    import random
-
-    from gritstone.llm import spotsigs
-
-    rng = random.Random(8)
-    texts = []
-    for _ in range(25):
-        words = [rng.choice(["the", "of", f"w{rng.randrange(3_000)}"]) for _ in range(rng.randrange(8, 700))]
-        texts.append(words)
-        for keep in (0.98, 0.9, 0.7):
-            texts.append(words[: max(1, int(len(words) * keep))] + [f"z{rng.randrange(99)}"])
-    texts = [" ".join(t) for t in texts] + [" ".join(texts[0])]
-    prints = spotsigs.fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
-    sets = {r["doc_id"]: frozenset(r["spots"]) for r in prints.collect()}
-    first = {}
-    for i in sorted(sets):
-        first.setdefault(sets[i], i)
-    want = {(i, j): len(a & b) / len(a | b) for (a, i), (b, j) in itertools.combinations(first.items(), 2) if len(a & b) >= threshold * len(a | b) - 1e-9}
-    got = {(r["src"], r["dst"]): r["likeness"] for r in spotsigs.links(prints, threshold).collect()}
-    assert len(want) > 20 and got == want
-    family = {i: first[s] for i, s in sets.items()}
-    for a, b in sorted(want):
-        family = {i: min(family[a], family[b]) if f in (family[a], family[b]) else f for i, f in family.items()} if family[a] != family[b] else family
-    assert {r["doc_id"]: r["family"] for r in spotsigs.families(prints, threshold).collect()} == family
-
-
-@pytest.mark.parametrize("shards", [1, 8])
-def test_shards_take_their_quotas(spark, shards):
-    import collections
-
-    from gritstone.llm import mixing
-
-    rng = np.random.default_rng(9)
-    rows = [(i, " ".join(["w"] * int(rng.integers(0, 400))), None if i % 11 == 0 else "hot" if i % 3 else f"s{i % 4}") for i in range(160)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    source = {i: s for i, _, s in rows}
-    size = {i: len(t.split()) for i, t, _ in rows}
-    parts = mixing.shard_parts(docs, shards=shards).collect()
-    taken, held, spans = collections.Counter(), collections.Counter(), collections.defaultdict(list)
-    for r in parts:
-        taken[r["doc_id"]] += r["words"]
-        held[source[r["doc_id"]], r["shard"]] += r["words"]
-        spans[r["doc_id"], r["pass"]].append((r["first"], r["words"], r["shard"]))
-    assert taken == {r["doc_id"]: r["taken"] for r in mixing.mix(docs, shards=shards).collect() if r["taken"]}
-    for (i, _), found in spans.items():
-        found.sort()
-        assert found[0][0] == 0 and all(a + n == b for (a, n, _), (b, _, _) in zip(found, found[1:])) and [s for *_, s in found] == sorted(s for *_, s in found) and sum(n for _, n, _ in found) <= size[i]
-    sums = docs.groupBy("source").agg(F.sum(mixing.word_count(F.col("text"))).alias("source_size"))
-    for r in mixing.quotas(mixing.targets(sums), shards=shards).collect():
-        bound, left = 3 * r["source_size"], []
-        for s, n in enumerate(r["blocks"]):
-            left.append(min(64 * n, bound - sum(left)))
-            assert held[r["source"], s] == left[-1]
