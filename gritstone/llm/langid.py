@@ -31,6 +31,8 @@ SHARE = 0.4
 UNKNOWN = "und"
 #: Characters whose n-grams are in memory at once, but for a longer text.
 CHUNK = 1 << 18
+#: A text above this many characters is read in parts.
+LONG = 1 << 20
 
 
 @functools.cache
@@ -46,6 +48,19 @@ def _letters() -> np.ndarray:
     return out
 
 
+def text_parts(text: str, size: int = LONG) -> Iterator[str]:
+    """text in parts of about size characters, cut behind a blank or line end, where no n-gram is; a longer run without one stays whole."""
+    at = 0
+    while len(text) - at > size:
+        stop = max(text.rfind(" ", at, at + size), text.rfind("\n", at, at + size)) + 1
+        if stop <= at:
+            ends = [x for x in (text.find(" ", at + size), text.find("\n", at + size)) if x >= 0]
+            stop = min(ends) + 1 if ends else len(text)
+        yield text[at:stop]
+        at = stop
+    yield text[at:]
+
+
 def gram_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hashes of all n-grams, their text's index, whether each text has a letter).
 
@@ -53,7 +68,8 @@ def gram_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """
     raw = [t.encode("utf-32-le", "surrogatepass") for t in texts]
     sizes = np.fromiter((len(r) // 4 for r in raw), np.int64, len(raw))
-    low = _letters()[np.frombuffer(b"\0\0\0\0".join(raw) + b"\0\0\0\0" * 5, np.uint32)]
+    # A mark goes before each text, so the n-gram that opens a text is its own.
+    low = _letters()[np.frombuffer(b"".join(b"\0\0\0\0" + r for r in raw) + b"\0\0\0\0" * 5, np.uint32)]
     owner = np.repeat(np.arange(len(raw)), sizes + 1)
     n = len(owner)
     letter = low != 0
@@ -86,10 +102,12 @@ class Model:
     slots: np.ndarray
     chance: np.ndarray
 
-    def score(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
+    def count(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(hits of each text in each language's filter, n-grams of each text, whether it has a letter)."""
         n, total = len(texts), len(self.names)
-        if not total:
-            return [UNKNOWN] * n, np.zeros(n)
+        if n == 1 and len(texts[0]) > LONG and len(parts := list(text_parts(texts[0], LONG))) > 1:
+            found = [self.count([x]) for x in parts]
+            return sum(c for c, _, _ in found), sum(s for _, s, _ in found), np.any([h for _, _, h in found], axis=0)
         hashes, owner, has = gram_hashes(texts)
         seen = np.bincount(owner, minlength=n).astype(float)
         counts = np.empty((n, total))
@@ -104,6 +122,13 @@ class Model:
             for bit in range(min(64, total - 64 * p)):
                 hit = owner[(mask >> mask.dtype.type(bit)) & mask.dtype.type(1) == 1]
                 counts[:, 64 * p + bit] = np.bincount(hit, minlength=n)
+        return counts, seen, has
+
+    def score(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
+        n = len(texts)
+        if not self.names:
+            return [UNKNOWN] * n, np.zeros(n)
+        counts, seen, has = self.count(texts)
         true = np.maximum(0.0, (counts - seen[:, None] * self.chance) / (1 - self.chance))
         best = true.argmax(axis=1)
         whole = true.sum(axis=1)
@@ -114,7 +139,7 @@ class Model:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Filters from the documents with a language, at most SAMPLE_DOCS of each (smallest hashes of the id).
 
-    Null texts among them teach nothing.
+    Null texts and ids teach nothing; each text of a repeated id does.
     """
     given = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
     rows = given.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("grp"))
@@ -126,7 +151,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for lang, part in pdf.groupby("lang", sort=False):
-                texts = part["text"].tolist()
+                texts = [x for t in part["text"] for x in text_parts(t)]
                 for a, b in chunks([t.encode("utf-8", "surrogatepass") for t in texts], CHUNK):
                     values, n = np.unique(gram_hashes(texts[a:b])[0], return_counts=True)
                     yield pd.DataFrame({"lang": lang, "gram": values.view(np.int64), "n": n})
@@ -161,7 +186,9 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[
     A null text, or one without a letter, is `und` with score 0; so is every
     text if no language was learned.  score is the decided language's part of
     all corrected hits, 0 where nothing was hit; ties go to the smaller name.
-    Whole texts count, however long.  Only keep and the text are read.
+    Whole texts count, however long.  Repeated and null ids, and equal rows, keep
+    their rows: ids are not looked at.  An empty table gives an empty result.
+    Only keep and the text are read, so other columns may have any name.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = [f"k{i}" for i in range(len(keep))]
