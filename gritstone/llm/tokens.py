@@ -23,8 +23,11 @@ from pyspark.sql import functions as F
 
 from gritstone.session import cut, scratch_path
 
-#: Entries of a worker's piece cache: about 150 MB.
+#: Entries of a worker's piece cache, and characters of a piece that enters it: 150 MB at most, 250 with values of ids.
 PIECES = 800_000
+PIECE_CHARS = 32
+#: Contents of this part of all rows and more are joined by broadcast.
+PART = 1 / 4_096
 
 
 def tokenizer_digest(path: str) -> str:
@@ -96,7 +99,7 @@ class Pieces:
                 got = known.get(p)
                 if got is None:
                     got = piece(" " + p)
-                    if len(known) < self.limit:
+                    if len(known) < self.limit and len(p) <= PIECE_CHARS:
                         known[p] = got
                 parts.append(got)
         return self.join([piece(first), *parts]) if first else self.join(parts)
@@ -118,7 +121,12 @@ _LOOSE = re.compile(r"\s ")
 def _encoder_batches(path: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         count = token_counter(path)
+        last = None
         for pdf in batches:
+            # The join leaves repeated rows beside one another.
+            pdf = pdf.drop_duplicates("digest")
+            pdf = pdf[pdf["digest"] != last] if last is not None else pdf
+            last = pdf["digest"].iloc[-1] if len(pdf) else last
             yield pd.DataFrame({"digest": pdf["digest"], "n_tokens": [count(x) for x in pdf["text"]]})
 
     return run
@@ -134,8 +142,8 @@ def count_tokens(
 ) -> DataFrame:
     """(id_col, n_bytes, n_tokens, over_limit, digest), one row per row of docs.
 
-    Null texts count as empty: 0 bytes, 0 tokens.  Repeated texts and repeated
-    or null ids keep their rows.  No begin, end or padding tokens, no truncation.  An
+    Null texts count as empty: 0 bytes, 0 tokens.  Whole texts count, however
+    long.  Repeated texts and repeated or null ids keep their rows.  No begin, end or padding tokens, no truncation.  An
     empty table gives an empty result.  Other columns of docs are not read.
     Without ``cache_path`` the counts live in the shared checkpoint folder for
     this call only; with it they are read first and appended to.
@@ -147,17 +155,23 @@ def count_tokens(
     given = docs.select(F.col(id_col).alias("id"), body.alias("text"))
     digest = F.unhex(F.sha2(F.concat(F.lit(tag), F.col("text")), 256))
     index = cut(given.select("id", F.octet_length("text").cast("long").alias("n_bytes"), digest.alias("digest")))
-    wanted = index.groupBy("digest").agg(F.min("id").alias("id"))
+    grouped = cut(index.groupBy("digest").agg(F.min("id").alias("id"), F.count("*").alias("n")))
+    wanted = grouped.select("digest", "id")
     stored = _stored(spark, path)
     if stored is not None:
         wanted = wanted.join(stored.select("digest"), "digest", "left_anti")
-    # A repeated id may carry other texts; only the row whose own content is wanted is encoded.
+    # A repeated id may carry other texts; only the row whose own content is wanted is encoded, once where rows repeat.
     mine = given.select(F.col("id").alias("own"), "text", digest.alias("key"))
-    fresh = mine.join(wanted, mine["own"].eqNullSafe(wanted["id"]) & (mine["key"] == wanted["digest"]))
-    counted = fresh.select("digest", "text").mapInPandas(_encoder_batches(tokenizer_path), "digest binary, n_tokens long")
+    fresh = mine.join(wanted, mine["own"].eqNullSafe(wanted["id"]) & (mine["key"] == wanted["digest"])).select("digest", "text")
+    counted = fresh.mapInPandas(_encoder_batches(tokenizer_path), "digest binary, n_tokens long")
     counted.write.mode("append").parquet(path)
     cache = spark.read.schema("digest binary, n_tokens long").parquet(path).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-    out = index.join(cache, "digest")
+    # A content that many rows share would make one task of the join; of such there are at most 1 / PART.
+    often = grouped.where(F.col("n") >= grouped.agg(F.sum("n")).first()[0] * PART) if not index.isEmpty() else grouped
+    few = cache.join(F.broadcast(often.select("digest")), "digest", "left_semi").withColumnRenamed("n_tokens", "own")
+    marked = index.join(F.broadcast(few), "digest", "left")
+    rare = marked.where("own is null").drop("own").join(cache, "digest")
+    out = rare.unionByName(marked.where("own is not null").withColumnRenamed("own", "n_tokens"))
     return out.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), F.lower(F.hex("digest")).alias("digest"))
 
 
