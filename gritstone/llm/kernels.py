@@ -58,18 +58,39 @@ def chunks(texts: list[bytes], limit: int = 1 << 20) -> Iterator[tuple[int, int]
         yield start, len(texts)
 
 
+#: Bytes of a text that are in memory as arrays at once.
+SLICE = 1 << 22
+
+
+def text_slices(text: bytes, size: int = SLICE) -> Iterator[bytes]:
+    """text in parts of about size bytes, each cut behind a blank or line end; a longer run without one stays whole."""
+    at = 0
+    while len(text) - at > size:
+        stop = max(text.rfind(b" ", at, at + size), text.rfind(b"\n", at, at + size)) + 1
+        if stop <= at:
+            ends = [x for x in (text.find(b" ", at + size), text.find(b"\n", at + size)) if x >= 0]
+            stop = min(ends) + 1 if ends else len(text)
+        yield text[at:stop]
+        at = stop
+    if at < len(text):
+        yield text[at:]
+
+
 def word_hashes(texts: list[bytes], table: np.ndarray = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word, bounds): the words of text i are hash[bounds[i]:bounds[i + 1]].
 
-    NUL bytes inside a text count as separators only if the table says so;
-    they are mapped to 1 first, as 0 marks separators.
+    NUL bytes are part of a word unless the table says that they separate.  Texts
+    above SLICE bytes are read slice by slice.
     """
+    if len(texts) == 1 and len(texts[0]) > SLICE and len(parts := list(text_slices(texts[0], SLICE))) > 1:
+        found = np.concatenate([word_hashes([x], table)[0] for x in parts])
+        return found, np.array([0, len(found)], np.int64)
     lengths = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
     buffer = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
     mapped = table[buffer]
-    if table[0] == 0 and table is WORDS:
-        mapped = np.where(buffer == 0, np.uint8(1), mapped)
     inside = mapped != 0
+    if table is WORDS:
+        inside |= buffer == 0
     edge = np.diff(inside.view(np.int8), prepend=np.int8(0), append=np.int8(0))
     starts = np.flatnonzero(edge == 1)
     sizes = np.flatnonzero(edge == -1) - starts

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gritstone.llm.kernels import WORDS, chunks, word_hashes
+from gritstone.llm.kernels import SLICE, WORDS, chunks, text_slices, word_hashes
 from gritstone.llm.sampling import smallest_hashes
 from gritstone.session import spread
 
@@ -47,7 +47,9 @@ _CLASS = _byte_classes()
 
 
 def terms(texts: list[bytes]) -> np.ndarray:
-    """Counts of the TERMS terms of each text, as float32."""
+    """Counts of the TERMS terms of each text, as float32; a text above SLICE bytes is counted slice by slice."""
+    if len(texts) == 1 and len(texts[0]) > SLICE and len(parts := list(text_slices(texts[0], SLICE))) > 1:
+        return np.sum([terms([x]) for x in parts], axis=0, dtype=np.float64).astype(np.float32)
     n = len(texts)
     sizes = np.fromiter((len(t) + 1 for t in texts), np.int64, n)
     raw = np.frombuffer(b"\n".join(texts) + b"\n\n\n", np.uint8)
@@ -115,8 +117,8 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Model:
     """The latent space and its labelled vectors, from at most ``sample`` labelled documents (half of each label if
-    there are enough), those with the smallest hashes of the id.  Null labels and texts teach nothing; without labels
-    every score is 0.5.
+    there are enough), those with the smallest hashes of the id; of a repeated id's texts one.  Null labels, ids and texts
+    teach nothing; without labels every score is 0.5.
     """
     rows = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     single = rows.groupBy(F.col(id_col).alias("id")).agg(F.max((F.col(label_col) > 0).cast("int")).alias("label"))
@@ -135,7 +137,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 yield pd.DataFrame({"id": pdf["id"].to_numpy()[a:b], "label": pdf["label"].to_numpy()[a:b], "terms": [x.tobytes() for x in counts]})
 
     kind = dict(texts.dtypes)["id"]
-    got = texts.select("id", "label", "text").mapInPandas(run, f"id {kind}, label int, terms binary").toPandas()
+    rows = texts.select("id", "label", "text").mapInPandas(run, f"id {kind}, label int, terms binary")
+    got = rows.groupBy("id").agg(F.max("label").alias("label"), F.min("terms").alias("terms")).toPandas()
     prior = shares.get(1, 0) / total if total else 0.5
     if not len(got):
         return Model(np.ones(TERMS, np.float32), np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), prior)
@@ -155,8 +158,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def score(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = (), threshold: float = 0.3) -> DataFrame:
     """keep columns with score and predicted, one row per row of docs.
 
-    Whole texts count.  Null and empty texts get the share of label 1 among the
-    labels.  Only keep and the text are read.
+    Whole texts count, long ones slice by slice.  Null and empty texts get the
+    share of label 1 among the labels.  Repeated and null ids, and equal rows,
+    keep their rows: ids are not looked at.  Neighbours that are equally near are
+    taken in the order of the sample.  An empty table gives an empty result.
+    Only keep and the text are read, so other columns may have any name.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = [f"k{i}" for i in range(len(keep))]
