@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from gritstone.llm.kernels import LETTERS, chunks, mix64, splitmix, word_hashes
 from gritstone.operators.graph import connected_components
+from gritstone.session import cut
 
 # Anchors are the commonest function words of English, German, French and Spanish.
 ANCHORS = "the a an of is was are be to and in der die das ein eine ist und von zu le la les un une est et de du des en el los las una es y que".split()
@@ -28,8 +29,10 @@ ANCHORS = "the a an of is was are be to and in der die das ein eine ist und von
 FUNCTION_WORDS = "that this it he she they with for as at by from or on have has had not but his her their its i you we were been will would can which den dem mit auf für sich nicht auch im am es er sie wie als bei aus wird sind war ce cette il elle ils nous vous pour par sur dans avec qui ne pas plus au aux se lo su al con por para como más pero del".split()
 CHAIN = 2
 DENSE = 6
-BUCKETS = 4_096
 PARTITION_ROWS = 4_096
+#: Ranges of ids at most, and sampled keys that cut them.
+MOST_PARTS = 16_384
+CUT_ROWS = 262_144
 
 
 def _hashes(words: list[str]) -> np.ndarray:
@@ -133,38 +136,49 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n]
 
 
+def _cuts(keyed: DataFrame, parts: int) -> np.ndarray:
+    """Keys (k, h) that cut the rows into about as many equal parts, from a sample of at most about CUT_ROWS different keys."""
+    rows = keyed.count()
+    share = min(1.0, CUT_ROWS / max(1, rows))
+    at = F.xxhash64(F.lit(41), "k", "h") / math.ldexp(1.0, 64) + 0.5
+    got = keyed.where(at <= share).distinct().orderBy("k", "h").toPandas()
+    places = (np.arange(1, parts) * len(got)) // parts
+    return np.unique(got[["k", "h"]].to_numpy(np.int64).reshape(-1, 2)[places], axis=0) if len(got) else np.empty((0, 2), np.int64)
+
+
 def in_sequence(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(part, role, id, text), dealt by ranges of id and sorted: within a part ids descend, and the document
-    after its last one follows with role 1.  Null texts are empty.
+    """(part, role, id, text), dealt by ranges of id and text hash and sorted: within a part ids descend, and the
+    document after its last one follows with role 1.  Null texts are empty.
 
-    Ranges are unions of equal-width id buckets with about PARTITION_ROWS rows each.
+    Ranges hold about PARTITION_ROWS rows each; they are cut at sampled keys, so
+    neither outlying nor repeated ids fill one.
     """
     spark = docs.sparkSession
     body = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    low, high = body.agg(F.min("id"), F.max("id")).first()
-    if low is None:
+    # ~id descends as id ascends, without overflow.
+    body = body.withColumn("k", F.bitwise_not("id")).withColumn("h", F.xxhash64("text"))
+    keyed = cut(body.select("k", "h"))
+    cuts = _cuts(keyed, max(1, min(MOST_PARTS, keyed.count() // PARTITION_ROWS)))
+
+    @F.pandas_udf("int")
+    def part_of(k: pd.Series, h: pd.Series) -> pd.Series:
+        keys, hashes = k.to_numpy(np.int64), h.to_numpy(np.int64)
+        low, high = np.searchsorted(cuts[:, 0], keys, "left"), np.searchsorted(cuts[:, 0], keys, "right")
+        out = low.copy()
+        for i in np.flatnonzero(low < high):
+            out[i] = low[i] + np.searchsorted(cuts[low[i] : high[i], 1], hashes[i], "right")
+        return pd.Series(out.astype(np.int32))
+
+    tops = keyed.select("k", "h", part_of("k", "h").alias("part")).groupBy("part").agg(F.min(F.struct("k", "h")).alias("top")).select("part", "top.k", "top.h").orderBy("part").collect()
+    if not tops:
         return body.select(F.lit(0).alias("part"), F.lit(0).alias("role"), "id", "text")
-    width = max(1, -(-(high - low + 1) // BUCKETS))
-    bucket = ((F.col("id") - low) / F.lit(float(width))).cast("int") if high - low < 1 << 52 else F.floor(F.col("id").cast("decimal(38,0)") / width).cast("decimal(38,0)") - low // width
-    body = body.withColumn("bucket", bucket.cast("int"))
-    sizes = sorted((r["bucket"], r["n"], r["top"]) for r in body.groupBy("bucket").agg(F.count("*").alias("n"), F.max("id").alias("top")).collect())
-    rows = sum(n for _, n, _ in sizes)
-    want = max(PARTITION_ROWS, -(-rows // BUCKETS))
-    part, held, table, tops = 0, 0, [], {}
-    for b, n, top in sizes:
-        if held >= want:
-            part, held = part + 1, 0
-        held += n
-        tops[part] = top
-        table.append((b, part))
-    parts = part + 1
-    known = spark.createDataFrame([(b, p, tops[p]) for b, p in table], "bucket int, part int, top long")
-    placed = body.join(F.broadcast(known), "bucket")
-    # The largest id of a part follows the smallest of the part above; the largest of all follows the smallest.
+    # A part's first document follows the last one of the part before; the first of all follows the last of all.
+    before = spark.createDataFrame([(r["k"], r["h"], tops[i - 1]["part"]) for i, r in enumerate(tops)], "tk long, th long, before int")
+    placed = body.withColumn("part", part_of("k", "h")).join(F.broadcast(before), (F.col("k") == F.col("tk")) & (F.col("h") == F.col("th")), "left")
     own = F.struct(F.col("part").alias("part"), F.lit(0).alias("role"))
-    other = F.struct(F.pmod(F.col("part") + 1, F.lit(parts)).alias("part"), F.lit(1).alias("role"))
-    dealt = placed.withColumn("to", F.explode(F.when(F.col("id") == F.col("top"), F.array(own, other)).otherwise(F.array(own)))).select("to.part", "to.role", "id", "text")
-    return dealt.repartitionByRange(parts, "part").sortWithinPartitions("part", "role", F.desc("id"), F.xxhash64("text"))
+    other = F.struct(F.col("before").alias("part"), F.lit(1).alias("role"))
+    dealt = placed.withColumn("to", F.explode(F.when(F.col("before").isNotNull(), F.array(own, other)).otherwise(F.array(own)))).select("to.part", "to.role", "k", "h", "id", "text")
+    return dealt.repartitionByRange(len(tops), "part").sortWithinPartitions("part", "role", "k", "h").select("part", "role", "id", "text")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -228,7 +242,9 @@ def edit_check(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     The next document is the one with the next smaller id (of equal ids: the
     next by the text's hash); the largest follows the smallest, so a document
     alone is its own next.  Null texts are empty; rows with a null id are left
-    out.  An empty table gives an empty result.
+    out, rows that share id and text keep their place beside one another.  Whole
+    texts are read, one at a time.  An empty table gives an empty result.  Other
+    columns are not read, whatever their names.
     """
 
     def flush(pairs: list[tuple[int, str, str]]) -> Iterator[pd.DataFrame]:
