@@ -56,6 +56,21 @@ def test_word_hashes_follow_the_word_rule():
     assert all((hashes[i] == hashes[j]) == (flat[i] == flat[j]) for i in range(len(flat)) for j in range(len(flat)))
 
 
+def test_long_texts_have_the_same_words_and_terms_in_slices(monkeypatch):
+    text = ("naïve café BUY!! " * 500 + "x" * 3_000 + "\n a\tb\r\n" * 300).encode()
+    whole, bounds = kernels.word_hashes([text])
+    counts = quality.terms([text])
+    monkeypatch.setattr(kernels, "SLICE", 1_000)
+    assert b"".join(kernels.text_slices(text, 1_000)) == text and list(kernels.text_slices(b"", 10)) == []
+    parts = [kernels.word_hashes([x])[0] for x in kernels.text_slices(text, 1_000)]
+    assert len(parts) > 5 and (np.concatenate(parts) == whole).all() and (kernels.word_hashes([text])[0] == whole).all()
+    monkeypatch.setattr(quality, "SLICE", 1_000)
+    sliced = quality.terms([text])
+    bytes_of = slice(0, quality._CLASSES + quality._BIGRAMS)
+    # A cut changes two trigrams and a bigram, and adds one of each for the slice's own end.
+    assert np.abs(sliced[:, bytes_of] - counts[:, bytes_of]).sum() <= 8 * len(parts)
+
+
 def test_tokens_equal_the_library(spark, odd, empty, tmp_path):
     counter = tokens.token_counter(BYTE)
     cache = str(tmp_path / "cache")
@@ -157,6 +172,42 @@ def test_languages(spark, odd, empty):
     assert langid.identify(empty, model, keep=("doc_id",)).count() == 0
 
 
+def grams_of(text):
+    """The n-grams of a text as strings, words marked at either side."""
+    low = "".join(c.lower() if c.isalpha() else "|" for c in text)
+    marked = "|" + low + "|||||"
+    out = []
+    for order in langid.ORDERS:
+        for i in range(len(low) + 1):
+            g = marked[i : i + order]
+            if len(g) == order and "|" not in g[1:-1] and (order > 2 or g != "||"):
+                out.append(g)
+    return out
+
+
+def test_languages_equal_plain_sets(spark):
+    rng = random.Random(16)
+    make = lambda parts: " ".join("".join(rng.choice(parts) for _ in range(rng.randrange(1, 5))) for _ in range(40))
+    langs = {"a": ["th", "er", "on", "an", "é"], "b": ["th", "ung", "ei", "ü"], "c": ["er", "tre", "qu", "ei"]}
+    rows = [(i, make(langs[name]), name) for i, name in enumerate(list(langs) * 30)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    counts = {name: collections.Counter(g for _, t, n in rows if n == name for g in grams_of(t)) for name in langs}
+    rate = {name: {g: n / sum(c.values()) for g, n in c.items()} for name, c in counts.items()}
+    held = {name: {g for g, r in own.items() if r >= langid.SHARE * max(rate[x].get(g, 0) for x in langs)} for name, own in rate.items()}
+    texts = [make(langs[n]) for n in list(langs) * 10] + [make(sum(langs.values(), [])) for _ in range(20)] + ["", "?!"]
+    got, scores = model.score(texts)
+    hits, seen, has = model.count(texts)
+    for i, t in enumerate(texts):
+        own = grams_of(t)
+        plain = np.array([sum(g in held[n] for g in own) for n in model.names], float)
+        assert seen[i] == len(own) and (hits[i] >= plain).all() and (hits[i] <= plain + 3 + 0.02 * len(own)).all()
+        if has[i]:
+            assert abs(scores[i] - plain.max() / plain.sum()) < 0.02 and plain[model.names.index(got[i])] >= plain.max() - 3
+    long = " ".join(texts * 60)
+    parts = [model.count([x]) for x in langid.text_parts(long, 5_000)]
+    assert (sum(c for c, _, _ in parts) == model.count([long])[0]).all() and sum(s for _, s, _ in parts) == model.count([long])[1]
+
+
 def test_languages_beyond_one_mask(spark):
     rows = [(i, f"{chr(0x4E00 + 40 * i)}{chr(0x4E01 + 40 * i)}{chr(0x4E02 + 40 * i)} " * 5, f"l{i:02}") for i in range(70)]
     learn = spark.createDataFrame(rows, "doc_id long, text string, lang string")
@@ -495,6 +546,12 @@ def test_null_ids(spark):
     assert sharding.shard(rows, shards=2).count() == 5
     assert {(r["doc_id"], r["component_id"]) for r in minhash.near_duplicates(rows).collect()} == {(1, 1), (2, 2)}
     assert {r["doc_id"] for r in spotsigs.edit_check(rows).collect()} == {1, 2}
+    frame = rows.withColumn("lang", F.lit("en"))
+    model = langid.fit(frame)
+    assert {r["lang_pred"] for r in langid.identify(frame, model, keep=("doc_id",)).collect()} == {"en", "und"}
+    labels = rows.select("doc_id", F.lit(1).alias("quality"), F.lit(1).alias("toxic"))
+    voted = quality.score(rows, quality.fit(rows, labels, sample=10), keep=("doc_id",)).collect()
+    assert len(voted) == 5 and {r["score"] for r in voted} == {1.0}
     assert packing.pack(rows, WORD).where("doc_id is null").agg(F.count_distinct("sequence_id", "offset")).first()[0] >= 2
     assert toxicity.score(rows, toxicity.fit(rows, rows.select("doc_id", F.lit(0).alias("toxic"))), keep=("doc_id",)).count() == 5
 
