@@ -37,6 +37,7 @@ from gritstone.operators.graph import connected_components
 from gritstone.session import cut, spread
 
 ROWS_PER_BAND = 5
+#: A power of two.
 BANDS = 32
 HASHES = ROWS_PER_BAND * BANDS
 BITS = 4
@@ -69,12 +70,12 @@ def signatures(minima: np.ndarray) -> np.ndarray:
 
 
 def band_keys(minima: np.ndarray) -> np.ndarray:
-    """One 64-bit bucket key for each band of whole minima."""
+    """One 64-bit bucket key for each band of whole minima; its low bits are the band's number."""
     parts = minima.reshape(len(minima), BANDS, ROWS_PER_BAND).astype(np.uint64)
     key = np.broadcast_to(splitmix(515, BANDS), (len(minima), BANDS)).copy()
     for k in range(ROWS_PER_BAND):
         key = mix64(key ^ parts[:, :, k])
-    return key
+    return (key & ~np.uint64(BANDS - 1)) | np.arange(BANDS, dtype=np.uint64)
 
 
 def similarity(one: np.ndarray, many: np.ndarray) -> np.ndarray:
@@ -248,15 +249,16 @@ def _star_tasks(hung: DataFrame, block_rows: int) -> DataFrame:
 
 
 def _bucket_tasks(held: DataFrame, block_rows: int) -> DataFrame:
-    """Tasks that weigh what held(key, band, node, known) leaves open within each bucket.
+    """Tasks that weigh what held(key, node, known) leaves open within each bucket.
 
     A bucket whose members are all in one class is done, and so is one with the
     same members as another of an earlier band.  In the rest the pairs inside the
     class of the smallest member are left out.
     """
-    marks = [F.bit_xor(F.xxhash64(F.lit(seed), "node")).alias(f"m{seed}") for seed in (1, 2)]
-    states = held.groupBy("key").agg(F.count("*").alias("n"), *marks, F.min("known").alias("low"), F.max("known").alias("high"), F.min_by("known", "node").alias("lead"), F.min("band").alias("band"))
-    open_ = states.where("low < high").groupBy("n", "m1", "m2", "lead").agg(F.min_by("key", "band").alias("key")).select("key", "lead")
+    band = F.col("key").bitwiseAND(F.lit(BANDS - 1))
+    marks = [F.sum(F.xxhash64(F.lit(seed), "node").bitwiseAND(F.lit((1 << 31) - 1))).alias(f"m{seed}") for seed in (1, 2, 3)]
+    states = held.groupBy("key").agg(F.count("*").alias("n"), *marks, F.min("known").alias("low"), F.max("known").alias("high"), F.min_by("known", "node").alias("lead"), F.min(band).alias("band"))
+    open_ = states.where("low < high").groupBy("n", "m1", "m2", "m3", "lead").agg(F.min_by("key", "band").alias("key")).select("key", "lead")
     rows = held.join(open_, "key").withColumn("inside", F.col("known") == F.col("lead"))
     sizes = rows.groupBy("key").agg(_blocks(F.sum(F.col("inside").cast("long")), block_rows).alias("ins"), _blocks(F.sum((~F.col("inside")).cast("long")), block_rows).alias("outs"))
     place = F.xxhash64("node")
@@ -295,11 +297,12 @@ def near_duplicates(
     lows = member.groupBy("id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("id", "low")
     bound = member.join(lows, "id").where("rep > low").select(F.col("rep").alias("src"), F.col("low").alias("dst")).distinct()
 
-    heads = filled.join(reps.select(F.col("rep").alias("id"), "h1", "h2"), ["id", "h1", "h2"], "left_semi")
+    heads = filled.join(reps.select(F.col("rep").alias("id"), "h1", "h2"), ["id", "h1", "h2"], "left_semi").dropDuplicates(["id", "h1", "h2"])
+    heads = cut(heads.select("id", "n_shingles", "sig", "bands"))
     signed = heads.select(F.col("id").alias("node"), F.col("n_shingles").alias("size"), "sig", "bands")
-    keyed = heads.select("id", F.posexplode("bands").alias("band", "key")).distinct()
+    keyed = heads.select("id", F.explode("bands").alias("key"))
     buckets = keyed.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("key", "first")
-    shared = cut(keyed.join(buckets, "key").select("key", "band", "id", "first"))
+    shared = cut(keyed.join(buckets, "key").select("key", "id", "first"))
     source = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("text"))
     width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -338,7 +341,7 @@ def near_duplicates(
     stars = cut(confirmed(_star_tasks(hung, block_rows).join(signed, "node")).unionByName(bound))
     classes = cut(connected_components(stars))
     known = F.coalesce("component", "id").alias("known")
-    held = shared.join(classes.withColumnRenamed("node", "id"), "id", "left").select("key", "band", F.col("id").alias("node"), known)
+    held = shared.join(classes.withColumnRenamed("node", "id"), "id", "left").select("key", F.col("id").alias("node"), known)
     columns = {"unit": "long", "low": "int", "high": "int", "side": "int", "node": "long", "known": "long", "size": "long", "sig": "array<long>", "bands": "array<long>"}
     tasks = _bucket_tasks(held, block_rows).join(signed, "node").select(*columns)
     ends = dealt(tasks).mapInPandas(open_ends, ", ".join(f"{c} {k}" for c, k in columns.items()))
