@@ -327,16 +327,17 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         for pdf in batches:
             found = [_words(t) for t in pdf["text"]]
             keys = _family_keys([t.encode("utf-8", "surrogatepass") for t in pdf["text"]])
-            yield pd.DataFrame({"id": pdf["id"], "label": pdf["label"], "keys": keys, "words": [sorted(w) for w, _ in found], "total": [n for _, n in found]})
+            yield pd.DataFrame({"id": pdf["id"], "label": pdf["label"], "keys": keys, "words": [" ".join(sorted(w)) for w, _ in found], "total": [n for _, n in found]})
 
     kind = dict(given.dtypes)["id"]
-    seen = given.select("id", "label", "text").mapInPandas(read, f"id {kind}, label int, keys array<long>, words array<string>, total long")
-    seen = cut(seen.groupBy("id").agg(F.max("label").alias("label"), F.min(F.struct("keys", "total", "words")).alias("t")).select("id", "label", "t.*"))
-    ids = _representatives(seen.select("id", "label", "keys").orderBy("id").toPandas())
+    seen = given.select("id", "label", "text").mapInPandas(read, f"id {kind}, label int, keys array<long>, words string, total long")
+    seen = cut(seen.withColumn("row", F.monotonically_increasing_id()))
+    each = seen.groupBy("id").agg(F.max("label").alias("label"), F.min(F.struct("keys", "row")).alias("t")).select(F.col("t.row").alias("id"), "label", "t.keys")
+    rows = _representatives(each.orderBy("id").toPandas())
     base = base_classes()
-    if not ids:
+    if not rows:
         return Model(base)
-    single = cut(seen.join(F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in ids], f"id {kind}")), "id", "left_semi"))
+    single = seen.join(F.broadcast(docs.sparkSession.createDataFrame([(int(i),) for i in rows], "row long")), "row", "left_semi").withColumn("words", F.split("words", " "))
     sizes = {r["label"]: (r["n"], r["total"]) for r in single.groupBy("label").agg(F.count("*").alias("n"), F.sum("total").alias("total")).collect()}
     (ones, _), (zeros, plain) = sizes.get(1, (0, 0)), sizes.get(0, (0, 0))
     least = max(5, math.ceil(0.003 * ones))
