@@ -99,7 +99,11 @@ def matches_any(path: str | Column, patterns: list[str]) -> Column:
 
 
 # Names that a scan leaves out by default.
-IGNORED = ("$RECYCLE.BIN", "System Volume Information", ".git", "node_modules", "__pycache__", "Thumbs.db", ".DS_Store", "desktop.ini", "*.tmp", "~$*")
+IGNORED = (
+    "$RECYCLE.BIN", "System Volume Information", "Recovery", "$Recycle.Bin", "Windows", "ProgramData", "Program Files", "Program Files (x86)",
+    ".git", ".svn", ".hg", "node_modules", "__pycache__", ".pytest_cache", ".mypy_cache", ".tox", ".venv", "venv", ".env", "env", "dist", "build", "*.egg-info",
+    ".idea", ".vscode", ".vs", "Thumbs.db", "desktop.ini", ".DS_Store", "*.tmp", "*.temp", "~*", "*.bak",
+)
 
 
 def ignored(path: str | Column, patterns: tuple[str, ...] = IGNORED) -> Column:

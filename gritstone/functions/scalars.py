@@ -12,17 +12,24 @@ def format_size(size: Column) -> Column:
     return (
         F.when(size.isNull(), "N/A")
         .when(size < kb, F.concat(size.cast("long").cast("string"), F.lit(" B")))
-        .when(size < kb**2, F.format_string("%.1f KB", size / kb))
-        .when(size < kb**3, F.format_string("%.1f MB", size / kb**2))
-        .otherwise(F.format_string("%.2f GB", size / kb**3))
+        .when(size < kb**2, _fixed(size / kb, 1, "KB"))
+        .when(size < kb**3, _fixed(size / kb**2, 1, "MB"))
+        .otherwise(_fixed(size / kb**3, 2, "GB"))
     )
 
 
+def _fixed(value: Column, places: int, unit: str) -> Column:
+    """Fixed decimals as C's printf gives them: of the binary value itself, exact ties to even."""
+    # A size over a power of 1024 is a binary fraction that decimal(38, 18) holds whole down to 2**-18; what lies below can't tip a tie it isn't.
+    exact = F.bround(value.cast("decimal(38,18)"), places)
+    return F.concat(exact.cast(f"decimal(38,{places})").cast("string"), F.lit(" " + unit))
+
+
 def format_bytes(size: Column) -> Column:
     """One decimal and the unit from B to PB."""
-    out = F.format_string("%.1f PB", size / 1024.0**5)
+    out = _fixed(size / 1024.0**5, 1, "PB")
     for power, unit in ((4, "TB"), (3, "GB"), (2, "MB"), (1, "KB"), (0, "B")):
-        out = F.when(size < 1024.0 ** (power + 1), F.format_string(f"%.1f {unit}", size / 1024.0**power)).otherwise(out)
+        out = F.when(size < 1024.0 ** (power + 1), _fixed(size / 1024.0**power, 1, unit)).otherwise(out)
     return out
 
 
@@ -106,30 +113,36 @@ def drive_status(error: Column, scanning: Column, connected: Column, last_scan:
 
 
 # Image sizes and names that are screenshots.
-SCREENS = ((1920, 1080), (2560, 1440), (3840, 2160), (1366, 768), (1440, 900), (1280, 720), (2880, 1800), (1170, 2532), (1125, 2436), (1080, 2400), (750, 1334), (1242, 2688))
-SCREEN_NAMES = r"(?i)(screen[ _-]?shot|screen[ _-]?cap|bildschirmfoto|capture d.?.?cran)"
+SCREENS = (
+    (1920, 1080), (2560, 1440), (3840, 2160), (1080, 1920), (1440, 2560), (2160, 3840),
+    (1170, 2532), (1284, 2778), (1242, 2688), (1080, 2340), (1080, 2400), (1440, 3200),
+)
+SCREEN_NAMES = ("screenshot", "screen.?shot", "screen.?capture", "snip")
 
 
 def is_screenshot(filename: Column, width: Column, height: Column, score: Column) -> Column:
+    """By a name before its extension, by the exact size of a screen, or by a scene score from 0.6 on."""
     sizes = F.lit(False)
     for w, h in SCREENS:
         sizes = sizes | ((width == w) & (height == h))
-    return F.coalesce(filename.rlike(SCREEN_NAMES), F.lit(False)) | F.coalesce(sizes, F.lit(False)) | F.coalesce(score >= 0.6, F.lit(False))
+    named = F.regexp_replace(filename, r"(?<=.)\.[^.]*$", "").rlike("(?i)" + "|".join(SCREEN_NAMES))
+    return F.coalesce(named, F.lit(False)) | F.coalesce(sizes, F.lit(False)) | F.coalesce(score >= 0.6, F.lit(False))
 
 
 # How extensions are summarised.
 SUMMARY_KINDS = {
-    "TEXT": (".txt", ".md", ".csv", ".json", ".xml", ".html", ".log", ".docx", ".rtf", ".odt"),
-    "IMAGE": (".jpg", ".jpeg", ".png", ".gif", ".bmp", ".tiff", ".webp", ".heic"),
-    "VISUAL_DOC": (".pdf", ".pptx"),
-    "VIDEO": (".mp4", ".mov", ".avi", ".mkv"),
-    "AUDIO": (".mp3", ".wav", ".flac", ".m4a"),
+    "TEXT": tuple(".txt .md .rst .log .csv .tsv .py .js .java .cpp .c .h .cs .go .rs .php .json .xml .yaml .yml .toml .ini .conf .cfg .html .css .sql .sh .bat .ps1 .eml .msg".split()),
+    "IMAGE": tuple(".jpg .jpeg .png .gif .bmp .webp .tiff .tif .heic .heif .ico .svg".split()),
+    "VISUAL_DOC": tuple(".pdf .docx .doc .xlsx .xls .pptx .ppt .odt .ods .odp".split()),
+    "VIDEO": tuple(".mp4 .avi .mov .mkv .webm .flv .wmv .m4v .mpeg .mpg .3gp".split()),
+    "AUDIO": tuple(".mp3 .wav .m4a .flac .ogg .aac .wma .opus".split()),
+    "SKIP": tuple(".exe .dll .so .dylib .bin .zip .rar .7z .tar .gz .db .sqlite .mdb .iso .dmg .img .tmp .cache .lock".split()),
 }
 
 
 def summary_kind(file_type: Column) -> Column:
-    """The extension's kind; an unknown one is TEXT, none is SKIP."""
-    out = F.when(file_type.isNull() | (file_type == ""), "SKIP").otherwise("TEXT")
+    """The extension's kind; an unknown one is TEXT, and what starts with no dot is SKIP."""
+    out = F.when(F.coalesce(file_type.startswith("."), F.lit(False)), "TEXT").otherwise("SKIP")
     for kind, exts in SUMMARY_KINDS.items():
         out = F.when(F.lower(file_type).isin(*exts), kind).otherwise(out)
     return out

@@ -69,13 +69,13 @@ def top_values(rows: DataFrame, column: str, limit: int, count: str = "uses") ->
 
 
 # What a quick win is by extension and by name.
-TEMPORARY = (".tmp", ".temp", ".bak", ".old", ".cache", ".log")
-TEMPORARY_NAMES = ("thumbs.db", ".ds_store", "desktop.ini")
+TEMPORARY = (".tmp", ".temp", ".bak", ".cache", ".log")
+TEMPORARY_NAMES = ("Thumbs.db", "desktop.ini", ".DS_Store")
 
 
 def quick_wins(files: DataFrame, huge: int = 1 << 30) -> DataFrame:
-    """(kind, files, bytes): temporary files, and files above ``huge``."""
-    temp = F.lower(F.coalesce("file_type", F.lit(""))).isin(*TEMPORARY) | F.lower("filename").isin(*TEMPORARY_NAMES)
+    """(kind, files, bytes): temporary files (types and names as they are written there), and files above ``huge``."""
+    temp = F.coalesce("file_type", F.lit("")).isin(*TEMPORARY) | F.coalesce("filename", F.lit("")).isin(*TEMPORARY_NAMES)
     one = live(files).agg(F.count_if(temp).alias("tn"), F.sum(F.when(temp, F.col("size"))).alias("tb"), F.count_if(F.col("size") > huge).alias("hn"), F.sum(F.when(F.col("size") > huge, F.col("size"))).alias("hb"))
     kinds = F.array(F.struct(F.lit("temporary").alias("kind"), F.col("tn").alias("files"), F.coalesce("tb", F.lit(0)).alias("bytes")), F.struct(F.lit("huge").alias("kind"), F.col("hn").alias("files"), F.coalesce("hb", F.lit(0)).alias("bytes")))
     return one.select(F.explode(kinds).alias("x")).select("x.*")

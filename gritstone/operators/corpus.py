@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 # Words that term statistics leave out.
 STOP_WORDS = (
-    "the a an and or but in on at to for of with by from as is was are were be been being have has had do does did will would could should may "
-    "might must can this that these those i you he she it we they me him her us them my your his its our their what which who whom when where why how "
-    "all each every both few more most other some such no nor not only own same so than too very just also if then else about into through during before "
-    "after above below up down out off over under again further once here there any"
+    "a an the and or but in on at to for of with by from is was are were be been being have has had do does did will would "
+    "could should may might shall can must need this that these those it its he she they we you i me my our your his her their "
+    "not no nor so if then than too very just about above after again all also am any as because before between both each "
+    "few get got here him how into more most new now only other out own same some such there through up what when where which while "
+    "who whom why down during over under"
 ).split()
 TEXT_CAP = 200_000
 

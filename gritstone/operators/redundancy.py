@@ -8,15 +8,15 @@ from pyspark.sql import functions as F
 from gritstone.functions.paths import glob_regex, matches_any
 from gritstone.operators.dedup import live
 
-# Markers of project folders and what is left out of their backups.
+# Ends of paths that mark a project, and what is left out of its backups.
 PROJECTS = {
-    "python": (["*/pyproject.toml", "*/setup.py", "*/requirements.txt"], ["*/__pycache__/*", "*/.venv/*", "*.pyc"]),
-    "node": (["*/package.json"], ["*/node_modules/*", "*/dist/*"]),
-    "rust": (["*/Cargo.toml"], ["*/target/*"]),
-    "java": (["*/pom.xml", "*/build.gradle"], ["*/build/*", "*/.gradle/*"]),
-    "dotnet": (["*.csproj", "*.sln"], ["*/bin/*", "*/obj/*"]),
-    "go": (["*/go.mod"], ["*/vendor/*"]),
-    "web": (["*/webpack.config.js", "*/vite.config.*"], ["*/.cache/*"]),
+    "Unity": (["/Assets/", "/ProjectSettings/", "/Packages/"], ["*/Library/*", "*/Temp/*", "*/Obj/*", "*/Build/*", "*/Builds/*", "*/Logs/*"]),
+    "Unreal Engine": (["/Content/", "/Config/", "/Source/", "/*.uproject"], ["*/Binaries/*", "*/Intermediate/*", "*/DerivedDataCache/*", "*/Saved/*"]),
+    "Android/Gradle": (["/build.gradle", "/settings.gradle", "/gradlew", "/app/src/"], ["*/.gradle/*", "*/build/*", "*/.idea/*"]),
+    "Node.js": (["/package.json", "/package-lock.json", "/yarn.lock", "/pnpm-lock.yaml"], ["*/node_modules/*", "*/dist/*", "*/build/*", "*/.next/*", "*/.cache/*"]),
+    ".NET": (["/*.sln", "/*.csproj", "/*.fsproj", "/*.vbproj"], ["*/bin/*", "*/obj/*", "*/.vs/*"]),
+    "Python": (["/pyproject.toml", "/requirements.txt", "/setup.py", "/Pipfile"], ["*/.venv/*", "*/venv/*", "*/__pycache__/*", "*/.pytest_cache/*"]),
+    "CMake/C++": (["/CMakeLists.txt"], ["*/build/*", "*/CMakeFiles/*"]),
 }
 
 
@@ -64,14 +64,22 @@ def exclusion_candidates(files: DataFrame, patterns: list[str]) -> DataFrame:
     return files.select("size", F.explode(hits).alias("pattern")).groupBy("pattern").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
 
 
-def project_types(files: DataFrame, path: str = "path") -> DataFrame:
-    """(project, suggested): project types with some marker among the rows, and what they suggest leaving out."""
-    hits = F.filter(F.array(*[F.when(matches_any(path, marks), F.lit(kind)) for kind, (marks, _) in PROJECTS.items()]), lambda x: x.isNotNull())
-    found = files.select(F.explode(hits).alias("project")).distinct()
+def project_types(files: DataFrame, path: str = "path", by: tuple[str, ...] = ()) -> DataFrame:
+    """(*by, project, markers, suggested): project types with some marker among the rows, the markers found (sorted), and
+    what the type suggests leaving out.  A marker is the end of a path, whatever its case."""
+    low = F.lower(F.translate(path, "\\", "/"))
+    marks = [F.when(low.rlike(glob_regex("*" + m.lower())), F.struct(F.lit(kind).alias("project"), F.lit(m).alias("marker"))) for kind, (found, _) in PROJECTS.items() for m in found]
+    hits = files.select(*by, F.explode(F.filter(F.array(*marks), lambda x: x.isNotNull())).alias("hit")).select(*by, "hit.*")
+    found = hits.groupBy(*by, "project").agg(F.array_sort(F.collect_set("marker")).alias("markers"))
     suggested = F.create_map(*[x for kind, (_, out) in PROJECTS.items() for x in (F.lit(kind), F.array(*map(F.lit, out)))])
     return found.withColumn("suggested", suggested[F.col("project")])
 
 
+def suggested_exclusions(files: DataFrame, path: str = "path") -> DataFrame:
+    """(pattern): what the project types among the rows suggest leaving out, once each."""
+    return project_types(files, path).select(F.explode("suggested").alias("pattern")).distinct()
+
+
 def longest_prefix(files: DataFrame, roots: DataFrame, path: str = "path", root: str = "root") -> DataFrame:
     """files with the longest root that is the path or a folder above it; rows under no root are left out.
 

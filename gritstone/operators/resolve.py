@@ -9,13 +9,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Preference of formats, higher is better.
-FORMAT_RANKS = {
-    ".cr2": 100, ".cr3": 100, ".nef": 100, ".arw": 100, ".dng": 98, ".raw": 100, ".orf": 100, ".rw2": 100,
-    ".tiff": 90, ".tif": 90, ".png": 85, ".bmp": 80, ".webp": 65, ".heic": 70, ".jpg": 60, ".jpeg": 60, ".gif": 40,
-    ".mov": 75, ".mkv": 74, ".mp4": 72, ".avi": 50, ".wmv": 45, ".flac": 90, ".wav": 88, ".m4a": 65, ".mp3": 60,
-    ".pdf": 50, ".docx": 55, ".txt": 30,
-}
+# Preference of formats within each kind, higher is better.
+IMAGE_RANKS = {".bmp": 1, ".gif": 2, ".webp": 3, ".jpg": 4, ".jpeg": 4, ".heic": 5, ".heif": 5, ".png": 6, ".tiff": 7, ".tif": 7, ".dng": 8, ".cr2": 8, ".nef": 8, ".arw": 8, ".raw": 8}
+VIDEO_RANKS = {".3gp": 1, ".flv": 2, ".wmv": 3, ".avi": 4, ".webm": 5, ".m4v": 6, ".mpg": 6, ".mpeg": 6, ".mp4": 7, ".mov": 8, ".mkv": 9}
+DOCUMENT_RANKS = {".txt": 1, ".rtf": 2, ".odt": 3, ".doc": 4, ".docx": 5, ".pdf": 6}
+AUDIO_RANKS = {".wma": 1, ".aac": 2, ".ogg": 3, ".mp3": 4, ".m4a": 5, ".wav": 6, ".flac": 7, ".alac": 8}
+# Labels of the ranks from a number on, by kind; documents have none.
+IMAGE_LABELS = ((8, "RAW"), (6, "Lossless"), (4, "Lossy"), (0, "Low"))
+VIDEO_LABELS = ((7, "High"), (4, "Medium"), (0, "Low"))
+AUDIO_LABELS = ((6, "Lossless"), (4, "High"), (0, "Lossy"))
+FORMAT_RANKS = IMAGE_RANKS | VIDEO_RANKS | DOCUMENT_RANKS | AUDIO_RANKS
 STRATEGIES = ("keep_first", "keep_newest", "keep_oldest", "keep_largest", "keep_smallest", "keep_shortest_path", "keep_on_drive", "keep_best_quality", "keep_best_format", "manual")
 
 
@@ -24,9 +27,12 @@ def format_rank(file_type: Column) -> Column:
     return F.coalesce(ranks[F.lower(file_type)], F.lit(0))
 
 
-def format_label(rank: Column) -> Column:
-    """The class of a format's rank."""
-    return F.when(rank >= 95, "RAW").when(rank >= 80, "Lossless").when(rank >= 70, "High").when(rank >= 60, "Lossy").when(rank >= 40, "Medium").when(rank > 0, "Low").otherwise("")
+def format_label(file_type: Column) -> Column:
+    """The class of a format within its kind; empty for documents and unknown types."""
+    known = {}
+    for ranks, labels in ((IMAGE_RANKS, IMAGE_LABELS), (VIDEO_RANKS, VIDEO_LABELS), (AUDIO_RANKS, AUDIO_LABELS)):
+        known |= {ext: next(name for least, name in labels if rank >= least) for ext, rank in ranks.items()}
+    return F.coalesce(F.create_map(*[F.lit(x) for pair in known.items() for x in pair])[F.lower(file_type)], F.lit(""))
 
 
 def _order(strategy: str, drive: str | None, columns: list[str]) -> list[Column]:
@@ -115,6 +121,13 @@ def recommend(rows: DataFrame) -> DataFrame:
     return scored.withColumn("_n", best).where("_n = 1").select("group_id", "id", "points")
 
 
+def best_by(rows: DataFrame, score: str, group: str = "group_id", key: str = "id") -> DataFrame:
+    """(group, key, score) of the row with the highest score in each group, ties to the smaller key; rows without a score
+    don't count.  An aggregate, so a group of any size is reduced where its rows are."""
+    best = rows.where(F.col(score).isNotNull()).groupBy(group).agg(F.min(F.struct((-F.col(score)).alias("s"), F.col(key))).alias("b"))
+    return best.select(group, F.col(f"b.{key}").alias(key), (-F.col("b.s")).alias(score))
+
+
 def removals(groups: DataFrame, members: DataFrame) -> DataFrame:
     """Non-keepers of pending groups that have a keeper: what a clean-up would take."""
     has = members.groupBy("group_id").agg(F.bool_or("is_keeper").alias("has_keeper"))

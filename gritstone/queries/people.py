@@ -43,7 +43,7 @@ _SCORE = """CASE WHEN d <= 1 THEN 1.0::DOUBLE WHEN d <= 7 THEN 1.0::DOUBLE - 0.2
 
 
 @Q.query(f""", x AS (SELECT f.face_id AS id, g.face_id AS pet_id, list_cosine_similarity(f.embedding::DOUBLE[], g.embedding::DOUBLE[]) AS e, (f.face_id % 3 = g.face_id % 3)::INT::DOUBLE AS b,
-      floor(abs(floor((f.taken_h - g.taken_h) / 24.0)))::BIGINT AS d FROM faces f JOIN faces g ON g.face_id < 20 AND f.face_id >= 20 AND f.face_id % 2 = g.face_id % 2), s AS (SELECT id, pet_id, round(0.5::DOUBLE * e + 0.3::DOUBLE * (e + 1) / 2 + 0.1::DOUBLE * b + 0.1::DOUBLE * {_SCORE}, 6) AS score FROM x)
+      floor(abs(floor((f.taken_h - g.taken_h) / 24.0)))::BIGINT AS d FROM faces f JOIN faces g ON g.person_id IS NOT NULL AND f.person_id IS NULL AND f.face_id % 2 = g.face_id % 2), s AS (SELECT id, pet_id, round(0.5::DOUBLE * e + 0.3::DOUBLE * (e + 1) / 2 + 0.1::DOUBLE * b + 0.1::DOUBLE * {_SCORE}, 6) AS score FROM x)
     SELECT id, pet_id FROM s WHERE score > 0.3 QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, pet_id) = 1""", "faces")
 def pet_candidates(spark, sf_dir):
     rows = faces(spark, sf_dir).select("face_id", "person_id", "taken_h", "embedding", (F.col("face_id") % 2).alias("species"), (F.col("face_id") % 3).alias("breed"))
@@ -52,11 +52,12 @@ def pet_candidates(spark, sf_dir):
 
 
 @Q.query(f"""WITH t AS (SELECT l_orderkey % 200 AS id, 'tag'||(l_partkey % 9) AS tag FROM lineitem), k AS (SELECT id, list_sort(list_distinct(list(tag))) AS k FROM t GROUP BY 1), q AS (SELECT doc_id AS id, CASE WHEN doc_id % 11 <> 4 THEN quality * 60 + doc_id % 40 END AS s FROM labels)
-    SELECT doc_id AS id, coalesce(array_to_string(k, ','), '') AS keywords, CASE WHEN s >= 80 THEN 5 WHEN s >= 60 THEN 4 WHEN s >= 40 THEN 3 WHEN s >= 20 THEN 2 WHEN s IS NOT NULL THEN 1 END AS rating FROM documents LEFT JOIN k ON k.id = doc_id LEFT JOIN q ON q.id = doc_id""")
+    , n AS (SELECT doc_id AS id, string_agg('N' || k, ',' ORDER BY 'N' || k) AS names FROM documents, generate_series(0, 2) AS g(k) WHERE doc_id % 4 > k GROUP BY 1)
+    SELECT doc_id AS id, concat_ws(',', nullif(array_to_string(k, ','), ''), names) AS keywords, CASE WHEN s >= 80 THEN 5 WHEN s >= 60 THEN 4 WHEN s >= 40 THEN 3 WHEN s >= 20 THEN 2 WHEN s IS NOT NULL THEN 1 END AS rating FROM documents LEFT JOIN k ON k.id = doc_id LEFT JOIN q ON q.id = doc_id LEFT JOIN n ON n.id = doc_id""")
 def keyword_payload(spark, sf_dir):
     tags = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 200).alias("id"), F.concat(F.lit("tag"), (F.col("l_partkey") % 9).cast("string")).alias("tag"))
-    none = spark.createDataFrame([], "id long, person string")
-    return people.payload(files(spark, sf_dir).select("id"), tags, none, quality(spark, sf_dir)).select("id", F.array_join("keywords", ",").alias("keywords"), "rating")
+    shown = files(spark, sf_dir).select("id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("k")).where("id % 4 > k").select("id", F.concat(F.lit("N"), F.col("k").cast("string")).alias("person"))
+    return people.payload(files(spark, sf_dir).select("id"), tags, shown, quality(spark, sf_dir)).select("id", F.array_join("keywords", ",").alias("keywords"), "rating")
 
 
 @Q.query(f""", {_P} SELECT face_id, file_id, coalesce(name, 'Unknown') AS name FROM faces LEFT JOIN p ON p.id = person_id WHERE NOT coalesce(is_hidden, false)""", "faces")
@@ -76,19 +77,39 @@ def retained_log(spark, sf_dir):
     return actions.retain(photos(spark, sf_dir).withColumn("reversed", F.col("photo_id") % 2 == 0), 1704844800000000).select("photo_id")
 
 
-@Q.query("""SELECT 'temporary' AS kind, 0::BIGINT AS files, 0::BIGINT AS bytes UNION ALL SELECT 'huge', count(*), coalesce(sum(size), 0)::BIGINT FROM files WHERE NOT is_deleted AND size > 8000""", "files")
+# What odd files are called here, some of them temporary, some marks of projects.
+_NAMES = ("notes.tmp", "Thumbs.db", "thumbs.db", "a.old", "b.LOG", "c.log", "package.json", "Setup.py", "game.uproject", "app.csproj", "CMakeLists.txt", "gradlew", "readme.md")
+
+
+def named_files(spark, sf_dir):
+    """The files, each third one under one of _NAMES."""
+    odd = F.element_at(F.array(*map(F.lit, _NAMES)), (F.floor(F.col("id") / 3) % len(_NAMES) + 1).cast("int"))
+    rows = files(spark, sf_dir).withColumn("filename", F.when(F.col("id") % 3 == 0, odd).otherwise(F.col("filename")))
+    kind = F.when(F.col("id") % 3 == 0, F.nullif(F.regexp_extract("filename", r"(\.[^.]*)$", 1), F.lit(""))).otherwise(F.col("file_type"))
+    return rows.withColumn("file_type", kind).withColumn("path", F.concat(F.lit("/"), "drive_id", F.lit("/p/"), "filename"))
+
+
+_NAMED = f""", m AS (SELECT id, drive_id, size, is_deleted, CASE WHEN id % 3 = 0 THEN ([{", ".join(f"'{x}'" for x in _NAMES)}])[id // 3 % {len(_NAMES)} + 1] ELSE filename END AS filename, file_type AS t FROM files),
+    n AS (SELECT *, CASE WHEN id % 3 = 0 THEN nullif(regexp_extract(filename, '(\\.[^.]*)$', 1), '') ELSE t END AS file_type FROM m)"""
+
+
+@Q.query(f"""{_NAMED} SELECT 'temporary' AS kind, count(*) AS files, coalesce(sum(size), 0)::BIGINT AS bytes FROM n WHERE NOT is_deleted AND (file_type IN ('.tmp', '.temp', '.bak', '.cache', '.log') OR filename IN ('Thumbs.db', 'desktop.ini', '.DS_Store'))
+    UNION ALL SELECT 'huge', count(*), coalesce(sum(size), 0)::BIGINT FROM n WHERE NOT is_deleted AND size > 8000""", "files")
 def quick_wins(spark, sf_dir):
-    return analytics.quick_wins(files(spark, sf_dir), huge=8_000)
+    return analytics.quick_wins(named_files(spark, sf_dir), huge=8_000)
 
 
-@Q.query("""SELECT DISTINCT CASE WHEN file_type = '.txt' THEN 'node' ELSE 'python' END AS project FROM files WHERE file_type IN ('.txt', '.pdf')""", "files")
+@Q.query(f"""{_NAMED}, p AS (SELECT drive_id, filename, CASE filename WHEN 'package.json' THEN 'Node.js' WHEN 'Setup.py' THEN 'Python' WHEN 'game.uproject' THEN 'Unreal Engine' WHEN 'app.csproj' THEN '.NET' WHEN 'CMakeLists.txt' THEN 'CMake/C++' WHEN 'gradlew' THEN 'Android/Gradle' END AS project FROM n)
+    SELECT DISTINCT drive_id, project, CASE project WHEN 'Node.js' THEN '/package.json' WHEN 'Python' THEN '/setup.py' WHEN 'Unreal Engine' THEN '/*.uproject' WHEN '.NET' THEN '/*.csproj' WHEN 'CMake/C++' THEN '/CMakeLists.txt' ELSE '/gradlew' END AS markers,
+    CASE project WHEN 'Node.js' THEN '*/node_modules/* */dist/* */build/* */.next/* */.cache/*' WHEN 'Python' THEN '*/.venv/* */venv/* */__pycache__/* */.pytest_cache/*' WHEN 'Unreal Engine' THEN '*/Binaries/* */Intermediate/* */DerivedDataCache/* */Saved/*'
+    WHEN '.NET' THEN '*/bin/* */obj/* */.vs/*' WHEN 'CMake/C++' THEN '*/build/* */CMakeFiles/*' ELSE '*/.gradle/* */build/* */.idea/*' END AS suggested FROM p WHERE project IS NOT NULL""", "files")
 def project_types(spark, sf_dir):
-    rows = files(spark, sf_dir).select(F.when(F.col("file_type") == ".txt", F.concat("path", F.lit("/package.json"))).when(F.col("file_type") == ".pdf", F.concat("path", F.lit("/setup.py"))).otherwise(F.col("path")).alias("path"))
-    return redundancy.project_types(rows).select("project")
+    found = redundancy.project_types(named_files(spark, sf_dir), by=("drive_id",))
+    return found.select("drive_id", "project", F.array_join("markers", " ").alias("markers"), F.array_join("suggested", " ").alias("suggested"))
 
 
-@Q.query(""", g AS (SELECT * FROM faces WHERE face_id < 60 AND person_id IS NOT NULL), s AS (SELECT f.face_id, g.person_id, abs(floor((f.taken_h - g.taken_h) / 24.0))::BIGINT AS days, round(list_cosine_similarity(f.embedding::DOUBLE[], g.embedding::DOUBLE[]), 9) AS similarity
-      FROM faces f, g WHERE f.face_id >= 60), n AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY face_id, person_id ORDER BY days, similarity DESC) = 1)
+@Q.query(""", g AS (SELECT * FROM faces WHERE person_id IS NOT NULL), s AS (SELECT f.face_id, g.person_id, abs(floor((f.taken_h - g.taken_h) / 24.0))::BIGINT AS days, round(list_cosine_similarity(f.embedding::DOUBLE[], g.embedding::DOUBLE[]), 9) AS similarity
+      FROM faces f, g WHERE f.person_id IS NULL), n AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY face_id, person_id ORDER BY days, similarity DESC) = 1)
     SELECT face_id, person_id, days FROM n WHERE similarity > CASE WHEN days <= 1 THEN 0.05::DOUBLE WHEN days <= 30 THEN 0.06 WHEN days <= 365 THEN 0.07 ELSE 0.08 END""", "faces")
 def nearest_face_in_time(spark, sf_dir):
     rows = faces(spark, sf_dir)

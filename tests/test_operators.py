@@ -120,7 +120,7 @@ def test_longest_prefix_and_plan(spark):
     roots = spark.createDataFrame([("/a",), ("/a/b",)], "root string")
     assert {r["id"]: r["root"] for r in redundancy.longest_prefix(files, roots).collect()} == {1: "/a", 2: "/a/b"}
     marks = spark.createDataFrame([(1, "/p/pyproject.toml"), (2, "/p/x.py")], "id long, path string")
-    assert [r["project"] for r in redundancy.project_types(marks).collect()] == ["python"]
+    assert [r["project"] for r in redundancy.project_types(marks).collect()] == ["Python"]
 
 
 def test_actions(spark):
