@@ -25,16 +25,20 @@ def cosine(a: str | Column, b: str | Column) -> Column:
 
 def pearson_unit(a: str | Column, b: str | Column) -> Column:
     """Correlation of two histograms mapped from [-1, 1] to [0, 1]; 0 where one is constant."""
-    n = F.size(_c(a)).cast("double")
-    mean = lambda v: F.aggregate(_c(v), F.lit(0.0), lambda s, x: s + x.cast("double")) / n
-    da, db = F.transform(_c(a), lambda x: x - mean(a)), F.transform(_c(b), lambda x: x - mean(b))
-    return F.greatest(F.lit(0.0), F.coalesce((F.try_divide(dot(da, db), norm(da) * norm(db)) + 1) / 2, F.lit(0.0)))
+
+    def centred(v: str | Column) -> Column:
+        # The mean is bound once, as the element of an outer array; inside the lambda it would be worked out for each component.
+        total = F.aggregate(_c(v), F.lit(0.0), lambda s, x: s + x.cast("double"))
+        return F.transform(F.array(F.try_divide(total, F.size(_c(v)).cast("double"))), lambda m: F.transform(_c(v), lambda x: x.cast("double") - m))[0]
+
+    both = F.array(F.struct(centred(a).alias("x"), centred(b).alias("y")))
+    sums = F.transform(both, lambda t: F.try_divide(dot(t["x"], t["y"]), norm(t["x"]) * norm(t["y"])))[0]
+    return F.greatest(F.lit(0.0), F.coalesce((sums + 1) / 2, F.lit(0.0)))
 
 
 def scaled(a: str | Column) -> Column:
     """a at unit length; a zero vector stays."""
-    length = norm(a)
-    return F.when(length > 0, F.transform(_c(a), lambda x: x.cast("double") / length)).otherwise(F.transform(_c(a), lambda x: x.cast("double")))
+    return F.transform(F.array(norm(a)), lambda n: F.transform(_c(a), lambda x: F.when(n > 0, x.cast("double") / n).otherwise(x.cast("double"))))[0]
 
 
 def sign_bits(a: str | Column) -> Column:

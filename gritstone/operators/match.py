@@ -168,26 +168,71 @@ def cluster_samples(clustered: DataFrame, top: int = 5) -> DataFrame:
     return scored.withColumn("rank", rank).where(F.col("rank") <= top).select("cluster", "id", "rank")
 
 
-# What a path of one, two or three links is worth.
+def similar_faces(queries: DataFrame, faces: DataFrame, at_least: float = 0.4, limit: int = 10) -> DataFrame:
+    """(query_id, face_id, similarity): each query's most similar other faces from at_least on, ties to the smaller id.
+
+    queries and faces are (face_id, embedding); they meet in blocks, and each
+    block pair gives at most limit rows a query.
+    """
+    import numpy as np
+    import pandas as pd
+
+    kind = f"query_id {dict(queries.dtypes)['face_id']}, face_id {dict(faces.dtypes)['face_id']}, similarity double"
+
+    def near(q: pd.DataFrame, f: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(q) and len(f):
+            f = f.sort_values("face_id", kind="stable")
+            x, y, asked, ids = unit_rows(q["embedding"]), unit_rows(f["embedding"]), q["face_id"].to_numpy(), f["face_id"].to_numpy()
+            for at in range(0, len(q), 256):
+                score = np.round(x[at : at + 256] @ y.T, 9)
+                score[(asked[at : at + 256, None] == ids[None, :]) | np.isnan(score)] = -2.0
+                best = np.argsort(-score, axis=1, kind="stable")[:, :limit]
+                found = np.take_along_axis(score, best, axis=1)
+                keep = found >= at_least
+                out.append(pd.DataFrame({"query_id": np.repeat(asked[at : at + 256], keep.sum(axis=1)), "face_id": ids[best[keep]], "similarity": found[keep]}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "face_id": [], "similarity": []})
+
+    has = "embedding is not null and face_id is not null"
+    met = meet(queries.select("face_id", "embedding").where(has), faces.select("face_id", "embedding").where(has), near, kind)
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "face_id"))
+    return met.withColumn("place", place).where(F.col("place") <= limit).drop("place")
+
+
+# What the first, second and third hop is worth.
 DECAY = {1: 1.0, 2: 0.85, 3: 0.7}
 
 
 def transitive(seeds: DataFrame, links: DataFrame, persons: DataFrame, hops: int = 3) -> DataFrame:
-    """(query_id, person_id, confidence, hop): best over walks of up to ``hops`` links from a query's similar faces.
-
-    seeds (query_id, face_id, similarity), links (face_a, face_b, similarity) in
-    either direction, persons (face_id, person_id).  A walk's confidence is the
-    product of its similarities times the decay of its length; at each length the
-    best walk to a face is kept, so walks don't multiply.
+    """(query_id, person_id, confidence, hop): best over walks from a query's similar faces along temporal links.
+
+    seeds (query_id, face_id, similarity), links (person_id, face_a, face_b,
+    similarity), persons (face_id, person_id).  The first hop is a similar face
+    itself.  From a face of a person each of the person's links leads on: to its
+    second face from the first one, to its first face from any other.  Every hop
+    multiplies what was reached by the link's similarity and by the hop's decay, so
+    a third hop has both decays.  Of each face the best walk of a length is kept;
+    faces without a person lead nowhere.
     """
-    both = links.unionByName(links.select(F.col("face_b").alias("face_a"), F.col("face_a").alias("face_b"), "similarity")).withColumnRenamed("similarity", "_w")
-    now = seeds.groupBy("query_id", "face_id").agg(F.max("similarity").alias("product"))
+    known = persons.where("person_id is not null")
+    now = seeds.groupBy("query_id", "face_id").agg(F.max("similarity").alias("reached"))
+    now = now.withColumn("reached", F.col("reached") * DECAY[1])
     found = None
     for hop in range(1, hops + 1):
-        step = now.join(both, F.col("face_id") == F.col("face_a")).select("query_id", F.col("face_b").alias("face_id"), (F.col("product") * F.col("_w")).alias("product"))
-        now = step.groupBy("query_id", "face_id").agg(F.max("product").alias("product"))
-        scored = now.join(persons.where("person_id is not null"), "face_id").select("query_id", "person_id", F.round(F.col("product") * DECAY.get(hop, 0.5), 9).alias("confidence"), F.lit(hop).alias("hop"))
+        here = now.join(known, "face_id")
+        scored = here.select("query_id", "person_id", F.round("reached", 9).alias("confidence"), F.lit(hop).alias("hop"))
         found = scored if found is None else found.unionByName(scored)
+        if hop == hops:
+            break
+        # The two best faces of a person are enough: one of them is not the link's first face.
+        best = here.groupBy("query_id", "person_id").agg(F.max(F.struct("reached", "face_id")).alias("one"))
+        others = here.join(best, ["query_id", "person_id"]).where(F.col("face_id") != F.col("one.face_id")).groupBy("query_id", "person_id").agg(F.max("reached").alias("two"))
+        at = best.join(others, ["query_id", "person_id"], "left").join(links, "person_id")
+        step = (F.col("similarity") * DECAY.get(hop + 1, 0.5)).alias("step")
+        back = at.select("query_id", F.col("face_a").alias("face_id"), F.when(F.col("one.face_id") != F.col("face_a"), F.col("one.reached")).otherwise(F.col("two")).alias("reached"), step)
+        forth = here.join(links.withColumnRenamed("face_a", "face_id"), ["person_id", "face_id"]).select("query_id", F.col("face_b").alias("face_id"), "reached", step)
+        moves = back.unionByName(forth).where("reached is not null")
+        now = moves.groupBy("query_id", "face_id").agg(F.max(F.col("reached") * F.col("step")).alias("reached"))
     best = found.groupBy("query_id", "person_id").agg(F.max(F.struct("confidence", (-F.col("hop")).alias("_h"))).alias("b"))
     return best.select("query_id", "person_id", F.col("b.confidence").alias("confidence"), (-F.col("b._h")).alias("hop"))
 

@@ -4,27 +4,116 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gritstone.functions.vectors import hamming
 from gritstone.operators.graph import connected_components
+from gritstone.session import cut
 
 
-def hamming_links(rows: DataFrame, most: int, bits: int = 64, key: str = "id", column: str = "hash") -> DataFrame:
+#: Share of all pairs that a band join may bring together; beyond it blocks of all pairs cost less.
+SELECTIVE = 0.05
+
+
+def bands_of(words: int, most: int) -> list[tuple[int, int, int]]:
+    """(word, first bit, width) of most // 2 + 1 bands: hashes at most ``most`` bits apart differ in one bit at most on one of them."""
+    count = most // 2 + 1
+    out = []
+    for w in range(words):
+        own = count * (w + 1) // words - count * w // words
+        edges = [64 * i // own for i in range(own + 1)] if own else []
+        out += [(w, a, b - a) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    return out
+
+
+def meeting_share(words: int, most: int) -> float:
+    """The share of pairs of random hashes that band_links brings together, once or oftener."""
+    return sum((width + 1) / 2.0**width for _, _, width in bands_of(words, most))
+
+
+def hamming_links(rows: DataFrame, most: int, key: str = "id", columns: tuple[str, ...] = ("hash",)) -> DataFrame:
     """(src, dst, distance) of different hashes at most ``most`` bits apart, src and dst being the smallest ids of their hash.
 
-    Two such hashes agree wholly on one of most + 1 bands of bits, so an
-    equi-join on bands finds every pair.  Equal hashes collapse first: a group of
-    copies is one row here (see hash_classes).
+    A hash is one 64-bit word or several.  Equal hashes collapse first: a group
+    of copies is one row here (see hash_classes).  Where bands are selective (19
+    of 192 bits: 0.1 % of all pairs) an equi-join on bands finds every pair; a
+    wide radius (18 of 64 bits) leaves bands of a few bits that meet nearly
+    always, so all pairs are weighed in blocks, which is quadratic.  The choice
+    depends on the number of bits alone.
+    """
+    have = F.lit(True)
+    for c in columns:
+        have = have & F.col(c).isNotNull()
+    names = [f"h{i}" for i in range(len(columns))]
+    reps = rows.where(have).groupBy(*[F.col(c).cast("long").alias(n) for c, n in zip(columns, names, strict=True)]).agg(F.min(key).alias("id"))
+    return band_links(reps, names, most) if meeting_share(len(columns), most) <= SELECTIVE else block_links(reps, names, most)
+
+
+def _distance(names: list[str], a: str, b: str) -> Column:
+    return sum((hamming(f"{a}.{n}", f"{b}.{n}") for n in names[1:]), hamming(f"{a}.{names[0]}", f"{b}.{names[0]}"))
+
+
+def band_links(reps: DataFrame, names: list[str], most: int) -> DataFrame:
+    """(src, dst, distance) of rows(id, *names) with different hashes.
+
+    One side brings each band as it is, the other each band as it is and with
+    every bit turned, so rows grow with the number of bits and pairs are found
+    that differ in one bit of a band at most.
+    """
+    bands = bands_of(len(names), most)
+    value = lambda w, a, n: F.shiftrightunsigned(names[w], a).bitwiseAND(F.lit((1 << n) - 1 if n < 64 else -1))
+    exact = F.array(*[F.struct(F.lit(i).alias("n"), value(*b).alias("v")) for i, b in enumerate(bands)])
+
+    def turned(i: int, band: tuple[int, int, int]) -> Column:
+        flips = F.array(*[F.lit(1 << k if k < 63 else -(1 << 63)) for k in range(band[2])])
+        return F.transform(flips, lambda x: F.struct(F.lit(i).alias("n"), value(*band).bitwiseXOR(x).alias("v")))
+
+    one = reps.select("id", *names, F.explode(exact).alias("band")).alias("a")
+    two = reps.select("id", *names, F.explode(F.concat(exact, *[turned(i, b) for i, b in enumerate(bands)])).alias("band")).alias("b")
+    far = _distance(names, "a", "b")
+    pairs = one.join(two, (F.col("a.band") == F.col("b.band")) & (F.col("a.id") != F.col("b.id")) & (far <= most))
+    return pairs.select(F.least("a.id", "b.id").alias("src"), F.greatest("a.id", "b.id").alias("dst"), far.alias("distance")).distinct()
+
+
+def block_links(reps: DataFrame, names: list[str], most: int, block_rows: int = 8_192) -> DataFrame:
+    """(src, dst, distance) of all pairs of rows(id, *names): each pair of blocks is one task, so a row is sent once for each block."""
+    blocks = max(1, -(-reps.count() // block_rows))
+    own = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    dealt = reps.select("id", *names, own.alias("own")).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    dealt = dealt.select(F.least("own", "k").alias("a"), F.greatest("own", "k").alias("b"), "own", "id", *names)
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = int(pdf["a"].iloc[0]), int(pdf["b"].iloc[0])
+        one, two = pdf[pdf["own"] == a], pdf[pdf["own"] == b]
+        ids, others = one["id"].to_numpy(), two["id"].to_numpy()
+        out = []
+        for at in range(0, len(one), 256):
+            far = np.zeros((len(ids[at : at + 256]), len(others)), np.int16)
+            for n in names:
+                far += np.bitwise_count(one[n].to_numpy()[at : at + 256, None].view(np.uint64) ^ two[n].to_numpy()[None, :].view(np.uint64))
+            i, j = np.nonzero(far <= most)
+            x, y = ids[at : at + 256][i], others[j]
+            keep = x < y if a == b else x != y
+            out.append(pd.DataFrame({"src": np.minimum(x, y)[keep], "dst": np.maximum(x, y)[keep], "distance": far[i, j][keep].astype(np.int32)}))
+        return pd.concat(out) if out else pd.DataFrame({"src": [], "dst": [], "distance": []})
+
+    kind = dict(reps.dtypes)["id"]
+    return dealt.groupBy("a", "b").applyInPandas(meet, f"src {kind}, dst {kind}, distance int")
+
+
+def composite_links(rows: DataFrame, threshold: float = 0.90, key: str = "id", kinds: tuple[str, ...] = ("p", "d", "a")) -> DataFrame:
+    """(src, dst, similarity) of different hashes alike by composite_similarity from threshold on.
+
+    Rows with every kind of hash; the mean of the kinds' similarities is one
+    less the differing bits over all bits.  src and dst are the smallest ids of
+    their hashes.
     """
-    reps = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("h")).agg(F.min(key).alias("id"))
-    edges = [round(i * bits / (most + 1)) for i in range(most + 2)]
-    bands = F.array(*[F.struct(F.lit(i).alias("n"), F.shiftrightunsigned("h", a).bitwiseAND(F.lit((1 << (b - a)) - 1 if b - a < 63 else -1)).alias("v")) for i, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True))])
-    keyed = reps.select("id", "h", F.explode(bands).alias("band"))
-    one, two = keyed.alias("a"), keyed.alias("b")
-    pairs = one.join(two, (F.col("a.band") == F.col("b.band")) & (F.col("a.id") < F.col("b.id")) & (hamming("a.h", "b.h") <= most))
-    return pairs.select(F.col("a.id").alias("src"), F.col("b.id").alias("dst"), hamming("a.h", "b.h").alias("distance")).distinct()
+    bits = 64 * len(kinds)
+    found = hamming_links(rows, bound(threshold, bits), key, kinds)
+    return found.select("src", "dst", F.round(1 - F.col("distance") / float(bits), 9).alias("similarity"))
 
 
 def hash_classes(rows: DataFrame, links: DataFrame, key: str = "id", column: str = "hash") -> DataFrame:
@@ -70,16 +159,34 @@ def jaccard_links(sets: DataFrame, threshold: float, key: str = "id", column: st
 
     Elements are ordered by document frequency; two such sets share one of the
     first size - ceil(threshold * size) + 1 elements of either, and their sizes
-    differ by no more than threshold.  Equal sets collapse first.
+    differ by no more than threshold, so they lie in one length class or in
+    neighbouring ones: an equi-join on element and class.  A sketch of 256 bits
+    goes along, each the parity of the elements that fall on it: sketches differ
+    in no more bits than the sets in elements, so a pair whose sketches are too
+    far apart is dropped where it meets.  Equal sets collapse first.
     """
     each = sets.select(F.col(key).alias("id"), F.array_sort(column).alias("g")).where(F.size("g") > 0)
-    reps = each.groupBy("g").agg(F.min("id").alias("id"))
+    reps = cut(each.groupBy("g").agg(F.min("id").alias("id")))
+    step = -math.log(threshold)
+    length = F.floor(F.log(F.size("g").cast("double")) / step + 1e-9).cast("int")
+
+    def word(w: int) -> Column:
+        at = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(h, 2).bitwiseAND(F.lit(63)).cast("int"))
+        return F.aggregate(F.transform("g", lambda e: F.xxhash64(e)), F.lit(0).cast("long"), lambda s, h: F.when(h.bitwiseAND(F.lit(3)) == w, s.bitwiseXOR(at(h))).otherwise(s)).alias(f"s{w}")
+
+    sketch = [f"s{w}" for w in range(4)]
+    signed = cut(reps.select("id", F.size("g").alias("n"), length.alias("part"), *[word(w) for w in range(4)]))
     flat = reps.select("id", F.size("g").alias("n"), F.explode("g").alias("e"))
     frequency = flat.groupBy("e").agg(F.count("*").alias("f"))
     order = Window.partitionBy("id").orderBy("f", "e")
-    kept = flat.join(frequency, "e").withColumn("r", F.row_number().over(order)).where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).select("id", "n", "e")
-    one, two = kept.alias("a"), kept.alias("b")
-    candidates = one.join(two, (F.col("a.e") == F.col("b.e")) & (F.col("a.id") < F.col("b.id")) & (F.least("a.n", "b.n") >= F.ceil(F.greatest("a.n", "b.n") * threshold - 1e-9))).select(F.col("a.id").alias("src"), F.col("b.id").alias("dst")).distinct()
+    rare = flat.join(frequency, "e").withColumn("r", F.row_number().over(order)).where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).select("id", "e")
+    kept = cut(rare.join(signed, "id"))
+    one = kept.withColumn("own", F.col("part")).withColumn("part", F.explode(F.array(F.col("part"), F.col("part") + 1))).alias("a")
+    two = kept.alias("b")
+    met = (F.col("a.e") == F.col("b.e")) & (F.col("a.part") == F.col("b.part")) & ((F.col("a.own") < F.col("b.part")) | (F.col("a.id") < F.col("b.id")))
+    most = (F.col("a.n") + F.col("b.n")) * ((1 - threshold) / (1 + threshold)) + 1e-6
+    close = (F.least("a.n", "b.n") >= F.ceil(F.greatest("a.n", "b.n") * threshold - 1e-9)) & (_distance(sketch, "a", "b") <= most)
+    candidates = one.join(two, met & close).select(F.least("a.id", "b.id").alias("src"), F.greatest("a.id", "b.id").alias("dst")).distinct()
     with_sets = candidates.join(reps.select(F.col("id").alias("src"), F.col("g").alias("_a")), "src").join(reps.select(F.col("id").alias("dst"), F.col("g").alias("_b")), "dst")
     both = F.size(F.array_intersect("_a", "_b"))
     sim = both / (F.size("_a") + F.size("_b") - both)
@@ -88,8 +195,21 @@ def jaccard_links(sets: DataFrame, threshold: float, key: str = "id", column: st
 
 def document_links(docs: DataFrame, threshold: float = 0.95, key: str = "doc_id", text: str = "text", least: int = 50) -> DataFrame:
     """Bigram Jaccard links of texts longer than ``least`` characters, over whole normalised texts."""
-    long = docs.where(F.char_length(text) > least).select(F.col(key).alias("id"), character_bigrams(normalised(text)).alias("grams"))
-    return jaccard_links(long, threshold)
+    long = docs.where(F.char_length(text) > least).select(F.col(key).alias("id"), normalised(text).alias("body"))
+    return jaccard_links(long.select("id", _bigram_codes()("body").alias("grams")), threshold)
+
+
+def _bigram_codes():
+    """Distinct pairs of neighbouring characters as numbers, Arrow batch by batch; a text of one character is its own."""
+    @F.pandas_udf("array<long>")
+    def codes(texts: pd.Series) -> pd.Series:
+        out = []
+        for text in texts:
+            points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+            out.append(np.unique(points[:-1] << 21 | points[1:]) if len(points) > 1 else -1 - points)
+        return pd.Series(out)
+
+    return codes
 
 
 def video_similarity(frames: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -115,9 +235,6 @@ def video_links(frames: DataFrame, threshold: float = 0.70, block_rows: int = 2_
     bits, so bands that lose no pair are three bits wide and would meet more
     often than all pairs do.  Frames without both hashes are left out.
     """
-    import numpy as np
-    import pandas as pd
-
     frames = frames.where("video is not null and p is not null and d is not null")
     blocks = max(1, -(-frames.count() // block_rows))
     part = F.pmod(F.xxhash64("video"), F.lit(blocks)).cast("int")

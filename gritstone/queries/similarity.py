@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gritstone.catalog import faces, table
-from gritstone.functions.vectors import pearson_unit, sign_bits
+from gritstone.functions.vectors import cosine, pearson_unit, sign_bits
 from gritstone.operators import match, people, similar
 from gritstone.queries.book import Book
 
@@ -31,6 +31,26 @@ def near_duplicate_components(spark, sf_dir):
     return similar.hash_classes(rows, similar.hamming_links(rows, 16))
 
 
+def image_hashes(spark, sf_dir):
+    """Three hashes of each vector, and of a copy of each with some components turned, under ids from a million on."""
+    own = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("e"))
+    copy = F.transform("e", lambda x, i: F.when((F.col("id") * 7 + (i + 1) * 13) % 97 < 4, -x).otherwise(x))
+    both = own.unionByName(own.withColumn("e", copy).withColumn("id", F.col("id") + 1_000_000))
+    steps = F.zip_with("e", F.concat(F.slice("e", 2, 63), F.slice("e", 1, 1)), lambda x, y: x - y)
+    return both.select("id", sign_bits("e").alias("p"), sign_bits(steps).alias("d"), sign_bits(F.transform("e", lambda x: x.cast("double") - 0.1)).alias("a"))
+
+
+_BITS = "list_reduce(list_prepend(0::HUGEINT, list_transform({}, lambda i: ({})::INT::HUGEINT)), lambda a, b: a * 2 + b)"
+
+
+@Q.query(f"""WITH o AS (SELECT vec_id AS id, embedding AS e FROM embeddings), b AS (SELECT * FROM o UNION ALL SELECT id + 1000000, list_transform(generate_series(1, 64), lambda i: CASE WHEN (id * 7 + i * 13) % 97 < 4 THEN -e[i] ELSE e[i] END) FROM o),
+    h AS (SELECT id, {_BITS.format("generate_series(1, 64)", "e[i] > 0")} AS p, {_BITS.format("generate_series(1, 64)", "e[i] - e[i % 64 + 1] > 0")} AS d, {_BITS.format("generate_series(1, 64)", "e[i]::DOUBLE - 0.1::DOUBLE > 0")} AS a FROM b),
+    r AS (SELECT p, d, a, min(id) AS id FROM h GROUP BY 1, 2, 3), x AS (SELECT x.id AS src, y.id AS dst, bit_count(xor(x.p, y.p)) + bit_count(xor(x.d, y.d)) + bit_count(xor(x.a, y.a)) AS n FROM r x JOIN r y ON x.id < y.id)
+    SELECT src, dst, round(1 - n / 192.0::DOUBLE, 9) AS similarity FROM x WHERE n <= 19""")
+def composite_pairs(spark, sf_dir):
+    return similar.composite_links(image_hashes(spark, sf_dir), 0.90)
+
+
 _GRAMS = r"""s AS (SELECT doc_id AS id, list_sort(list_distinct(list_transform(generate_series(1, length(t) - 1), lambda i: t[i:i + 1]))) AS g FROM
     (SELECT doc_id, trim(regexp_replace(lower(text), '[\s\x{A0}]+', ' ', 'g')) AS t FROM documents WHERE length(text) > 50)),
     r AS (SELECT g, min(id) AS id, len(g) AS n FROM s GROUP BY 1)"""
@@ -50,9 +70,9 @@ def similar_images(spark, sf_dir):
     return match.knn(vectors, list(query), at_least=0.1, limit=20, exclude=7)
 
 
-@Q.query(""", g AS (SELECT label AS person_id, age, embedding::DOUBLE[] AS e FROM (SELECT faces.*, label, vec_id FROM faces JOIN embeddings ON vec_id = face_id) WHERE face_id < 40), s AS (SELECT f.face_id, g.person_id,
+@Q.query(""", g AS (SELECT person_id, CASE WHEN year - birth_year BETWEEN 0 AND 120 THEN year - birth_year WHEN age > 0 THEN age ELSE 25 END AS age, embedding::DOUBLE[] AS e FROM faces WHERE person_id IS NOT NULL), s AS (SELECT f.face_id, g.person_id,
       round(list_cosine_similarity(f.embedding::DOUBLE[], g.e) + CASE WHEN (CASE WHEN f.age < 2 THEN 0 WHEN f.age < 5 THEN 1 WHEN f.age < 12 THEN 2 WHEN f.age < 18 THEN 3 WHEN f.age IS NOT NULL THEN 4 END)
-      = (CASE WHEN g.age < 2 THEN 0 WHEN g.age < 5 THEN 1 WHEN g.age < 12 THEN 2 WHEN g.age < 18 THEN 3 WHEN g.age IS NOT NULL THEN 4 END) THEN 0.05::DOUBLE ELSE 0 END, 9) AS score FROM faces f, g WHERE f.face_id >= 40)
+      = (CASE WHEN g.age < 2 THEN 0 WHEN g.age < 5 THEN 1 WHEN g.age < 12 THEN 2 WHEN g.age < 18 THEN 3 WHEN g.age IS NOT NULL THEN 4 END) THEN 0.05::DOUBLE ELSE 0 END, 9) AS score FROM faces f, g WHERE f.person_id IS NULL)
     SELECT face_id, person_id, score, CASE WHEN score >= 0.45 THEN 'confirmed' ELSE 'pending' END AS status FROM s WHERE score > 0.3 QUALIFY row_number() OVER (PARTITION BY face_id ORDER BY score DESC, person_id) = 1""", "faces")
 def gallery_matches(spark, sf_dir):
     rows = faces(spark, sf_dir)
@@ -60,7 +80,7 @@ def gallery_matches(spark, sf_dir):
     return match.route(match.gallery_match(unassigned, people.gallery(rows), 0.3), 0.45)
 
 
-_UNIT = "v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id < 500), n AS (SELECT a.id AS x, b.id AS y FROM v a JOIN v b ON a.id <> b.id AND 1 - list_cosine_similarity(a.e, b.e) <= 0.62)"
+_UNIT = "v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings), n AS (SELECT a.id AS x, b.id AS y FROM v a JOIN v b ON a.id <> b.id AND 1 - list_cosine_similarity(a.e, b.e) <= 0.62)"
 
 
 @Q.query(f"""WITH RECURSIVE {_UNIT}, k AS (SELECT x AS id FROM n GROUP BY 1 HAVING count(*) + 1 >= 3), e AS (SELECT x, y FROM n WHERE x IN (SELECT id FROM k) AND y IN (SELECT id FROM k)),
@@ -72,19 +92,19 @@ def density_clusters(spark, sf_dir):
 
 
 @Q.query("""SELECT a.vec_id AS a, b.vec_id AS b, round(greatest(0, (coalesce(corr_, 0) + 1) / 2), 7) AS sim FROM (SELECT a.vec_id, b.vec_id AS vb, (SELECT corr(x, y) FROM (SELECT unnest(a.embedding::DOUBLE[]) AS x, unnest(b.embedding::DOUBLE[]) AS y)) AS corr_
-    FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id < 100) a JOIN embeddings b ON b.vec_id = vb""")
+    FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1) a JOIN embeddings b ON b.vec_id = vb""")
 def histogram_similarity(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings")
     left = v.select(F.col("vec_id").alias("a"), (F.col("vec_id") + 1).alias("b"), F.col("embedding").alias("x"))
     return left.join(v.select(F.col("vec_id").alias("b"), F.col("embedding").alias("y")), "b").select("a", "b", F.round(pearson_unit("x", "y"), 7).alias("sim"))
 
 
-_FRAMES = f"""WITH {_HASH}, f AS (SELECT id // 4 AS video, id % 4 AS frame, hash AS p, lead(hash, 1, hash) OVER (ORDER BY id) AS d FROM h WHERE id % 8 <> 3 AND id < 400),
-    c AS (SELECT video, count(*) AS n FROM f GROUP BY 1), q AS (SELECT a.video AS a, b.video AS b, a.n <= b.n AS first FROM c a JOIN c b ON b.video = a.video + 1)"""
+_FRAMES = f"""WITH {_HASH}, f AS (SELECT id // 4 AS video, id % 4 AS frame, hash AS p, lead(hash, 1, hash) OVER (ORDER BY id) AS d FROM h),
+    c AS (SELECT video, count(*) AS n FROM f GROUP BY 1), q AS (SELECT a.video AS a, b.video AS b, a.n <= b.n AS first FROM c a JOIN c b ON b.video > a.video)"""
 
 
 @Q.query(_FRAMES + """, m AS (SELECT q.a, q.b, l.frame, max(((1 - bit_count(xor(l.p, r.p)) / 64.0::DOUBLE) + (1 - bit_count(xor(l.d, r.d)) / 64.0::DOUBLE)) / 2) AS best FROM q
-    JOIN f l ON l.video = CASE WHEN first THEN q.a ELSE q.b END JOIN f r ON r.video = CASE WHEN first THEN q.b ELSE q.a END GROUP BY 1, 2, 3) SELECT a, b, round(avg(best), 9) AS sim FROM m GROUP BY 1, 2""")
+    JOIN f l ON l.video = CASE WHEN first THEN q.a ELSE q.b END JOIN f r ON r.video = CASE WHEN first THEN q.b ELSE q.a END GROUP BY 1, 2, 3) SELECT a, b, round(avg(best), 9) AS sim FROM m GROUP BY 1, 2 HAVING round(avg(best), 9) >= 0.70""")
 def video_similarity(spark, sf_dir):
     from pyspark.sql import Window
 
@@ -98,10 +118,23 @@ def video_similarity(spark, sf_dir):
     return similar.video_links(frames, 0.70).select(F.col("src").alias("a"), F.col("dst").alias("b"), "sim")
 
 
-@Q.query()
+_COS = "round(list_cosine_similarity({}.embedding::DOUBLE[], {}.embedding::DOUBLE[]), 9)"
+_HOP = """SELECT n.q, CASE WHEN l.a = n.face THEN l.b ELSE l.a END AS face, max(n.p * (l.w * {decay}::DOUBLE)) AS p FROM {last} n JOIN faces f ON f.face_id = n.face JOIN l ON l.person = f.person_id GROUP BY ALL"""
+
+
+@Q.query(f""", s AS (SELECT a.face_id AS q, b.face_id AS face, {_COS.format("a", "b")} AS p FROM faces a JOIN faces b ON a.face_id <> b.face_id WHERE a.person_id IS NULL AND {_COS.format("a", "b")} >= 0.2
+      QUALIFY row_number() OVER (PARTITION BY a.face_id ORDER BY {_COS.format("a", "b")} DESC, b.face_id) <= 10),
+    c AS (SELECT person_id, face_id, embedding, lead(face_id) OVER w AS next FROM faces WHERE person_id IS NOT NULL WINDOW w AS (PARTITION BY person_id ORDER BY year, face_id)),
+    l AS (SELECT c.person_id AS person, c.face_id AS a, n.face_id AS b, {_COS.format("c", "n")} AS w FROM c JOIN faces n ON n.face_id = c.next WHERE {_COS.format("c", "n")} > 0),
+    h2 AS ({_HOP.format(decay="0.85", last="s")}), h3 AS ({_HOP.format(decay="0.70", last="h2")}),
+    u AS (SELECT q, face, p, 1 AS hop FROM s UNION ALL SELECT q, face, p, 2 FROM h2 UNION ALL SELECT q, face, p, 3 FROM h3)
+    SELECT q AS query_id, person_id, round(p, 9) AS confidence, hop FROM u JOIN faces f ON f.face_id = u.face WHERE person_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY q, person_id ORDER BY round(p, 9) DESC, hop) = 1""", "faces")
 def transitive_matches(spark, sf_dir):
+    from pyspark.sql import Window
+
     rows = faces(spark, sf_dir)
-    pairs = match.neighbour_pairs(rows.select(F.col("face_id").alias("id"), "embedding"), 0.65)
-    links = pairs.select(F.col("src").alias("face_a"), F.col("dst").alias("face_b"), F.lit(0.35).alias("similarity"))
-    seeds = rows.where("person_id is null").select(F.col("face_id").alias("query_id"), "face_id", F.lit(1.0).alias("similarity"))
+    following = F.lead(F.struct("face_id", "embedding")).over(Window.partitionBy("person_id").orderBy("year", "face_id"))
+    chain = rows.where("person_id is not null").withColumn("next", following).where("next is not null")
+    links = chain.select("person_id", F.col("face_id").alias("face_a"), F.col("next.face_id").alias("face_b"), F.round(cosine("embedding", "next.embedding"), 9).alias("similarity")).where("similarity > 0")
+    seeds = match.similar_faces(rows.where("person_id is null"), rows, at_least=0.2, limit=10)
     return match.transitive(seeds, links, rows.select("face_id", "person_id"))
