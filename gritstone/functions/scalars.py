@@ -104,6 +104,39 @@ def string_list(text: Column) -> Column:
     return F.coalesce(F.from_json(text, "array<string>"), F.array().cast("array<string>"))
 
 
+def entity_lists(text: Column) -> Column:
+    """JSON object of lists as a map, empty on any error."""
+    return F.coalesce(F.from_json(text, "map<string, array<string>>"), F.create_map().cast("map<string, array<string>>"))
+
+
+def url_list(text: Column) -> Column:
+    """JSON list of label and url, empty on any error."""
+    kind = "array<struct<label: string, url: string>>"
+    return F.filter(F.coalesce(F.from_json(text, kind), F.array().cast(kind)), lambda x: x["url"].isNotNull())
+
+
+def has_gps(lat: Column, lon: Column) -> Column:
+    return lat.isNotNull() & lon.isNotNull()
+
+
+def resolution(width: Column, height: Column) -> Column:
+    """Struct of width and height, null where a side is missing or 0."""
+    return F.when((width > 0) & (height > 0), F.struct(width.alias("width"), height.alias("height")))
+
+
+def compare_paths(a: Column, b: Column) -> Column:
+    """-1, 0 or 1 by the order of two paths, whatever their case and separators."""
+    from gritstone.functions.paths import normalise
+
+    x, y = F.lower(normalise(a)), F.lower(normalise(b))
+    return F.when(x < y, -1).when(x == y, 0).when(x > y, 1)
+
+
+def timestamped_name(prefix: str, extension: str, at: Column) -> Column:
+    """prefix_yyyyMMdd_HHmmss.extension"""
+    return F.concat(F.lit(prefix + "_"), F.date_format(at, "yyyyMMdd_HHmmss"), F.lit("." + extension.lstrip(".")))
+
+
 def drive_id(path: Column) -> Column:
     return F.concat(F.lit("drive_"), F.substring(F.sha2(F.lower(path), 256), 1, 8))
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-NAMES = ("relational", "resolution", "sequences", "text", "similarity", "mutation", "scalars", "streams", "people")
+NAMES = ("relational", "resolution", "sequences", "text", "similarity", "mutation", "scalars", "streams", "people", "lookups")
 MODULES = tuple(importlib.import_module(f"gritstone.queries.{name}") for name in NAMES)
 
 
