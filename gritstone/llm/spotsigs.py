@@ -237,7 +237,9 @@ def families(prints: DataFrame, threshold: float = 0.8, id_col: str = "doc_id")
 
 
 def edit_check(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next), one row per row of docs.
+    """(id_col, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_spots, partition), one row per row of docs.
+
+    partition is the fingerprint's length partition, in which links() meets it.
 
     The next document is the one with the next smaller id (of equal ids: the
     next by the text's hash); the largest follows the smallest, so a document
@@ -275,4 +277,6 @@ def edit_check(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             yield from flush(pairs)
 
     kinds = "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return in_sequence(docs, id_col, text_col).mapInPandas(run, kinds).withColumnRenamed("id", id_col)
+    out = in_sequence(docs, id_col, text_col).mapInPandas(run, kinds).withColumnRenamed("id", id_col)
+    size = F.floor(F.octet_length(F.unbase64("fingerprint")) / 4).cast("int")
+    return out.withColumn("n_spots", size).withColumn("partition", length_partition(F.col("n_spots")))
