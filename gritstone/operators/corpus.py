@@ -27,8 +27,9 @@ def tokens(text: str | Column) -> Column:
 
 
 def content_tokens(text: str | Column, extra: tuple[str, ...] = ()) -> Column:
-    stop = F.array(*[F.lit(w) for w in sorted({*STOP_WORDS, *(x.lower() for x in extra)})])
-    return F.filter(tokens(text), lambda w: ~F.array_contains(stop, w))
+    # A map is looked up by hash, a list would be read word by word for each token.
+    stop = F.create_map(*[F.lit(x) for w in sorted({*STOP_WORDS, *(x.lower() for x in extra)}) for x in (w, True)])
+    return F.filter(tokens(text), lambda w: stop[w].isNull())
 
 
 def ngrams(words: Column, n: int) -> Column:

@@ -28,7 +28,8 @@ def get_session(app: str = "gritstone", master: str | None = None, **conf: str)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir.  Where that is unset, a temporary one serves a local master
+    alone; on a cluster it raises, as executors couldn't read each other's files."""
     known = spark.conf.get("spark.checkpoint.dir", None)
     if not known:
         known = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
@@ -36,6 +37,9 @@ def shared_dir(spark: SparkSession) -> str:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         if current.isDefined():
             return current.get()
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         known = os.path.join(tempfile.gettempdir(), f"gritstone-checkpoints-{os.getpid()}")
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(known)
