@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gritstone.session import cut
+
 # Words that term statistics leave out.
 STOP_WORDS = (
     "a an the and or but in on at to for of with by from is was are were be been being have has had do does did will would "
@@ -54,7 +56,8 @@ def tfidf(docs: DataFrame, text: str = "text", id_col: str = "doc_id", top: int
     ln(documents / doc_freq), rounded to 6 places.  Ties by term.
     """
     worded = docs.where(F.col(text).isNotNull())
-    counts = term_counts(worded, content_tokens(text), id_col)
+    # Both the total and the ranking read the counts: texts are split into tokens once.
+    counts = cut(term_counts(worded, content_tokens(text), id_col))
     n = worded.count()
     words = counts.agg(F.sum("count")).first()[0] or 1
     best = counts.orderBy(F.desc("count"), "term").limit(3 * top)
