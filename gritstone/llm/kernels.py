@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
+from typing import Any
 
 import numpy as np
 
@@ -46,16 +47,21 @@ WORDS = byte_table(bytes([0x20, *range(9, 14)]))
 LETTERS = byte_table(bytes(x for x in range(128) if not chr(x).isalnum()))
 
 
-def chunks(texts: list[bytes], limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
-    """Index ranges of consecutive texts of about limit bytes; a longer text stands alone."""
-    start = size = 0
-    for i, text in enumerate(texts):
-        if size and size + len(text) > limit:
+#: Bytes of several texts that are worked on at once; the arrays that a slice of text needs are some fifty times as large.
+CHUNK = 1 << 18
+
+
+def chunks(items: Sequence, limit: int = CHUNK, size: Callable[[Any], int] = len) -> Iterator[tuple[int, int]]:
+    """Index ranges of consecutive items (texts) of about limit bytes; a larger one stands alone."""
+    start = held = 0
+    for i, item in enumerate(items):
+        more = size(item)
+        if held and held + more > limit:
             yield start, i
-            start, size = i, 0
-        size += len(text) + 1
-    if start < len(texts):
-        yield start, len(texts)
+            start, held = i, 0
+        held += more + 1
+    if start < len(items):
+        yield start, len(items)
 
 
 #: Bytes of a text that are in memory as arrays at once.

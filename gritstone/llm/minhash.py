@@ -313,10 +313,16 @@ def near_duplicates(
     def confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows, bounds in _whole_tasks(batches):
             texts = _texts(rows["text"])
-            sets: list[np.ndarray] = []
-            for a, b in chunks(texts):
-                sets += distinct_runs(*shingle_hashes(*word_hashes(texts[a:b], WORDS), shingle_words))
-            found = [x for a, b in zip(bounds[:-1], bounds[1:], strict=True) for x in _links(rows.iloc[a:b], sets[a:b], percent)]
+            rows = rows.drop(columns="text")
+            found: list[tuple[int, int]] = []
+            # The sets of a few small tasks, or of one large one, are in memory at once.
+            for first, last in chunks([texts[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)], size=lambda t: sum(map(len, t))):
+                low, high = bounds[first], bounds[last]
+                sets: list[np.ndarray] = []
+                for a, b in chunks(texts[low:high]):
+                    sets += distinct_runs(*shingle_hashes(*word_hashes(texts[low + a : low + b], WORDS), shingle_words))
+                for a, b in zip(bounds[first:last], bounds[first + 1 : last + 1], strict=True):
+                    found += _links(rows.iloc[a:b], sets[a - low : b - low], percent)
             yield pd.DataFrame(found, columns=["src", "dst"], dtype="int64")
 
     def open_ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
