@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gritstone.llm.sampling import smallest_hashes
+from gritstone.llm.sampling import local_rows, smallest_hashes
 from gritstone.session import cut
 
 SAMPLE = 16_384
@@ -88,7 +88,7 @@ def fit(rows: DataFrame, k: int, seed: int = 11) -> Index | None:
     """The index over usable rows of one length: at most SAMPLE of them, those with the smallest hashes of the id, are
     read on the driver; None without rows."""
     count = rows.count()
-    limits = rows.sparkSession.createDataFrame([(0, count, SAMPLE)], "grp int, n long, most int")
+    limits = local_rows(rows.sparkSession, [(0, count, SAMPLE)], "grp int, n long, most int")
     chosen = smallest_hashes(rows.select(F.col("vec_id").alias("id"), F.lit(0).alias("grp")), limits).select(F.col("id").alias("vec_id"))
     got = rows.join(F.broadcast(chosen), "vec_id", "left_semi").groupBy("vec_id").agg(F.min("vec").alias("vec")).orderBy("vec_id").toPandas()
     if not len(got):
@@ -213,7 +213,7 @@ def search(
     lengths = sorted(r["d"] for r in rows.select(F.size("vec").alias("d")).distinct().collect())
     found = [_search(rows.where(F.size("vec") == d), asked.where(F.size("vec") == d), k, seed) for d in lengths]
     if not found:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        return local_rows(spark, [], "query_id long, rank int, vec_id long, score double")
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
@@ -264,7 +264,7 @@ def _search(rows: DataFrame, asked: DataFrame, k: int, seed: int) -> DataFrame:
             held = TASK_QUERIES if parts > 1 else 0
         held += r["count"] if parts == 1 else 0
         blocks.append((r["home"], first, parts))
-    homes = spark.createDataFrame(blocks, "home int, first int, split int")
+    homes = local_rows(spark, blocks, "home int, first int, split int")
     chunk_table = F.array(*[F.lit(int(c)) for c in index.chunks])
     right = single.join(F.broadcast(homes), "home").withColumn("block", (F.col("first") + F.pmod(F.xxhash64("qkey"), "split")).cast("int")).withColumn("grp", F.explode("groups"))
     right = right.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.element_at(chunk_table, F.col("grp") + 1) - 1))).select("grp", "chunk", "block", "qkey", "raw")

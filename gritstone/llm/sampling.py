@@ -1,10 +1,12 @@
-"""Bounded samples of rows by hash of an id."""
+"""Bounded samples of rows by hash of an id, and small tables of the driver's."""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -24,3 +26,13 @@ def smallest_hashes(rows: DataFrame, limits: DataFrame) -> DataFrame:
     near = rows.withColumn("at", at).join(F.broadcast(bounds), "grp").where((F.col("at") / math.ldexp(1.0, 64) + 0.5) <= F.col("share"))
     place = F.row_number().over(Window.partitionBy("grp").orderBy("at", "id"))
     return near.select("id", "grp", "at", "most").distinct().withColumn("place", place).where("place <= most").select("id", "grp")
+
+
+_ARROW = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "string": pa.string()}
+
+
+def local_rows(spark: SparkSession, rows: Iterable[tuple], schema: str) -> DataFrame:
+    """Rows of the driver's as a table, handed over in Arrow's form: a list of tuples would go through a Python worker in every executor."""
+    fields = [x.split() for x in schema.split(",")]
+    columns = list(zip(*rows, strict=True)) or [()] * len(fields)
+    return spark.createDataFrame(pa.table([pa.array(c, _ARROW[kind]) for c, (_, kind) in zip(columns, fields, strict=True)], names=[name for name, _ in fields]))

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gritstone.llm.kernels import splitmix
+from gritstone.llm.sampling import local_rows
 from gritstone.session import cut
 
 #: Groups from this part of all rows or bytes on are broadcast with their shard, at most 2 / PART of them.
@@ -169,7 +170,7 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
         low = ends.get(size, 0)
         ends[size] = low + count
         runs.append((size, low, low + count, bin_))
-    bounds = spark.createDataFrame(runs, "bytes long, low long, high long, shard int")
+    bounds = local_rows(spark, runs, "bytes long, low long, high long, shard int")
     bounds = F.broadcast(bounds) if len(runs) <= BROADCAST_RUNS else bounds
     numbered = _numbered(groups, "bytes", ["grp"], int(classes["n"].sum()), "place")
     placed = cut(numbered.join(bounds, "bytes").where("place >= low and place < high").select("grp", "bytes", "rows", "shard"))

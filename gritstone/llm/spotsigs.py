@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gritstone.llm.kernels import LETTERS, chunks, mix64, splitmix, word_hashes
+from gritstone.llm.sampling import local_rows
 from gritstone.operators.graph import connected_components
 from gritstone.session import cut
 
@@ -173,7 +174,7 @@ def in_sequence(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     if not tops:
         return body.select(F.lit(0).alias("part"), F.lit(0).alias("role"), "id", "text")
     # A part's first document follows the last one of the part before; the first of all follows the last of all.
-    before = spark.createDataFrame([(r["k"], r["h"], tops[i - 1]["part"]) for i, r in enumerate(tops)], "tk long, th long, before int")
+    before = local_rows(spark, [(r["k"], r["h"], tops[i - 1]["part"]) for i, r in enumerate(tops)], "tk long, th long, before int")
     placed = body.withColumn("part", part_of("k", "h")).join(F.broadcast(before), (F.col("k") == F.col("tk")) & (F.col("h") == F.col("th")), "left")
     own = F.struct(F.col("part").alias("part"), F.lit(0).alias("role"))
     other = F.struct(F.col("before").alias("part"), F.lit(1).alias("role"))

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gritstone.llm.kernels import WORDS, chunks, mix64, shingle_hashes, splitmix, word_hashes
-from gritstone.llm.sampling import smallest_hashes
+from gritstone.llm.sampling import local_rows, smallest_hashes
 from gritstone.session import cut, spread
 
 # Seed words of the grammar's classes in English, German, French and Spanish.
@@ -337,7 +337,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     base = base_classes()
     if not rows:
         return Model(base)
-    single = seen.join(F.broadcast(docs.sparkSession.createDataFrame([(int(i),) for i in rows], "row long")), "row", "left_semi").withColumn("words", F.split("words", " "))
+    single = seen.join(F.broadcast(local_rows(docs.sparkSession, [(int(i),) for i in rows], "row long")), "row", "left_semi").withColumn("words", F.split("words", " "))
     sizes = {r["label"]: (r["n"], r["total"]) for r in single.groupBy("label").agg(F.count("*").alias("n"), F.sum("total").alias("total")).collect()}
     (ones, _), (zeros, plain) = sizes.get(1, (0, 0)), sizes.get(0, (0, 0))
     least = max(5, math.ceil(0.003 * ones))
@@ -357,7 +357,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     # A learned word of a learned stem is an insult of its own only if it is no chance neighbour of the stem's.
     found_stems = {r["stem"] for r in heads} - {w[:STEM] for w in base}
     learned = {w: s for w, s in learned.items() if w[:STEM] not in found_stems or len(w) <= STEM}
-    bounded = docs.sparkSession.createDataFrame([(s,) for s in sorted(found_stems)], "stem string")
+    bounded = local_rows(docs.sparkSession, [(s,) for s in sorted(found_stems)], "stem string")
     chance = stems.where(~one).join(F.broadcast(bounded), "stem", "left_semi").agg(F.sum("n")).first()[0] or 0
     by_word = sum(r["chance"] * learned[r["word"]] for r in top if r["word"] in learned)
     background = EVIDENCE[BLUNT] * (by_word + STEM_STRENGTH * chance) / max(1, plain)
