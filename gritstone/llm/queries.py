@@ -92,7 +92,13 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_check(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_nearest, op3_toxicity, op4_quality, op5_language_id, op6_minhash, op7_sharding, op8_mixing, op9_packing, op10_fingerprints)}
+def op13_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gritstone.llm.timestamps import normalise
+
+    return normalise(table(spark, sf_dir, "stamps"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_nearest, op3_toxicity, op4_quality, op5_language_id, op6_minhash, op7_sharding, op8_mixing, op9_packing, op10_fingerprints, op13_timestamps)}
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 SQL: dict[str, str] = {
     "op6_minhash": rf"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -118,6 +124,25 @@ SQL: dict[str, str] = {
         k AS (SELECT d.*, coalesce(sum(size) OVER (PARTITION BY source ORDER BY h, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM d),
         x AS (SELECT k.doc_id, k.size, ss, target, s, sum(CASE WHEN k.size > 0 THEN greatest(0, least(i * ss + pos + k.size, high) - greatest(i * ss + pos, low)) ELSE 0 END)::BIGINT AS words FROM k JOIN e ON k.source IS NOT DISTINCT FROM e.source, generate_series(0, 2) AS p(i) GROUP BY ALL)
         SELECT doc_id, size, ss AS source_size, target, sum(words)::BIGINT AS taken, string_agg(words::VARCHAR, ',' ORDER BY s) AS shard_words FROM x GROUP BY ALL""",
+    "op13_timestamps": r"""WITH p AS (SELECT *, trim(raw, E' \t\n\x0B\x0C\r') AS s FROM stamps),
+        g AS (SELECT stamp_id, source, zone, s, regexp_extract(s, '\A(?:(20[0-9]{2})-([0-9]{2})-([0-9]{2})|(20[0-9]{2})([0-9]{2})([0-9]{2})|([0-9]{2})\.([0-9]{2})\.(20[0-9]{2})|([0-9]{2}) (Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec) (20[0-9]{2})|([0-9]{2})/([0-9]{2})/(20[0-9]{2}))(?:[T ]([0-9]{2}):([0-9]{2})(?::([0-9]{2}))?(?: ?([AP]M))?(?: ?(Z|[+-][0-9]{2}:?[0-9]{2}))?)?\z',
+              ['y1', 'm1', 'd1', 'y2', 'm2', 'd2', 'd3', 'm3', 'y3', 'd4', 'b4', 'y4', 'a5', 'b5', 'y5', 'h', 'mi', 'sec', 'ap', 'off']) AS x FROM p),
+        n AS (SELECT * EXCLUDE (x), x.h, try_cast(x.h AS INT) AS hh, try_cast(x.mi AS INT) AS mi, coalesce(try_cast(x.sec AS INT), 0) AS sec, x.ap, x.off,
+              try_cast(x.off[2:3] AS INT) AS oh, try_cast(right(x.off, 2) AS INT) AS om,
+              try_cast(CASE WHEN x.y1 <> '' THEN concat_ws('-', x.y1, x.m1, x.d1) WHEN x.y2 <> '' THEN concat_ws('-', x.y2, x.m2, x.d2) WHEN x.y3 <> '' THEN concat_ws('-', x.y3, x.m3, x.d3)
+                WHEN x.y4 <> '' THEN concat_ws('-', x.y4, (list_position(['Jan', 'Feb', 'Mar', 'Apr', 'May', 'Jun', 'Jul', 'Aug', 'Sep', 'Oct', 'Nov', 'Dec'], x.b4))::VARCHAR, x.d4) END AS DATE) AS d,
+              CASE WHEN x.y5 <> '' THEN try_cast(concat_ws('-', x.y5, x.b5, x.a5) AS DATE) END AS df, CASE WHEN x.y5 <> '' THEN try_cast(concat_ws('-', x.y5, x.a5, x.b5) AS DATE) END AS mf FROM g),
+        c AS (SELECT *, CASE WHEN h = '' THEN 0 WHEN mi <= 59 AND sec <= 59 THEN CASE WHEN ap = '' AND hh <= 23 THEN hh WHEN ap <> '' AND hh BETWEEN 1 AND 12 THEN hh % 12 + CASE ap WHEN 'PM' THEN 12 ELSE 0 END END * 3600 + mi * 60 + sec END AS tod,
+              CASE WHEN off = 'Z' THEN 0 WHEN off <> '' AND oh <= 14 AND om <= 59 THEN (oh * 3600 + om * 60) * CASE off[1] WHEN '-' THEN -1 ELSE 1 END END AS o FROM n),
+        f AS (SELECT *, coalesce(tod IS NOT NULL AND coalesce(d, df, mf) IS NOT NULL AND CASE WHEN off = '' THEN zone IN (SELECT name FROM pg_timezone_names()) ELSE o IS NOT NULL END, FALSE) AS fine FROM c),
+        v AS (SELECT source, count(*) FILTER (mf IS NULL) AS dv, count(*) FILTER (df IS NULL) AS mv FROM f WHERE fine AND (df IS NULL) <> (mf IS NULL) GROUP BY source),
+        r AS (SELECT f.*, CASE WHEN regexp_full_match(s, '[0-9]{10}|[0-9]{13}') THEN 'epoch' WHEN NOT fine THEN 'bad' WHEN df <> mf THEN CASE WHEN coalesce(dv, 0) = coalesce(mv, 0) THEN 'default' ELSE 'votes' END ELSE 'plain' END AS rule,
+              CASE WHEN df <> mf AND coalesce(mv, 0) > coalesce(dv, 0) THEN mf ELSE coalesce(d, df, mf) END AS day FROM f LEFT JOIN v ON f.source IS NOT DISTINCT FROM v.source),
+        w AS (SELECT *, epoch(day::TIMESTAMP)::BIGINT + tod AS wall FROM r),
+        o AS (SELECT *, epoch(timezone(zone, to_timestamp(wall - 86400)))::BIGINT - wall + 86400 AS o1, epoch(timezone(zone, to_timestamp(wall + 86400)))::BIGINT - wall - 86400 AS o2 FROM w WHERE fine AND off = '' AND rule NOT IN ('epoch', 'bad')),
+        a AS (SELECT *, epoch(timezone(zone, to_timestamp(wall - least(o1, o2))))::BIGINT - wall + least(o1, o2) = o2 AS after, epoch(timezone(zone, to_timestamp(wall - greatest(o1, o2))))::BIGINT - wall + greatest(o1, o2) = o1 AS before FROM o)
+        SELECT stamp_id, (wall - CASE WHEN after THEN o2 ELSE o1 END) * 1000000 AS utc_us, rule, rule <> 'plain' OR (o1 <> o2 AND after AND before) AS ambiguous FROM a
+        UNION ALL SELECT stamp_id, CASE rule WHEN 'epoch' THEN s::BIGINT * CASE length(s) WHEN 10 THEN 1000000 ELSE 1000 END WHEN 'bad' THEN NULL ELSE (wall - o) * 1000000 END, rule, rule IN ('votes', 'default') FROM w WHERE NOT (fine AND off = '') OR rule IN ('epoch', 'bad')""",
 }
 
 
