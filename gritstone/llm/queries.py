@@ -92,13 +92,19 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_check(table(spark, sf_dir, "documents"))
 
 
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gritstone.llm.dualtree import cluster
+
+    return cluster(table(spark, sf_dir, "embeddings"))
+
+
 def op13_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gritstone.llm.timestamps import normalise
 
     return normalise(table(spark, sf_dir, "stamps"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_nearest, op3_toxicity, op4_quality, op5_language_id, op6_minhash, op7_sharding, op8_mixing, op9_packing, op10_fingerprints, op13_timestamps)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_nearest, op3_toxicity, op4_quality, op5_language_id, op6_minhash, op7_sharding, op8_mixing, op9_packing, op10_fingerprints, op12_centroids, op13_timestamps)}
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 SQL: dict[str, str] = {
     "op6_minhash": rf"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
