@@ -92,6 +92,12 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_check(table(spark, sf_dir, "documents"))
 
 
+def op11_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gritstone.llm.repeats import dedup
+
+    return dedup(table(spark, sf_dir, "documents"))
+
+
 def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gritstone.llm.dualtree import cluster
 
@@ -104,7 +110,7 @@ def op13_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalise(table(spark, sf_dir, "stamps"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_nearest, op3_toxicity, op4_quality, op5_language_id, op6_minhash, op7_sharding, op8_mixing, op9_packing, op10_fingerprints, op12_centroids, op13_timestamps)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_nearest, op3_toxicity, op4_quality, op5_language_id, op6_minhash, op7_sharding, op8_mixing, op9_packing, op10_fingerprints, op11_repeats, op12_centroids, op13_timestamps)}
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 SQL: dict[str, str] = {
     "op6_minhash": rf"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -130,6 +136,15 @@ SQL: dict[str, str] = {
         k AS (SELECT d.*, coalesce(sum(size) OVER (PARTITION BY source ORDER BY h, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM d),
         x AS (SELECT k.doc_id, k.size, ss, target, s, sum(CASE WHEN k.size > 0 THEN greatest(0, least(i * ss + pos + k.size, high) - greatest(i * ss + pos, low)) ELSE 0 END)::BIGINT AS words FROM k JOIN e ON k.source IS NOT DISTINCT FROM e.source, generate_series(0, 2) AS p(i) GROUP BY ALL)
         SELECT doc_id, size, ss AS source_size, target, sum(words)::BIGINT AS taken, string_agg(words::VARCHAR, ',' ORDER BY s) AS shard_words FROM x GROUP BY ALL""",
+    "op11_repeats": """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, strlen(coalesce(text, ''))::BIGINT AS n FROM documents),
+        w AS (SELECT doc_id, i, md5_number(substr(x, 2 * i + 1, 200)) AS m FROM (SELECT doc_id, x, unnest(range(0, n - 99)) AS i FROM d)),
+        f AS (SELECT m, min(struct_pack(doc_id, i)) AS first FROM w GROUP BY m HAVING count(*) > 1),
+        r AS (SELECT doc_id, i, i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS step FROM w JOIN f USING (m) WHERE (doc_id, i) <> (first.doc_id, first.i)),
+        g AS (SELECT doc_id, i, sum(CASE WHEN step <= 100 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS island FROM r),
+        s AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS b FROM g GROUP BY doc_id, island),
+        k AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS was FROM s),
+        p AS (SELECT doc_id, string_agg(substr(x, 2 * was + 1, 2 * (a - was)), '' ORDER BY a) AS kept, sum(b - a)::BIGINT AS gone, count(*) AS n_spans, max(b) AS last FROM k JOIN d USING (doc_id) GROUP BY doc_id)
+        SELECT doc_id, n AS n_bytes, coalesce(gone, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, '') || substr(x, 2 * coalesce(last, 0) + 1))) AS kept_sha256 FROM d LEFT JOIN p USING (doc_id)""",
     "op13_timestamps": r"""WITH p AS (SELECT *, trim(raw, E' \t\n\x0B\x0C\r') AS s FROM stamps),
         g AS (SELECT stamp_id, source, zone, s, regexp_extract(s, '\A(?:(20[0-9]{2})-([0-9]{2})-([0-9]{2})|(20[0-9]{2})([0-9]{2})([0-9]{2})|([0-9]{2})\.([0-9]{2})\.(20[0-9]{2})|([0-9]{2}) (Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec) (20[0-9]{2})|([0-9]{2})/([0-9]{2})/(20[0-9]{2}))(?:[T ]([0-9]{2}):([0-9]{2})(?::([0-9]{2}))?(?: ?([AP]M))?(?: ?(Z|[+-][0-9]{2}:?[0-9]{2}))?)?\z',
               ['y1', 'm1', 'd1', 'y2', 'm2', 'd2', 'd3', 'm3', 'y3', 'd4', 'b4', 'y4', 'a5', 'b5', 'y5', 'h', 'mi', 'sec', 'ap', 'off']) AS x FROM p),
