@@ -56,8 +56,8 @@ def _distance(names: list[str], a: str, b: str) -> Column:
     return sum((hamming(f"{a}.{n}", f"{b}.{n}") for n in names[1:]), hamming(f"{a}.{names[0]}", f"{b}.{names[0]}"))
 
 
-def band_links(reps: DataFrame, names: list[str], most: int) -> DataFrame:
-    """(src, dst, distance) of rows(id, *names) with different hashes.
+def band_links(reps: DataFrame, names: list[str], most: int, also: Column | None = None) -> DataFrame:
+    """(src, dst, distance) of rows(id, *names) that also holds for, as sides a and b; other columns go along.
 
     One side brings each band as it is, the other each band as it is and with
     every bit turned, so rows grow with the number of bits and pairs are found
@@ -71,10 +71,11 @@ def band_links(reps: DataFrame, names: list[str], most: int) -> DataFrame:
         flips = F.array(*[F.lit(1 << k if k < 63 else -(1 << 63)) for k in range(band[2])])
         return F.transform(flips, lambda x: F.struct(F.lit(i).alias("n"), value(*band).bitwiseXOR(x).alias("v")))
 
-    one = reps.select("id", *names, F.explode(exact).alias("band")).alias("a")
-    two = reps.select("id", *names, F.explode(F.concat(exact, *[turned(i, b) for i, b in enumerate(bands)])).alias("band")).alias("b")
+    one = reps.select("*", F.explode(exact).alias("band")).alias("a")
+    two = reps.select("*", F.explode(F.concat(exact, *[turned(i, b) for i, b in enumerate(bands)])).alias("band")).alias("b")
     far = _distance(names, "a", "b")
-    pairs = one.join(two, (F.col("a.band") == F.col("b.band")) & (F.col("a.id") != F.col("b.id")) & (far <= most))
+    met = (F.col("a.band") == F.col("b.band")) & (F.col("a.id") != F.col("b.id")) & (far <= most)
+    pairs = one.join(two, met if also is None else met & also)
     return pairs.select(F.least("a.id", "b.id").alias("src"), F.greatest("a.id", "b.id").alias("dst"), far.alias("distance")).distinct()
 
 
@@ -104,23 +105,72 @@ def block_links(reps: DataFrame, names: list[str], most: int, block_rows: int =
     return dealt.groupBy("a", "b").applyInPandas(meet, f"src {kind}, dst {kind}, distance int")
 
 
+def hash_members(rows: DataFrame, key: str = "id", columns: tuple[str, ...] = ("hash",)) -> DataFrame:
+    """(id, rep) of all rows with any hash; rep is the smallest id of the rows that have the same hashes, and miss the same.
+
+    The smallest id is a combined aggregate, and the join back to the rows is one
+    that adaptive execution splits where a hash is hot.
+    """
+    names = [f"h{i}" for i in range(len(columns))]
+    have = F.coalesce(*[F.col(c) for c in columns]).isNotNull()
+    each = rows.where(have).select(F.col(key).alias("id"), *[F.col(c).cast("long").alias(n) for c, n in zip(columns, names, strict=True)])
+    reps = each.groupBy(*names).agg(F.min("id").alias("rep")).select("rep", *[F.col(n).alias(f"r{n}") for n in names])
+    same = F.lit(True)
+    for n in names:
+        same = same & F.col(n).eqNullSafe(F.col(f"r{n}"))
+    return each.join(reps, same).select("id", "rep")
+
+
+def class_rows(members: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, class_id, class_size, n_links, component) of all members(id, rep), from links(src, dst) between representatives.
+
+    n_links counts rows, copies included: the others of the class, and all of each
+    linked class.  Nothing is expanded into pairs.
+    """
+    sizes = members.groupBy("rep").agg(F.count("*").alias("class_size"))
+    both = links.select(F.col("src").alias("rep"), F.col("dst").alias("other")).unionByName(links.select(F.col("dst").alias("rep"), F.col("src").alias("other")))
+    beyond = both.join(sizes.select(F.col("rep").alias("other"), "class_size"), "other").groupBy("rep").agg(F.sum("class_size").alias("beyond"))
+    comp = connected_components(links).withColumnRenamed("node", "rep")
+    classes = sizes.join(beyond, "rep", "left").join(comp, "rep", "left")
+    classes = classes.select("rep", "class_size", (F.col("class_size") - 1 + F.coalesce("beyond", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component"))
+    return members.join(classes, "rep").select("id", F.col("rep").alias("class_id"), "class_size", "n_links", "component")
+
+
+def with_members(links: DataFrame, members: DataFrame, value: str, same: Column) -> DataFrame:
+    """links between representatives, and from each representative to the other rows of its class, with the value ``same``."""
+    own = members.where("id <> rep").select(F.col("rep").alias("src"), F.col("id").alias("dst"), same.alias(value))
+    return links.select("src", "dst", value).unionByName(own)
+
+
 def composite_links(rows: DataFrame, threshold: float = 0.90, key: str = "id", kinds: tuple[str, ...] = ("p", "d", "a")) -> DataFrame:
-    """(src, dst, similarity) of different hashes alike by composite_similarity from threshold on.
+    """(src, dst, similarity) of rows with different hashes, alike by composite_similarity from threshold on.
 
-    Rows with every kind of hash; the mean of the kinds' similarities is one
-    less the differing bits over all bits.  src and dst are the smallest ids of
-    their hashes.
+    src and dst stand for all rows with the same hashes that miss the same kinds.
+    Two rows are compared on the kinds that both have, so there is a join for
+    each set of kinds: of rows that have at least these, pairs that share no
+    others.  The mean of the kinds' similarities is one less the differing bits
+    over all bits of the set.
     """
-    bits = 64 * len(kinds)
-    found = hamming_links(rows, bound(threshold, bits), key, kinds)
-    return found.select("src", "dst", F.round(1 - F.col("distance") / float(bits), 9).alias("similarity"))
+    have = F.coalesce(*[F.col(k) for k in kinds]).isNotNull()
+    mask = sum((F.when(F.col(k).isNotNull(), F.lit(1 << i)).otherwise(F.lit(0)) for i, k in enumerate(kinds)), F.lit(0))
+    reps = rows.where(have).withColumn("_m", mask).groupBy("_m", *kinds).agg(F.min(key).alias("id"))
+    reps = cut(reps.select("id", F.col("_m").alias("mask"), *[F.col(k).cast("long").alias(f"h{i}") for i, k in enumerate(kinds)]))
+    out = None
+    for common in range(1, 1 << len(kinds)):
+        names = [f"h{i}" for i in range(len(kinds)) if common >> i & 1]
+        bits = 64 * len(names)
+        some = reps.where(F.col("mask").bitwiseAND(F.lit(common)) == common).select("id", "mask", *names)
+        only = F.col("a.mask").bitwiseAND(F.col("b.mask")) == common
+        found = band_links(some, names, bound(threshold, bits), only).select("src", "dst", F.round(1 - F.col("distance") / float(bits), 9).alias("similarity"))
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def hash_classes(rows: DataFrame, links: DataFrame, key: str = "id", column: str = "hash") -> DataFrame:
     """(id, component): copies share their hash's smallest id, linked hashes the smallest of their component."""
-    rep = rows.where(F.col(column).isNotNull()).withColumn("_r", F.min(key).over(Window.partitionBy(column)))
+    rep = hash_members(rows, key, (column,)).withColumnRenamed("rep", "_r")
     comp = connected_components(links)
-    return rep.join(comp.withColumnRenamed("node", "_r"), "_r", "left").select(F.col(key).alias("id"), F.coalesce("component", "_r").alias("component"))
+    return rep.join(comp.withColumnRenamed("node", "_r"), "_r", "left").select("id", F.coalesce("component", "_r").alias("component"))
 
 
 def composite_similarity(a: dict[str, Column], b: dict[str, Column]) -> Column:
@@ -165,8 +215,20 @@ def jaccard_links(sets: DataFrame, threshold: float, key: str = "id", column: st
     in no more bits than the sets in elements, so a pair whose sketches are too
     far apart is dropped where it meets.  Equal sets collapse first.
     """
+    return set_links(set_classes(sets, key, column)[1], threshold)
+
+
+def set_classes(sets: DataFrame, key: str = "id", column: str = "grams") -> tuple[DataFrame, DataFrame]:
+    """(id, rep) of all rows with a set that is not empty, and (id, g): the set of each representative, the smallest id of equal sets."""
     each = sets.select(F.col(key).alias("id"), F.array_sort(column).alias("g")).where(F.size("g") > 0)
-    reps = cut(each.groupBy("g").agg(F.min("id").alias("id")))
+    each = cut(each.withColumn("digest", F.sha2(F.array_join(F.col("g").cast("array<string>"), "\x1f"), 256)))
+    reps = each.groupBy("digest").agg(F.min("id").alias("rep"))
+    members = each.select("id", "digest").join(reps, "digest").select("id", "rep")
+    return members, cut(each.join(reps, (each["digest"] == reps["digest"]) & (F.col("id") == F.col("rep")), "left_semi").select("id", "g").dropDuplicates(["id"]))
+
+
+def set_links(reps: DataFrame, threshold: float) -> DataFrame:
+    """jaccard_links of rows(id, g) with different sets g in ascending order."""
     step = -math.log(threshold)
     length = F.floor(F.log(F.size("g").cast("double")) / step + 1e-9).cast("int")
 
@@ -193,10 +255,14 @@ def jaccard_links(sets: DataFrame, threshold: float, key: str = "id", column: st
     return with_sets.select("src", "dst", F.round(sim, 9).alias("sim")).where(F.col("sim") >= threshold - 1e-9)
 
 
-def document_links(docs: DataFrame, threshold: float = 0.95, key: str = "doc_id", text: str = "text", least: int = 50) -> DataFrame:
-    """Bigram Jaccard links of texts longer than ``least`` characters, over whole normalised texts."""
+def document_links(docs: DataFrame, threshold: float = 0.95, key: str = "doc_id", text: str = "text", least: int = 50) -> tuple[DataFrame, DataFrame]:
+    """(id, rep) of all texts longer than ``least`` characters, texts with equal sets of bigrams being one class, and the links of their representatives.
+
+    Whole normalised texts count.
+    """
     long = docs.where(F.char_length(text) > least).select(F.col(key).alias("id"), normalised(text).alias("body"))
-    return jaccard_links(long.select("id", _bigram_codes()("body").alias("grams")), threshold)
+    members, reps = set_classes(long.select("id", _bigram_codes()("body").alias("grams")))
+    return members, set_links(reps, threshold)
 
 
 def _bigram_codes():

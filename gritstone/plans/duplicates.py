@@ -24,9 +24,8 @@ def all_duplicates(files: DataFrame, hashes: DataFrame | None = None, most_bits:
         shown = frames.join(live.select(F.col("id").alias("video")), "video", "left_semi")
         videos = connected_components(similar.video_links(shown, video_threshold))
         out = out.unionByName(videos.select(F.lit("video").alias("match_type"), F.col("component").alias("group_id"), F.col("node").alias("id")))
-    links = similar.document_links(live.select(F.col("id").alias("doc_id"), "text"))
-    documents = connected_components(links).select(F.lit("document").alias("match_type"), F.col("component").alias("group_id"), F.col("node").alias("id"))
-    return out.unionByName(documents)
+    documents = similar.class_rows(*similar.document_links(live.select(F.col("id").alias("doc_id"), "text"))).where("n_links > 0")
+    return out.unionByName(documents.select(F.lit("document").alias("match_type"), F.col("component").alias("group_id"), "id"))
 
 
 def report(files: DataFrame, groups: DataFrame) -> dict[str, DataFrame]:

@@ -8,6 +8,7 @@ from gritstone.catalog import faces, table
 from gritstone.functions.vectors import cosine, pearson_unit, sign_bits
 from gritstone.operators import match, people, similar
 from gritstone.queries.book import Book
+from gritstone.session import cut
 
 Q = Book()
 _HASH = "h AS (SELECT vec_id AS id, list_reduce(list_prepend(0::HUGEINT, list_transform(embedding, lambda x: (x > 0)::INT::HUGEINT)), lambda a, b: a * 2 + b) AS hash FROM embeddings)"
@@ -17,10 +18,25 @@ def hashes(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), sign_bits("embedding").alias("hash"))
 
 
-@Q.query(f"""WITH {_HASH}, r AS (SELECT hash, min(id) AS id FROM h GROUP BY 1)
-    SELECT a.id AS src, b.id AS dst, bit_count(xor(a.hash, b.hash))::INT AS distance FROM r a JOIN r b ON a.id < b.id AND bit_count(xor(a.hash, b.hash)) <= 18""")
+#: From l(x, y, v), all linked pairs of rows in both directions, and n(id), all rows: rep(id, rep) by links of value {same}; rows that share a representative are one class.
+_CLASSES = "rep AS (SELECT n.id, least(n.id, coalesce(min(l.y), n.id)) AS rep FROM n LEFT JOIN l ON l.x = n.id AND {same} GROUP BY n.id)"
+_PAIRS = """SELECT l.x AS src, l.y AS dst, l.v AS {value} FROM l JOIN rep a ON a.id = l.x JOIN rep b ON b.id = l.y WHERE (l.x < l.y AND a.rep = l.x AND b.rep = l.y) OR (a.id <> b.id AND b.rep = l.x AND {same})"""
+_ROWS = """, c(x, y) AS (SELECT id, id FROM n UNION SELECT c.x, l.y FROM c JOIN l ON c.y = l.x), m AS (SELECT x AS id, min(y) AS component FROM c GROUP BY 1), k AS (SELECT x AS id, count(*) AS n FROM l GROUP BY 1)
+    SELECT id, rep AS class_id, count(*) OVER (PARTITION BY rep) AS class_size, coalesce(k.n, 0) AS n_links, component FROM rep JOIN m USING (id) LEFT JOIN k USING (id)"""
+_HAMMING = f"""{_HASH}, n AS (SELECT id FROM h), l AS (SELECT a.id AS x, b.id AS y, bit_count(xor(a.hash, b.hash))::INT AS v FROM h a JOIN h b ON a.id <> b.id AND bit_count(xor(a.hash, b.hash)) <= 18), {_CLASSES.format(same="v = 0")}"""
+
+
+@Q.query(f"WITH {_HAMMING} " + _PAIRS.format(value="distance", same="v = 0"))
 def hamming_pairs(spark, sf_dir):
-    return similar.hamming_links(hashes(spark, sf_dir), 18)
+    """Pairs of representatives of different hashes, and each representative with the other rows of its hash (distance 0)."""
+    rows = hashes(spark, sf_dir)
+    return similar.with_members(similar.hamming_links(rows, 18), similar.hash_members(rows), "distance", F.lit(0))
+
+
+@Q.query(f"WITH RECURSIVE {_HAMMING}{_ROWS}")
+def hamming_classes(spark, sf_dir):
+    rows = hashes(spark, sf_dir)
+    return similar.class_rows(similar.hash_members(rows), similar.hamming_links(rows, 18))
 
 
 @Q.query(f"""WITH RECURSIVE {_HASH}, r AS (SELECT hash, min(id) AS id FROM h GROUP BY 1), e AS (SELECT a.id AS x, b.id AS y FROM r a JOIN r b ON a.id <> b.id AND bit_count(xor(a.hash, b.hash)) <= 16),
@@ -32,34 +48,58 @@ def near_duplicate_components(spark, sf_dir):
 
 
 def image_hashes(spark, sf_dir):
-    """Three hashes of each vector, and of a copy of each with some components turned, under ids from a million on."""
+    """Three hashes of each vector, of a copy of each with some components turned (ids from a million on), and of an exact copy of every third (two million on).
+
+    Every fifth has no second hash, every seventh no third, every eleventh no first, so all sets of kinds occur.
+    """
     own = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("e"))
     copy = F.transform("e", lambda x, i: F.when((F.col("id") * 7 + (i + 1) * 13) % 97 < 4, -x).otherwise(x))
-    both = own.unionByName(own.withColumn("e", copy).withColumn("id", F.col("id") + 1_000_000))
+    all_of = own.unionByName(own.withColumn("e", copy).withColumn("id", F.col("id") + 1_000_000)).unionByName(own.where("id % 3 = 0").withColumn("id", F.col("id") + 2_000_000))
     steps = F.zip_with("e", F.concat(F.slice("e", 2, 63), F.slice("e", 1, 1)), lambda x, y: x - y)
-    return both.select("id", sign_bits("e").alias("p"), sign_bits(steps).alias("d"), sign_bits(F.transform("e", lambda x: x.cast("double") - 0.1)).alias("a"))
+    p, d, a = sign_bits("e"), sign_bits(steps), sign_bits(F.transform("e", lambda x: x.cast("double") - 0.1))
+    has = lambda n: F.col("id") % 1_000_000 % n != n - 1
+    return all_of.select("id", F.when(has(11), p).alias("p"), F.when(has(5), d).alias("d"), F.when(has(7), a).alias("a"))
 
 
 _BITS = "list_reduce(list_prepend(0::HUGEINT, list_transform({}, lambda i: ({})::INT::HUGEINT)), lambda a, b: a * 2 + b)"
+_DIFFER = "coalesce(bit_count(xor(x.{0}, y.{0}))::INT, 0)"
+_COMPOSITE = f"""o AS (SELECT vec_id AS id, embedding AS e FROM embeddings), b AS (SELECT * FROM o UNION ALL SELECT id + 1000000, list_transform(generate_series(1, 64), lambda i: CASE WHEN (id * 7 + i * 13) % 97 < 4 THEN -e[i] ELSE e[i] END) FROM o UNION ALL SELECT id + 2000000, e FROM o WHERE id % 3 = 0),
+    h AS (SELECT id, CASE WHEN id % 1000000 % 11 <> 10 THEN {_BITS.format("generate_series(1, 64)", "e[i] > 0")} END AS p, CASE WHEN id % 1000000 % 5 <> 4 THEN {_BITS.format("generate_series(1, 64)", "e[i] - e[i % 64 + 1] > 0")} END AS d, CASE WHEN id % 1000000 % 7 <> 6 THEN {_BITS.format("generate_series(1, 64)", "e[i]::DOUBLE - 0.1::DOUBLE > 0")} END AS a FROM b),
+    n AS (SELECT id FROM h WHERE coalesce(p, d, a) IS NOT NULL),
+    x AS (SELECT x.id AS x, y.id AS y, {" + ".join(_DIFFER.format(k) for k in "pda")} AS bits, 64 * ((x.p IS NOT NULL AND y.p IS NOT NULL)::INT + (x.d IS NOT NULL AND y.d IS NOT NULL)::INT + (x.a IS NOT NULL AND y.a IS NOT NULL)::INT) AS width,
+      x.p IS NOT DISTINCT FROM y.p AND x.d IS NOT DISTINCT FROM y.d AND x.a IS NOT DISTINCT FROM y.a AS same FROM h x JOIN h y ON x.id <> y.id),
+    l AS (SELECT x, y, round(1 - bits / width::DOUBLE, 9) AS v, same FROM x WHERE width > 0 AND 10 * bits <= width), {_CLASSES.format(same="l.same")}"""
 
 
-@Q.query(f"""WITH o AS (SELECT vec_id AS id, embedding AS e FROM embeddings), b AS (SELECT * FROM o UNION ALL SELECT id + 1000000, list_transform(generate_series(1, 64), lambda i: CASE WHEN (id * 7 + i * 13) % 97 < 4 THEN -e[i] ELSE e[i] END) FROM o),
-    h AS (SELECT id, {_BITS.format("generate_series(1, 64)", "e[i] > 0")} AS p, {_BITS.format("generate_series(1, 64)", "e[i] - e[i % 64 + 1] > 0")} AS d, {_BITS.format("generate_series(1, 64)", "e[i]::DOUBLE - 0.1::DOUBLE > 0")} AS a FROM b),
-    r AS (SELECT p, d, a, min(id) AS id FROM h GROUP BY 1, 2, 3), x AS (SELECT x.id AS src, y.id AS dst, bit_count(xor(x.p, y.p)) + bit_count(xor(x.d, y.d)) + bit_count(xor(x.a, y.a)) AS n FROM r x JOIN r y ON x.id < y.id)
-    SELECT src, dst, round(1 - n / 192.0::DOUBLE, 9) AS similarity FROM x WHERE n <= 19""")
+@Q.query(f"WITH {_COMPOSITE} " + _PAIRS.format(value="similarity", same="l.same"))
 def composite_pairs(spark, sf_dir):
-    return similar.composite_links(image_hashes(spark, sf_dir), 0.90)
+    """Pairs of representatives of different hashes on the kinds that both have, and each representative with its equals (similarity 1)."""
+    rows = cut(image_hashes(spark, sf_dir))
+    return similar.with_members(similar.composite_links(rows, 0.90), similar.hash_members(rows, columns=("p", "d", "a")), "similarity", F.lit(1.0))
+
+
+@Q.query(f"WITH RECURSIVE {_COMPOSITE}{_ROWS}")
+def composite_classes(spark, sf_dir):
+    rows = cut(image_hashes(spark, sf_dir))
+    return similar.class_rows(similar.hash_members(rows, columns=("p", "d", "a")), similar.composite_links(rows, 0.90))
 
 
-_GRAMS = r"""s AS (SELECT doc_id AS id, list_sort(list_distinct(list_transform(generate_series(1, length(t) - 1), lambda i: t[i:i + 1]))) AS g FROM
-    (SELECT doc_id, trim(regexp_replace(lower(text), '[\s\x{A0}]+', ' ', 'g')) AS t FROM documents WHERE length(text) > 50)),
-    r AS (SELECT g, min(id) AS id, len(g) AS n FROM s GROUP BY 1)"""
+_JACCARD = r"""s AS (SELECT doc_id AS id, list_sort(list_distinct(list_transform(generate_series(1, length(t) - 1), lambda i: t[i:i + 1]))) AS g FROM
+    (SELECT doc_id, trim(regexp_replace(lower(text), '[\s\x{A0}]+', ' ', 'g')) AS t FROM documents WHERE length(text) > 50)), n AS (SELECT id FROM s),
+    p AS (SELECT a.id AS x, b.id AS y, len(list_intersect(a.g, b.g)) AS k, len(a.g) + len(b.g) AS t FROM s a JOIN s b ON a.id < b.id AND least(len(a.g), len(b.g)) >= 0.95 * greatest(len(a.g), len(b.g)) - 1),
+    j AS (SELECT x, y, round(k / (t - k), 9) AS v FROM p WHERE k / (t - k) >= 0.95 - 1e-9), l AS (SELECT x, y, v FROM j UNION ALL SELECT y, x, v FROM j), """ + _CLASSES.format(same="v = 1")
 
 
-@Q.query(f"""WITH {_GRAMS}, p AS (SELECT a.id AS src, b.id AS dst, len(list_intersect(a.g, b.g)) AS k, a.n + b.n AS t FROM r a JOIN r b ON a.id < b.id AND least(a.n, b.n) >= 0.95 * greatest(a.n, b.n) - 1)
-    SELECT src, dst, round(k / (t - k), 9) AS sim FROM p WHERE k / (t - k) >= 0.95 - 1e-9""")
+@Q.query(f"WITH {_JACCARD} " + _PAIRS.format(value="sim", same="v = 1"))
 def jaccard_pairs(spark, sf_dir):
-    return similar.document_links(table(spark, sf_dir, "documents"))
+    """Pairs of representatives of different sets of bigrams, and each representative with the other documents of its set (1)."""
+    members, links = similar.document_links(table(spark, sf_dir, "documents"))
+    return similar.with_members(links, members, "sim", F.lit(1.0))
+
+
+@Q.query(f"WITH RECURSIVE {_JACCARD}{_ROWS}")
+def jaccard_classes(spark, sf_dir):
+    return similar.class_rows(*similar.document_links(table(spark, sf_dir, "documents")))
 
 
 @Q.query("""WITH q AS (SELECT embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id = 7) SELECT vec_id, round(list_inner_product(embedding::DOUBLE[], (SELECT e FROM q)), 9) AS similarity FROM embeddings
