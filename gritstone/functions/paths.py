@@ -124,5 +124,10 @@ def ignored(path: str | Column, patterns: tuple[str, ...] = IGNORED) -> Column:
     return F.exists(segments, hit)
 
 
+def is_ignored(name: str, patterns: tuple[str, ...] = IGNORED) -> bool:
+    """ignored for one name of a driver's or reader's listing."""
+    return any(name.endswith(p[1:]) if p.startswith("*") else name.startswith(p[:-1]) if p.endswith("*") else name == p for p in patterns)
+
+
 def hidden(path: str | Column) -> Column:
     return basename(path).startswith(".")
