@@ -28,26 +28,37 @@ class Shard:
     back: np.ndarray
 
 
+#: Symbols of a suffix that are packed into its first number.
+_PACKED = 7
+
+
+def _dense(values: np.ndarray) -> np.ndarray:
+    """Each value's place among the different ones, from 1."""
+    order = np.argsort(values)
+    out = np.empty(len(values), np.int64)
+    out[order] = np.cumsum(np.diff(values[order], prepend=-1) != 0)
+    return out
+
+
 def transform(text: np.ndarray, starts: np.ndarray, depth: int) -> Shard:
     """The transform of the strings text[starts[i]:starts[i + 1]]: suffixes in the order of their first depth symbols, then of their place.  A suffix that ends comes before its continuations."""
     n = len(text)
     sizes = np.diff(starts)
     offset = np.arange(n) - np.repeat(starts[:-1], sizes)
     rest = np.repeat(sizes, sizes) - offset
-    rank = text.astype(np.int64) + 1
-    k = 1
-    while k < depth:
+    symbols, rank = text.astype(np.int64) + 1, np.zeros(n, np.int64)
+    for j in range(_PACKED):
+        ahead = np.zeros(n, np.int64)
+        ahead[: n - j] = symbols[j:]
+        ahead[rest <= j] = 0
+        rank = rank * 257 + ahead
+    rank, k = _dense(rank), _PACKED
+    while k < depth and n and rank.max() < n:
         after = np.zeros(n, np.int64)
         after[: n - k] = rank[k:]
         after[rest <= k] = 0
-        both = rank * (n + 258) + after
-        order = np.argsort(both, kind="stable")
-        new = np.empty(n, np.int64)
-        new[order] = np.cumsum(np.diff(both[order], prepend=-1) != 0)
-        rank, k = new, 2 * k
-        if n and new[order[-1]] == n:
-            break
-    at = np.argsort(rank, kind="stable")
+        rank, k = _dense(rank * (n + 1) + after), 2 * k
+    at = np.argsort(rank * (n + 1) + np.arange(n))
     row = np.empty(n, np.int32)
     row[at] = np.arange(n, dtype=np.int32)
     pair = np.zeros(n, np.uint16)

@@ -32,7 +32,7 @@ from gritstone.session import scratch_path, spread
 #: Bytes of a repeated string, of the strings that give a window its key, and windows of a segment at most.
 WIDTH, GRAM, LONGEST = 100, 32, 128
 #: Bytes worked on at once, and bytes of the strings of one shard and of those merged at once.
-PIECE, SHARD, MERGED = 1 << 20, 1 << 18, 1 << 20
+PIECE, SHARD, MERGED = 1 << 20, 1 << 16, 1 << 19
 #: A key with this part of the sampled segments (one document in SAMPLE) is hot; one with more than WIDE different segments is wide.
 HOT_PART, SAMPLE, WIDE = 4096, 64, 8192
 _LAST = (1 << 63) - 1
