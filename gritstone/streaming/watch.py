@@ -1,10 +1,7 @@
-"""Structured Streaming: windows, debounced batches, change detection over an event stream."""
+"""Structured Streaming: windows, sessions, change detection over an event stream."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,28 +35,6 @@ def new_files(listing: DataFrame, at: str = "ts", late: str = "1 day") -> DataFr
     return sized.withWatermark(at, late).dropDuplicatesWithinWatermark(["path"]) if listing.isStreaming else sized.dropDuplicates(["path"])
 
 
-def debounce(events: DataFrame, key: str, seconds: int) -> DataFrame:
-    """(key, n, paths): by processing time, a key's waiting paths leave together when none came for ``seconds``.
-
-    events has key and path.  State is a key's waiting paths; it goes when they leave.
-    """
-
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            (waiting,) = state.get
-            state.remove()
-            yield pd.DataFrame({key: [k[0]], "n": [len(waiting)], "paths": [list(waiting)]})
-            return
-        waiting = list(state.get[0]) if state.exists else []
-        for pdf in batches:
-            waiting = list(dict.fromkeys([*waiting, *pdf["path"]]))
-        state.update((waiting,))
-        state.setTimeoutDuration(seconds * 1000)
-
-    kind = dict(events.dtypes)[key]
-    return events.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, n long, paths array<string>", "paths array<string>", "append", "ProcessingTimeTimeout")
-
-
 def status_changes(rows: DataFrame, key: str, status: str, at: str) -> DataFrame:
     """Rows whose status differs from the key's one before (the first counts): a batch form of change detection."""
     from pyspark.sql import Window

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from gritstone.functions import dates, paths, scalars
 from gritstone.operators import actions, corpus, dedup, graph, match, mutation, redundancy, resolve, search, similar, timeline
 from gritstone.sources import listing, sinks
-from gritstone.streaming import watch
 
 
 def one(spark, column):
@@ -165,22 +164,6 @@ def test_files_end_to_end(spark, tmp_path):
     assert "<td>z.txt</td>" in sinks.html_report("t", {"files": rows})
 
 
-def test_debounce_is_a_stream(spark, tmp_path):
-    (tmp_path / "in").mkdir()
-    spark.createDataFrame([("f", "/a"), ("f", "/b"), ("f", "/a")], "folder string, path string").write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema("folder string, path string").parquet(str(tmp_path / "in"))
-    out = watch.debounce(stream, "folder", 1)
-    run = out.writeStream.format("memory").queryName("batches").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(processingTime="500 milliseconds").start()
-    try:
-        for _ in range(60):
-            if spark.table("batches").count():
-                break
-            run.awaitTermination(0.5)
-        assert [(r["folder"], r["n"]) for r in spark.table("batches").collect()] == [("f", 2)]
-    finally:
-        run.stop()
-
-
 def test_extractors(spark):
     from gritstone.functions import dates
     from gritstone.sources import extractors
