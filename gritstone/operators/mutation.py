@@ -6,7 +6,7 @@ business (write beside the old one, then swap).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 HASHES = ("quick_hash", "content_hash", "perceptual_hash")
@@ -71,11 +71,10 @@ def remap_prefix(rows: DataFrame, old: str, new: str, path: str = "path") -> Dat
 
 
 def upsert(table: DataFrame, rows: DataFrame, keys: list[str], only: list[str] | None = None, insert: bool = True) -> DataFrame:
-    """rows into table by key.  only: columns that an existing row takes over; insert=False leaves unknown keys out."""
-    old, new = table.alias("o"), rows.alias("n")
+    """rows into table by key, nulls of a key being equal.  only: columns that an existing row takes over; insert=False leaves unknown keys out."""
+    old, new = table.withColumn("_old", F.lit(True)).alias("o"), rows.withColumn("_new", F.lit(True)).alias("n")
     joined = old.join(new, [F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}")) for k in keys], "full_outer" if insert else "left")
-    there = F.coalesce(*[F.col(f"n.{k}") for k in keys]).isNotNull()
-    known = F.coalesce(*[F.col(f"o.{k}") for k in keys]).isNotNull()
+    there, known = F.col("n._new").isNotNull(), F.col("o._old").isNotNull()
     out = []
     for c in table.columns:
         if c in keys:
@@ -89,8 +88,12 @@ def upsert(table: DataFrame, rows: DataFrame, keys: list[str], only: list[str] |
 
 
 def keep_latest(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The last row of each key: replace-on-conflict."""
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc_nulls_last(order)))).where("_n = 1").drop("_n")
+    """The last row of each key: replace-on-conflict.  Rows equal in ``order`` are ordered by all their columns, so reruns agree.
+
+    The winner is a combined maximum, so a key with most rows is no single task.
+    """
+    last = F.struct(F.col(order).alias("_o"), *[c for c in rows.columns if c not in keys and c != order])
+    return rows.groupBy(*keys).agg(F.max(last).alias("_x")).select(*[F.col("_x._o").alias(c) if c == order else F.col(c) if c in keys else F.col(f"_x.{c}") for c in rows.columns])
 
 
 def get_or_create(names: DataFrame, known: DataFrame, column: str = "name") -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from gritstone.catalog import faces, files, quality
 from gritstone.operators import mutation
 from gritstone.queries.book import Book
+from gritstone.session import scratch_path
+from gritstone.sources.versioned import VersionedTable
 
 Q = Book()
 _BATCH = ", b AS (SELECT drive_id, path, CASE WHEN id % 5 = 0 THEN size + 1 ELSE size END AS size, modified_s FROM files WHERE id % 3 <> 0 UNION ALL SELECT drive_id, path||'.new', size, modified_s FROM files WHERE id % 50 = 0)"
@@ -26,6 +28,21 @@ def merge_scan(spark, sf_dir):
     return mutation.merge_scan(old, batch(spark, sf_dir)).select("path", "size", "content_hash", "is_deleted", "change")
 
 
+_MERGED = """SELECT coalesce(b.drive_id, f.drive_id) AS drive_id, coalesce(b.path, f.path) AS path, CASE WHEN b.path IS NULL THEN f.size ELSE b.size END AS size,
+    CASE WHEN b.path IS NULL OR (f.size IS NOT DISTINCT FROM b.size AND f.modified_s IS NOT DISTINCT FROM b.modified_s) THEN f.content_hash END AS content_hash, CASE WHEN b.path IS NULL THEN f.is_deleted ELSE false END AS is_deleted FROM files f FULL JOIN b ON f.drive_id = b.drive_id AND f.path = b.path"""
+
+
+@Q.query(_BATCH + f""" SELECT 2 AS version, * FROM ({_MERGED}) WHERE NOT (drive_id = 'src1' AND size < 500) UNION ALL SELECT 1, * FROM ({_MERGED}) UNION ALL SELECT 0, drive_id, path, size, content_hash, is_deleted FROM files""", "files")
+def versioned_catalogue(spark, sf_dir):
+    """The catalogue as a versioned table: made, merged with a scan's batch, rows deleted; all three versions read back."""
+    columns = ["drive_id", "path", "size", "modified_s", "content_hash", "is_deleted"]
+    stored = VersionedTable.create(spark, scratch_path(spark, "catalogue"), files(spark, sf_dir).select(*columns), ["drive_id", "path"], buckets=32)
+    stored.merge(batch(spark, sf_dir), lambda rows, new: mutation.merge_scan(rows, new).select(*columns))
+    stored.delete("drive_id = 'src1' and size < 500")
+    out = [stored.read(v).select(F.lit(v).alias("version"), "drive_id", "path", "size", "content_hash", "is_deleted") for v in (2, 1, 0)]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
 @Q.query("SELECT id, is_deleted OR (drive_id = 'src1' AND id % 3 = 0) AS is_deleted FROM files", "files")
 def reconcile_deleted(spark, sf_dir):
     rows = files(spark, sf_dir)
