@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from gritstone.catalog import files, table
 from gritstone.operators import corpus, search
+from gritstone.operators.textindex import TextIndex
 from gritstone.queries.book import Book
 
 Q = Book()
@@ -112,6 +113,41 @@ def search_priority_union(spark, sf_dir):
     return search.priority_union([("summary", search.match_all(ix, ["clown"])), ("ocr", search.match_all(ix, ["license"])), ("tag", d.where(F.contains("source", F.lit("7"))))])
 
 
+_BOTH = r"""WITH d AS (SELECT doc_id, 'text' AS col, text FROM documents UNION ALL SELECT doc_id, 'origin', source FROM documents), ix AS (SELECT doc_id, col, unnest(w) AS token, generate_subscripts(w, 1) - 1 AS pos FROM
+    (SELECT doc_id, col, regexp_extract_all(translate(lower(text), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[\p{L}\p{N}]+') AS w FROM d WHERE text IS NOT NULL))"""
+#: Searches as they are typed, each with the SQL of its documents and hits over ix(doc_id, col, token, pos).
+SEARCHES = {
+    "license NOT clown": "SELECT doc_id, count(*) AS hits FROM ix WHERE token = 'license' AND doc_id NOT IN (SELECT doc_id FROM ix WHERE token = 'clown') GROUP BY 1",
+    '"apache license" OR (idiot AND the)': """SELECT doc_id, sum(n)::BIGINT AS hits FROM (SELECT a.doc_id, count(*) AS n, true AS o, false AS i, false AS t FROM ix a JOIN ix b ON a.doc_id = b.doc_id AND a.col = b.col AND b.pos = a.pos + 1 AND a.token = 'apache' AND b.token = 'license' GROUP BY 1
+        UNION ALL SELECT doc_id, count(*), false, token = 'idiot', token = 'the' FROM ix WHERE token IN ('idiot', 'the') GROUP BY doc_id, token) GROUP BY 1 HAVING bool_or(o) OR (bool_or(i) AND bool_or(t))""",
+    "licensed NEAR/5 version lic*": """SELECT doc_id, n + l AS hits FROM (SELECT b.doc_id, count(DISTINCT (b.col, b.pos)) AS n FROM ix a JOIN ix b ON a.doc_id = b.doc_id AND a.col = b.col AND abs(a.pos - b.pos) <= 6 AND a.token = 'licensed' AND b.token = 'version' GROUP BY 1)
+        JOIN (SELECT doc_id, count(*) AS l FROM ix WHERE starts_with(token, 'lic') GROUP BY 1) USING (doc_id)""",
+    "origin:src7 -the": "SELECT doc_id, count(*) AS hits FROM ix WHERE col = 'origin' AND token = 'src7' AND doc_id NOT IN (SELECT doc_id FROM ix WHERE token = 'the') GROUP BY 1",
+}
+
+
+@Q.query(_BOTH + " " + " UNION ALL ".join(f"SELECT '{q.replace(chr(39), chr(39) * 2)}' AS query, * FROM ({sql})" for q, sql in SEARCHES.items()))
+def typed_searches(spark, sf_dir):
+    """Texts and their sources in a stored index, asked as a user types; a posting row's places are counted as hits."""
+    index = TextIndex.build(spark, None, docs(spark, sf_dir), {"text": "text", "origin": "source"})
+    out = None
+    for query in SEARCHES:
+        found = index.search(query).select(F.lit(query).alias("query"), "doc_id", "hits")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+@Q.query(_INDEX + """, w AS (SELECT doc_id, token, pos FROM ix WHERE token IN ('apache', 'license')), b AS (SELECT doc_id, count(*) AS hits, min(pos) AS first FROM w GROUP BY 1 HAVING count(DISTINCT token) = 2),
+    t AS (SELECT b.*, greatest(first - 4, 0) AS a, regexp_extract_all(text, '[\p{L}\p{N}]+[^\p{L}\p{N}]*') AS x FROM b JOIN documents USING (doc_id)),
+    u AS (SELECT doc_id, hits, a + i - 1 AS p, x[a + i] AS word FROM t, generate_series(1, 8) AS g(i) WHERE a + i <= len(x)),
+    m AS (SELECT u.*, u.p IN (SELECT pos FROM w WHERE w.doc_id = u.doc_id) AS hit FROM u)
+    SELECT doc_id, hits, rtrim(string_agg(CASE WHEN hit THEN '[' || regexp_extract(word, '[\p{L}\p{N}]+') || ']' || regexp_replace(word, '^[\p{L}\p{N}]+', '') ELSE word END, '' ORDER BY p)) AS snippet FROM m GROUP BY 1, 2""")
+def search_snippets(spark, sf_dir):
+    rows = docs(spark, sf_dir)
+    index = TextIndex.build(spark, None, rows, {"text": "text"})
+    return index.snippets(index.search("apache license"), rows, size=8).select("doc_id", "hits", "snippet")
+
+
 @Q.query("""WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 1), s AS (SELECT vec_id AS doc_id, round(list_inner_product(embedding::DOUBLE[], (SELECT e FROM q)::DOUBLE[]), 9) AS similarity FROM embeddings),
     h AS (SELECT doc_id, similarity, 'semantic' AS source FROM s WHERE similarity >= 0.2 UNION ALL SELECT doc_id, NULL, 'text' FROM documents WHERE contains(text, 'License'))
     SELECT doc_id, max(similarity) AS similarity, string_agg(DISTINCT source, '+' ORDER BY source) AS sources FROM h GROUP BY 1""")
