@@ -97,6 +97,11 @@ def spots(texts: list[bytes], chain: int = CHAIN) -> list[np.ndarray]:
     return out
 
 
+def _each(texts: list[bytes]) -> list[np.ndarray]:
+    """spots of many texts, some at a time; a long one comes alone, so it is read in slices."""
+    return [found for a, b in chunks(texts) for found in spots(texts[a:b])]
+
+
 def write(spots_: np.ndarray) -> str:
     """A fingerprint as text: base64 of the sorted spots, little-endian."""
     return base64.b64encode(spots_.astype("<u4").tobytes()).decode()
@@ -246,7 +251,7 @@ def edit_check(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     next by the text's hash); the largest follows the smallest, so a document
     alone is its own next.  Null texts are empty; rows with a null id are left
     out, rows that share id and text keep their place beside one another.  Whole
-    texts are read, one at a time.  An empty table gives an empty result.  Other
+    texts are read, very long ones in slices.  An empty table gives an empty result.  Other
     columns are not read, whatever their names.
     """
 
@@ -255,7 +260,7 @@ def edit_check(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         changed = [edited(t, n).encode("utf-8", "surrogatepass") for _, t, n in pairs]
         following = [n.encode("utf-8", "surrogatepass") for _, _, n in pairs]
         # A run's documents are one another's next ones: only the last one's is new.
-        own, after = spots([*texts, following[-1]]), spots(changed)
+        own, after = _each([*texts, following[-1]]), _each(changed)
         rows = []
         for i, (key, text, _) in enumerate(pairs):
             rows.append((key, len(text), hashlib.sha256(changed[i]).hexdigest(), write(own[i]), write(after[i]), likeness(own[i], after[i]), likeness(own[i], own[i + 1])))

@@ -621,3 +621,14 @@ def test_queries_equal_their_sql(spark, small, name):
     rows, names = oracle(queries.oracle_sql()[name], small)
     got = queries.queries()[name](spark, small).select(*names).collect()
     assert sorted(tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in got) == rows
+
+
+def test_a_long_text_is_sliced_beside_others(monkeypatch):
+    calls = []
+    real = kernels.text_slices
+    monkeypatch.setattr(kernels, "SLICE", 1 << 16)
+    monkeypatch.setattr(kernels, "text_slices", lambda text, size: calls.append(len(text)) or real(text, size))
+    texts = [b"the quick brown fox", (LONG * 2).encode(), b"", b"of a lazy dog"]
+    found = spotsigs._each(texts)
+    assert [x.tolist() for x in found] == [spotsigs.spots([t])[0].tolist() for t in texts]
+    assert calls == [len(texts[1])] * 2  # each way once, and never with a neighbour in one set of arrays
