@@ -39,9 +39,9 @@ from gritstone.session import cut, spread
 SEED_INSULTS = "idiot idiots moron morons stupid imbecile scum trash worthless pathetic loser losers clown disgusting dumbass bastard bitch asshole retard vermin subhuman dummkopf trottel abschaum idiota idiotas imbécil estúpido estúpida escoria connard connasse salaud crétin débile".split()
 HARMS = "kill hurt shoot stab murder destroy strangle töten umbringen erschießen tuer frapper matar golpear".split()
 INTENTS = "will gonna going shall want deserve should must werde werden wollen soll muss vais vas allons veux voy vas vamos quiero".split()
-TARGETS = "you your you're u he she they them him her these those people du dich dir ihr euch sie tu te toi vous ils elles tú usted ustedes ellos".split()
+TARGETS = "you your you're u he she they them him her people everyone du dich dir ihr euch sie tu te toi vous ils elles tú usted ustedes ellos".split()
 NEGATIONS = "not never no isn't aren't wasn't don't doesn't isnt nor nicht kein keine nie ne pas jamais nunca".split()
-REPORTS = "said says wrote writes called calling quoted reported claimed told according sagte schrieb berichtete nannte dit écrit déclaré dijo escribió llamó".split()
+REPORTS = "said says wrote writes called calling quoted reported claimed told shouted shouts yelled screamed replied answered according sagte schrieb rief schrie berichtete nannte dit écrit crié déclaré dijo escribió gritó llamó".split()
 
 OTHER, INSULT, HARM, INTENT, TARGET, NEGATION, REPORT = range(7)
 SYMBOLS = 7
@@ -217,6 +217,7 @@ class Model:
     def clauses(self, text: str) -> tuple[list[float], int]:
         """(evidence of each different clause that carries some, words of the text)."""
         found: dict[tuple[str, ...], float] = {}
+        lone: dict[str, float] = {}
         total = 0
         for part in slices(text.lower()):
             words = _TOKEN.findall(part)
@@ -232,8 +233,12 @@ class Model:
                         key = tuple(clause)
                         if key not in found:
                             found[key] = self.path(clause)
+                            # A lone word of the fixed list that is aimed at nobody tells once in a text, in whatever clauses it stands.
+                            told = [w for w in clause if self.symbol(w)[0] == INSULT]
+                            if len(told) == 1 and self.classes.get(told[0]) == INSULT and found[key] <= EVIDENCE[BLUNT]:
+                                found[key], lone[told[0]] = 0.0, max(found[key], lone.get(told[0], 0.0))
                     clause = []
-        return [w for w in found.values() if w > 0], total
+        return [w for w in (*found.values(), *lone.values()) if w > 0], total
 
     def path(self, clause: list[str]) -> float:
         state, total = 0, 0.0

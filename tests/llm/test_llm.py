@@ -632,3 +632,14 @@ def test_a_long_text_is_sliced_beside_others(monkeypatch):
     found = spotsigs._each(texts)
     assert [x.tolist() for x in found] == [spotsigs.spots([t])[0].tolist() for t in texts]
     assert calls == [len(texts[1])] * 2  # each way once, and never with a neighbour in one set of arrays
+
+
+@pytest.mark.parametrize(
+    ("text", "toxic"),
+    [
+        ("stupid mistake. what a stupid day.", False), ("We will shoot these photos in the park.", False), ("He shouted: you idiot!", False), ("The word idiot is stupid.", True),
+        ("You are a worthless idiot. You are trash.", True), ("I will kill you.", True), ("We will shoot people.", True), ("you idiot. what an idiot. that idiot again.", True), ("an idiot here. an idiot there. an idiot.", False),
+    ],
+)
+def test_clauses_decide_not_words(text, toxic):
+    assert (toxicity.Model(toxicity.base_classes()).score(text) >= 0.7) == toxic
