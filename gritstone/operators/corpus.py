@@ -93,13 +93,6 @@ def strip_tags(html: str | Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(_c(html), "<[^>]+>", " "), r"\s+", " "))
 
 
-def strip_rtf(text: str | Column) -> Column:
-    """RTF control words, hex escapes and braces removed, white space collapsed."""
-    t = F.regexp_replace(_c(text), r"\\'[0-9a-fA-F]{2}", "")
-    t = F.regexp_replace(t, r"\\[a-zA-Z]+-?\d* ?", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(t, r"[{}]", ""), r"\s+", " "))
-
-
 def readable(text: str | Column) -> Column:
     """Over 90 % printable ASCII or letters, and a mean word length between 2 and 15."""
     t = _c(text)

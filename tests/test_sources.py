@@ -42,6 +42,8 @@ PDF = b"%PDF-1.4\n1 0 obj << /Length 9 /Filter /FlateDecode >> stream\n" + zlib.
     [
         (b" caf\xc3\xa9 \xff\n", ".TXT", "café"),
         (rb"{\rtf1\ansi Hello\'e9 \b bold\b0\par}", ".rtf", "Hello bold"),
+        (rb"{\rtf1{\fonttbl{\f0 Arial;}}{\*\generator x;}\u8364 ?5\tab a\{b\}\par c\~d}", ".rtf", "\u20ac5 a{b} c d"),
+        (zipped({"word/document.xml": "<d><w:p><w:r><w:t>wor</w:t></w:r><w:r><w:t>ld &amp; more</w:t></w:r></w:p><w:p><w:t>next</w:t></w:p></d>", "word/x.xml": "<a>broken</a><b>"}), ".docx", "world & more next broken"),
         (DOCX, ".docx", "Hello world end"),
         (zipped({"ppt/slides/slide1.xml": "<a:t>One</a:t>", "ppt/notes.xml": "<a:t>no</a:t>"}), ".pptx", "One"),
         (zipped({"content.xml": "<p>Odt text</p>", "meta.xml": "<p>no</p>"}), ".odt", "Odt text"),
