@@ -15,7 +15,6 @@ STOP_WORDS = (
     "few get got here him how into more most new now only other out own same some such there through up what when where which while "
     "who whom why down during over under"
 ).split()
-TEXT_CAP = 200_000
 
 
 def _c(x: str | Column) -> Column:

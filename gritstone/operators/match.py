@@ -136,13 +136,22 @@ def neighbour_pairs(rows: DataFrame, eps: float, key: str = "id", column: str =
     return dealt.groupBy("a", "b").applyInPandas(meet, "src long, dst long")
 
 
-def dbscan(rows: DataFrame, eps: float, min_samples: int, key: str = "id", column: str = "embedding") -> DataFrame:
+def dbscan(rows: DataFrame, eps: float, min_samples: int, key: str = "id", column: str = "embedding", report: list | None = None) -> DataFrame:
     """(id, cluster) of core and border points; noise is left out.
 
-    A core point has min_samples neighbours within eps, itself included.
-    Clusters are components of core-core links, named by their smallest core
-    point; a border point joins the cluster of smallest name beside it.
+    A core point has min_samples neighbours within eps (cosine distance), itself
+    included.  Clusters are components of core-core links, named by their
+    smallest core point; a border point joins the cluster of smallest name beside
+    it.  Equal vectors are one point with a weight.  See gritstone.operators.density
+    for the way; from eps 1 on, where a vector without direction has neighbours,
+    all pairs are compared and stored.
     """
+    from gritstone.operators import density
+
+    return _dbscan_wide(rows, eps, min_samples, key, column) if eps >= 1 else density.clusters(rows, eps, min_samples, key, column, report)
+
+
+def _dbscan_wide(rows: DataFrame, eps: float, min_samples: int, key: str, column: str) -> DataFrame:
     from gritstone.session import cut
 
     pairs = cut(neighbour_pairs(rows, eps, key, column))

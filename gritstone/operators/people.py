@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -172,10 +174,6 @@ def signals(embedding: Column, colour: Column, breed: Column) -> Column:
     return weighted_score([(embedding, 0.6), (colour, 0.3), (breed, 0.1)])
 
 
-def latest_per(rows: DataFrame, by: str, at: str) -> DataFrame:
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(by).orderBy(F.desc(at)))).where("_n = 1").drop("_n")
-
-
 def gallery(faces: DataFrame) -> DataFrame:
     """(person_id, face_id, stage, embedding): a known face's age is the photo's year less the birth year if 0 to 120, else the estimate, else 25."""
     from gritstone.operators.match import age_stage
@@ -194,16 +192,25 @@ def year_links(links: DataFrame) -> DataFrame:
 def intermediate_clusters(clusters: DataFrame, person: DataFrame, auto: float = 0.95, suggest_from: float = 0.35) -> DataFrame:
     """(cluster, score, decision): a person's best cosine with each cluster's first ten faces, 0.02 more where the age is within 5 of the stage's middle.
 
-    clusters (cluster, face_id, age, embedding); person (stage, embedding), one person's gallery: broadcast when counted small.
+    clusters (cluster, face_id, age, embedding); person (stage, embedding), one
+    person's gallery.  They meet in blocks; a pair of blocks gives one row a cluster.
     """
     from gritstone.functions.scalars import mid_age
-    from gritstone.operators.match import small
+    from gritstone.operators.match import meet, unit_rows
 
     first = F.row_number().over(Window.partitionBy("cluster").orderBy("face_id"))
-    some = clusters.withColumn("_n", first).where("_n <= 10")
-    pairs = some.join(small(person.select(F.col("stage").alias("_s"), F.col("embedding").alias("_e"))), F.lit(True))
-    score = cosine("embedding", "_e") + F.when(F.abs(F.col("age") - mid_age(F.col("_s"))) < 5, 0.02).otherwise(0.0)
-    best = pairs.groupBy("cluster").agg(F.round(F.max(score), 9).alias("score"))
+    some = clusters.withColumn("_n", first).where("_n <= 10 and embedding is not null").select("cluster", F.col("age").cast("double").alias("age"), "embedding")
+    faces = person.where("embedding is not null").select(mid_age(F.col("stage")).cast("double").alias("middle"), "embedding")
+
+    def best_of(c: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
+        if not len(c) or not len(g):
+            return pd.DataFrame({"cluster": [], "score": []})
+        near = np.abs(c["age"].to_numpy(float)[:, None] - g["middle"].to_numpy(float)[None]) < 5
+        score = unit_rows(c["embedding"]) @ unit_rows(g["embedding"]).T + 0.02 * near
+        top = np.nanmax(np.where(np.isnan(score), -np.inf, score), axis=1)
+        return pd.DataFrame({"cluster": c["cluster"], "score": top})
+
+    best = meet(some, faces, best_of, f"cluster {dict(clusters.dtypes)['cluster']}, score double").groupBy("cluster").agg(F.round(F.max("score"), 9).alias("score"))
     return best.withColumn("decision", F.when(F.col("score") >= auto, "auto").when(F.col("score") >= suggest_from, "suggest")).where("decision is not null")
 
 

@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gritstone.functions import paths
-from gritstone.operators.corpus import TEXT_CAP
 
 EDGE = 64 << 10
 
@@ -52,12 +51,12 @@ def hashed(files: DataFrame) -> DataFrame:
     return files.select(*[c for c in files.columns if c != "content"], quick("content").alias("quick_hash"), F.sha2("content", 256).alias("content_hash"))
 
 
-def texts(files: DataFrame) -> DataFrame:
-    """(path, text): UTF-8 with errors left out, trimmed, at most TEXT_CAP characters (the reader's documented limit)."""
+def texts(files: DataFrame, most_chars: int | None = None) -> DataFrame:
+    """(path, text): UTF-8 with errors left out, trimmed; whole texts unless most_chars limits them."""
 
     @F.pandas_udf("string")
     def decode(column: pd.Series) -> pd.Series:
-        return column.map(lambda x: None if x is None else x.decode("utf-8", "ignore").strip()[:TEXT_CAP])
+        return column.map(lambda x: None if x is None else x.decode("utf-8", "ignore").strip()[:most_chars])
 
     return files.select("path", decode("content").alias("text"))
 
