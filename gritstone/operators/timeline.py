@@ -5,12 +5,65 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gritstone.session import cut
+
+#: Rows of one key that a window's task may hold; beyond, ranges of a key are scanned side by side.
+HOT_ROWS = 1_000_000
+
+
+def _hot(rows: DataFrame, by: list[str]) -> bool:
+    """Whether some key has more than HOT_ROWS rows: a combined count."""
+    return not rows.groupBy(*by).count().where(F.col("count") > HOT_ROWS).isEmpty()
+
+
+def ranges(rows: DataFrame, by: list[str], order: list) -> DataFrame:
+    """rows with _part, kept in the shared folder: ranges of (by, order), so a key with most rows is many of them, in order."""
+    return cut(rows.repartitionByRange(*[F.col(c) for c in by], *order).withColumn("_part", F.spark_partition_id()))
+
+
+def _carried(rows: DataFrame, totals: DataFrame, by: list[str]) -> DataFrame:
+    """rows with the columns of totals (_part, by, ...), of which there is one row for each key in each range."""
+    same = F.col("r._part") == F.col("t._part")
+    for c in by:
+        same = same & F.col(f"r.{c}").eqNullSafe(F.col(f"t.{c}"))
+    extra = [F.col(f"t.{c}") for c in totals.columns if c not in ("_part", *by)]
+    return rows.alias("r").join(totals.alias("t"), same).select("r.*", *extra)
+
+
+def running(rows: DataFrame, by: list[str], order: list, name: str, value: Column) -> DataFrame:
+    """rows with ``name``, the sum of value up to and with each row of its key: within ranges, and over the ranges' sums before."""
+    own = rows.withColumn("_v", value)
+    if not _hot(own, by):
+        return own.withColumn(name, F.sum("_v").over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))).drop("_v")
+    seg = ranges(own, by, order)
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = seg.groupBy("_part", *by).agg(F.sum("_v").alias("_sum")).withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
+    local = seg.withColumn("_own", F.sum("_v").over(Window.partitionBy("_part", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    return _carried(local, totals, by).withColumn(name, F.col("_own") + F.col("_before")).drop("_part", "_v", "_own", "_before")
+
 
 def islands(rows: DataFrame, by: list[str], at: str, gap: int, key: str) -> DataFrame:
-    """rows with island: a new one begins where the step from the previous row is more than ``gap``."""
-    order = Window.partitionBy(*by).orderBy(at, key)
-    begins = F.coalesce((F.col(at) - F.lag(at).over(order) > gap).cast("int"), F.lit(0))
-    return rows.withColumn("_b", begins).withColumn("island", F.sum("_b").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_b")
+    """rows with island: a new one begins where the step from the previous row is more than ``gap``.
+
+    A key with more than HOT_ROWS rows is scanned in ranges of time; each range is
+    carried the last time, and the number of islands, of those before.
+    """
+    step = lambda w: F.coalesce((F.col(at) - F.lag(at).over(w) > gap).cast("int"), F.lit(0))
+    order = [F.col(at), F.col(key)]
+    if not _hot(rows, by):
+        whole = Window.partitionBy(*by).orderBy(*order)
+        return rows.withColumn("_b", step(whole)).withColumn("island", F.sum("_b").over(whole.rowsBetween(Window.unboundedPreceding, 0))).drop("_b")
+    seg = ranges(rows, by, order)
+    within = Window.partitionBy("_part", *by).orderBy(*order)
+    seg = seg.withColumn("_b", step(within))
+    inner = seg.groupBy("_part", *by).agg(F.sum("_b").alias("_n"), F.min(at).alias("_first"), F.max(at).alias("_last"))
+    along = Window.partitionBy(*by).orderBy("_part")
+    opens = F.coalesce((F.col("_first") - F.max("_last").over(along.rowsBetween(Window.unboundedPreceding, -1)) > gap).cast("int"), F.lit(0))
+    inner = inner.withColumn("_open", opens)
+    upto = F.coalesce(F.sum(F.col("_n") + F.col("_open")).over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    totals = inner.withColumn("_base", upto + F.col("_open")).select("_part", *by, "_base")
+    local = seg.withColumn("_c", F.sum("_b").over(within.rowsBetween(Window.unboundedPreceding, 0)))
+    return _carried(local, totals, by).withColumn("island", F.col("_c") + F.col("_base")).drop("_part", "_b", "_c", "_base")
 
 
 def sessions(rows: DataFrame, by: list[str], at: str, gap: int, key: str, least: int = 1) -> DataFrame:
@@ -20,9 +73,8 @@ def sessions(rows: DataFrame, by: list[str], at: str, gap: int, key: str, least:
 
 
 def numbered(rows: DataFrame, folder: Column, at: str, key: str) -> DataFrame:
-    """rows with folder and sequence, counted within the folder in time order (no time: last)."""
-    placed = rows.withColumn("folder", folder)
-    return placed.withColumn("sequence", F.row_number().over(Window.partitionBy("folder").orderBy(F.asc_nulls_last(at), key)))
+    """rows with folder and sequence, counted within the folder in time order (no time: last); a folder with most rows is counted in ranges."""
+    return running(rows.withColumn("folder", folder), ["folder"], [F.asc_nulls_last(at), F.col(key)], "sequence", F.lit(1)).withColumn("sequence", F.col("sequence").cast("int"))
 
 
 def best_of_burst(rows: DataFrame, by: list[str], score: str, size: str, key: str) -> DataFrame:

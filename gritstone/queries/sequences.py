@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gritstone.catalog import faces, files, photos, quality
 from gritstone.functions.vectors import cosine
-from gritstone.operators import timeline
+from gritstone.operators import names, timeline
 from gritstone.queries.book import Book
 
 Q = Book()
@@ -111,3 +111,25 @@ def live_photo_pairs(spark, sf_dir):
 def quality_ranking(spark, sf_dir):
     top = quality(spark, sf_dir).orderBy(F.desc_nulls_last("quality_score"), "id").limit(50)
     return top.select("id", "quality_score", F.row_number().over(Window.orderBy(F.desc_nulls_last("quality_score"), "id")).alias("rank"))
+
+
+_CLAIMS = """, c AS (SELECT id, drive_id||'/'||lang AS folder, CASE WHEN id % 7 = 0 THEN 'f'||(id % 5)||'_002' ELSE 'F'||(id % 5) END||coalesce(file_type, '') AS name FROM files WHERE NOT is_deleted),
+    e AS (SELECT DISTINCT drive_id||'/'||lang AS folder, lower('f'||(id % 5)||CASE WHEN id % 2 = 0 THEN '_003' ELSE '' END||coalesce(file_type, '')) AS low FROM files WHERE is_deleted),
+    n AS (SELECT *, lower(name) AS low, regexp_extract(lower(name), '^.+(\\.[^.]*)$', 1) AS ext FROM c),
+    b AS (SELECT folder, low, min(id) AS id FROM n WHERE (folder, low) NOT IN (SELECT (folder, low) FROM e) GROUP BY 1, 2),
+    r AS (SELECT *, left(low, length(low) - length(ext)) AS stem FROM n WHERE id NOT IN (SELECT id FROM b)), k AS (SELECT *, row_number() OVER (PARTITION BY folder, stem, ext ORDER BY id) AS rank FROM r),
+    u AS (SELECT folder, low FROM e UNION SELECT folder, low FROM b), m AS (SELECT folder, stem, ext, count(*) AS most FROM k GROUP BY ALL),
+    g AS (SELECT folder, stem, ext, unnest(generate_series(2, 2 + most + 1000)) AS number FROM m),
+    f AS (SELECT g.*, row_number() OVER (PARTITION BY g.folder, stem, ext ORDER BY number) AS rank FROM g LEFT JOIN u ON u.folder = g.folder AND u.low = stem||'_'||lpad(number::VARCHAR, greatest(3, length(number::VARCHAR))::INT, '0')||ext WHERE u.low IS NULL)"""
+
+
+@Q.query(_CLAIMS + """ SELECT id, c.name AS final FROM c JOIN b USING (id) UNION ALL
+    SELECT id, left(name, length(name) - length(k.ext))||'_'||lpad(number::VARCHAR, greatest(3, length(number::VARCHAR))::INT, '0')||right(name, length(k.ext)) FROM k JOIN f USING (folder, stem, ext, rank)""", "files")
+def free_names(spark, sf_dir):
+    """Where files would go if all of a folder's were renamed to a few names, beside those that are there."""
+    rows = files(spark, sf_dir).withColumn("place", F.concat("drive_id", F.lit("/"), "lang")).withColumn("ext", F.coalesce("file_type", F.lit("")))
+    digit = (F.col("id") % 5).cast("string")
+    wanted = F.when(F.col("id") % 7 == 0, F.concat(F.lit("f"), digit, F.lit("_002"))).otherwise(F.concat(F.lit("F"), digit))
+    claims = rows.where("not is_deleted").select("id", F.col("place").alias("folder"), F.concat(wanted, "ext").alias("name"))
+    there = rows.where("is_deleted").select(F.col("place").alias("folder"), F.concat(F.lit("f"), digit, F.when(F.col("id") % 2 == 0, "_003").otherwise(""), "ext").alias("name"))
+    return names.allocate(claims, there).select("id", "final")

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from gritstone.catalog import faces, table
 from gritstone.functions.vectors import cosine, pearson_unit, sign_bits
 from gritstone.operators import match, people, similar
+from gritstone.operators.increments import NearIndex
 from gritstone.queries.book import Book
-from gritstone.session import cut
+from gritstone.session import cut, scratch_path
 
 Q = Book()
 _HASH = "h AS (SELECT vec_id AS id, list_reduce(list_prepend(0::HUGEINT, list_transform(embedding, lambda x: (x > 0)::INT::HUGEINT)), lambda a, b: a * 2 + b) AS hash FROM embeddings)"
@@ -47,6 +48,19 @@ def near_duplicate_components(spark, sf_dir):
     return similar.hash_classes(rows, similar.hamming_links(rows, 16))
 
 
+@Q.query(f"""WITH RECURSIVE {_HASH}, e AS (SELECT a.id AS x, b.id AS y FROM h a JOIN h b ON a.id <> b.id AND bit_count(xor(a.hash, b.hash)) <= 8), c(x, y) AS (SELECT id, id FROM h UNION SELECT c.x, e.y FROM c JOIN e ON c.y = e.x),
+    g AS (SELECT x AS id, min(y) AS component FROM c GROUP BY 1) SELECT id, component FROM g""")
+def grown_groups(spark, sf_dir):
+    """Groups that grew over three batches of ascending ids: the same as made at once."""
+    rows = hashes(spark, sf_dir)
+    low, high = rows.agg(F.min("id"), F.max("id")).first()
+    index = NearIndex(spark, scratch_path(spark, "near-index"), 8)
+    for i in range(3):
+        at = lambda k: low + (high - low + 1) * k // 3
+        index.add(rows.where((F.col("id") >= at(i)) & (F.col("id") < at(i + 1))))
+    return index.groups()
+
+
 def image_hashes(spark, sf_dir):
     """Three hashes of each vector, of a copy of each with some components turned (ids from a million on), and of an exact copy of every third (two million on).
 
