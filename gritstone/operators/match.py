@@ -59,40 +59,15 @@ def unit_rows(vectors):
     return np.divide(x, length, out=np.full_like(x, np.nan), where=length > 0)
 
 
-def gallery_match(faces: DataFrame, gallery: DataFrame, threshold: float = 0.85, boost: float = 0.05) -> DataFrame:
+def gallery_match(faces: DataFrame, gallery: DataFrame, threshold: float = 0.85, boost: float = 0.05, report: list | None = None) -> DataFrame:
     """(face_id, person_id, score): the best person strictly above threshold.
 
     A pair's score is the cosine, plus ``boost`` where both are of one age stage;
-    ties go to the smaller person.  Every face meets the whole gallery
-    (person_id, stage, embedding), in blocks.
+    ties go to the smaller person.  See gritstone.operators.gallery for the way.
     """
-    import numpy as np
-    import pandas as pd
+    from gritstone.operators.gallery import best_person
 
-    kinds = f"face_id {dict(faces.dtypes)['face_id']}, person_id {dict(gallery.dtypes)['person_id']}, score double"
-    has = "embedding is not null"
-
-    def best_of(f: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(f) and len(g):
-            g = g.sort_values("person_id", kind="stable")
-            x, y = unit_rows(f["embedding"]), unit_rows(g["embedding"])
-            ids, persons = f["face_id"].to_numpy(), g["person_id"].to_numpy()
-            names = {s: i for i, s in enumerate(sorted({*f["stage"].dropna(), *g["stage"].dropna()}))}
-            s, t = f["stage"].map(names).fillna(-1).to_numpy(), g["stage"].map(names).fillna(-2).to_numpy()
-            for at in range(0, len(f), 512):
-                rows = slice(at, at + 512)
-                score = np.round(x[rows] @ y.T + boost * (s[rows, None] == t[None, :]), 9)
-                score[np.isnan(score)] = -np.inf
-                best = score.argmax(axis=1)
-                top = score[np.arange(len(best)), best]
-                keep = top > threshold
-                out.append(pd.DataFrame({"face_id": ids[rows][keep], "person_id": persons[best[keep]], "score": top[keep]}))
-        return pd.concat(out) if out else pd.DataFrame({"face_id": [], "person_id": [], "score": []})
-
-    found = meet(faces.select("face_id", "stage", "embedding").where(has), gallery.select("person_id", "stage", "embedding").where(has), best_of, kinds)
-    best = found.groupBy("face_id").agg(F.max(F.struct("score", (-F.col("person_id")).alias("_p"))).alias("b"))
-    return best.select("face_id", (-F.col("b._p")).alias("person_id"), F.col("b.score").alias("score"))
+    return best_person(faces, gallery, threshold, boost, report)
 
 
 def route(matches: DataFrame, confirm: float = 0.95) -> DataFrame:
