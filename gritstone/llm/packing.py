@@ -120,8 +120,11 @@ def pack(
     A document is its ids without special tokens, then end_id; a null text is
     end_id alone.  Each id lies in exactly one piece and offsets are gapless.
     capacity must be a power of two.  Sequence ids are distinct, not gapless:
-    the task's number times 2**32 plus a count.  Repeated ids are packed row by
-    row.  An empty table gives an empty result.  Other columns are not read.
+    the task's number times 2**32 plus a count.  Repeated and null ids are packed
+    row by row, equal rows too.  A very long text is cut into full sequences as it
+    is.  Documents of equal length go in their order of reading, sequences of equal
+    cost are filled from the first on.  An empty table gives an empty result.
+    Other columns are not read, whatever their names.
     """
     kind = dict(docs.select(F.col(id_col).alias("id")).dtypes)["id"]
 

@@ -643,3 +643,57 @@ def test_a_long_text_is_sliced_beside_others(monkeypatch):
 )
 def test_clauses_decide_not_words(text, toxic):
     assert (toxicity.Model(toxicity.base_classes()).score(text) >= 0.7) == toxic
+
+
+def _packed_plainly(pieces, capacity):
+    """The packing rule with lists and loops: what packing.assign has to give."""
+    full, short = [], []
+    for doc, start, length in pieces:
+        for _ in range(length // capacity):
+            full.append([(doc, start, capacity)])
+            start += capacity
+        if length % capacity:
+            short.append((doc, start, length % capacity))
+    bins = [[] for _ in range(sum(p[2] for p in short) // capacity)]
+    used = lambda b: sum(p[2] for p in b)
+    paid = {}
+    late = []
+    for piece in sorted(short, key=lambda p: (-p[2], p[0], p[1])):
+        open_bins = [i for i, b in enumerate(bins) if capacity - used(b) >= piece[2]]
+        if not open_bins:
+            late.append(piece)
+            continue
+        best = min(open_bins, key=lambda i: (paid.get(i, 0.0), i))
+        paid[best] = paid.get(best, 0.0) + packing.cost(piece[2])
+        bins[best].append(piece)
+    for i in sorted(range(len(bins)), key=lambda i: (paid.get(i, 0.0), i)):
+        while used(bins[i]) < capacity and late:
+            doc, start, length = late[0]
+            part = min(length, capacity - used(bins[i]))
+            bins[i].append((doc, start, part))
+            late[0] = (doc, start + part, length - part)
+            if part == length:
+                late.pop(0)
+    return full + [b for b in bins if used(b) == capacity], late[::-1] + [p for b in bins if used(b) < capacity for p in b]
+
+
+def test_packing_follows_its_rule():
+    rng = random.Random(12)
+    for _ in range(60):
+        pieces = [(d, 0, rng.choice([1, 1, 5, 8, 8, rng.randint(1, 40), rng.randint(60, 200)])) for d in range(rng.randint(0, 60))]
+        full, left = packing.assign(pieces, 64)
+        want_full, want_left = _packed_plainly(pieces, 64)
+        assert full == want_full and sorted(left) == sorted(want_left)
+        assert all(sum(p[2] for p in s) == 64 for s in full)
+        ends = packing.tail(left)
+        assert all((n := sum(p[2] for p in s)) & (n - 1) == 0 for s in ends)
+        ids = sorted((d, i) for s in full + ends for d, a, n in s for i in range(a, a + n))
+        assert ids == [(d, i) for d, _, n in pieces for i in range(n)]
+
+
+def test_packing_keeps_null_repeated_and_equal_rows(spark):
+    rows = spark.createDataFrame([(None, "one two"), (None, "one two"), (3, None), (3, ""), (3, "x")], "doc_id long, text string")
+    found = packing.pack(rows, WORD).collect()
+    starts = [(r.doc_id, r.doc_tokens) for r in found if r.start == 0]
+    assert len(starts) == 5 and sum(i is None for i, _ in starts) == 2 and sum(r.length for r in found) == sum(n for _, n in starts)
+    assert packing.pack(rows.where("doc_id = 9"), WORD).count() == 0
