@@ -76,6 +76,8 @@ def best_person(faces: DataFrame, gallery: DataFrame, threshold: float, boost: f
 
     def dealt(df: DataFrame, own: str, other: str, n: str, m: str) -> DataFrame:
         every = F.explode(F.sequence(F.lit(0), F.col(m) - 1))
+        # Columns under new ids: both sides may come from one table.
+        df = df.select(*[F.col(c).alias(c) for c in df.columns])
         return df.join(tasks, "ball").withColumn(own, F.pmod(F.xxhash64(*df.columns), F.col(n)).cast("int")).withColumn(other, every).drop("lefts", "rights")
 
     def best(f: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
