@@ -98,6 +98,24 @@ def gallery_sorted(spark, sf_dir):
     return top.select("face_id", F.row_number().over(Window.orderBy(F.desc_nulls_last("photo_date"), "face_id")).cast("long").alias("place"))
 
 
+_ORDERS = {"date_asc": "modified_s ASC NULLS FIRST", "name": "lower(coalesce(filename, ''))", "similarity_desc": "confidence DESC NULLS LAST", "similarity_asc": "confidence ASC NULLS FIRST"}
+
+
+@Q.query(" UNION ALL ".join(f"SELECT '{name}' AS sorted_by, face_id, row_number() OVER (ORDER BY {order}, face_id) AS place FROM faces JOIN files ON files.id = file_id QUALIFY place <= 60" for name, order in _ORDERS.items()), ("files", "faces"))
+def gallery_orders(spark, sf_dir):
+    """The first screen of a gallery in each of its other four orders."""
+    from pyspark.sql import Window
+
+    rows = faces(spark, sf_dir).join(files(spark, sf_dir).select(F.col("id").alias("file_id"), "filename", F.col("modified_s").alias("photo_date")), "file_id").withColumn("similarity", F.col("confidence"))
+    keys = {"date_asc": F.asc_nulls_first("photo_date"), "name": F.lower("filename"), "similarity_desc": F.desc_nulls_last("similarity"), "similarity_asc": F.asc_nulls_first("similarity")}
+    out = None
+    for name, key in keys.items():
+        top = lookups.gallery_order(rows, name).limit(60)
+        placed = top.select(F.lit(name).alias("sorted_by"), "face_id", F.row_number().over(Window.orderBy(key, "face_id")).cast("long").alias("place"))
+        out = placed if out is None else out.unionByName(placed)
+    return out
+
+
 @Q.query(f""", {_P}, r AS (SELECT embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id = 5), g AS (SELECT person_id, max(list_cosine_similarity(embedding::DOUBLE[], (SELECT e FROM r))) AS score FROM faces WHERE person_id IS NOT NULL GROUP BY 1)
     SELECT id AS person_id, name || CASE WHEN score IS NULL THEN ' (n/a)' ELSE printf(' (%.2f)', score) END AS label, round(score, 9) AS score FROM p LEFT JOIN g ON person_id = id WHERE NOT is_hidden""", "faces")
 def assign_map(spark, sf_dir):

@@ -114,3 +114,17 @@ def project_types(spark, sf_dir):
 def nearest_face_in_time(spark, sf_dir):
     rows = faces(spark, sf_dir)
     return match.nearest_in_time(rows.where("person_id is null"), rows.where("person_id is not null"), lambda d: timeline.gap_threshold(d) / 10).select("face_id", "person_id", "days")
+
+
+_AGE = "CASE WHEN year - birth_year BETWEEN 0 AND 120 THEN year - birth_year WHEN age > 0 THEN age ELSE 25 END"
+
+
+@Q.query(f""", c AS (SELECT face_id, face_id // 12 AS cluster, age, embedding::DOUBLE[] AS e FROM faces WHERE person_id IS NULL QUALIFY row_number() OVER (PARTITION BY face_id // 12 ORDER BY face_id) <= 10),
+    g AS (SELECT CASE WHEN {_AGE} < 2 THEN 1 WHEN {_AGE} < 5 THEN 3 WHEN {_AGE} < 12 THEN 8 WHEN {_AGE} < 18 THEN 15 ELSE 25 END AS middle, embedding::DOUBLE[] AS e FROM faces WHERE person_id = 3),
+    s AS (SELECT cluster, round(max(list_cosine_similarity(c.e, g.e) + CASE WHEN abs(c.age - middle) < 5 THEN 0.02::DOUBLE ELSE 0 END), 9) AS score FROM c, g GROUP BY 1)
+    SELECT cluster, score, CASE WHEN score >= 0.6 THEN 'auto' ELSE 'suggest' END AS decision FROM s WHERE score >= 0.2""", "faces")
+def intermediate_clusters(spark, sf_dir):
+    rows = faces(spark, sf_dir)
+    unknown = rows.where("person_id is null").select(F.floor(F.col("face_id") / 12).cast("long").alias("cluster"), "face_id", "age", "embedding")
+    person = people.gallery(rows.where("person_id = 3")).select("stage", "embedding")
+    return people.intermediate_clusters(unknown, person, auto=0.6, suggest_from=0.2)
