@@ -137,7 +137,7 @@ def typed_searches(spark, sf_dir):
     return out
 
 
-@Q.query(_INDEX + """, w AS (SELECT doc_id, token, pos FROM ix WHERE token IN ('apache', 'license')), b AS (SELECT doc_id, count(*) AS hits, min(pos) AS first FROM w GROUP BY 1 HAVING count(DISTINCT token) = 2),
+@Q.query(_INDEX + r""", w AS (SELECT doc_id, token, pos FROM ix WHERE token IN ('apache', 'license')), b AS (SELECT doc_id, count(*) AS hits, min(pos) AS first FROM w GROUP BY 1 HAVING count(DISTINCT token) = 2),
     t AS (SELECT b.*, greatest(first - 4, 0) AS a, regexp_extract_all(text, '[\p{L}\p{N}]+[^\p{L}\p{N}]*') AS x FROM b JOIN documents USING (doc_id)),
     u AS (SELECT doc_id, hits, a + i - 1 AS p, x[a + i] AS word FROM t, generate_series(1, 8) AS g(i) WHERE a + i <= len(x)),
     m AS (SELECT u.*, u.p IN (SELECT pos FROM w WHERE w.doc_id = u.doc_id) AS hit FROM u)
