@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from gritstone.functions.vectors import hamming
 from gritstone.operators.graph import connected_components
-from gritstone.session import cut
+from gritstone.session import cut, scratch_path
 
 
 #: Share of all pairs that a band join may bring together; beyond it blocks of all pairs cost less.
@@ -219,12 +219,21 @@ def jaccard_links(sets: DataFrame, threshold: float, key: str = "id", column: st
 
 
 def set_classes(sets: DataFrame, key: str = "id", column: str = "grams") -> tuple[DataFrame, DataFrame]:
-    """(id, rep) of all rows with a set that is not empty, and (id, g): the set of each representative, the smallest id of equal sets."""
+    """(id, rep) of all rows with a set that is not empty, and (id, g): the set of each representative, the smallest id of equal sets.
+
+    Sets are worked out twice, for their digests and for those that represent
+    others, and only the latter are kept: as compressed Parquet in the shared folder.
+    """
     each = sets.select(F.col(key).alias("id"), F.array_sort(column).alias("g")).where(F.size("g") > 0)
-    each = cut(each.withColumn("digest", F.sha2(F.array_join(F.col("g").cast("array<string>"), "\x1f"), 256)))
-    reps = each.groupBy("digest").agg(F.min("id").alias("rep"))
-    members = each.select("id", "digest").join(reps, "digest").select("id", "rep")
-    return members, cut(each.join(reps, (each["digest"] == reps["digest"]) & (F.col("id") == F.col("rep")), "left_semi").select("id", "g").dropDuplicates(["id"]))
+    digest = F.unhex(F.sha2(F.array_join(F.col("g").cast("array<string>"), "\x1f"), 256))
+    named = cut(each.select("id", digest.alias("digest")))
+    reps = named.groupBy("digest").agg(F.min("id").alias("rep"))
+    members = cut(named.join(reps, "digest").select("id", "rep"))
+    first = members.where("id = rep").select("id").distinct()
+    path = scratch_path(sets.sparkSession, "sets")
+    # An id that repeats may carry other sets; the one with the smallest digest stands for it.
+    each.join(first, "id", "left_semi").groupBy("id").agg(F.min(F.struct(digest.alias("d"), "g")).alias("x")).select("id", "x.g").write.parquet(path)
+    return members, sets.sparkSession.read.parquet(path)
 
 
 def set_links(reps: DataFrame, threshold: float) -> DataFrame:

@@ -46,14 +46,14 @@ def status_change_events(spark, sf_dir):
     return watch.status_changes(rows, "user_id", "event_type", "at").select("user_id", "event_id")
 
 
-@Q.query("""SELECT epoch_us(time_bucket(INTERVAL '1 day', ts)) AS start, event_type, count(*) AS n FROM events
-    WHERE time_bucket(INTERVAL '1 day', ts) + INTERVAL '1 day' <= (SELECT max(ts) - INTERVAL '1 hour' FROM events) GROUP BY 1, 2""")
+@Q.query("SELECT epoch_us(time_bucket(INTERVAL '1 day', ts)) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def streamed_windows(spark, sf_dir):
-    """The replay as a stream: counted by window, windows that the watermark closed appended to Parquet in the shared folder."""
+    """The replay as a stream: counted by window, each batch's counts written over the last one's as Parquet in the shared folder, open windows too."""
     stream = table_stream(spark, f"{sf_dir.rstrip('/')}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     counted = watch.tumbling(stream, "1 day", by=("event_type",))
     out, log = scratch_path(spark, "windows"), scratch_path(spark, "windows-log")
-    counted.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", log).trigger(availableNow=True).start().awaitTermination()
+    write = lambda rows, _: rows.write.mode("overwrite").parquet(out)
+    counted.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", log).trigger(availableNow=True).start().awaitTermination()
     return _us(spark.read.schema(counted.schema).parquet(out), "start")
 
 
