@@ -32,7 +32,9 @@ from gritstone.session import scratch_path
 
 #: Ids of a block, words that NEAR allows between its two, and words of a snippet.
 BLOCK, NEAR, SNIPPET = 1024, 10, 32
-SCHEMA = "token string, col string, block long, ids array<long>, spots array<array<int>>, bucket int"
+#: Files of a bucket in a segment, at most.
+PARTS = 4
+SCHEMA = "token string, col string, block long, ids array<long>, spots array<int>, bucket int"
 WORD = r"[\p{L}\p{N}]+"
 
 
@@ -172,17 +174,18 @@ def _bucket(token: Column, buckets: int) -> Column:
 
 
 def postings(docs: DataFrame, columns: dict[str, str], key: str = "doc_id") -> DataFrame:
-    """(token, col, block, ids, spots): the documents of a block that have the token, ascending, and its positions in each.
+    """(token, col, block, ids, spots): where the token stands in the documents of a block, by id and place; both arrays have an entry for each place.
 
-    A row with a null id is left out; of rows with one id and column all positions count.
+    A row with a null id is left out; of rows with one id and column all places
+    count.  Places of a block are gathered within each task before they are
+    shuffled, once.
     """
     parts = None
     for name, source in columns.items():
         words = F.regexp_extract_all(fold(source), F.lit(WORD), F.lit(0))
         one = docs.where(F.col(source).isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.lit(name).alias("col"), F.posexplode(words).alias("pos", "token"))
         parts = one if parts is None else parts.unionByName(one)
-    each = parts.groupBy("token", "col", "id").agg(F.array_sort(F.collect_list("pos")).alias("pos"))
-    rows = each.groupBy("token", "col", F.floor(F.col("id") / BLOCK).alias("block")).agg(F.array_sort(F.collect_list(F.struct("id", "pos"))).alias("x"))
+    rows = parts.groupBy("token", "col", F.floor(F.col("id") / BLOCK).alias("block")).agg(F.array_sort(F.collect_list(F.struct("id", "pos"))).alias("x"))
     return rows.select("token", "col", "block", F.col("x.id").alias("ids"), F.col("x.pos").alias("spots"))
 
 
@@ -207,8 +210,9 @@ class TextIndex:
         """Index further documents, with ids that the index hasn't; what is there is not read."""
         name = f"{self.path}/segment={len(self.segments)}"
         rows = postings(docs, self.columns, self.key).withColumn("bucket", _bucket(F.col("token"), self.buckets))
-        # A bucket may be several tasks: a frequent pair of letters is dealt out by token, and by range so that files are sorted.
-        rows.repartitionByRange("bucket", "token", "block").sortWithinPartitions("bucket", "token", "block").write.partitionBy("bucket").parquet(name)
+        # A bucket is several files, each sorted: a frequent pair of letters is dealt out by token and block.
+        part = F.pmod(F.xxhash64("token", "block"), F.lit(PARTS))
+        rows.repartition("bucket", part).sortWithinPartitions("bucket", "token", "block").write.partitionBy("bucket").parquet(name)
         self.segments.append(name)
 
     def _postings(self, asked: list[Term]) -> DataFrame:
@@ -233,8 +237,8 @@ class TextIndex:
         flat = rows.select("token", "col", F.explode(F.arrays_zip("ids", "spots")).alias("x")).select("token", "col", F.col("x.ids").alias("id"), F.col("x.spots").alias("pos"))
         # A place is one number: columns lie so far apart that no phrase or distance reaches from one to the next.
         base = F.create_map(*[F.lit(v) for i, c in enumerate(self.columns) for v in (c, i << 40)])[F.col("col")]
-        flat = flat.withColumn("pos", F.transform("pos", lambda p: p.cast("long") + base))
-        gather = lambda cond: F.flatten(F.collect_list(F.when(cond, F.col("pos"))))
+        flat = flat.withColumn("pos", F.col("pos").cast("long") + base)
+        gather = lambda cond: F.array_sort(F.collect_list(F.when(cond, F.col("pos"))))
         singles = sorted({(w, t.column) for t in asked for w in (t.words[:-1] if t.prefix else t.words)} | set(), key=repr)
         within = lambda c: F.lit(True) if c is None else F.col("col") == c
         aggs = [gather((F.col("token") == w) & within(c)).alias(f"w{i}") for i, (w, c) in enumerate(singles)]
