@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gritstone.functions.vectors import hamming
@@ -207,13 +207,16 @@ def character_bigrams(text: Column) -> Column:
 def jaccard_links(sets: DataFrame, threshold: float, key: str = "id", column: str = "grams") -> DataFrame:
     """(src, dst, sim) of different sets whose Jaccard reaches threshold, src and dst standing for all rows of their set.
 
-    Elements are ordered by document frequency; two such sets share one of the
-    first size - ceil(threshold * size) + 1 elements of either, and their sizes
-    differ by no more than threshold, so they lie in one length class or in
-    neighbouring ones: an equi-join on element and class.  A sketch of 256 bits
-    goes along, each the parity of the elements that fall on it: sketches differ
-    in no more bits than the sets in elements, so a pair whose sketches are too
-    far apart is dropped where it meets.  Equal sets collapse first.
+    Two such sets differ in few elements: at most (1 - threshold) / threshold of
+    the smaller one's size.  So elements are dealt by hash into one part more than
+    that, and on one part at least both sets are the same: an equi-join on the
+    digests of parts, each of some 1 / (1 - threshold) elements, whatever single
+    elements all sets share.  Sizes differ by no more than threshold, so the sets
+    lie in one length class or in neighbouring ones, and the smaller one's class
+    gives the number of parts.  A sketch of 256 bits goes along, each the parity
+    of the elements that fall on it: sketches differ in no more bits than the sets
+    in elements, so a pair whose sketches are too far apart is dropped where it
+    meets.  What is left is confirmed on the sets.  Equal sets collapse first.
     """
     return set_links(set_classes(sets, key, column)[1], threshold)
 
@@ -238,32 +241,60 @@ def set_classes(sets: DataFrame, key: str = "id", column: str = "grams") -> tupl
 
 def set_links(reps: DataFrame, threshold: float) -> DataFrame:
     """jaccard_links of rows(id, g) with different sets g in ascending order."""
-    step = -math.log(threshold)
-    length = F.floor(F.log(F.size("g").cast("double")) / step + 1e-9).cast("int")
-
-    def word(w: int) -> Column:
-        at = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(h, 2).bitwiseAND(F.lit(63)).cast("int"))
-        return F.aggregate(F.transform("g", lambda e: F.xxhash64(e)), F.lit(0).cast("long"), lambda s, h: F.when(h.bitwiseAND(F.lit(3)) == w, s.bitwiseXOR(at(h))).otherwise(s)).alias(f"s{w}")
-
+    hashes = F.transform("g", lambda e: F.xxhash64(e))
+    signed = cut(reps.select("id", F.size("g").alias("n"), _part_digests(threshold)(hashes).alias("p")).select("id", "n", "p.*"))
     sketch = [f"s{w}" for w in range(4)]
-    signed = cut(reps.select("id", F.size("g").alias("n"), length.alias("part"), *[word(w) for w in range(4)]))
-    flat = reps.select("id", F.size("g").alias("n"), F.explode("g").alias("e"))
-    frequency = flat.groupBy("e").agg(F.count("*").alias("f"))
-    order = Window.partitionBy("id").orderBy("f", "e")
-    rare = flat.join(frequency, "e").withColumn("r", F.row_number().over(order)).where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).select("id", "e")
-    kept = cut(rare.join(signed, "id"))
-    one = kept.withColumn("own", F.col("part")).withColumn("part", F.explode(F.array(F.col("part"), F.col("part") + 1))).alias("a")
-    two = kept.alias("b")
-    met = (F.col("a.e") == F.col("b.e")) & (F.col("a.part") == F.col("b.part")) & ((F.col("a.own") < F.col("b.part")) | (F.col("a.id") < F.col("b.id")))
+    one = signed.select("id", "n", "own", *sketch, F.explode("parts").alias("part")).alias("a")
+    two = signed.select("id", "n", "own", *sketch, F.explode(F.concat("parts", "below")).alias("part")).alias("b")
+    met = (F.col("a.part") == F.col("b.part")) & ((F.col("a.own") < F.col("b.own")) | ((F.col("a.own") == F.col("b.own")) & (F.col("a.id") < F.col("b.id"))))
     most = (F.col("a.n") + F.col("b.n")) * ((1 - threshold) / (1 + threshold)) + 1e-6
     close = (F.least("a.n", "b.n") >= F.ceil(F.greatest("a.n", "b.n") * threshold - 1e-9)) & (_distance(sketch, "a", "b") <= most)
-    candidates = one.join(two, met & close).select(F.least("a.id", "b.id").alias("src"), F.greatest("a.id", "b.id").alias("dst")).distinct()
-    with_sets = candidates.join(reps.select(F.col("id").alias("src"), F.col("g").alias("_a")), "src").join(reps.select(F.col("id").alias("dst"), F.col("g").alias("_b")), "dst")
+    # Neither digests nor sets are broadcast: as files they are far smaller than in memory.
+    candidates = one.join(two.hint("merge"), met & close).select(F.least("a.id", "b.id").alias("src"), F.greatest("a.id", "b.id").alias("dst")).distinct()
+    sides = [reps.select(F.col("id").alias(name), F.col("g").alias(g)).hint("merge") for name, g in (("src", "_a"), ("dst", "_b"))]
+    with_sets = candidates.join(sides[0], "src").join(sides[1], "dst")
     both = F.size(F.array_intersect("_a", "_b"))
     sim = both / (F.size("_a") + F.size("_b") - both)
     return with_sets.select("src", "dst", F.round(sim, 9).alias("sim")).where(F.col("sim") >= threshold - 1e-9)
 
 
+def parts_at(level, threshold: float):
+    """Parts for a set of length class ``level`` and its partners, which have as many elements or more: one more than they can differ in."""
+    largest = np.exp(-math.log(threshold) * (np.asarray(level) + 1))
+    return np.floor(largest * ((1 - threshold) / threshold) * (1 + 1e-6) + 1e-6).astype(np.int64) + 1
+
+
+def _part_digests(threshold: float):
+    """The length class of a set of hashes, the digests of its parts as dealt in that class and in the one below, and the sketch in four words."""
+    step = -math.log(threshold)
+
+    def dealt(flat: np.ndarray, of: np.ndarray, level: np.ndarray) -> list[np.ndarray]:
+        parts = parts_at(level, threshold)
+        starts = np.cumsum(parts) - parts
+        sums = np.zeros(int(parts.sum()), np.uint64)
+        np.add.at(sums, starts[of] + (flat % parts[of].astype(np.uint64)).astype(np.int64), flat)
+        place = np.arange(len(sums)) - np.repeat(starts, parts)
+        x = sums + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.repeat(level, parts).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+        x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        return np.split((x ^ (x >> np.uint64(29))).view(np.int64), starts[1:])
+
+    @F.pandas_udf("own int, parts array<long>, below array<long>, s0 long, s1 long, s2 long, s3 long")
+    def digests(sets: pd.Series) -> pd.DataFrame:
+        sizes = sets.map(len).to_numpy(np.int64)
+        own = np.floor(np.log(sizes) / step + 1e-9).astype(np.int64)
+        parts, below, sketch = [], [], np.zeros((len(sizes), 4), np.uint64)
+        # Some million elements at a time.
+        for rows in np.split(np.arange(len(sizes)), np.flatnonzero(np.diff(np.cumsum(sizes) // 1_000_000)) + 1) if len(sizes) else []:
+            flat = np.concatenate([np.asarray(sets.iat[i], np.int64) for i in rows]).view(np.uint64)
+            of = np.repeat(np.arange(len(rows)), sizes[rows])
+            parts += dealt(flat, of, own[rows])
+            below += dealt(flat, of, own[rows] - 1)
+            np.bitwise_xor.at(sketch, (rows[of], (flat >> np.uint64(32)) % np.uint64(4)), np.uint64(1) << (flat >> np.uint64(58)))
+        return pd.DataFrame({"own": own.astype(np.int32), "parts": parts, "below": below} | {f"s{w}": sketch[:, w].view(np.int64) for w in range(4)})
+
+    return digests
+
+
 def document_links(docs: DataFrame, threshold: float = 0.95, key: str = "doc_id", text: str = "text", least: int = 50) -> tuple[DataFrame, DataFrame]:
     """(id, rep) of all texts longer than ``least`` characters, texts with equal sets of bigrams being one class, and the links of their representatives.
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 
+import pytest
+
 from gritstone.operators import similar
 from gritstone.plans import duplicates
 
@@ -75,3 +77,23 @@ def test_many_copies_of_a_hash_are_counted_not_paired(spark):
     rows = spark.range(3_000).selectExpr("id", "case when id < 1000 then 1L when id < 2000 then 3L else 1L << 40 | id end as hash")
     found = similar.class_rows(similar.hash_members(rows), similar.hamming_links(rows.where("id < 2000"), 1)).where("id in (0, 999, 1500)").collect()
     assert {tuple(r) for r in found} == {(0, 0, 1000, 1999, 0), (999, 0, 1000, 1999, 0), (1500, 1000, 1000, 1999, 0)}
+
+
+@pytest.mark.parametrize("threshold", [0.95, 0.8])
+def test_close_sets_are_found_and_neither_sets_nor_digests_are_broadcast(spark, threshold):
+    rng = random.Random(8)
+    sets = []
+    for size in [1, 2, 19, 20, 21, 39, 40, 41, 150, 190, 191, 400]:
+        base = rng.sample(range(5_000), size)
+        sets.append(base)
+        for n in (1, 1, 2, 4, 8):
+            sets.append([x for x in base if rng.random() > n / (2 * size)] + rng.sample(range(5_000, 6_000), rng.randrange(n + 1)))
+    sets = [s for s in sets if s]
+    links = similar.jaccard_links(spark.createDataFrame(list(enumerate(sets)), "id long, grams array<long>"), threshold)
+    alike = lambda a, b: round(len(a & b) / len(a | b), 9) >= threshold - 1e-9
+    first = {}
+    for i, s in enumerate(sets):
+        first.setdefault(frozenset(s), i)
+    wanted = {(i, j) for a, i in first.items() for b, j in first.items() if i < j and alike(a, b)}
+    assert {(r.src, r.dst) for r in links.collect()} == wanted and len(wanted) > 10
+    assert "Broadcast" not in links._jdf.queryExecution().executedPlan().toString()
