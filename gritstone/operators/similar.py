@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -125,8 +126,10 @@ def class_rows(members: DataFrame, links: DataFrame) -> DataFrame:
     """(id, class_id, class_size, n_links, component) of all members(id, rep), from links(src, dst) between representatives.
 
     n_links counts rows, copies included: the others of the class, and all of each
-    linked class.  Nothing is expanded into pairs.
+    linked class.  Nothing is expanded into pairs.  Links are worked out once, for
+    the counts and for the components.
     """
+    links = cut(links.select("src", "dst"))
     sizes = members.groupBy("rep").agg(F.count("*").alias("class_size"))
     both = links.select(F.col("src").alias("rep"), F.col("dst").alias("other")).unionByName(links.select(F.col("dst").alias("rep"), F.col("src").alias("other")))
     beyond = both.join(sizes.select(F.col("rep").alias("other"), "class_size"), "other").groupBy("rep").agg(F.sum("class_size").alias("beyond"))
@@ -229,14 +232,19 @@ def set_classes(sets: DataFrame, key: str = "id", column: str = "grams") -> tupl
     """
     each = sets.select(F.col(key).alias("id"), F.array_sort(column).alias("g")).where(F.size("g") > 0)
     digest = F.unhex(F.sha2(F.array_join(F.col("g").cast("array<string>"), "\x1f"), 256))
-    named = cut(each.select("id", digest.alias("digest")))
+    return _classes(each.select("id", digest.alias("digest"), "g"))
+
+
+def _classes(each: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """set_classes of rows(id, digest, g)."""
+    named = cut(each.select("id", "digest"))
     reps = named.groupBy("digest").agg(F.min("id").alias("rep"))
     members = cut(named.join(reps, "digest").select("id", "rep"))
     first = members.where("id = rep").select("id").distinct()
-    path = scratch_path(sets.sparkSession, "sets")
+    path = scratch_path(each.sparkSession, "sets")
     # An id that repeats may carry other sets; the one with the smallest digest stands for it.
-    each.join(first, "id", "left_semi").groupBy("id").agg(F.min(F.struct(digest.alias("d"), "g")).alias("x")).select("id", "x.g").write.parquet(path)
-    return members, sets.sparkSession.read.parquet(path)
+    each.join(first, "id", "left_semi").groupBy("id").agg(F.min(F.struct("digest", "g")).alias("x")).select("id", "x.g").write.parquet(path)
+    return members, each.sparkSession.read.parquet(path)
 
 
 def set_links(reps: DataFrame, threshold: float) -> DataFrame:
@@ -253,9 +261,10 @@ def set_links(reps: DataFrame, threshold: float) -> DataFrame:
     candidates = one.join(two.hint("merge"), met & close).select(F.least("a.id", "b.id").alias("src"), F.greatest("a.id", "b.id").alias("dst")).distinct()
     sides = [reps.select(F.col("id").alias(name), F.col("g").alias(g)).hint("merge") for name, g in (("src", "_a"), ("dst", "_b"))]
     with_sets = candidates.join(sides[0], "src").join(sides[1], "dst")
-    both = F.size(F.array_intersect("_a", "_b"))
-    sim = both / (F.size("_a") + F.size("_b") - both)
-    return with_sets.select("src", "dst", F.round(sim, 9).alias("sim")).where(F.col("sim") >= threshold - 1e-9)
+    # Exploded, so that it is worked out once and not in every place that reads it.
+    both = F.explode(F.array(F.size(F.array_intersect("_a", "_b")))).alias("both")
+    counted = with_sets.select("src", "dst", (F.size("_a") + F.size("_b")).alias("n"), both)
+    return counted.select("src", "dst", F.round(F.col("both") / (F.col("n") - F.col("both")), 9).alias("sim")).where(F.col("sim") >= threshold - 1e-9)
 
 
 def parts_at(level, threshold: float):
@@ -301,21 +310,23 @@ def document_links(docs: DataFrame, threshold: float = 0.95, key: str = "doc_id"
     Whole normalised texts count.
     """
     long = docs.where(F.char_length(text) > least).select(F.col(key).alias("id"), normalised(text).alias("body"))
-    members, reps = set_classes(long.select("id", _bigram_codes()("body").alias("grams")))
+    each = long.select("id", _bigram_codes()("body").alias("x")).select("id", "x.digest", "x.g").where("digest is not null")
+    members, reps = _classes(each)
     return members, set_links(reps, threshold)
 
 
 def _bigram_codes():
-    """Distinct pairs of neighbouring characters as numbers, Arrow batch by batch; a text of one character is its own."""
-    @F.pandas_udf("array<long>")
-    def codes(texts: pd.Series) -> pd.Series:
+    """Distinct pairs of neighbouring characters as ascending numbers, and their digest, Arrow batch by batch; a text of one character is its own, an empty one has no digest."""
+    @F.pandas_udf("digest binary, g array<long>")
+    def codes(texts: pd.Series) -> pd.DataFrame:
         out = []
         for text in texts:
             points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
             out.append(np.unique(points[:-1] << 21 | points[1:]) if len(points) > 1 else -1 - points)
-        return pd.Series(out)
+        return pd.DataFrame({"digest": pd.Series([hashlib.sha256(g.tobytes()).digest() if len(g) else None for g in out], dtype=object), "g": pd.Series(out, dtype=object)})
 
-    return codes
+    # A deterministic one would be worked out once more for every condition on its result.
+    return codes.asNondeterministic()
 
 
 def video_similarity(frames: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -97,3 +97,23 @@ def test_close_sets_are_found_and_neither_sets_nor_digests_are_broadcast(spark,
     wanted = {(i, j) for a, i in first.items() for b, j in first.items() if i < j and alike(a, b)}
     assert {(r.src, r.dst) for r in links.collect()} == wanted and len(wanted) > 10
     assert "Broadcast" not in links._jdf.queryExecution().executedPlan().toString()
+
+
+def test_links_are_worked_out_once_for_counts_and_components(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def look(batches):
+        for pdf in batches:
+            seen.add(len(pdf))
+            yield pdf
+
+    links = spark.createDataFrame([(1, 2), (2, 3)], "src long, dst long").mapInPandas(look, "src long, dst long")
+    members = spark.createDataFrame([(i, i) for i in range(1, 5)], "id long, rep long")
+    assert {tuple(r) for r in similar.class_rows(members, links).collect()} == {(1, 1, 1, 1, 1), (2, 2, 1, 2, 1), (3, 3, 1, 1, 1), (4, 4, 1, 0, 4)}
+    assert seen.value == 2
+
+
+def test_bigrams_of_a_text_are_worked_out_once_in_a_pass(spark):
+    files = spark.createDataFrame([(i, f"text number {i} with more than fifty characters in it, which count") for i in range(3)], "doc_id long, text string")
+    each = files.select(similar._bigram_codes()("text").alias("x")).select("x.digest", "x.g").where("digest is not null")
+    assert each._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
