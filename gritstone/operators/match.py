@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gritstone.functions.vectors import cosine, dot
 from gritstone.operators.graph import connected_components
+from gritstone.session import cut
 
 #: Rows of a gallery side up to which it may be broadcast.
 BROADCAST_ROWS = 20_000
@@ -127,8 +128,6 @@ def dbscan(rows: DataFrame, eps: float, min_samples: int, key: str = "id", colum
 
 
 def _dbscan_wide(rows: DataFrame, eps: float, min_samples: int, key: str, column: str) -> DataFrame:
-    from gritstone.session import cut
-
     pairs = cut(neighbour_pairs(rows, eps, key, column))
     both = pairs.unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     degree = both.groupBy(F.col("src").alias("id")).agg((F.count("*") + 1).alias("n"))
@@ -196,11 +195,18 @@ def transitive(seeds: DataFrame, links: DataFrame, persons: DataFrame, hops: int
     second face from the first one, to its first face from any other.  Every hop
     multiplies what was reached by the link's similarity and by the hop's decay, so
     a third hop has both decays.  Of each face the best walk of a length is kept;
-    faces without a person lead nowhere.
+    faces without a person lead nowhere.  Up to three hops a query meets a
+    person's best links only (see _leading): all links of a person, met by every
+    query that reaches it, would be the square of the tables.  That is so where
+    similarities are above 0; with others all links are met.
     """
-    known = persons.where("person_id is not null")
+    known = persons.where("person_id is not null").distinct()
+    links = cut(links)
+    seeds = cut(seeds.select("query_id", "face_id", "similarity"))
+    positive = links.where("not coalesce(similarity > 0, false)").isEmpty() and seeds.where("not coalesce(similarity > 0, false)").isEmpty()
+    leading = cut(_leading(links, known)) if hops <= 3 and positive else links
     now = seeds.groupBy("query_id", "face_id").agg(F.max("similarity").alias("reached"))
-    now = now.withColumn("reached", F.col("reached") * DECAY[1])
+    now = cut(now.withColumn("reached", F.col("reached") * DECAY[1]))
     found = None
     for hop in range(1, hops + 1):
         here = now.join(known, "face_id")
@@ -211,16 +217,48 @@ def transitive(seeds: DataFrame, links: DataFrame, persons: DataFrame, hops: int
         # The two best faces of a person are enough: one of them is not the link's first face.
         best = here.groupBy("query_id", "person_id").agg(F.max(F.struct("reached", "face_id")).alias("one"))
         others = here.join(best, ["query_id", "person_id"]).where(F.col("face_id") != F.col("one.face_id")).groupBy("query_id", "person_id").agg(F.max("reached").alias("two"))
-        at = best.join(others, ["query_id", "person_id"], "left").join(links, "person_id")
+        at = best.join(others, ["query_id", "person_id"], "left")
+        # The links back to the best face itself are met by that face: there the second best counts.
+        own = at.withColumn("face_a", F.col("one.face_id")).join(links, ["person_id", "face_a"]).select(*at.columns, "face_a", "similarity")
+        at = at.join(leading, "person_id").select(*at.columns, "face_a", "similarity").unionByName(own)
         step = (F.col("similarity") * DECAY.get(hop + 1, 0.5)).alias("step")
         back = at.select("query_id", F.col("face_a").alias("face_id"), F.when(F.col("one.face_id") != F.col("face_a"), F.col("one.reached")).otherwise(F.col("two")).alias("reached"), step)
         forth = here.join(links.withColumnRenamed("face_a", "face_id"), ["person_id", "face_id"]).select("query_id", F.col("face_b").alias("face_id"), "reached", step)
         moves = back.unionByName(forth).where("reached is not null")
-        now = moves.groupBy("query_id", "face_id").agg(F.max(F.col("reached") * F.col("step")).alias("reached"))
+        now = cut(moves.groupBy("query_id", "face_id").agg(F.max(F.col("reached") * F.col("step")).alias("reached")))
     best = found.groupBy("query_id", "person_id").agg(F.max(F.struct("confidence", (-F.col("hop")).alias("_h"))).alias("b"))
     return best.select("query_id", "person_id", F.col("b.confidence").alias("confidence"), (-F.col("b._h")).alias("hop"))
 
 
+def _leading(links: DataFrame, known: DataFrame) -> DataFrame:
+    """(person_id, face_a, similarity): the links that can lead back on a best walk of up to three hops, but for those to the face one comes from.
+
+    What is reached from any face but face_a is one number for a query and person,
+    so links differ in their similarity alone: for each person that face_a
+    belongs to, the best one, the second face for the next hop, and a third, since
+    one may be where the query stands.  Where the walk goes on over a link of
+    face_a, the product of both similarities decides, for each person that it
+    ends at: the best pairs on two faces.  Products that differ by no more than
+    what rounding may turn are all kept.
+    """
+    back = links.groupBy("person_id", "face_a").agg(F.max("similarity").alias("similarity"))
+    back = cut(back.join(known.select(F.col("face_id").alias("face_a"), F.col("person_id").alias("of")), "face_a"))
+    place = F.row_number().over(Window.partitionBy("person_id", "of").orderBy(F.desc("similarity"), "face_a"))
+    alone = back.withColumn("_n", place).where("_n <= 3").select("person_id", "face_a", "similarity")
+    further = links.select(F.col("person_id").alias("of"), "face_a", "face_b", F.col("similarity").alias("then"))
+    further = further.join(known.select(F.col("face_id").alias("face_b"), F.col("person_id").alias("to")), "face_b")
+    walks = back.join(further, ["of", "face_a"]).groupBy("person_id", "of", "to", "face_a").agg(F.max("similarity").alias("similarity"), F.max("then").alias("then"))
+    walks = walks.withColumn("product", F.col("similarity") * F.col("then"))
+    by = ["person_id", "of", "to"]
+    top = walks.groupBy(*by).agg(F.max(F.struct("product", "face_a")).alias("top"))
+    second = walks.join(top, by).where(F.col("face_a") != F.col("top.face_a")).groupBy(*by).agg(F.max("product").alias("second"))
+    near = walks.join(top.join(second, by, "left"), by).where(F.col("product") >= F.coalesce("second", "top.product") * (1 - 1e-12))
+    # Of equal pairs of numbers two faces are enough.
+    same = F.row_number().over(Window.partitionBy(*by, "similarity", "then").orderBy("face_a"))
+    near = near.withColumn("_n", same).where("_n <= 2").select("person_id", "face_a", "similarity")
+    return alone.unionByName(near).distinct()
+
+
 def weighted_score(signals: list[tuple[Column, float]]) -> Column:
     """Weighted mean of the signals that are there; null without any."""
     total = sum((F.when(s.isNotNull(), w).otherwise(0.0) for s, w in signals), F.lit(0.0))

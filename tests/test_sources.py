@@ -265,3 +265,38 @@ def test_transitive_matches_carry_their_decays(spark):
     # 100 at once; 200 over its link; 300 over a further one with both decays; 400 since a link of person 100 leads to its first face.
     want = {100: (0.8, 1), 200: (0.8 * 0.9 * 0.85, 2), 300: (0.8 * 0.9 * 0.85 * 0.5 * 0.7, 3), 400: (0.8 * 0.4 * 0.85, 2)}
     assert got.keys() == want.keys() and all(abs(got[k][0] - want[k][0]) < 1e-8 and got[k][1] == want[k][1] for k in want)
+
+
+def test_transitive_matches_equal_all_walks_without_meeting_all_links(spark):
+    import random
+
+    from gritstone.operators import match
+
+    rng = random.Random(4)
+    faces = range(60)
+    person = {f: rng.choice([None, 1, 2, 3, 4]) for f in faces}
+    value = lambda: rng.choice([0.3, 0.5, 0.9, 0.9, 1.0, round(rng.random(), 9) + 1e-9])
+    links = [(rng.choice([1, 2, 3, 4]), *rng.sample(faces, 2), value()) for _ in range(160)]
+    seeds = [(q, f, value()) for q in range(100, 130) for f in rng.sample(faces, rng.randrange(1, 5))]
+    now, best = {}, {}
+    for q, f, p in seeds:
+        now[q, f] = max(now.get((q, f), 0), p)
+    for hop in (1, 2, 3):
+        ahead = {}
+        for (q, f), p in now.items():
+            if person[f] is None:
+                continue
+            mine = best.setdefault((q, person[f]), (0, 0))
+            best[q, person[f]] = max(mine, (round(p, 9), -hop))
+            for owner, a, b, s in links:
+                if owner == person[f]:
+                    to = (q, b if a == f else a)
+                    ahead[to] = max(ahead.get(to, 0), p * (s * match.DECAY.get(hop + 1, 0)))
+        now = ahead
+    frames = (spark.createDataFrame(seeds, "query_id long, face_id long, similarity double"), spark.createDataFrame(links, "person_id long, face_a long, face_b long, similarity double"))
+    known = spark.createDataFrame(list(person.items()), "face_id long, person_id long")
+    got = {(r.query_id, r.person_id): (r.confidence, -r.hop) for r in match.transitive(*frames, known).collect()}
+    assert got.keys() == best.keys() and all(abs(got[k][0] - best[k][0]) < 2e-9 and got[k][1] == best[k][1] for k in best)
+    # A person's links that lead back are few, however many it has.
+    many = spark.range(500).selectExpr("1L as person_id", "id as face_a", "id + 1 as face_b", "(id * 37 % 499 + 1) / 500D as similarity")
+    assert match._leading(many, spark.range(501).selectExpr("id as face_id", "1L as person_id")).count() <= 5
