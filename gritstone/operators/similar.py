@@ -57,8 +57,8 @@ def _distance(names: list[str], a: str, b: str) -> Column:
     return sum((hamming(f"{a}.{n}", f"{b}.{n}") for n in names[1:]), hamming(f"{a}.{names[0]}", f"{b}.{names[0]}"))
 
 
-def band_links(reps: DataFrame, names: list[str], most: int, also: Column | None = None) -> DataFrame:
-    """(src, dst, distance) of rows(id, *names) that also holds for, as sides a and b; other columns go along.
+def band_links(reps: DataFrame, names: list[str], most: int, others: DataFrame | None = None, also: Column | None = None) -> DataFrame:
+    """(src, dst, distance) of rows(id, *names), or of these with others, that also holds for, as sides a and b; other columns go along.
 
     One side brings each band as it is, the other each band as it is and with
     every bit turned, so rows grow with the number of bits and pairs are found
@@ -73,9 +73,10 @@ def band_links(reps: DataFrame, names: list[str], most: int, also: Column | None
         return F.transform(flips, lambda x: F.struct(F.lit(i).alias("n"), value(*band).bitwiseXOR(x).alias("v")))
 
     one = reps.select("*", F.explode(exact).alias("band")).alias("a")
-    two = reps.select("*", F.explode(F.concat(exact, *[turned(i, b) for i, b in enumerate(bands)])).alias("band")).alias("b")
+    two = (reps if others is None else others).select("*", F.explode(F.concat(exact, *[turned(i, b) for i, b in enumerate(bands)])).alias("band")).alias("b")
     far = _distance(names, "a", "b")
-    met = (F.col("a.band") == F.col("b.band")) & (F.col("a.id") != F.col("b.id")) & (far <= most)
+    # Bands meet both ways round, so within one table a pair is taken one way.
+    met = (F.col("a.band") == F.col("b.band")) & (F.col("a.id") < F.col("b.id") if others is None else F.col("a.id") != F.col("b.id")) & (far <= most)
     pairs = one.join(two, met if also is None else met & also)
     return pairs.select(F.least("a.id", "b.id").alias("src"), F.greatest("a.id", "b.id").alias("dst"), far.alias("distance")).distinct()
 
@@ -150,21 +151,30 @@ def composite_links(rows: DataFrame, threshold: float = 0.90, key: str = "id", k
 
     src and dst stand for all rows with the same hashes that miss the same kinds.
     Two rows are compared on the kinds that both have, so there is a join for
-    each set of kinds: of rows that have at least these, pairs that share no
-    others.  The mean of the kinds' similarities is one less the differing bits
-    over all bits of the set.
+    each set of kinds, of those masks (kinds that a row has) that share just
+    these: the pair of masks is part of the join's key, and the mask with fewer
+    rows brings the turned bits.  The mean of the kinds' similarities is one less
+    the differing bits over all bits of the set.
     """
     have = F.coalesce(*[F.col(k) for k in kinds]).isNotNull()
     mask = sum((F.when(F.col(k).isNotNull(), F.lit(1 << i)).otherwise(F.lit(0)) for i, k in enumerate(kinds)), F.lit(0))
     reps = rows.where(have).withColumn("_m", mask).groupBy("_m", *kinds).agg(F.min(key).alias("id"))
     reps = cut(reps.select("id", F.col("_m").alias("mask"), *[F.col(k).cast("long").alias(f"h{i}") for i, k in enumerate(kinds)]))
+    held = {r["mask"]: r["count"] for r in reps.groupBy("mask").count().collect()}
     out = None
     for common in range(1, 1 << len(kinds)):
         names = [f"h{i}" for i in range(len(kinds)) if common >> i & 1]
         bits = 64 * len(names)
-        some = reps.where(F.col("mask").bitwiseAND(F.lit(common)) == common).select("id", "mask", *names)
-        only = F.col("a.mask").bitwiseAND(F.col("b.mask")) == common
-        found = band_links(some, names, bound(threshold, bits), only).select("src", "dst", F.round(1 - F.col("distance") / float(bits), 9).alias("similarity"))
+        pairs = [(x, y) if held.get(x, 0) >= held.get(y, 0) else (y, x) for x in range(1 << len(kinds)) for y in range(x + 1) if x & y == common]
+
+        def side(n: int, pairs=pairs, names=names) -> DataFrame:
+            """Rows as side n of the pairs of masks, once for each."""
+            of = {m: [i for i, p in enumerate(pairs) if p[n] == m] for m in {p[n] for p in pairs}}
+            codes = F.create_map(*[F.lit(x) if i % 2 == 0 else F.array(*[F.lit(c) for c in x]) for m in sorted(of) for i, x in enumerate((m, of[m]))])
+            return reps.where(F.col("mask").isin(sorted(of))).select("id", "mask", *names, F.explode(codes[F.col("mask")]).alias("pair"))
+
+        only = (F.col("a.pair") == F.col("b.pair")) & ((F.col("a.mask") != F.col("b.mask")) | (F.col("a.id") < F.col("b.id")))
+        found = band_links(side(0), names, bound(threshold, bits), side(1), only).select("src", "dst", F.round(1 - F.col("distance") / float(bits), 9).alias("similarity"))
         out = found if out is None else out.unionByName(found)
     return out
 
