@@ -43,8 +43,20 @@ def ngrams(words: Column, n: int) -> Column:
 
 
 def term_counts(docs: DataFrame, grams: Column, id_col: str = "doc_id") -> DataFrame:
-    """(term, count, doc_freq): one explode; both counts from per-document partial counts."""
-    each = docs.select(F.col(id_col).alias("_d"), F.explode(grams).alias("term")).groupBy("_d", "term").agg(F.count("*").alias("n"))
+    """(term, count, doc_freq): each text's terms are sorted, so the first of equal ones is marked in the text and both counts combine within each task.
+
+    Where an id is null or repeats, terms are counted by id and term first.
+    """
+    each = docs.select(F.col(id_col).alias("_d"), grams.alias("_g"))
+    if docs.groupBy(id_col).count().where(F.col(id_col).isNull() | (F.col("count") > 1)).isEmpty():
+        # Exploded, so that the text is split once and not in every place that reads its terms.
+        each = each.select(F.explode(F.array(F.sort_array("_g"))).alias("_g"))
+        before = F.concat(F.array(F.lit(None).cast("string")), F.slice("_g", F.lit(1), F.greatest(F.size("_g") - 1, F.lit(0))))
+        marked = F.zip_with("_g", before, lambda x, y: F.struct(x.alias("term"), (~x.eqNullSafe(y)).cast("long").alias("first")))
+        # Of an empty text the entry before is left over.
+        flat = each.where(F.size("_g") > 0).select(F.explode(marked).alias("x")).select("x.term", "x.first")
+        return flat.groupBy("term").agg(F.count("*").alias("count"), F.sum("first").alias("doc_freq"))
+    each = each.select("_d", F.explode("_g").alias("term")).groupBy("_d", "term").agg(F.count("*").alias("n"))
     return each.groupBy("term").agg(F.sum("n").alias("count"), F.count("*").alias("doc_freq"))
 
 

@@ -223,3 +223,47 @@ def test_people(spark):
     assert [(r["cluster"], r["decision"], r["score"]) for r in people.intermediate_clusters(clusters, person).collect()] == [(1, "auto", 1.02)]
     assert people.greedy_order(spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [0.9, 0.1])], "cluster long, centre array<double>")) == [1, 3, 2]
     assert one(spark, people.temporal_score(F.lit(1))) == 1.0 and abs(one(spark, people.pet_distance(F.lit(None).cast("double"), F.lit(0.5), F.lit(None).cast("double"))) - 0.5) < 1e-12
+
+
+def test_terms_are_counted_in_one_shuffle_and_repeated_ids_are_one_document(spark):
+    from gritstone.operators import corpus
+
+    rows = [(1, ["b", "a", "b"]), (2, ["b"]), (3, []), (4, None), (5, ["c", "c"])]
+    found = corpus.term_counts(spark.createDataFrame(rows, "doc_id long, w array<string>"), F.col("w"))
+    assert {tuple(r) for r in found.collect()} == {("a", 1, 1), ("b", 3, 2), ("c", 2, 1)}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("Initial Plan")[0].count("Exchange") == 1
+    again = spark.createDataFrame([*rows, (1, ["b", "d"]), (None, ["b"])], "doc_id long, w array<string>")
+    assert {tuple(r) for r in corpus.term_counts(again, F.col("w")).collect()} == {("a", 1, 1), ("b", 5, 3), ("c", 2, 1), ("d", 1, 1)}
+
+
+def test_cluster_suggestions_hold_few_rows_of_a_block_at_once(spark, monkeypatch):
+    import tracemalloc
+
+    import numpy as np
+    import pandas as pd
+
+    from gritstone.operators import match, people
+
+    kept = {}
+    monkeypatch.setattr(match, "meet", lambda left, right, work, schema: kept.update(work=work) or spark.createDataFrame([], schema))
+    clusters = spark.createDataFrame([], "cluster long, face_id long, age int, embedding array<float>")
+    people.intermediate_clusters(clusters, spark.createDataFrame([], "stage string, embedding array<float>"))
+    rng = np.random.default_rng(2)
+    vectors = lambda n: list(rng.normal(size=(n, 4)).astype(np.float32))
+    c = pd.DataFrame({"cluster": np.arange(2_000) // 10, "age": np.where(np.arange(2_000) % 7 == 0, np.nan, 25.0), "embedding": vectors(2_000)})
+    g = pd.DataFrame({"middle": [25.0, 8.0] * 1_000, "embedding": vectors(2_000)})
+    c.at[5, "embedding"] = np.zeros(4, np.float32)
+    tracemalloc.start()
+    found = kept["work"](c, g)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    x, y = match.unit_rows(c["embedding"]), match.unit_rows(g["embedding"])
+    want = (x @ y.T + 0.02 * (np.abs(c["age"].to_numpy()[:, None] - g["middle"].to_numpy()) < 5)).max(1)
+    assert np.allclose(np.where(np.isnan(want), -np.inf, want), found["score"]) and peak < 2_000 * 2_000 * 8
+
+
+def test_composite_links_meet_by_pairs_of_masks(spark):
+    rows = spark.range(70).selectExpr("id", "case when id % 7 <> 0 then id * 77777777777777 end as p", "case when id % 5 <> 0 then id * 55555555555555 end as d", "case when id % 3 <> 0 then id * 33333333333333 end as a")
+    plan = similar.composite_links(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("(pair#") >= 7
