@@ -205,9 +205,15 @@ def intermediate_clusters(clusters: DataFrame, person: DataFrame, auto: float =
     def best_of(c: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
         if not len(c) or not len(g):
             return pd.DataFrame({"cluster": [], "score": []})
-        near = np.abs(c["age"].to_numpy(float)[:, None] - g["middle"].to_numpy(float)[None]) < 5
-        score = unit_rows(c["embedding"]) @ unit_rows(g["embedding"]).T + 0.02 * near
-        top = np.nanmax(np.where(np.isnan(score), -np.inf, score), axis=1)
+        age, middle = c["age"].to_numpy(float), g["middle"].to_numpy(float)
+        x, y, top = unit_rows(c["embedding"]), unit_rows(g["embedding"]), np.empty(len(c))
+        # Matrices of 256 rows are held at once.
+        for at in range(0, len(c), 256):
+            rows = slice(at, at + 256)
+            score = x[rows] @ y.T
+            score += 0.02 * (np.abs(age[rows, None] - middle[None]) < 5)
+            np.copyto(score, -np.inf, where=np.isnan(score))
+            top[rows] = score.max(axis=1)
         return pd.DataFrame({"cluster": c["cluster"], "score": top})
 
     best = meet(some, faces, best_of, f"cluster {dict(clusters.dtypes)['cluster']}, score double").groupBy("cluster").agg(F.round(F.max("score"), 9).alias("score"))
