@@ -17,6 +17,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 #: Kinds of a sighting, and what a waiting file is waiting as.
 SEEN, GONE = "seen", "gone"
 ADDED, MODIFIED, REMOVED = "added", "modified", "removed"
+#: Rows that leave in one table within a batch, about.
+TABLE_ROWS = 10_000
 COLUMNS = ("path", "size", "modified_s", "kind", "at_ms")
 
 
@@ -40,54 +42,89 @@ class FolderWatch(StatefulProcessor):
         self.waiting = handle.getMapState("waiting", "path string", "change string, size long")
         self.quiet = handle.getValueState("quiet", "at long")
 
-    def _leave(self, key: tuple, at: int) -> Iterator[pd.DataFrame]:
-        rows = sorted((p[0], change, size) for p, (change, size) in self.waiting.iterator())
-        self.waiting.clear()
-        if rows:
-            yield pd.DataFrame([(key[0], p, c, s, at) for p, c, s in rows], columns=[self.folder, "path", "change", "size", "left_ms"]).astype({"size": "Int64"})
+    # Each call to the state is a trip to the JVM.  What waits is held in self.held while a batch is taken in (None: no longer
+    # waiting) and put into the state at its end; the state's own entries are asked only if it has some (self.stored).
+
+    def _leave(self, key: tuple, at: int) -> list[tuple]:
+        waiting = {}
+        if self.stored:
+            waiting = {p[0]: row for p, row in self.waiting.iterator()}
+            self.waiting.clear()
+            self.stored = False
+        rows = sorted((p, *row) for p, row in (waiting | self.held).items() if row is not None)
+        self.held = {}
+        return [(key[0], *row, at) for row in rows]
+
+    def _table(self, rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=[self.folder, "path", "change", "size", "left_ms"]).astype({"size": "Int64"})
+
+    def _waits(self, path: str) -> str | None:
+        """What a file is waiting as, if it is."""
+        if path in self.held:
+            row = self.held[path]
+        else:
+            row = self.waiting.getValue((path,)) if self.stored and self.waiting.containsKey((path,)) else None
+        return None if row is None else row[0]
 
     def _sight(self, path: str, size: int, modified: int, kind: str) -> bool:
         """Take in one sighting; whether it puts the quiet moment off."""
-        one, waits = (path,), self.waiting.containsKey((path,))
-        was = self.waiting.getValue(one)[0] if waits else None
+        one, before = (path,), self.was.get(path, False)
+        if before is False:
+            before = self.known.getValue(one) if self.known.containsKey(one) else None
+            before = None if before is None else tuple(before)
         if kind == GONE:
-            if not self.known.containsKey(one):
+            if before is None:
                 return False
-            empty = self.known.getValue(one)[0] == 0
+            was = self._waits(path)
             self.known.removeKey(one)
-            if was == ADDED or self.report == "new" or (empty and not waits):
-                self.waiting.removeKey(one)
+            self.was[path] = None
+            if was == ADDED or self.report == "new" or (before[0] == 0 and was is None):
+                self.held[path] = None
                 return False
-            self.waiting.updateValue(one, (REMOVED, None))
+            self.held[path] = (REMOVED, None)
             return True
-        if not self.known.containsKey(one):
-            self.known.updateValue(one, (size, modified))
-            if size == 0:
-                return False
-            self.waiting.updateValue(one, (MODIFIED if was == REMOVED else ADDED, size))
-            return True
-        if self.known.getValue(one) == (size, modified):
+        self.was[path] = (size, modified)
+        if before == (size, modified):
             if self.forget_ms:
                 self.known.updateValue(one, (size, modified))
             return False
         self.known.updateValue(one, (size, modified))
+        if before is None:
+            if size == 0:
+                return False
+            self.held[path] = (MODIFIED if self._waits(path) == REMOVED else ADDED, size)
+            return True
         if self.report == "new":
             return False
-        self.waiting.updateValue(one, (was or MODIFIED, size))
+        self.held[path] = (self._waits(path) or MODIFIED, size)
         return True
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values(["at_ms", "path"], kind="stable")
         now = timerValues.getCurrentProcessingTimeInMs()
         before = due = self.quiet.get()[0] if self.quiet.exists() else None
+        # Entries of removed files wait too, so there are some only if a quiet moment is set.
+        self.held, self.was, self.stored = {}, {}, before is not None
+        # A table is dear to hand over, so what leaves within a batch goes in few of them, not in one for each moment.
+        left = []
         for path, size, modified, kind, at in batch[list(COLUMNS)].itertuples(index=False, name=None):
             at = int(at) if self.event_time else now
             if due is not None and due < at:
                 # The moment passed within this batch, before its timer could say so.
-                yield from self._leave(key, due)
+                left += self._leave(key, due)
                 due = None
+                if len(left) >= TABLE_ROWS:
+                    yield self._table(left)
+                    left = []
             if self._sight(path, 0 if pd.isna(size) else int(size), 0 if pd.isna(modified) else int(modified), kind):
                 due = at + self.quiet_ms if due is None else max(due, at + self.quiet_ms)
+        for path, row in self.held.items():
+            if row is not None:
+                self.waiting.updateValue((path,), row)
+            elif self.stored:
+                self.waiting.removeKey((path,))
+        if left:
+            yield self._table(left)
         if due == before:
             return
         if before is not None:
@@ -100,7 +137,9 @@ class FolderWatch(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self.quiet.exists() and self.quiet.get()[0] == expiredTimerInfo.getExpiryTimeInMs():
             self.quiet.clear()
-            yield from self._leave(key, expiredTimerInfo.getExpiryTimeInMs())
+            self.held, self.stored = {}, True
+            if rows := self._leave(key, expiredTimerInfo.getExpiryTimeInMs()):
+                yield self._table(rows)
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
         for path, size, modified in initialState[["path", "size", "modified_s"]].itertuples(index=False, name=None):

@@ -145,3 +145,37 @@ def test_a_killed_drain_gives_the_same_table(spark, tmp_path):
     before = met.value
     assert backlog.drain(table_stream(spark, str(tmp_path / "in"))).count() == 12 and met.value == before
     assert [tuple(r) for r in backlog.commits().orderBy("batch").collect()] == [(0, 10, 1), (1, 2, 0)]
+
+
+def test_what_leaves_within_a_batch_goes_in_one_table_and_unknown_files_ask_little_of_the_state():
+    import pandas as pd
+
+    class Map(dict):
+        calls = 0
+
+        def __getattribute__(self, name):
+            if name in ("containsKey", "getValue", "updateValue", "removeKey", "iterator", "clear"):
+                Map.calls += 1
+            return super().__getattribute__(name)
+
+        containsKey, getValue, iterator = dict.__contains__, dict.get, dict.items
+        updateValue, removeKey = dict.__setitem__, lambda self, k: self.pop(k, None)
+
+    class Value:
+        now = None
+        exists, get, clear = lambda self: self.now is not None, lambda self: self.now, lambda self: setattr(self, "now", None)
+        update = lambda self, v: setattr(self, "now", v)
+
+    class Handle:
+        timers = set()
+        registerTimer, deleteTimer = lambda self, t: self.timers.add(t), lambda self, t: self.timers.discard(t)
+
+    class Clock:
+        getCurrentProcessingTimeInMs = lambda self: 0
+
+    watch = monitor.FolderWatch("folder", "string", 10, "new", True, None)
+    watch.handle, watch.known, watch.waiting, watch.quiet = Handle(), Map(), Map(), Value()
+    batch = pd.DataFrame([(f"p{i:03}", 1, 0, "seen", i * 100) for i in range(200)], columns=list(monitor.COLUMNS))
+    tables = list(watch.handleInputRows(("a",), iter([batch]), Clock()))
+    assert [len(t) for t in tables] == [199] and tables[0]["left_ms"].tolist() == [i * 100 + 10 for i in range(199)]
+    assert Map.calls <= 2 * 200 + 2 and dict(watch.waiting) == {("p199",): ("added", 1)} and Handle.timers == {19_910}
