@@ -178,15 +178,19 @@ def postings(docs: DataFrame, columns: dict[str, str], key: str = "doc_id") -> D
 
     A row with a null id is left out; of rows with one id and column all places
     count.  Places of a block are gathered within each task before they are
-    shuffled, once.
+    shuffled, once, each as one number: the id within its block and the place.
     """
     parts = None
     for name, source in columns.items():
         words = F.regexp_extract_all(fold(source), F.lit(WORD), F.lit(0))
         one = docs.where(F.col(source).isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.lit(name).alias("col"), F.posexplode(words).alias("pos", "token"))
         parts = one if parts is None else parts.unionByName(one)
-    rows = parts.groupBy("token", "col", F.floor(F.col("id") / BLOCK).alias("block")).agg(F.array_sort(F.collect_list(F.struct("id", "pos"))).alias("x"))
-    return rows.select("token", "col", "block", F.col("x.id").alias("ids"), F.col("x.pos").alias("spots"))
+    bits = BLOCK.bit_length() - 1
+    packed = F.shiftleft(F.col("id").bitwiseAND(F.lit(BLOCK - 1)), 32).bitwiseOR(F.col("pos").cast("long"))
+    parts = parts.select("token", "col", F.shiftright("id", bits).alias("block"), packed.alias("x"))
+    rows = parts.groupBy("token", "col", "block").agg(F.sort_array(F.collect_list("x")).alias("x")).withColumn("base", F.shiftleft("block", bits))
+    ids = F.transform("x", lambda x: F.col("base") + F.shiftright(x, 32))
+    return rows.select("token", "col", "block", ids.alias("ids"), F.transform("x", lambda x: x.bitwiseAND(F.lit((1 << 32) - 1)).cast("int")).alias("spots"))
 
 
 @dataclass

@@ -102,3 +102,14 @@ def test_nothing_indexed(spark, tmp_path):
     none = TextIndex.build(spark, str(tmp_path / "i"), spark.createDataFrame([], "doc_id long, text string"), {"text": "text"})
     assert none.search("a").collect() == []
     assert textindex.postings(spark.createDataFrame([], "doc_id long, text string"), {"text": "text"}).count() == 0
+
+
+def test_places_are_gathered_as_one_number_each(spark):
+    from gritstone.operators import textindex
+
+    ids = [-1025, -1, 0, 1023, 1024, (1 << 60) + 5]
+    docs = spark.createDataFrame([(i, "one two one") for i in ids], "doc_id long, text string")
+    rows = textindex.postings(docs, {"text": "text"})
+    found = sorted((r.token, i, p) for r in rows.collect() for i, p in zip(r.ids, r.spots, strict=True) if r.block == i >> 10)
+    assert found == sorted((w, i, p) for i in ids for p, w in enumerate(["one", "two", "one"]))
+    assert "collect_list(x#" in rows._jdf.queryExecution().optimizedPlan().toString()
