@@ -62,3 +62,33 @@ def test_empty_and_null_vectors(spark):
     assert {tuple(r) for r in match.dbscan(rows, 0.1, 2).collect()} == {(3, 3), (4, 3)}
     assert {tuple(r) for r in match.dbscan(rows, 0.1, 1).collect()} == {(2, 2), (3, 3), (4, 3)}
     assert match.dbscan(rows.where("id < 2"), 0.1, 2).collect() == []
+
+
+def test_few_pairs_meet_where_the_radius_is_wide(spark, monkeypatch):
+    for what, size in (("CELL_ROWS", 100), ("BLOCK_ROWS", 150), ("SAMPLE_ROWS", 150), ("FIRST_BLOCKS", 3)):
+        monkeypatch.setattr(density, what, size, raising=False)
+    rng = np.random.default_rng(5)
+    v = np.zeros((3000, 24))
+    v[:, :16] = rng.normal(size=(3000, 16))
+    # A group apart, a core point with two border points, a pair and single vectors, dealt over all blocks.
+    v[:40] = np.eye(24)[16] + 0.05 * rng.normal(size=(40, 24))
+    turn = 0.8 * np.arange(3)
+    v[40:43] = np.cos(turn)[:, None] * np.eye(24)[17] + np.sin(turn)[:, None] * np.eye(24)[18]
+    v[43:45], v[45], v[46] = np.eye(24)[19], np.eye(24)[20], np.eye(24)[21]
+    ids, report = rng.permutation(3000), []
+    found = {r.id: r.cluster for r in match.dbscan(frame(spark, ids, v), 0.62, 3, report=report).collect()}
+    expected = plain(ids, v, 0.62, 3)
+    assert found == expected and len(set(found.values())) == 3
+    assert {int(i) for i in ids[40:43]} <= set(found) and not {int(i) for i in ids[43:47]} & set(found)
+    ((met, total),) = report
+    assert total == 2999**2 and met < 0.35 * total
+
+
+def test_all_visit_all_blocks_where_few_have_neighbours(spark, monkeypatch):
+    for what, size in (("CELL_ROWS", 100), ("BLOCK_ROWS", 40), ("SAMPLE_ROWS", 30), ("FIRST_BLOCKS", 3)):
+        monkeypatch.setattr(density, what, size, raising=False)
+    rng = np.random.default_rng(6)
+    # Ids of more digits than a double holds.
+    ids, v, far = rng.permutation(900), rng.normal(size=(900, 20)), 1 << 60
+    got = {r.id - far: r.cluster - far for r in match.dbscan(frame(spark, ids + far, v), 0.32, 3).collect()}
+    assert got == plain(ids, v, 0.32, 3) and 5 < len(set(got.values())) and len(got) < 850
