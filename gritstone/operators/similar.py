@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gritstone.functions.vectors import hamming
+from gritstone.operators import setjoin
 from gritstone.operators.graph import connected_components
 from gritstone.session import cut, scratch_path
 
@@ -134,8 +135,13 @@ def class_rows(members: DataFrame, links: DataFrame) -> DataFrame:
     sizes = members.groupBy("rep").agg(F.count("*").alias("class_size"))
     both = links.select(F.col("src").alias("rep"), F.col("dst").alias("other")).unionByName(links.select(F.col("dst").alias("rep"), F.col("src").alias("other")))
     beyond = both.join(sizes.select(F.col("rep").alias("other"), "class_size"), "other").groupBy("rep").agg(F.sum("class_size").alias("beyond"))
-    comp = connected_components(links).withColumnRenamed("node", "rep")
-    classes = sizes.join(beyond, "rep", "left").join(comp, "rep", "left")
+    return _class_rows(members, beyond, connected_components(links))
+
+
+def _class_rows(members: DataFrame, beyond: DataFrame, components: DataFrame) -> DataFrame:
+    """class_rows from beyond(rep, beyond), the rows of all linked classes, and components(node, component)."""
+    sizes = members.groupBy("rep").agg(F.count("*").alias("class_size"))
+    classes = sizes.join(beyond, "rep", "left").join(components.withColumnRenamed("node", "rep"), "rep", "left")
     classes = classes.select("rep", "class_size", (F.col("class_size") - 1 + F.coalesce("beyond", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component"))
     return members.join(classes, "rep").select("id", F.col("rep").alias("class_id"), "class_size", "n_links", "component")
 
@@ -220,119 +226,101 @@ def character_bigrams(text: Column) -> Column:
 def jaccard_links(sets: DataFrame, threshold: float, key: str = "id", column: str = "grams") -> DataFrame:
     """(src, dst, sim) of different sets whose Jaccard reaches threshold, src and dst standing for all rows of their set.
 
-    Two such sets differ in few elements: at most (1 - threshold) / threshold of
-    the smaller one's size.  So elements are dealt by hash into one part more than
-    that, and on one part at least both sets are the same: an equi-join on the
-    digests of parts, each of some 1 / (1 - threshold) elements, whatever single
-    elements all sets share.  Sizes differ by no more than threshold, so the sets
-    lie in one length class or in neighbouring ones, and the smaller one's class
-    gives the number of parts.  A sketch of 256 bits goes along, each the parity
-    of the elements that fall on it: sketches differ in no more bits than the sets
-    in elements, so a pair whose sketches are too far apart is dropped where it
-    meets.  What is left is confirmed on the sets.  Equal sets collapse first.
+    Equal sets collapse first; the others meet in blocks (see setjoin).
     """
-    return set_links(set_classes(sets, key, column)[1], threshold)
+    return setjoin.links(setjoin.numbered(set_classes(sets, key, column)[1]), threshold)
 
 
 def set_classes(sets: DataFrame, key: str = "id", column: str = "grams") -> tuple[DataFrame, DataFrame]:
-    """(id, rep) of all rows with a set that is not empty, and (id, g): the set of each representative, the smallest id of equal sets.
-
-    Sets are worked out twice, for their digests and for those that represent
-    others, and only the latter are kept: as compressed Parquet in the shared folder.
-    """
-    each = sets.select(F.col(key).alias("id"), F.array_sort(column).alias("g")).where(F.size("g") > 0)
+    """(id, rep) of all rows with a set that is not empty, and (id, g, size): the set of each representative, the smallest id of equal sets, and their number."""
+    each = sets.select(F.col(key).alias("id"), F.array_sort(F.array_distinct(column)).alias("g")).where(F.size("g") > 0)
     digest = F.unhex(F.sha2(F.array_join(F.col("g").cast("array<string>"), "\x1f"), 256))
     return _classes(each.select("id", digest.alias("digest"), "g"))
 
 
 def _classes(each: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """set_classes of rows(id, digest, g)."""
-    named = cut(each.select("id", "digest"))
-    reps = named.groupBy("digest").agg(F.min("id").alias("rep"))
-    members = cut(named.join(reps, "digest").select("id", "rep"))
-    first = members.where("id = rep").select("id").distinct()
+    """set_classes of rows(id, digest, g), which are worked out once and kept as compressed Parquet in the shared folder."""
     path = scratch_path(each.sparkSession, "sets")
-    # An id that repeats may carry other sets; the one with the smallest digest stands for it.
-    each.join(first, "id", "left_semi").groupBy("id").agg(F.min(F.struct("digest", "g")).alias("x")).select("id", "x.g").write.parquet(path)
-    return members, each.sparkSession.read.parquet(path)
-
-
-def set_links(reps: DataFrame, threshold: float) -> DataFrame:
-    """jaccard_links of rows(id, g) with different sets g in ascending order."""
-    hashes = F.transform("g", lambda e: F.xxhash64(e))
-    signed = cut(reps.select("id", F.size("g").alias("n"), _part_digests(threshold)(hashes).alias("p")).select("id", "n", "p.*"))
-    sketch = [f"s{w}" for w in range(4)]
-    one = signed.select("id", "n", "own", *sketch, F.explode("parts").alias("part")).alias("a")
-    two = signed.select("id", "n", "own", *sketch, F.explode(F.concat("parts", "below")).alias("part")).alias("b")
-    met = (F.col("a.part") == F.col("b.part")) & ((F.col("a.own") < F.col("b.own")) | ((F.col("a.own") == F.col("b.own")) & (F.col("a.id") < F.col("b.id"))))
-    most = (F.col("a.n") + F.col("b.n")) * ((1 - threshold) / (1 + threshold)) + 1e-6
-    close = (F.least("a.n", "b.n") >= F.ceil(F.greatest("a.n", "b.n") * threshold - 1e-9)) & (_distance(sketch, "a", "b") <= most)
-    # Neither digests nor sets are broadcast: as files they are far smaller than in memory.
-    candidates = one.join(two.hint("merge"), met & close).select(F.least("a.id", "b.id").alias("src"), F.greatest("a.id", "b.id").alias("dst")).distinct()
-    sides = [reps.select(F.col("id").alias(name), F.col("g").alias(g)).hint("merge") for name, g in (("src", "_a"), ("dst", "_b"))]
-    with_sets = candidates.join(sides[0], "src").join(sides[1], "dst")
-    # Exploded, so that it is worked out once and not in every place that reads it.
-    both = F.explode(F.array(F.size(F.array_intersect("_a", "_b")))).alias("both")
-    counted = with_sets.select("src", "dst", (F.size("_a") + F.size("_b")).alias("n"), both)
-    return counted.select("src", "dst", F.round(F.col("both") / (F.col("n") - F.col("both")), 9).alias("sim")).where(F.col("sim") >= threshold - 1e-9)
-
-
-def parts_at(level, threshold: float):
-    """Parts for a set of length class ``level`` and its partners, which have as many elements or more: one more than they can differ in."""
-    largest = np.exp(-math.log(threshold) * (np.asarray(level) + 1))
-    return np.floor(largest * ((1 - threshold) / threshold) * (1 + 1e-6) + 1e-6).astype(np.int64) + 1
-
-
-def _part_digests(threshold: float):
-    """The length class of a set of hashes, the digests of its parts as dealt in that class and in the one below, and the sketch in four words."""
-    step = -math.log(threshold)
-
-    def dealt(flat: np.ndarray, of: np.ndarray, level: np.ndarray) -> list[np.ndarray]:
-        parts = parts_at(level, threshold)
-        starts = np.cumsum(parts) - parts
-        sums = np.zeros(int(parts.sum()), np.uint64)
-        np.add.at(sums, starts[of] + (flat % parts[of].astype(np.uint64)).astype(np.int64), flat)
-        place = np.arange(len(sums)) - np.repeat(starts, parts)
-        x = sums + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.repeat(level, parts).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-        x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-        return np.split((x ^ (x >> np.uint64(29))).view(np.int64), starts[1:])
-
-    @F.pandas_udf("own int, parts array<long>, below array<long>, s0 long, s1 long, s2 long, s3 long")
-    def digests(sets: pd.Series) -> pd.DataFrame:
-        sizes = sets.map(len).to_numpy(np.int64)
-        own = np.floor(np.log(sizes) / step + 1e-9).astype(np.int64)
-        parts, below, sketch = [], [], np.zeros((len(sizes), 4), np.uint64)
-        # Some million elements at a time.
-        for rows in np.split(np.arange(len(sizes)), np.flatnonzero(np.diff(np.cumsum(sizes) // 1_000_000)) + 1) if len(sizes) else []:
-            flat = np.concatenate([np.asarray(sets.iat[i], np.int64) for i in rows]).view(np.uint64)
-            of = np.repeat(np.arange(len(rows)), sizes[rows])
-            parts += dealt(flat, of, own[rows])
-            below += dealt(flat, of, own[rows] - 1)
-            np.bitwise_xor.at(sketch, (rows[of], (flat >> np.uint64(32)) % np.uint64(4)), np.uint64(1) << (flat >> np.uint64(58)))
-        return pd.DataFrame({"own": own.astype(np.int32), "parts": parts, "below": below} | {f"s{w}": sketch[:, w].view(np.int64) for w in range(4)})
-
-    return digests
+    each.write.parquet(path)
+    each = each.sparkSession.read.parquet(path)
+    named = each.select("id", "digest")
+    reps = cut(named.groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("size")))
+    members = cut(named.join(reps.select("digest", "rep").hint("merge"), "digest").select("id", "rep"))
+    # An id that repeats may stand for several sets; the one with the smallest digest is taken.
+    first = reps.where("rep is not null").groupBy(F.col("rep").alias("id")).agg(F.min("digest").alias("digest"), F.sum("size").alias("size"))
+    return members, each.join(first.hint("merge"), ["id", "digest"]).select("id", "g", "size")
 
 
-def document_links(docs: DataFrame, threshold: float = 0.95, key: str = "doc_id", text: str = "text", least: int = 50) -> tuple[DataFrame, DataFrame]:
-    """(id, rep) of all texts longer than ``least`` characters, texts with equal sets of bigrams being one class, and the links of their representatives.
+def document_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = 50) -> tuple[DataFrame, DataFrame]:
+    """set_classes of the bigrams of all texts longer than ``least`` characters; whole normalised texts count."""
+    long = docs.where(F.char_length(text) > least).select(F.col(key).alias("id"), F.lower(text).alias("body"))
+    return _classes(long.select("id", _bigram_codes()("body").alias("x")).select("id", "x.digest", "x.g").where("digest is not null"))
 
-    Whole normalised texts count.
-    """
-    long = docs.where(F.char_length(text) > least).select(F.col(key).alias("id"), normalised(text).alias("body"))
-    each = long.select("id", _bigram_codes()("body").alias("x")).select("id", "x.digest", "x.g").where("digest is not null")
-    members, reps = _classes(each)
-    return members, set_links(reps, threshold)
+
+def document_links(docs: DataFrame, threshold: float = 0.95, key: str = "doc_id", text: str = "text", least: int = 50) -> tuple[DataFrame, DataFrame]:
+    """(id, rep) of all texts longer than ``least`` characters, texts with equal sets of bigrams being one class, and the links of their representatives."""
+    members, sets = document_sets(docs, key, text, least)
+    return members, setjoin.links(sets, threshold)
+
+
+def document_classes(docs: DataFrame, threshold: float = 0.95, key: str = "doc_id", text: str = "text", least: int = 50) -> DataFrame:
+    """class_rows of document_links without a row for each link, as they may be as many as the square of the texts."""
+    members, sets = document_sets(docs, key, text, least)
+    found = cut(setjoin.sums(sets, threshold))
+    beyond = found.groupBy(F.col("id").alias("rep")).agg(F.sum("beyond").alias("beyond"))
+    return _class_rows(members, beyond, connected_components(found, "id", "root"))
+
+
+#: What (?U)\s is: White_Space; and a byte of Latin-1 as itself, or a blank.
+_SPACES = np.zeros(0x110000, bool)
+_SPACES[[*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]] = True
+_BLANKED = np.where(_SPACES[:256], 32, np.arange(256)).astype(np.uint8).tobytes()
+
+
+def _collapsed(text: str) -> bytes | np.ndarray:
+    """A text with a blank for white space of any length, and none at the ends: as Latin-1, or else as code points."""
+    try:
+        out = text.encode("latin-1").translate(_BLANKED)
+    except UnicodeEncodeError:
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        spaces = _SPACES[points]
+        kept = ~spaces
+        # The first of each run stays, but not one at the start.
+        kept[1:] |= ~spaces[:-1]
+        points = np.where(spaces, np.uint32(32), points)[kept]
+        return points[int(len(points) > 0 and points[0] == 32) : len(points) - int(len(points) > 1 and points[-1] == 32)]
+    while b"  " in out:
+        out = out.replace(b"  ", b" ")
+    return out.strip(b" ")
+
+
+def _bigrams(texts: list[str]) -> list[np.ndarray]:
+    """Distinct pairs of neighbouring characters of each text, as ascending numbers; a text of one character is its own."""
+    texts = [_collapsed(t) for t in texts]
+    alphabet = np.flatnonzero(np.bincount(np.frombuffer(b"".join([t for t in texts if isinstance(t, bytes)]), np.uint8), minlength=256))
+    code = np.zeros(256, np.uint8)
+    code[alphabet] = np.arange(len(alphabet))
+    pairs, seen, out = (alphabet[:, None] << 21 | alphabet).ravel(), np.zeros(len(alphabet) ** 2, bool), []
+    for text in texts:
+        if len(text) < 2:
+            out.append(-1 - np.array([*text], np.int64))
+        elif isinstance(text, bytes):
+            points = np.frombuffer(text.translate(code.tobytes()), np.uint8).astype(np.intp)
+            seen[points[:-1] * len(alphabet) + points[1:]] = True
+            found = np.flatnonzero(seen)
+            seen[found] = False
+            out.append(pairs[found])
+        else:
+            points = text.astype(np.int64)
+            out.append(np.unique(points[:-1] << 21 | points[1:]))
+    return out
 
 
 def _bigram_codes():
-    """Distinct pairs of neighbouring characters as ascending numbers, and their digest, Arrow batch by batch; a text of one character is its own, an empty one has no digest."""
+    """_bigrams with white space collapsed, and their digest; an empty text has none."""
     @F.pandas_udf("digest binary, g array<long>")
     def codes(texts: pd.Series) -> pd.DataFrame:
-        out = []
-        for text in texts:
-            points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-            out.append(np.unique(points[:-1] << 21 | points[1:]) if len(points) > 1 else -1 - points)
+        out = [g for at in range(0, len(texts), 256) for g in _bigrams(texts.iloc[at : at + 256].tolist())]
         return pd.DataFrame({"digest": pd.Series([hashlib.sha256(g.tobytes()).digest() if len(g) else None for g in out], dtype=object), "g": pd.Series(out, dtype=object)})
 
     # A deterministic one would be worked out once more for every condition on its result.

@@ -113,7 +113,7 @@ def jaccard_pairs(spark, sf_dir):
 
 @Q.query(f"WITH RECURSIVE {_JACCARD}{_ROWS}")
 def jaccard_classes(spark, sf_dir):
-    return similar.class_rows(*similar.document_links(table(spark, sf_dir, "documents")))
+    return similar.document_classes(table(spark, sf_dir, "documents"))
 
 
 @Q.query("""WITH q AS (SELECT embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id = 7) SELECT vec_id, round(list_inner_product(embedding::DOUBLE[], (SELECT e FROM q)), 9) AS similarity FROM embeddings
