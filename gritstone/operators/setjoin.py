@@ -27,7 +27,7 @@ from gritstone.session import cut, scratch_path
 #: Sets and bytes of a block at most, bits for common elements, words of a sketch.
 BLOCK_ROWS, BLOCK_BYTES, COMMON, WORDS = 32_768, 24 << 20, 2_048, 64
 #: Rows and columns of a tile of sketches, pairs counted at a time.
-TILE, PAIRS = (64, 4_096), 8_192
+TILE, PAIRS = (64, 4_096), 16_384
 #: Results are rounded to nine digits, so a set may fall short of the threshold by so much.
 SLACK = 2e-9
 
@@ -207,18 +207,50 @@ def _bytes(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return ends - ends[0], np.ascontiguousarray(data)
 
 
+def _spread(one: _Side, two: _Side) -> list[np.ndarray]:
+    """For each set of both sides a number that differs by no more than the sets do: what it holds of some elements less what it holds of the others.
+
+    Elements are parted along the main axis of some rows, which tells languages
+    from each other; it decides only how much is looked at.
+    """
+    some = np.concatenate([s.bits[:: len(s.n) // 1_000 + 1] for s in (one, two)])
+    grid = np.unpackbits(some.view(np.uint8), axis=1, bitorder="little").astype(np.float32)
+    grid -= grid.mean(axis=0)
+    axis = np.random.default_rng(0).standard_normal(grid.shape[1]).astype(np.float32)
+    for _ in range(8):
+        axis = grid.T @ (grid @ axis)
+        axis /= max(float(np.abs(axis).max()), 1e-9)
+    mask, ones = np.packbits(axis > 0, bitorder="little").view(np.uint64), np.ones(some.shape[1], np.float32)
+    return [((2 * np.bitwise_count(s.bits & mask) - np.bitwise_count(s.bits).astype(np.int16)) @ ones).astype(np.int64) for s in (one, two)]
+
+
+def _windows(one: _Side, two: _Side, threshold: float, ratio: float):
+    """The orders in which both sides are gone through, and for some rows at a time in that order the first and last place of the other side where partners can be: by sizes, or by _spread where that leaves less."""
+    least, most = lambda n: n * (threshold - SLACK) - 1e-6, lambda n: n / (threshold - SLACK) + 1e-6
+    k1, k2 = _spread(one, two)
+    o1, o2 = np.argsort(k1, kind="stable"), np.argsort(k2, kind="stable")
+    reach, k1, k2 = (one.n + two.n[-1]) * ratio + 1e-6, k1[o1], k2[o2]
+    reach = reach[o1]
+    wide = (np.searchsorted(two.n, most(one.n), side="right") - np.searchsorted(two.n, least(one.n))).sum()
+    if (np.searchsorted(k2, k1 + reach, side="right") - np.searchsorted(k2, k1 - reach)).sum() >= wide:
+        return np.arange(len(one.n)), np.arange(len(two.n)), lambda a, b: (np.searchsorted(two.n, least(one.n[a])), np.searchsorted(two.n, most(one.n[b - 1]), side="right"))
+    return o1, o2, lambda a, b: (np.searchsorted(k2, k1[a] - reach[a:b].max()), np.searchsorted(k2, k1[b - 1] + reach[a:b].max(), side="right"))
+
+
 def _candidates(one: _Side, two: _Side, threshold: float, ratio: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Places of pairs, each pair once, whose sizes and sketches allow a link, some thousands at a time."""
     words = min(one.sketch.shape[1], two.sketch.shape[1])
+    o1, o2, window = _windows(one, two, threshold, ratio)
+    n1, n2 = one.n[o1], two.n[o2]
     # Twice as many words fold into one half: a bit falls on the same place in it.
-    s1, s2 = (np.ascontiguousarray(np.bitwise_xor.reduce(s.sketch.reshape(len(s.n), -1, words), axis=1).T) for s in (one, two))
+    s1, s2 = (np.ascontiguousarray(np.bitwise_xor.reduce(s.sketch[o].reshape(len(o), -1, words), axis=1).T) for s, o in ((one, o1), (two, o2)))
     cells = TILE[0] * TILE[1]
     word, near, far, ok = np.empty(cells, np.uint64), np.empty(cells, np.uint8), np.empty(cells, np.uint16), np.zeros(cells + 8, bool)
     found, count = [], 0
-    for at in range(0, len(one.n), TILE[0]):
-        upto = min(at + TILE[0], len(one.n))
-        least, most = one.n[at] * (threshold - SLACK) - 1e-6, one.n[upto - 1] / (threshold - SLACK) + 1e-6
-        first, last = np.searchsorted(two.n, least), np.searchsorted(two.n, most, side="right")
+    for at in range(0, len(n1), TILE[0]):
+        upto = min(at + TILE[0], len(n1))
+        first, last = window(at, upto)
+        largest = n1[at:upto].max()
         for left in range(max(first, at) if one is two else first, last, TILE[1]):
             right = min(left + TILE[1], last)
             shape, size = (upto - at, right - left), (upto - at) * (right - left)
@@ -231,7 +263,7 @@ def _candidates(one: _Side, two: _Side, threshold: float, ratio: float) -> Itera
                 for w in range(1, words):
                     np.bitwise_xor(s1[w, at:upto, None], s2[w, None, left:right], out=x)
                     apart += np.bitwise_count(x, out=bits)
-            bound = min(int((one.n[upto - 1] + two.n[right - 1]) * ratio + 1e-6), 64 * words)
+            bound = min(int((largest + n2[left:right].max()) * ratio + 1e-6), 64 * words)
             np.less_equal(apart, bound, out=ok[:size].reshape(shape))
             # Eight at a time are looked through for any.
             whole = -(-size // 8) * 8
@@ -243,18 +275,21 @@ def _candidates(one: _Side, two: _Side, threshold: float, ratio: float) -> Itera
             i, j = at + hits // shape[1], left + hits % shape[1]
             if one is two:
                 i, j = i[i < j], j[i < j]
-            found.append((i, j))
+            found.append((o1[i], o2[j]))
             count += len(i)
-            if count >= 4 * PAIRS:
-                yield np.concatenate([i for i, _ in found]), np.concatenate([j for _, j in found])
+            if count >= PAIRS:
+                yield tuple(np.concatenate(x) for x in zip(*found, strict=True))
                 found, count = [], 0
     if count:
-        yield np.concatenate([i for i, _ in found]), np.concatenate([j for _, j in found])
+        yield tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def _linked(one: _Side, two: _Side, threshold: float, ratio: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Places of linked pairs and their similarity, counted on all elements."""
     ones = np.ones(one.bits.shape[1], np.float32)
+    # Bits laid upon each other are one more sketch.
+    f1, f2 = (np.bitwise_xor.reduce(s.bits, axis=1) for s in (one, two))
+    m1, m2 = one.n * ratio, two.n * ratio + 1e-6
     if len(one.rest) and len(two.rest):
         values, codes = np.unique(np.concatenate([one.rest, two.rest]), return_inverse=True)
         c1, c2 = codes[: len(one.rest)], codes[len(one.rest) :]
@@ -262,13 +297,19 @@ def _linked(one: _Side, two: _Side, threshold: float, ratio: float) -> Iterator[
         kept = []
         for k in range(0, len(all_i), PAIRS):
             i, j = all_i[k : k + PAIRS], all_j[k : k + PAIRS]
+            x = f1.take(i)
+            x ^= f2.take(j)
+            most = m1.take(i)
+            most += m2.take(j)
+            close = np.flatnonzero(np.bitwise_count(x) <= most)
+            i, j, most = i.take(close), j.take(close), most.take(close)
             x = one.bits.take(i, axis=0)
             x ^= two.bits.take(j, axis=0)
-            apart = (np.bitwise_count(x) @ ones).astype(np.int64)
-            total, r1, r2 = one.n[i] + two.n[j], one.left[i], two.left[j]
-            close = apart + np.abs(r1 - r2) <= total * ratio + 1e-6
-            i, j, total, r1, r2 = i[close], j[close], total[close], r1[close], r2[close]
-            apart = apart[close] + r1 + r2
+            apart = np.bitwise_count(x) @ ones
+            close = np.flatnonzero(apart <= most)
+            i, j = i.take(close), j.take(close)
+            total, r1, r2 = one.n.take(i) + two.n.take(j), one.left.take(i), two.left.take(j)
+            apart = apart.take(close).astype(np.int64) + r1 + r2
             both = np.flatnonzero((r1 > 0) & (r2 > 0))
             for part in _slices(r1[both] + r2[both], 1 << 20):
                 p = both[part]
