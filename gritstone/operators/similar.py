@@ -248,7 +248,8 @@ def _classes(each: DataFrame) -> tuple[DataFrame, DataFrame]:
     members = cut(named.join(reps.select("digest", "rep").hint("merge"), "digest").select("id", "rep"))
     # An id that repeats may stand for several sets; the one with the smallest digest is taken.
     first = reps.where("rep is not null").groupBy(F.col("rep").alias("id")).agg(F.min("digest").alias("digest"), F.sum("size").alias("size"))
-    return members, each.join(first.hint("merge"), ["id", "digest"]).select("id", "g", "size")
+    # Dealt out as the join needs it, so rows that repeat fall together without another shuffle.
+    return members, each.join(first.hint("merge"), ["id", "digest"]).dropDuplicates(["id", "digest"]).select("id", "g", "size")
 
 
 def document_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = 50) -> tuple[DataFrame, DataFrame]:

@@ -70,6 +70,14 @@ def test_classes_of_texts_that_are_all_linked_need_no_row_for_each_link(spark, m
     assert {r[3] for r in plain if r[0] < 152} == {151} and {r[3:] for r in plain if r[0] >= 152} == {(0, i) for i in range(152, 157)}
 
 
+def test_rows_that_repeat_give_one_set(spark):
+    text = "The quick brown fox jumps over the lazy dog and runs into the deep forest at night"
+    docs = spark.createDataFrame([(1, text)] * 40 + [(2, text + "!")] * 2, "doc_id long, text string")
+    members, sets = similar.document_sets(docs)
+    assert members.count() == 42 and {(r["id"], r["size"]) for r in sets.collect()} == {(1, 40), (2, 2)} and sets.count() == 2
+    assert {tuple(r) for r in similar.document_classes(docs).collect()} == {(1, 1, 40, 41, 1), (2, 2, 2, 41, 1)}
+
+
 def test_bigrams_equal_their_definition():
     blank = "".join(map(chr, [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
